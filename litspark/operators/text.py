@@ -105,7 +105,7 @@ def corpus_stats(papers: DataFrame, n: int = MIN_SENTENCE_CHARS) -> DataFrame:
         F.min(year).alias("min_year"),
         F.max(year).alias("max_year"),
     )
-    cols = [c for c in papers.columns if c not in ("corpus_id", "row_id")]
+    cols = [c for c in papers.columns if c not in ("corpus_id", "row_id", "paper_id", "sr_no")]
     return (
         per.join(counts, "corpus_id", "left")
         .select(
