@@ -55,6 +55,24 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
+_SHIPPED: set[int] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable by Python workers (Pandas UDFs pickle
+    functions by module reference): zip it once per SparkContext and
+    ``addPyFile`` it, which is how Spark ships code to executors."""
+    sc = spark.sparkContext
+    if id(sc) in _SHIPPED:
+        return
+    import shutil
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    out = tempfile.mkdtemp(prefix="litspark-pyfiles-")
+    zip_path = shutil.make_archive(os.path.join(out, "litspark"), "zip", os.path.dirname(pkg), "litspark")
+    sc.addPyFile(zip_path)
+    _SHIPPED.add(id(sc))
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique folder below the shared checkpoint folder."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
