@@ -20,8 +20,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.vec import sq_dist_cols
-from ..session import KEYS, ensure_checkpoint_dir
+from ..functions.vec import MAX_EXPANDED_DIM, dim_of, sq_dist_sql
+from ..session import KEYS, scratch_path
 
 # Fixed values from the reference: embedding width and reduced width.
 EMBED_DIM = 768
@@ -91,76 +91,101 @@ def reduce_dims(df: DataFrame, k: int = REDUCED_DIM, vec_col: str = "embedding",
     return p.select(*[c for c in df.columns], *[F.col("_p")[i].alias(f"{prefix}{i}") for i in range(k)])
 
 
-def knn_graph(points: DataFrame, k: int = KNN_K, dims: int = REDUCED_DIM, keys=KEYS,
-              cell: float | None = None, grid_dims: int = 2, id_col: str = "sentence_id") -> DataFrame:
-    """Exact k nearest neighbours (Euclidean on c0..c{dims-1}) within each key:
-    (keys, src, dst, distance, rank).
+def _dist(a: str, b: str, d: int | None) -> F.Column:
+    """Euclidean distance of two ARRAY<DOUBLE> columns: a generated expression
+    when the width is known, else higher-order functions."""
+    if d and d <= MAX_EXPANDED_DIM:
+        return F.expr(f"sqrt({sq_dist_sql(a, b, d)})")
+    return F.sqrt(F.aggregate(F.zip_with(F.col(a), F.col(b), lambda x, y: (x - y) * (x - y)),
+                              F.lit(0.0), lambda acc, v: acc + v))
+
+
+def knn_graph(points: DataFrame, k: int = KNN_K, keys=KEYS, vec_col: str = "vec",
+              id_col: str = "sentence_id", metric: str = "cosine", cell: float | None = None,
+              grid_dims: int = 2) -> DataFrame:
+    """Exact k nearest neighbours within each key: (keys, src, dst, distance,
+    rank[, similarity]). ``metric='cosine'`` normalises the vectors first
+    (Euclidean order on unit vectors is cosine order) and adds ``similarity``.
 
     Blocked search: points are put in grid cells of side ``cell`` over the
-    first ``grid_dims`` coordinates and joined with the 3^g neighbouring
-    cells. A point whose k-th candidate lies closer than ``cell`` is exact
-    (anything nearer differs by < cell in every grid coordinate). The rest
-    (sparse regions) widen the ring to cover their k-th distance and repeat;
-    a point with fewer than k candidates searches its whole key."""
-    ensure_checkpoint_dir(points.sparkSession)
-    g = min(grid_dims, dims)
-    cs = [f"c{i}" for i in range(dims)]
+    first ``grid_dims`` coordinates and joined with the neighbouring cells of
+    a ring. A point whose k-th candidate lies closer than ``cell * ring`` is
+    exact (anything nearer differs by less than that in every coordinate).
+    The rest widen the ring to cover their k-th distance; a point with fewer
+    than k candidates searches its whole key. Each pass is written once to the
+    shared checkpoint folder."""
+    spark = points.sparkSession
+    v = F.col(vec_col).cast("array<double>")
+    if metric == "cosine":
+        nrm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x * x))
+        v = F.when(nrm > 0, F.transform(v, lambda x: x / nrm)).otherwise(v)
+    base = points.select(*keys, F.col(id_col).alias("src"), v.alias("va"))
+    d = dim_of(base, "va")
     if cell is None:
-        # Cell side from the spread of the first coordinate: about k points
-        # per cell in a uniform spread (a statistic, not a cap).
-        st = points.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"),
-                                        (F.max("c0") - F.min("c0")).alias("r")).agg(
-            F.max("n").alias("n"), F.max("r").alias("r")).first()
-        n, r = (st["n"] or 1), (st["r"] or 1.0)
-        cell = max(r / max(1.0, (n / max(k, 1)) ** (1.0 / g)), 1e-9)
-    pts = points.select(*keys, F.col(id_col).alias("src"), *cs,
-                        *[F.floor(F.col(f"c{i}") / F.lit(cell)).cast("long").alias(f"g{i}") for i in range(g)])
+        # About k points per cell for a uniform spread of the first coordinate
+        # (a statistic for the block size, not a cap on candidates).
+        st = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"),
+                                      (F.max(F.col("va")[0]) - F.min(F.col("va")[0])).alias("r")).agg(
+            F.max("n"), F.max("r")).first()
+        n, r = (st[0] or 1), (st[1] or 1.0)
+        cell = max(r / max(1.0, (n / max(k, 1)) ** (1.0 / grid_dims)), 1e-9)
+    g = grid_dims
+    pts = base.select("*", *[F.floor(F.col("va")[i] / F.lit(cell)).cast("long").alias(f"g{i}") for i in range(g)])
+    # Cells spanned by the data: a ring that covers them all is the whole key.
+    span_row = pts.agg(*[(F.max(f"g{i}") - F.min(f"g{i}") + 1) for i in range(g)]).first()
+    span = 1
+    for x in span_row:
+        span *= int(x or 1)
     other = pts.select(*[F.col(c).alias(f"_k{n}") for n, c in enumerate(keys)], F.col("src").alias("dst"),
-                       *[F.col(c).alias(f"y{n}") for n, c in enumerate(cs)],
-                       *[F.col(f"g{i}").alias(f"_h{i}") for i in range(g)])
+                       F.col("va").alias("vb"), *[F.col(f"g{i}").alias(f"_h{i}") for i in range(g)])
+    rank_w = Window.partitionBy(*keys, "src").orderBy("distance", "dst")
+
+    def ranked(j: DataFrame) -> DataFrame:
+        return (j.select(*keys, "src", "dst", _dist("va", "vb", d).alias("distance"))
+                .withColumn("rank", F.row_number().over(rank_w)).filter(F.col("rank") <= k))
 
     def search(srcs: DataFrame, ring: int) -> DataFrame:
         offs = F.array(*[F.array(*[F.lit(d) for d in off])
                          for off in itertools.product(range(-ring, ring + 1), repeat=g)])
-        s = srcs.select("*", F.explode(offs).alias("_o")).select(
-            *keys, "src", *cs, *[(F.col(f"g{i}") + F.col("_o")[i]).alias(f"_q{i}") for i in range(g)])
+        s = srcs.select(*keys, "src", "va", *[f"g{i}" for i in range(g)], F.explode(offs).alias("_o")).select(
+            *keys, "src", "va", *[(F.col(f"g{i}") + F.col("_o")[i]).alias(f"_q{i}") for i in range(g)])
         cond = ([F.col(c) == F.col(f"_k{n}") for n, c in enumerate(keys)]
-                + [F.col(f"_q{i}") == F.col(f"_h{i}") for i in range(g)]
-                + [F.col("src") != F.col("dst")])
-        j = s.join(other, cond).select(*keys, "src", "dst",
-                                       F.sqrt(sq_dist_cols("c", "y", dims)).alias("distance"))
-        w = Window.partitionBy(*keys, "src").orderBy("distance", "dst")
-        return j.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+                + [F.col(f"_q{i}") == F.col(f"_h{i}") for i in range(g)] + [F.col("src") != F.col("dst")])
+        return ranked(s.join(other, cond))
 
     def whole(srcs: DataFrame) -> DataFrame:
         cond = [F.col(c) == F.col(f"_k{n}") for n, c in enumerate(keys)] + [F.col("src") != F.col("dst")]
-        j = srcs.select(*keys, "src", *cs).join(other, cond).select(
-            *keys, "src", "dst", F.sqrt(sq_dist_cols("c", "y", dims)).alias("distance"))
-        w = Window.partitionBy(*keys, "src").orderBy("distance", "dst")
-        return j.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-
-    done = None
-    todo = pts
-    ring = 1
+        return ranked(srcs.select(*keys, "src", "va").join(other, cond))
+
+    def materialise(df: DataFrame, name: str) -> DataFrame:
+        path = scratch_path(spark, name)
+        df.write.mode("overwrite").parquet(path)
+        return spark.read.parquet(path)
+
+    done: list[DataFrame] = []
+    todo, ring = pts, 1
     while True:
-        res = search(todo, ring).checkpoint()
+        res = materialise(search(todo, ring), "knn")
         kth = res.groupBy(*keys, "src").agg(F.count(F.lit(1)).alias("_n"), F.max("distance").alias("_r"))
-        ok = kth.filter((F.col("_n") >= k) & (F.col("_r") < F.lit(cell * ring)))
-        good = res.join(ok.select(*keys, "src"), [*keys, "src"], "left_semi")
-        done = good if done is None else done.unionByName(good)
-        rest = todo.join(ok.select(*keys, "src"), [*keys, "src"], "left_anti").checkpoint()
-        if rest.isEmpty():
-            break
-        # Points with k candidates need a ring covering their k-th distance;
-        # points with fewer search their whole key.
-        need = rest.join(kth, [*keys, "src"], "left")
-        full = need.filter(F.col("_n").isNull() | (F.col("_n") < k)).drop("_n", "_r")
-        wide = need.filter(F.col("_n") >= k)
-        if not full.isEmpty():
-            done = done.unionByName(whole(full))
-        if wide.isEmpty():
+        exact = kth.filter((F.col("_n") >= k) & (F.col("_r") < F.lit(cell * ring)))
+        done.append(res.join(exact.select(*keys, "src"), [*keys, "src"], "left_semi"))
+        rest = materialise(todo.join(exact.select(*keys, "src"), [*keys, "src"], "left_anti")
+                           .join(kth, [*keys, "src"], "left"), "knn-rest")
+        n_full, n_wide, max_r = rest.agg(
+            F.sum((F.col("_n").isNull() | (F.col("_n") < k)).cast("int")),
+            F.sum((F.col("_n") >= k).cast("int")), F.max(F.when(F.col("_n") >= k, F.col("_r")))).first()
+        ring = int((max_r or 0.0) // cell) + 1
+        everything = (2 * ring + 1) ** g >= span
+        if n_full or (n_wide and everything):
+            cond = F.col("_n").isNull() | (F.col("_n") < k) | F.lit(everything)
+            done.append(whole(rest.filter(cond).drop("_n", "_r")))
+        if not n_wide or everything:
             break
-        mx = wide.agg(F.max("_r")).first()[0]
-        ring = int(mx // cell) + 1
-        todo = wide.drop("_n", "_r")
-    return done.select(*keys, "src", "dst", "distance", F.col("rank").cast("int").alias("rank"))
+        todo = rest.filter(F.col("_n") >= k).drop("_n", "_r")
+    out = done[0]
+    for d in done[1:]:
+        out = out.unionByName(d)
+    out = out.select(*keys, "src", "dst", "distance", F.col("rank").cast("int").alias("rank"))
+    if metric == "cosine":
+        out = out.withColumn("similarity", 1.0 - F.col("distance") * F.col("distance") / 2.0)
+    return out

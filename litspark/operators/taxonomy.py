@@ -70,25 +70,24 @@ def theme_block(themes: DataFrame) -> DataFrame:
 
 def classify_theme(themes: DataFrame, embedder, threshold: float = 0.1, keys=KEYS) -> DataFrame:
     """Offline classifier: cosine between a theme vector (name + evidence,
-    embedded with ``embedder``) and each category name vector; the best
+    embedded with ``embedder``) and each category name's vector; the best
     category (lowest number on ties) wins unless its similarity is under
-    ``threshold`` -> NOVEL with confidence 0. The 25 category vectors are a
-    fixed-size literal, so no join is needed."""
-    spark = themes.sparkSession
-    cats = embedder(taxonomy_dim(spark), "category").orderBy("category_no").collect()
-    lit = F.array(*[F.struct(F.lit(r["category_no"]).alias("no"), F.lit(r["category"]).alias("name"),
-                             F.array(*[F.lit(float(x)) for x in r["embedding"]]).alias("v")) for r in cats])
+    ``threshold`` -> NOVEL with confidence 0. Each theme row is repeated once
+    per category (a fixed fan-out of 25) and the names are embedded in place,
+    so no join is needed."""
     text = F.concat_ws(" ", F.col("theme_name"), F.array_join(
         F.coalesce("representative_sentences", F.array().cast("array<string>")), " "))
-    t = embedder(themes.withColumn("_text", text), "_text").withColumnRenamed("embedding", "_tv")
-    scored = F.transform(lit, lambda c: F.struct(
-        cosine(F.col("_tv"), c["v"]).alias("sim"), (-c["no"]).alias("neg_no"), c["name"].alias("name")))
-    best = F.array_max(scored)
-    novel = best["sim"] < threshold
-    return t.select(
+    t = embedder(themes.select(*keys, "theme_name", text.alias("_text")), "_text").withColumnRenamed("embedding", "_tv")
+    cats = F.array(*[F.struct(F.lit(i + 1).alias("no"), F.lit(c).alias("name")) for i, c in enumerate(CATEGORIES)])
+    pairs = t.select(*keys, "theme_name", "_tv", F.inline(cats))
+    pairs = embedder(pairs, "name").withColumn("sim", cosine("_tv", "embedding"))
+    w = Window.partitionBy(*keys, "theme_name").orderBy(F.col("sim").desc(), "no")
+    best = pairs.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") == 1)
+    novel = F.col("sim") < threshold
+    return best.select(
         *keys, "theme_name",
-        F.when(novel, F.lit(NOVEL)).otherwise(best["name"]).alias("pajais_match"),
-        F.when(novel, F.lit(0.0)).otherwise(F.round(best["sim"], 6)).alias("match_confidence"),
+        F.when(novel, F.lit(NOVEL)).otherwise(F.col("name")).alias("pajais_match"),
+        F.when(novel, F.lit(0.0)).otherwise(F.round("sim", 6)).alias("match_confidence"),
         novel.alias("is_novel"),
         F.when(novel, F.lit("no category above the similarity threshold"))
          .otherwise(F.lit("closest category by cosine similarity")).alias("reasoning"))

@@ -14,7 +14,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.vec import cosine
+from ..functions.vec import cosine, dim_of, with_cosine
 from ..session import KEYS
 
 # ---------------------------------------------------------------------------
@@ -75,8 +75,9 @@ def top_evidence(members: DataFrame, vectors: DataFrame, cents: DataFrame,
     j = (members.filter(F.col("cluster_id") != NOISE)
          .join(vectors, "sentence_id")
          .join(cents, [*keys, "cluster_id"]))
-    j = j.select(*keys, "cluster_id", "sentence_id", "sentence",
-                 cosine(vec_col, "centroid").alias("similarity"))
+    d = dim_of(vectors, vec_col)
+    j = with_cosine(j, vec_col, "centroid", "similarity", d).select(
+        *keys, "cluster_id", "sentence_id", "sentence", "similarity")
     w = Window.partitionBy(*keys, "cluster_id").orderBy(F.col("similarity").desc(), "sentence_id")
     return j.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k) \
             .select(*keys, "cluster_id", "rank", "sentence_id", "sentence", "similarity")

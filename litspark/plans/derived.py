@@ -26,21 +26,23 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import council, review, taxonomy, themes, topics
-from ..session import KEYS, ensure_checkpoint_dir, table_path
+from ..session import KEYS, scratch_path, table_path
 
 MIN_SIZE = topics.MIN_CLUSTER_SIZE
 
-# Derived stages are checkpointed (reliable, in the shared checkpoint folder)
-# once per session and input folder, like the stage store of the pipeline:
-# later queries start from the materialised stage instead of re-planning it.
+# Derived stages are written once per session and input folder as parquet in
+# the shared checkpoint folder, like the stage store of the pipeline (one job
+# each, lineage cut, survives executor loss): later queries start from the
+# materialised stage instead of re-planning it.
 _MEMO: dict = {}
 
 
 def _stage(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
     key = (id(spark.sparkContext), sf_dir, name)
     if key not in _MEMO:
-        ensure_checkpoint_dir(spark)
-        _MEMO[key] = build().checkpoint(eager=True)
+        path = scratch_path(spark, f"derived-{name}")
+        build().write.mode("overwrite").parquet(path)
+        _MEMO[key] = spark.read.parquet(path)
     return _MEMO[key]
 
 

@@ -410,13 +410,12 @@ LEFT JOIN (SELECT corpus_id, sum(CASE WHEN run_key = 'abstract' THEN 1 ELSE 0 EN
                   sum(CASE WHEN run_key = 'title' THEN 1 ELSE 0 END) AS t
            FROM sentences GROUP BY corpus_id) s USING (corpus_id)"""
 
+_CSIM = "list_cosine_similarity(CAST(ea.embedding AS DOUBLE[]), CAST(eb.embedding AS DOUBLE[]))"
 Q["knn_graph"] = f"""
-SELECT {K}, src, dst, {R6('distance')} AS distance, rank FROM (
-  SELECT a.corpus_id, a.run_key, a.sentence_id AS src, b.sentence_id AS dst,
-         list_distance(CAST(ea.embedding AS DOUBLE[]), CAST(eb.embedding AS DOUBLE[])) AS distance,
+SELECT {K}, src, dst, {R6('similarity')} AS similarity, rank FROM (
+  SELECT a.corpus_id, a.run_key, a.sentence_id AS src, b.sentence_id AS dst, {_CSIM} AS similarity,
          CAST(row_number() OVER (PARTITION BY a.corpus_id, a.run_key, a.sentence_id
-              ORDER BY list_distance(CAST(ea.embedding AS DOUBLE[]), CAST(eb.embedding AS DOUBLE[])), b.sentence_id)
-              AS INTEGER) AS rank
+              ORDER BY {_CSIM} DESC, b.sentence_id) AS INTEGER) AS rank
   FROM emb_members a JOIN embeddings ea ON ea.vec_id = a.sentence_id
   JOIN emb_members b ON b.corpus_id = a.corpus_id AND b.run_key = a.run_key AND b.sentence_id <> a.sentence_id
   JOIN embeddings eb ON eb.vec_id = b.sentence_id

@@ -257,10 +257,10 @@ def _emb_points(spark, sf_dir, k: int | None = None, reduce: bool = False):
 
 @q("knn_graph")
 def knn_graph(spark, sf_dir):
-    dims = spark.read.parquet(table_path(sf_dir, "embeddings")).select(F.max(F.size("embedding"))).first()[0]
-    pts = _emb_points(spark, sf_dir, dims)
-    g = embed.knn_graph(pts, embed.KNN_K, dims)
-    return g.select(*KEYS, "src", "dst", r6("distance").alias("distance"), "rank")
+    m = D.emb_members(spark, sf_dir).filter(F.col("run_key") == "abstract")
+    pts = m.join(D.emb_vectors(spark, sf_dir), "sentence_id").select(*KEYS, "sentence_id", F.col("embedding").alias("vec"))
+    g = embed.knn_graph(pts, embed.KNN_K, metric="cosine")
+    return g.select(*KEYS, "src", "dst", r6("similarity").alias("similarity"), "rank")
 
 
 @q("ward_cluster")
@@ -296,8 +296,9 @@ def cosine(spark, sf_dir):
     m, v, t = D.emb_topics(spark, sf_dir)[:3]
     j = m.filter(F.col("cluster_id") != -1).join(v, "sentence_id").join(
         t.select(*KEYS, "cluster_id", "centroid"), [*KEYS, "cluster_id"])
-    from ..functions.vec import cosine as cos
-    return j.select(*KEYS, "sentence_id", "cluster_id", r6(cos("embedding", "centroid")).alias("similarity"))
+    from ..functions.vec import dim_of, with_cosine
+    j = with_cosine(j, "embedding", "centroid", "similarity", dim_of(v, "embedding"))
+    return j.select(*KEYS, "sentence_id", "cluster_id", r6("similarity").alias("similarity"))
 
 
 @q("top_evidence")

@@ -79,5 +79,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def spread(df):
+    """Round-robin repartition to the default parallelism when a scan yields
+    fewer partitions than that (one unsplittable file: a single row group),
+    so per-row work (regexes, tokenising) uses every core. A no-op on large
+    inputs, which already have many splits; costs one shuffle otherwise."""
+    par = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(par) if df.rdd.getNumPartitions() < par else df
+
+
 def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")

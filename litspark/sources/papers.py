@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import table_path
+from ..session import spread, table_path
 
 # ---------------------------------------------------------------------------
 # The export's header names, in export order, and the snake-case
@@ -81,7 +81,7 @@ def read_papers(spark: SparkSession, path: str, strict: bool = False,
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(table_path(sf_dir, "documents"))
+    return spread(spark.read.parquet(table_path(sf_dir, "documents")))
 
 
 def _title_expr(text: str = "text"):

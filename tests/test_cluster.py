@@ -72,8 +72,9 @@ def test_ward_ids_by_size(spark):
 
 def test_knn_graph_exact(spark):
     data = {"a": blobs(4, 80, 3), "b": blobs(5, 30, 3)}
-    pts = points_frame(spark, data)
-    got = embed.knn_graph(pts, k=5, dims=3).toPandas()
+    pts = points_frame(spark, data).select("corpus_id", "run_key", "sentence_id",
+                                           F.array("c0", "c1", "c2").alias("vec"))
+    got = embed.knn_graph(pts, k=5, metric="euclidean").toPandas()
     for c, X in data.items():
         D = np.sqrt(((X[:, None, :] - X[None, :, :]) ** 2).sum(-1))
         np.fill_diagonal(D, np.inf)
