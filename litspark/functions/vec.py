@@ -16,6 +16,9 @@ def _c(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+# Above this width the generated projection outgrows the JVM's 64 KB method
+# limit (measured at 768: compilation fails and Spark falls back to slower
+# interpreted code), so wider vectors use the higher-order-function form.
 MAX_EXPANDED_DIM = 256
 
 
@@ -46,17 +49,36 @@ def cosine_sql(a: str, b: str, d: int) -> str:
     return f"(CASE WHEN {den} = 0 THEN 0.0D ELSE {dot_sql(a, b, d)} / {den} END)"
 
 
+CHUNK = 128
+
+
+def dot_chunk_sql(a: str, b: str, lo: int, hi: int) -> str:
+    return _balanced([f"(CAST({a}[{i}] AS DOUBLE) * CAST({b}[{i}] AS DOUBLE))" for i in range(lo, hi)])
+
+
 def with_cosine(df, a: str, b: str, out: str, d: int | None):
-    """Add ``out`` = cosine of array columns ``a`` and ``b``. With a known,
-    moderate width the three dot products are generated expressions computed
-    once each (then combined), else the higher-order-function form."""
+    """Add ``out`` = cosine of array columns ``a`` and ``b``. With a known
+    width the three dot products are generated expressions over chunks of
+    128 dimensions (each chunk its own column, so every generated method stays
+    small enough to compile), then combined; else higher-order functions."""
     if not (d and d <= MAX_EXPANDED_DIM):
         return df.withColumn(out, cosine(a, b))
+    parts = {"_ab": (a, b), "_aa": (a, a), "_bb": (b, b)}
+    tmp = []
+    for name, (x, y) in parts.items():
+        cols = []
+        for n, lo in enumerate(range(0, d, CHUNK)):
+            c = f"{name}{n}"
+            df = df.withColumn(c, F.expr(dot_chunk_sql(x, y, lo, min(d, lo + CHUNK))))
+            cols.append(c)
+        tmp += cols
+        total = F.col(cols[0])
+        for c in cols[1:]:
+            total = total + F.col(c)
+        df = df.withColumn(name, total)
+        tmp.append(name)
     den = F.sqrt(F.col("_aa")) * F.sqrt(F.col("_bb"))
-    return (df.withColumn("_ab", F.expr(dot_sql(a, b, d))).withColumn("_aa", F.expr(dot_sql(a, a, d)))
-            .withColumn("_bb", F.expr(dot_sql(b, b, d)))
-            .withColumn(out, F.when(den == 0, F.lit(0.0)).otherwise(F.col("_ab") / den))
-            .drop("_ab", "_aa", "_bb"))
+    return df.withColumn(out, F.when(den == 0, F.lit(0.0)).otherwise(F.col("_ab") / den)).drop(*tmp)
 
 
 def dot(a: Column | str, b: Column | str) -> Column:
