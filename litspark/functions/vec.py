@@ -44,11 +44,6 @@ def sq_dist_sql(a: str, b: str, d: int) -> str:
                       f"(CAST({a}[{i}] AS DOUBLE) - CAST({b}[{i}] AS DOUBLE)))" for i in range(d)])
 
 
-def cosine_sql(a: str, b: str, d: int) -> str:
-    den = f"(sqrt({dot_sql(a, a, d)}) * sqrt({dot_sql(b, b, d)}))"
-    return f"(CASE WHEN {den} = 0 THEN 0.0D ELSE {dot_sql(a, b, d)} / {den} END)"
-
-
 CHUNK = 128
 
 
@@ -97,13 +92,3 @@ def cosine(a: Column | str, b: Column | str) -> Column:
     """Cosine similarity; 0 when either norm is 0 (as sklearn does)."""
     den = norm(a) * norm(b)
     return F.when(den == 0, F.lit(0.0)).otherwise(dot(a, b) / den)
-
-
-def sq_dist_cols(prefix_a: str, prefix_b: str, k: int) -> Column:
-    """Squared Euclidean distance between two vectors stored as k scalar
-    DOUBLE columns (``{prefix}0`` ... ``{prefix}{k-1}``): plain arithmetic."""
-    terms = [(F.col(f"{prefix_a}{i}") - F.col(f"{prefix_b}{i}")) ** 2 for i in range(k)]
-    out = terms[0]
-    for t in terms[1:]:
-        out = out + t
-    return out
