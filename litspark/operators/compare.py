@@ -38,6 +38,15 @@ def theme_vectors_from_centroids(themes: DataFrame, tmap: DataFrame, topics: Dat
                        [*keys, "theme_name"], "left")
 
 
+def theme_vectors_from_names(themes: DataFrame, embedder=None) -> DataFrame:
+    """A theme's vector = its name embedded (the reference's choice); a run
+    with no themes simply has no rows. Default embedder: hashed term counts."""
+    from .embed import hashed_tf
+    emb = embedder or (lambda df, col: hashed_tf(df, col))
+    return emb(themes, "theme_name").withColumnRenamed("embedding", "vector").withColumn(
+        "vector", F.col("vector").cast("array<double>"))
+
+
 def best_match(abstract: DataFrame, title: DataFrame) -> DataFrame:
     """abstract/title: (corpus_id, theme_rank, theme_name, total_sentences,
     paper_count, vector). Per abstract theme: best title theme or NULL."""

@@ -589,9 +589,12 @@ def _runs(spark, sf_dir):
 
 @q("theme_name_embed")
 def theme_name_embed(spark, sf_dir):
-    th = D.emb_themes(spark, sf_dir)[0]
-    e = embed.hashed_tf(th, "theme_name")
-    return e.select(*KEYS, "theme_name", F.size("embedding").alias("dim"))
+    """Name-embedded theme vectors of both runs, matched abstract -> title."""
+    th = compare.theme_vectors_from_names(D.emb_themes(spark, sf_dir)[0])
+    a = th.filter(F.col("run_key") == "abstract").drop("run_key")
+    t = th.filter(F.col("run_key") == "title").drop("run_key")
+    return compare.comparison(a, t).select("corpus_id", "row_order", "abstract_theme", "title_theme",
+                                           "similarity", "convergence")
 
 
 @q("best_match")

@@ -44,3 +44,15 @@ def test_one_side_empty(spark):
     empty = frame(spark, [])
     assert [r.convergence for r in CP.comparison(ab, empty).collect()] == ["ABSTRACT ONLY"]
     assert [r.convergence for r in CP.comparison(empty, ab).collect()] == ["TITLE ONLY"]
+
+
+def test_name_vectors_identical_names_converge(spark):
+    rows = [("c", "abstract", 1, "Digital trust in markets", 3, 2), ("c", "title", 1, "digital trust in markets", 2, 1),
+            ("c", "title", 2, "Unrelated words here", 1, 1)]
+    th = spark.createDataFrame(rows, "corpus_id string, run_key string, theme_rank int, theme_name string, "
+                                     "total_sentences bigint, paper_count bigint")
+    v = CP.theme_vectors_from_names(th)
+    out = CP.comparison(v.filter("run_key = 'abstract'").drop("run_key"), v.filter("run_key = 'title'").drop("run_key"))
+    r = {x.convergence: x for x in out.collect()}
+    assert r["CONVERGED"].title_theme == "digital trust in markets" and r["CONVERGED"].similarity == 1.0
+    assert r["TITLE ONLY"].title_theme == "Unrelated words here"
