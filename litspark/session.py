@@ -19,7 +19,9 @@ _LOCAL_DIRS: dict[int, str] = {}
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
                   app: str = "litspark") -> SparkSession:
     """Session for tests and the bench. On a cluster, use the cluster's own
-    session instead: nothing in the library depends on this builder."""
+    session instead: nothing in the library depends on this builder. The
+    checkpoint folder is taken from ``spark.checkpoint.dir`` when configured
+    (spark-defaults); only when it is unset is a local one chosen."""
     spark = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
@@ -32,7 +34,6 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "16g")
-        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="litspark-ckpt-"))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
