@@ -127,9 +127,16 @@ class Pipeline:
 
     def themes(self, decisions: DataFrame | None = None) -> DataFrame:
         th, tmap = consolidate(self.store.read("labels"), self.store.read("topic_papers"), decisions)
+        self.store.write("theme_map", tmap)
         self.store.write("themes", th)
         return self.store.read("themes")
 
+    def compare(self) -> DataFrame:
+        """Abstract-run versus title-run themes per corpus (needs both runs)."""
+        comp = compare_runs(self.store.read("themes"), self.store.read("theme_map"), self.store.read("labels"))
+        self.store.write("comparison", comp, partition_by=("corpus_id",))
+        return self.store.read("comparison")
+
     def taxonomy(self, responses: DataFrame | None = None) -> DataFrame:
         tax = map_taxonomy(self.store.read("themes"), responses)
         self.store.write("taxonomy", tax)

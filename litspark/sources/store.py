@@ -14,11 +14,11 @@ from ..session import KEYS
 # Stage order of the pipeline and the step that produces each
 # stage (used in error messages and the inventory's "most advanced" rank).
 STAGES = ["papers", "sentences", "embeddings", "assignments", "topics", "topic_papers",
-          "labels", "themes", "taxonomy", "comparison"]
+          "labels", "theme_map", "themes", "taxonomy", "comparison"]
 PRODUCER = {
     "papers": "load papers", "sentences": "load papers", "embeddings": "discovery",
     "assignments": "discovery", "topics": "discovery", "topic_papers": "discovery",
-    "labels": "discovery and labelling", "themes": "consolidate themes",
+    "labels": "discovery and labelling", "theme_map": "consolidate themes", "themes": "consolidate themes",
     "taxonomy": "taxonomy mapping", "comparison": "comparison",
 }
 # Review-table precedence: most advanced stage first.

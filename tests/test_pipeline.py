@@ -26,7 +26,7 @@ def test_gen_corpus_shape(spark):
 
 def test_pipeline_end_to_end(spark):
     pl = Pipeline(spark, scratch_path(spark, "pipe"), threshold=3.0)
-    labels = pl.discover_and_label(gen_corpus(spark, 20))
+    labels = pl.discover_and_label(gen_corpus(spark, 20), run_keys=("abstract", "title"))
     q = council.label_quality(labels).first()
     assert q.status == "OK" and q.topics >= 3
     again = pl.discover_and_label(gen_corpus(spark, 20))              # compute-once
@@ -35,6 +35,9 @@ def test_pipeline_end_to_end(spark):
     assert th.count() == labels.count()
     tax = pl.taxonomy()
     assert tax.count() == th.count()
+    comp = pl.compare()
+    n_abs = th.filter("run_key = 'abstract'").count()
+    assert comp.filter("abstract_theme IS NOT NULL").count() == n_abs
     inv = stage_inventory(pl.store.counts()).first()
     assert inv.phase == "taxonomy" and inv.status.startswith("ready")
 
