@@ -30,7 +30,7 @@ def main() -> None:
 
     spark = local_session(cpus, shuffle_partitions=max(8, int(cpus) if cpus.isdigit() else 8))
     # JVM warm-up (class loading, parquet reader, shuffle), not timed.
-    spark.read.parquet(os.path.join(sf, "region.parquet")).groupBy("r_regionkey").count() \
+    spark.read.parquet(os.path.join(sf, "labels.parquet")).groupBy("quality").count() \
         .write.format("noop").mode("overwrite").save()
     times: dict[str, float] = {}
 
