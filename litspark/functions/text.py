@@ -38,6 +38,15 @@ BOILERPLATE_PATTERNS = [
 MIN_SENTENCE_CHARS = 30
 # ---------------------------------------------------------------------------
 
+# Scholarly abbreviations whose final dot does not end a sentence (the
+# reference's trained tokenizer knows such abbreviations; this short list
+# covers the common ones in abstracts). Words that often end sentences
+# ("etc.", "no.") are left out on purpose.
+ABBREVIATIONS = ["e.g", "i.e", "et al", "cf", "vs", "fig", "figs", "eq", "eqs", "vol", "pp", "approx",
+                 "resp", "incl", "dr", "mr", "mrs", "ms", "prof"]
+ABBREV_REGEX = r"(?i)\b(" + "|".join(a.replace(".", r"\.") for a in ABBREVIATIONS) + r")\."
+KEEP = "\u0002"   # stands in for an abbreviation's dot while splitting
+
 # Java regex flags giving Python `re` semantics on str patterns:
 # i = ignore case, u = Unicode case folding, d = only "\n" ends a line (so "."
 # and "$" treat CR, U+0085, U+2028 like Python does), U = Unicode \s \d \w.
@@ -63,6 +72,13 @@ def strip_boilerplate_expr(c: Column | str) -> Column:
 
 
 def sentence_array_expr(c: Column | str) -> Column:
-    """Array of raw sentence pieces (not yet stripped/filtered) of a text."""
+    """Array of raw sentence pieces (not yet stripped/filtered) of a text:
+    abbreviation dots are protected (``KEEP``), boundaries marked and the text
+    split. Restore the dots in each piece with ``restore_dots``."""
     col = F.col(c) if isinstance(c, str) else c
-    return F.split(F.regexp_replace(col, SENTENCE_END_REGEX, "$1" + MARK), MARK)
+    protected = F.regexp_replace(col, ABBREV_REGEX, "$1" + KEEP)
+    return F.split(F.regexp_replace(protected, SENTENCE_END_REGEX, "$1" + MARK), MARK)
+
+
+def restore_dots(c: Column | str) -> Column:
+    return F.replace(F.col(c) if isinstance(c, str) else c, F.lit(KEEP), F.lit("."))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.text import (
     MIN_SENTENCE_CHARS,
     py_strip,
+    restore_dots,
     sentence_array_expr,
     strip_boilerplate_expr,
 )
@@ -64,7 +65,8 @@ def split_sentences(df: DataFrame, col: str = "text") -> DataFrame:
     """One row per raw sentence piece with its 0-based position: the text
     column is replaced by (``pos``, ``raw``). Not yet stripped or filtered."""
     keep = [c for c in df.columns if c != col]
-    return df.select(*keep, F.posexplode(sentence_array_expr(col)).alias("pos", "raw"))
+    return (df.select(*keep, F.posexplode(sentence_array_expr(col)).alias("pos", "raw"))
+            .withColumn("raw", restore_dots("raw")))
 
 
 def min_len(df: DataFrame, col: str = "sentence", n: int = MIN_SENTENCE_CHARS) -> DataFrame:

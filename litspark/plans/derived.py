@@ -38,7 +38,7 @@ _MEMO: dict = {}
 
 
 def _stage(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
-    key = (id(spark.sparkContext), sf_dir, name)
+    key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _MEMO:
         path = scratch_path(spark, f"derived-{name}")
         build().write.mode("overwrite").parquet(path)

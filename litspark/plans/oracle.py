@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import re
 
-from ..functions.text import BOILERPLATE_PATTERNS
+from ..functions.text import ABBREVIATIONS, BOILERPLATE_PATTERNS
 from ..operators.taxonomy import CATEGORIES
 from ..sources.papers import NA_TOKENS
 
@@ -18,6 +18,7 @@ def _lit(s: str) -> str:
 
 BP = _lit("|".join(BOILERPLATE_PATTERNS))
 SENT = _lit(r"""([.!?]+["')\]]*)\s+""")
+ABBR = _lit(r"(?i)\b(" + "|".join(a.replace(".", r"\.") for a in ABBREVIATIONS) + r")\.")
 NL = "chr(10)"
 CATS = "[" + ", ".join(_lit(c) for c in CATEGORIES) + "]"
 NA = "(" + ", ".join(_lit(t) for t in NA_TOKENS) + ")"
@@ -62,8 +63,9 @@ UNION ALL SELECT corpus_id, 'title', paper_id, concat_ws(' ', title) FROM papers
 UNION ALL SELECT corpus_id, 'combined', paper_id, concat_ws(' ', abstract, title) FROM papers""")
 cte("stripped", f"SELECT {K}, paper_id, {STRIP(f'regexp_replace(text, {BP}, chr(32), {_lit('gi')})')} AS text FROM run_texts")
 cte("pieces", f"""
-SELECT {K}, paper_id, unnest(l) AS raw, CAST(generate_subscripts(l, 1) - 1 AS INTEGER) AS pos
-FROM (SELECT {K}, paper_id, string_split(regexp_replace(text, {SENT}, '\\1' || chr(1), 'g'), chr(1)) AS l FROM stripped)""")
+SELECT {K}, paper_id, replace(unnest(l), chr(2), '.') AS raw, CAST(generate_subscripts(l, 1) - 1 AS INTEGER) AS pos
+FROM (SELECT {K}, paper_id, string_split(regexp_replace(regexp_replace(text, {ABBR}, '\\1' || chr(2), 'g'),
+                                                        {SENT}, '\\1' || chr(1), 'g'), chr(1)) AS l FROM stripped)""")
 cte("sentences", f"""
 SELECT {K}, paper_id * 1048576 + pos AS sentence_id, paper_id, {STRIP('raw')} AS sentence
 FROM pieces WHERE length({STRIP('raw')}) > 30""")

@@ -13,7 +13,7 @@ from pyspark.sql import SparkSession
 # source) analysed under one run configuration (abstract / title / combined).
 KEYS = ("corpus_id", "run_key")
 
-_LOCAL_DIRS: dict[int, str] = {}
+_LOCAL_DIRS: dict[str, str] = {}
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
@@ -48,15 +48,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     never overridden. Only where it is unset (local tests) do we set one under
     a fresh temporary folder."""
     sc = spark.sparkContext
-    d = sc.getConf().get("spark.checkpoint.dir") or _LOCAL_DIRS.get(id(sc))
+    d = sc.getConf().get("spark.checkpoint.dir") or _LOCAL_DIRS.get(sc.applicationId)
     if not d:
         d = tempfile.mkdtemp(prefix="litspark-ckpt-")
-        _LOCAL_DIRS[id(sc)] = d
+        _LOCAL_DIRS[sc.applicationId] = d
         sc.setCheckpointDir(d)
     return d
 
 
-_SHIPPED: set[int] = set()
+_SHIPPED: set[str] = set()
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -64,14 +64,14 @@ def ship_package(spark: SparkSession) -> None:
     functions by module reference): zip it once per SparkContext and
     ``addPyFile`` it, which is how Spark ships code to executors."""
     sc = spark.sparkContext
-    if id(sc) in _SHIPPED:
+    if sc.applicationId in _SHIPPED:
         return
     import shutil
     pkg = os.path.dirname(os.path.abspath(__file__))
     out = tempfile.mkdtemp(prefix="litspark-pyfiles-")
     zip_path = shutil.make_archive(os.path.join(out, "litspark"), "zip", os.path.dirname(pkg), "litspark")
     sc.addPyFile(zip_path)
-    _SHIPPED.add(id(sc))
+    _SHIPPED.add(sc.applicationId)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

@@ -86,3 +86,12 @@ def test_corpus_stats_counts(spark):
     assert got["c"].papers == 2 and got["c"].abstract_sentences == 1 and got["c"].title_sentences == 1
     assert got["c"].years == [2019, 2020]
     assert got["d"].papers == 1 and got["d"].years == [] and got["d"].min_year is None
+
+
+def test_abbreviations_do_not_split(spark):
+    text = ("As shown by Smith et al. (2019) and in Fig. 2 the effect holds, e.g. for retail firms. "
+            "Second sentence is long enough to keep as well.")
+    df = spark.createDataFrame([("c", "abstract", 1, text)], "corpus_id string, run_key string, paper_id long, text string")
+    out = [r.sentence for r in T.sentence_table(df).orderBy("sentence_id").collect()]
+    assert out == ["As shown by Smith et al. (2019) and in Fig. 2 the effect holds, e.g. for retail firms.",
+                   "Second sentence is long enough to keep as well."]
