@@ -10,6 +10,7 @@ supplied vector table."""
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.vec import MAX_EXPANDED_DIM, dim_of, sq_dist_sql
+from ..functions.vec import MAX_EXPANDED_DIM, sq_dist_sql
 from ..session import KEYS, scratch_path
 
 # Fixed values from the reference: embedding width and reduced width.
@@ -120,22 +121,28 @@ def knn_graph(points: DataFrame, k: int = KNN_K, keys=KEYS, vec_col: str = "vec"
         nrm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x * x))
         v = F.when(nrm > 0, F.transform(v, lambda x: x / nrm)).otherwise(v)
     base = points.select(*keys, F.col(id_col).alias("src"), v.alias("va"))
-    d = dim_of(base, "va")
+    g = grid_dims
+    # One small aggregate: vector width, largest key, and the extent of the
+    # grid coordinates (for the cell side and the number of cells spanned).
+    per_key = base.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), F.max(F.size("va")).alias("d"),
+        *[F.min(F.col("va")[i]).alias(f"lo{i}") for i in range(g)],
+        *[F.max(F.col("va")[i]).alias(f"hi{i}") for i in range(g)])
+    st = per_key.agg(F.max("n"), F.max("d"), *[F.min(f"lo{i}") for i in range(g)],
+                     *[F.max(f"hi{i}") for i in range(g)]).first()
+    n, d = (st[0] or 1), st[1]
+    lo = [st[2 + i] or 0.0 for i in range(g)]
+    hi = [st[2 + g + i] or 0.0 for i in range(g)]
     if cell is None:
         # About k points per cell for a uniform spread of the first coordinate
         # (a statistic for the block size, not a cap on candidates).
-        st = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"),
-                                      (F.max(F.col("va")[0]) - F.min(F.col("va")[0])).alias("r")).agg(
-            F.max("n"), F.max("r")).first()
-        n, r = (st[0] or 1), (st[1] or 1.0)
-        cell = max(r / max(1.0, (n / max(k, 1)) ** (1.0 / grid_dims)), 1e-9)
-    g = grid_dims
+        r = (hi[0] - lo[0]) or 1.0
+        cell = max(r / max(1.0, (n / max(k, 1)) ** (1.0 / g)), 1e-9)
     pts = base.select("*", *[F.floor(F.col("va")[i] / F.lit(cell)).cast("long").alias(f"g{i}") for i in range(g)])
     # Cells spanned by the data: a ring that covers them all is the whole key.
-    span_row = pts.agg(*[(F.max(f"g{i}") - F.min(f"g{i}") + 1) for i in range(g)]).first()
     span = 1
-    for x in span_row:
-        span *= int(x or 1)
+    for i in range(g):
+        span *= int(math.floor(hi[i] / cell) - math.floor(lo[i] / cell) + 1)
     other = pts.select(*[F.col(c).alias(f"_k{n}") for n, c in enumerate(keys)], F.col("src").alias("dst"),
                        F.col("va").alias("vb"), *[F.col(f"g{i}").alias(f"_h{i}") for i in range(g)])
     rank_w = Window.partitionBy(*keys, "src").orderBy("distance", "dst")

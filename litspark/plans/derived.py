@@ -196,10 +196,9 @@ def labelled_topics(spark, sf_dir):
     resp = responses(spark, sf_dir)
     props = council.proposals_from_responses(resp)
     looked = _stage(spark, sf_dir, "looked_up", lambda: council.proposal_lookup(ranked, props))
-    collected = _stage(spark, sf_dir, "collected", lambda: council.collect_proposals(looked))
+    collected = council.collect_proposals(looked)
     arb = council.arbitrate(looked)
-    arb_resp = _stage(spark, sf_dir, "arbiter_responses", lambda: arbiter_responses(arb))
-    dec = _stage(spark, sf_dir, "decisions", lambda: council.decisions_from_responses(arb_resp))
+    dec = _stage(spark, sf_dir, "decisions", lambda: council.decisions_from_responses(arbiter_responses(arb)))
     labels = _stage(spark, sf_dir, "labels", lambda: council.merge_council(ranked, dec, collected))
     return labels, looked, collected, dec, ranked, p
 
@@ -221,7 +220,7 @@ def review_decisions(spark, sf_dir, rv: DataFrame) -> DataFrame:
 def emb_themes(spark, sf_dir):
     """(themes ranked, theme map, labels, topic_papers)."""
     labels, _, _, _, ranked, p = labelled_topics(spark, sf_dir)
-    rv = _stage(spark, sf_dir, "review", lambda: review_decisions(spark, sf_dir, review.review_labels(labels)))
+    rv = review_decisions(spark, sf_dir, review.review_labels(labels))
     tmap = _stage(spark, sf_dir, "theme_map", lambda: review.theme_map(rv))
     th = _stage(spark, sf_dir, "themes", lambda: themes.themes_ranked(themes.consolidate(tmap, labels, p)))
     return th, tmap, labels, p
