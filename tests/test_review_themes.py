@@ -1,6 +1,5 @@
 """Review table (F6 edge rows), theme map, consolidation (F7), coverage,
 uncovered topics, taxonomy merge and counts."""
-from pyspark.sql import functions as F
 
 from litspark.operators import review as R
 from litspark.operators import taxonomy as X

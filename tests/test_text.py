@@ -2,7 +2,6 @@
 followed by ``str.strip`` on edge rows; sentence rules; ids."""
 import re
 
-from pyspark.sql import functions as F
 
 from litspark.functions.text import BOILERPLATE_PATTERNS
 from litspark.operators import text as T
