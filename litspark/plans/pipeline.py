@@ -30,14 +30,20 @@ def sentences(papers: DataFrame, run_key: str) -> DataFrame:
     return text.sentence_table(text.run_text(papers, run_key))
 
 
-def discover(sent: DataFrame, threshold: float = DEFAULT_THRESHOLD, embedder=None,
-             k: int = embed.REDUCED_DIM, min_size: int = topics.MIN_CLUSTER_SIZE,
-             micro_cell: float | None = None):
-    """sentences -> (vectors, members, topics, topic_papers, evidence, ranked)."""
+def vectors_and_reduced(sent: DataFrame, embedder=None, k: int = embed.REDUCED_DIM):
+    """sentences -> (vectors with sentence text, reduced points c0..c{k-1})."""
     vec = embed.embed(sent, "sentence", embedder).select(*KEYS, "sentence_id", "paper_id", "sentence", "embedding")
     vec = vec.checkpoint()
     red = embed.reduce_dims(vec.select(*KEYS, "sentence_id", "embedding"), k)
-    pts = red.select(*KEYS, "sentence_id", *[f"c{i}" for i in range(k)])
+    return vec, red.select(*KEYS, "sentence_id", *[f"c{i}" for i in range(k)])
+
+
+def discover(sent: DataFrame, threshold: float = DEFAULT_THRESHOLD, embedder=None,
+             k: int = embed.REDUCED_DIM, min_size: int = topics.MIN_CLUSTER_SIZE,
+             micro_cell: float | None = None, precomputed=None):
+    """sentences -> (vectors, members, topics, topic_papers, evidence, ranked).
+    ``precomputed`` = (vectors, reduced points) reuses stored stages."""
+    vec, pts = precomputed if precomputed is not None else vectors_and_reduced(sent, embedder, k)
     assign = cluster.ward(pts, k, threshold, micro_cell=micro_cell)
     members = vec.select(*KEYS, "sentence_id", "paper_id", "sentence").join(assign, [*KEYS, "sentence_id"])
     members = topics.drop_small(members, min_size).checkpoint()
@@ -111,13 +117,23 @@ class Pipeline:
     def discover_and_label(self, papers: DataFrame, run_keys=("abstract",)) -> DataFrame:
         if self.store.exists("labels") and not self.store.read("labels").isEmpty():
             return self.store.read("labels")          # compute-once, like the reference's cache
-        sent = None
-        for rk in run_keys:
-            s = sentences(papers, rk)
-            sent = s if sent is None else sent.unionByName(s)
-        self.store.write("sentences", sent)
-        sent = self.store.read("sentences")
-        vec, members, t, p, ev, ranked = discover(sent, self.threshold, self.embedder)
+        if self.store.exists("embeddings") and not self.store.read("embeddings").isEmpty():
+            # Re-clustering (e.g. another threshold) reuses the stored vectors
+            # and the reduced points (the reference recomputes the reduction).
+            sent = self.store.read("sentences")
+            pre = (self.store.read("embeddings"), self.store.read("reduced"))
+        else:
+            sent = None
+            for rk in run_keys:
+                s = sentences(papers, rk)
+                sent = s if sent is None else sent.unionByName(s)
+            self.store.write("sentences", sent)
+            sent = self.store.read("sentences")
+            vec, red = vectors_and_reduced(sent, self.embedder)
+            self.store.write("embeddings", vec)
+            self.store.write("reduced", red)
+            pre = (self.store.read("embeddings"), self.store.read("reduced"))
+        vec, members, t, p, ev, ranked = discover(sent, self.threshold, self.embedder, precomputed=pre)
         self.store.write("assignments", members.select(*KEYS, "sentence_id", "paper_id", "cluster_id"))
         self.store.write("topic_papers", p)
         self.store.write("topics", ranked)
@@ -125,6 +141,14 @@ class Pipeline:
         self.store.write("labels", lab)
         return self.store.read("labels")
 
+    def recluster(self, threshold: float) -> DataFrame:
+        """New cut over the stored vectors: labels and later stages are
+        recomputed, embeddings and reduced points reused."""
+        self.threshold = threshold
+        for st in ("labels", "themes", "theme_map", "taxonomy", "comparison"):
+            self.store.clear(st)
+        return self.discover_and_label(None)
+
     def themes(self, decisions: DataFrame | None = None) -> DataFrame:
         th, tmap = consolidate(self.store.read("labels"), self.store.read("topic_papers"), decisions)
         self.store.write("theme_map", tmap)

@@ -13,10 +13,10 @@ from ..session import KEYS
 
 # Stage order of the pipeline and the step that produces each
 # stage (used in error messages and the inventory's "most advanced" rank).
-STAGES = ["papers", "sentences", "embeddings", "assignments", "topics", "topic_papers",
+STAGES = ["papers", "sentences", "embeddings", "reduced", "assignments", "topics", "topic_papers",
           "labels", "theme_map", "themes", "taxonomy", "comparison"]
 PRODUCER = {
-    "papers": "load papers", "sentences": "load papers", "embeddings": "discovery",
+    "papers": "load papers", "sentences": "load papers", "embeddings": "discovery", "reduced": "discovery",
     "assignments": "discovery", "topics": "discovery", "topic_papers": "discovery",
     "labels": "discovery and labelling", "theme_map": "consolidate themes", "themes": "consolidate themes",
     "taxonomy": "taxonomy mapping", "comparison": "comparison",
@@ -45,6 +45,13 @@ class StageStore:
             w = w.partitionBy(*cols)
         w.parquet(self.path(stage))
 
+    def clear(self, stage: str) -> None:
+        """Empty a stage: overwrite the whole table (static mode) with no rows."""
+        if self.exists(stage):
+            df = self.spark.read.parquet(self.path(stage))
+            (df.limit(0).write.mode("overwrite").option("partitionOverwriteMode", "static")
+             .parquet(self.path(stage)))
+
     def exists(self, stage: str) -> bool:
         try:
             self.spark.read.parquet(self.path(stage)).schema

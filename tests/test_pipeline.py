@@ -31,6 +31,13 @@ def test_pipeline_end_to_end(spark):
     assert q.status == "OK" and q.topics >= 3
     again = pl.discover_and_label(gen_corpus(spark, 20))              # compute-once
     assert again.count() == labels.count()
+    files_before = set(pl.store.read("labels").inputFiles())
+    emb_before = set(pl.store.read("embeddings").inputFiles())
+    finer = pl.recluster(2.0)                                          # reuses stored vectors
+    assert finer.count() >= 1
+    assert set(pl.store.read("labels").inputFiles()) != files_before          # labels recomputed
+    assert set(pl.store.read("embeddings").inputFiles()) == emb_before         # vectors reused
+    labels = pl.store.read("labels")                                           # the recomputed table
     th = pl.themes()
     assert th.count() == labels.count()
     tax = pl.taxonomy()
