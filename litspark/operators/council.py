@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.formats import (DEFAULT_TOPIC_LABEL, EVIDENCE_LINE, PROPOSAL_BLOCK_HEAD, PROPOSAL_LINE,
+                                 TOPIC_BLOCK_HEAD, fmt)
 from ..functions.text import py_strip
 from ..session import KEYS
 from .embed import TOKEN_SPLIT
@@ -68,9 +70,8 @@ def topic_block(topics: DataFrame) -> DataFrame:
     """``TOPIC id (size=, papers=):`` then one ``  - sentence`` line per
     evidence sentence (at most 3)."""
     lines = F.array_join(F.transform(F.slice("top_sentences", 1, NEAREST_K),
-                                     lambda s: F.concat(F.lit("  - "), s)), "\n")
-    head = F.concat(F.lit("TOPIC "), F.col("cluster_id"), F.lit(" (size="), F.col("size"),
-                    F.lit(", papers="), F.col("paper_count"), F.lit("):"))
+                                     lambda s: fmt(EVIDENCE_LINE, sentence=s)), "\n")
+    head = fmt(TOPIC_BLOCK_HEAD, id=F.col("cluster_id"), size=F.col("size"), papers=F.col("paper_count"))
     return topics.withColumn("block", F.when(F.size(F.slice("top_sentences", 1, NEAREST_K)) > 0,
                                              F.concat(head, F.lit("\n"), lines)).otherwise(head))
 
@@ -166,10 +167,10 @@ def collect_proposals(looked_up: DataFrame, keys=KEYS) -> DataFrame:
 
 def proposal_block(collected: DataFrame) -> DataFrame:
     """``TOPIC id (size=):`` then ``  Model k: label | reasoning`` lines."""
-    lines = F.array_join(F.transform("proposals", lambda p: F.concat(
-        F.lit("  Model "), (p["model_idx"] + 1).cast("string"), F.lit(": "),
-        F.coalesce(p["label"], F.lit("?")), F.lit(" | "), F.coalesce(p["reasoning"], F.lit("")))), "\n")
-    head = F.concat(F.lit("TOPIC "), F.col("cluster_id"), F.lit(" (size="), F.col("size"), F.lit("):"))
+    lines = F.array_join(F.transform("proposals", lambda p: fmt(
+        PROPOSAL_LINE, k=p["model_idx"] + 1, label=F.coalesce(p["label"], F.lit("?")),
+        reasoning=F.coalesce(p["reasoning"], F.lit("")))), "\n")
+    head = fmt(PROPOSAL_BLOCK_HEAD, id=F.col("cluster_id"), size=F.col("size"))
     return collected.withColumn("block", F.concat(head, F.lit("\n"), lines))
 
 
@@ -220,7 +221,7 @@ def merge_council(topics: DataFrame, decisions: DataFrame, collected: DataFrame
     out = j.select(
         *[c for c in topics.columns if c != "label"],
         F.when(found, F.coalesce("_label", "label"))
-         .otherwise(F.concat(F.lit(UNLABELLED_PREFIX), F.col("cluster_id"))).alias("label"),
+         .otherwise(fmt(DEFAULT_TOPIC_LABEL, id=F.col("cluster_id"))).alias("label"),
         F.when(found, F.col("_conf")).otherwise(F.lit(COUNCIL_FALLBACK["confidence"])).alias("confidence"),
         F.when(found, F.col("_reason")).otherwise(F.lit(COUNCIL_FALLBACK["reasoning"])).alias("reasoning"),
         F.when(found, F.col("_win")).otherwise(F.lit(COUNCIL_FALLBACK["winning_model"])).cast("int").alias("winning_model"),

@@ -7,6 +7,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.formats import (AGENDA_LINE, MAPPED_LINE, MAPPED_TAG, NOVEL_LINE, NOVEL_TAG, THEME_LINE,
+                                 fmt)
 from ..functions.text import py_strip
 from ..session import KEYS
 
@@ -23,10 +25,10 @@ def theme_lines(themes: DataFrame, tax: DataFrame, keys=KEYS) -> DataFrame:
     """``- name (n sentences) [NOVEL]`` or ``[PAJAIS: match]``; a theme with no
     taxonomy row reads ``[PAJAIS: NOVEL]``."""
     j = themes.join(_tax_lookup(tax, keys), [*keys, "theme_name"], "left")
-    tag = F.when(F.coalesce("_nov", F.lit(False)), F.lit("[NOVEL]")).otherwise(
-        F.concat(F.lit("[PAJAIS: "), F.coalesce("_match", F.lit("NOVEL")), F.lit("]")))
-    return j.select(*keys, "theme_rank", "theme_name", F.concat(
-        F.lit("- "), F.col("theme_name"), F.lit(" ("), F.col("total_sentences"), F.lit(" sentences) "), tag).alias("line"))
+    tag = F.when(F.coalesce("_nov", F.lit(False)), F.lit(NOVEL_TAG)).otherwise(
+        fmt(MAPPED_TAG, match=F.coalesce("_match", F.lit("NOVEL"))))
+    line = fmt(THEME_LINE, name=F.col("theme_name"), n=F.col("total_sentences"), tag=tag)
+    return j.select(*keys, "theme_rank", "theme_name", line.alias("line"))
 
 
 def novel_list(themes: DataFrame, tax: DataFrame, keys=KEYS) -> DataFrame:
@@ -74,12 +76,10 @@ def rq7_taxonomy_summary(tax: DataFrame, keys=KEYS) -> DataFrame:
 def mapped_novel(tax: DataFrame, keys=KEYS) -> DataFrame:
     """One line per theme, split by is_novel, with per-key totals."""
     nov = F.coalesce("is_novel", F.lit(False))
-    mapped_line = F.concat(
-        F.col("theme_name"), F.lit(" → "), F.coalesce("pajais_match", F.lit("")),
-        F.lit(" (conf="), F.round(F.coalesce("match_confidence", F.lit(0.0)), 2).cast("string"),
-        F.lit(", "), F.col("total_sentences"), F.lit(" sentences, "), F.col("paper_count"), F.lit(" papers)"))
-    novel_line = F.concat(F.col("theme_name"), F.lit(" — NOT in PAJAIS taxonomy ("), F.col("total_sentences"),
-                          F.lit(" sentences, "), F.col("paper_count"), F.lit(" papers)"))
+    mapped_line = fmt(MAPPED_LINE, name=F.col("theme_name"), match=F.coalesce("pajais_match", F.lit("")),
+                      conf=F.round(F.coalesce("match_confidence", F.lit(0.0)), 2),
+                      n=F.col("total_sentences"), papers=F.col("paper_count"))
+    novel_line = fmt(NOVEL_LINE, name=F.col("theme_name"), n=F.col("total_sentences"), papers=F.col("paper_count"))
     allw = Window.partitionBy(*keys)
     return tax.select(
         *keys, "theme_rank", "theme_name", F.when(nov, "NOVEL").otherwise("MAPPED").alias("kind"),
@@ -93,7 +93,7 @@ def agenda(tax: DataFrame, keys=KEYS) -> DataFrame:
     """Novel themes numbered 1.. in theme order: ``n. name``."""
     w = Window.partitionBy(*keys).orderBy("theme_rank")
     n = tax.filter(F.coalesce("is_novel", F.lit(False))).withColumn("item", F.row_number().over(w))
-    return n.select(*keys, "item", "theme_name", F.concat(F.col("item"), F.lit(". "), F.col("theme_name")).alias("line"))
+    return n.select(*keys, "item", "theme_name", fmt(AGENDA_LINE, i=F.col("item"), name=F.col("theme_name")).alias("line"))
 
 
 def paragraphs(df: DataFrame, text_col: str = "text", id_cols=("doc_id",)) -> DataFrame:

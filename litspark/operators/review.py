@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.formats import DEFAULT_TOPIC_LABEL, TAXONOMY_EVIDENCE, fmt
 from ..functions.text import py_strip
 from ..session import KEYS
 
@@ -34,7 +35,7 @@ def review_labels(labels: DataFrame, cap: int = MAX_REVIEW_ROWS, keys=KEYS) -> D
     first evidence sentence, sizes, Approve = yes."""
     return labels.filter(F.col("topic_rank") <= cap).select(
         *keys, F.col("topic_rank").cast("int").alias("row_no"),
-        F.coalesce("label", F.concat(F.lit("Topic "), F.col("cluster_id"))).alias("topic_label"),
+        F.coalesce("label", fmt(DEFAULT_TOPIC_LABEL, id=F.col("cluster_id"))).alias("topic_label"),
         _first("top_sentences").alias("top_evidence"),
         F.col("size").cast("bigint").alias("sentences"),
         F.col("paper_count").cast("bigint").alias("papers"),
@@ -54,8 +55,8 @@ def review_themes(themes: DataFrame, keys=KEYS) -> DataFrame:
 
 
 def _tax_evidence():
-    return F.concat(F.lit("→ "), F.coalesce("pajais_match", F.lit("NOVEL")), F.lit(" | "),
-                    F.coalesce("reasoning", F.lit("")))
+    return fmt(TAXONOMY_EVIDENCE, match=F.coalesce("pajais_match", F.lit("NOVEL")),
+               reasoning=F.coalesce("reasoning", F.lit("")))
 
 
 def review_taxonomy(tax: DataFrame, keys=KEYS, papers_fallback: bool = True) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.formats import THEME_BLOCK, fmt
 from ..functions.vec import cosine
 from ..session import KEYS
 from .council import explode_items, parse_json_array
@@ -63,9 +64,9 @@ def taxonomy_dim(spark) -> DataFrame:
 def theme_block(themes: DataFrame) -> DataFrame:
     """``THEME: name`` then ``Sentences: `` + the first two representative
     sentences joined by ``; ``."""
-    return themes.withColumn("block", F.concat(
-        F.lit("THEME: "), F.col("theme_name"), F.lit("\nSentences: "),
-        F.array_join(F.slice(F.coalesce("representative_sentences", F.array().cast("array<string>")), 1, 2), "; ")))
+    first_two = F.slice(F.coalesce("representative_sentences", F.array().cast("array<string>")), 1, 2)
+    return themes.withColumn("block", fmt(THEME_BLOCK, name=F.col("theme_name"),
+                                          sentences=F.array_join(first_two, "; ")))
 
 
 def classify_theme(themes: DataFrame, embedder, threshold: float = 0.1, keys=KEYS) -> DataFrame:

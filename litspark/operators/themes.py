@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.formats import TOPIC_CODE, fmt
 from ..session import KEYS
 
 # Fixed values from the reference.
@@ -40,7 +41,7 @@ def consolidate(tmap: DataFrame, topics: DataFrame, papers: DataFrame, keys=KEYS
 
     a = m.groupBy(*keys, "theme_name", "theme_pos").agg(
         ordered(F.col("cluster_id")).alias("cluster_ids"),
-        ordered(F.coalesce("label", F.concat(F.lit("T"), F.col("cluster_id"))), found).alias("merged_topic_labels"),
+        ordered(F.coalesce("label", fmt(TOPIC_CODE, id=F.col("cluster_id"))), found).alias("merged_topic_labels"),
         F.coalesce(F.sum(F.when(found, F.col("size"))), F.lit(0)).cast("bigint").alias("total_sentences"),
         F.sum(found.cast("int")).cast("int").alias("sub_topics"),
         F.slice(F.flatten(ordered(F.coalesce("top_sentences", F.array().cast("array<string>")), found)),

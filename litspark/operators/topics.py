@@ -14,6 +14,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.formats import DEFAULT_TOPIC_LABEL, TOPIC_CODE, fmt
 from ..functions.vec import cosine, dim_of, with_cosine
 from ..session import KEYS
 
@@ -110,7 +111,7 @@ def topic_summary(members: DataFrame, vectors: DataFrame, k: int = NEAREST_K,
                       F.col("paper_count").cast("int").alias("paper_count"),
                       "centroid",
                       F.transform("_ev", lambda x: x["sentence"]).alias("top_sentences"),
-                      F.concat(F.lit("Topic "), F.col("cluster_id")).alias("label")))
+                      fmt(DEFAULT_TOPIC_LABEL, id=F.col("cluster_id")).alias("label")))
     return topics, papers
 
 
@@ -131,7 +132,7 @@ def topics_ranked(topics: DataFrame, cap: int = MAX_TOPICS, keys=KEYS) -> DataFr
 
 def chart_sizes(ranked: DataFrame, top: int = CHART_TOP, keys=KEYS) -> DataFrame:
     return ranked.filter(F.col("topic_rank") <= top).select(
-        *keys, "topic_rank", F.concat(F.lit("T"), F.col("cluster_id")).alias("topic"), "size")
+        *keys, "topic_rank", fmt(TOPIC_CODE, id=F.col("cluster_id")).alias("topic"), "size")
 
 
 def chart_similarity(ranked: DataFrame, top: int = HEATMAP_TOP, keys=KEYS) -> DataFrame:
@@ -153,6 +154,6 @@ def chart_map(ranked: DataFrame, top: int = CHART_TOP, keys=KEYS) -> DataFrame:
     n = F.count(F.lit(1)).over(Window.partitionBy(*keys))
     ang = 2 * F.pi() * (F.col("topic_rank") - 1) / F.col("_n")
     return (t.withColumn("_n", n)
-            .select(*keys, "topic_rank", F.concat(F.lit("T"), F.col("cluster_id")).alias("topic"),
+            .select(*keys, "topic_rank", fmt(TOPIC_CODE, id=F.col("cluster_id")).alias("topic"),
                     F.cos(ang).alias("x"), F.sin(ang).alias("y"),
                     F.greatest(F.lit(8), F.least(F.lit(40), F.floor(F.col("size") / 5))).cast("int").alias("marker")))

@@ -25,6 +25,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.formats import DEFAULT_TOPIC_LABEL, fmt
 from ..operators import council, review, taxonomy, themes, topics
 from ..session import KEYS, scratch_path, table_path
 
@@ -91,7 +92,7 @@ def emb_topics(spark, sf_dir):
                 .select(*KEYS, F.col("cluster_id").cast("int").alias("cluster_id"),
                         F.col("size").cast("int").alias("size"), F.col("paper_count").cast("int").alias("paper_count"),
                         "centroid", F.transform("_ev", lambda x: x["sentence"]).alias("top_sentences"),
-                        F.concat(F.lit("Topic "), F.col("cluster_id")).alias("label")))
+                        fmt(DEFAULT_TOPIC_LABEL, id=F.col("cluster_id")).alias("label")))
 
     t = _stage(spark, sf_dir, "topics", build_topics)
     ranked = _stage(spark, sf_dir, "ranked", lambda: topics.topics_ranked(t))
