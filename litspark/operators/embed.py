@@ -14,7 +14,6 @@ import math
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.ml import Pipeline
 from pyspark.ml.feature import IDF, PCA, HashingTF, Normalizer, RegexTokenizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
@@ -35,16 +34,21 @@ TOKEN_SPLIT = r"[^\p{L}\p{N}]+"
 
 def hashed_tfidf(df: DataFrame, col: str = "sentence", dim: int = EMBED_DIM,
                  out: str = "embedding") -> DataFrame:
-    """Default embedder: tokens -> hashed term counts -> IDF (fitted once over
-    the input, a distributed aggregate) -> L2 norm -> ARRAY<FLOAT>."""
+    """Default embedder: tokens -> hashed term counts -> IDF -> L2 norm ->
+    ARRAY<FLOAT>. The (sparse, compact) term counts are written once to the
+    shared scratch folder, so fitting the IDF (one distributed aggregate) and
+    transforming do not run the upstream text pipeline twice."""
+    spark = df.sparkSession
     tok = RegexTokenizer(inputCol=col, outputCol="_tok", pattern=TOKEN_SPLIT, toLowercase=True)
     tf = HashingTF(inputCol="_tok", outputCol="_tf", numFeatures=dim)
-    idf = IDF(inputCol="_tf", outputCol="_idf")
+    path = scratch_path(spark, "tf")
+    tf.transform(tok.transform(df)).drop("_tok").write.mode("overwrite").parquet(path)
+    counts = spark.read.parquet(path)
+    idf = IDF(inputCol="_tf", outputCol="_idf").fit(counts)
     nrm = Normalizer(inputCol="_idf", outputCol="_v", p=2.0)
-    model = Pipeline(stages=[tok, tf, idf, nrm]).fit(df)
-    return (model.transform(df)
+    return (nrm.transform(idf.transform(counts))
             .withColumn(out, vector_to_array("_v", "float32"))
-            .drop("_tok", "_tf", "_idf", "_v"))
+            .drop("_tf", "_idf", "_v"))
 
 
 def hashed_tf(df: DataFrame, col: str, dim: int = EMBED_DIM, out: str = "embedding") -> DataFrame:
