@@ -94,7 +94,10 @@ def sequence(df: DataFrame, order_cols, name: str = "seq", group_col: str | None
     offset. ``monotonically_increasing_id`` = partition << 33 | row."""
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
-    m = df.orderBy(*order_cols).checkpoint(eager=True)
+    # Persist while checkpointing so the sort runs once, then drop the cache.
+    sorted_ = df.orderBy(*order_cols).persist()
+    m = sorted_.checkpoint(eager=True)
+    sorted_.unpersist()
     m = m.withColumn("_mid", F.monotonically_increasing_id())
     m = m.withColumn("_p", F.shiftright("_mid", 33)).withColumn(
         "_i", F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1)))
