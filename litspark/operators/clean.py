@@ -149,8 +149,10 @@ AUDIT_STEPS = [
 
 
 def clean_audit(raw: DataFrame, current_year: int) -> DataFrame:
-    """(corpus_id, step, name, rows) with cumulative pass flags per row and one
-    aggregate; the dedupe step is a distinct count over the survivors."""
+    """(corpus_id, step, name, rows, min_value, max_value) with cumulative
+    pass flags per row and one aggregate; the dedupe step is a distinct count
+    over the survivors. The value range is the year range after the year step
+    and the citation range after the citation step (NULL elsewhere)."""
     df = clean_select(raw)
     y = F.expr("try_cast(year AS DOUBLE)")
     c = F.expr("try_cast(cited_by AS DOUBLE)")
@@ -175,9 +177,17 @@ def clean_audit(raw: DataFrame, current_year: int) -> DataFrame:
         F.sum(p9.cast("int")).alias("n9"),
         F.sum(p9.cast("int")).alias("n10"),
         F.count_distinct(F.when(p9, row)).alias("n11"),
+        F.min(F.when(p3, y.cast("int"))).alias("lo3"), F.max(F.when(p3, y.cast("int"))).alias("hi3"),
+        F.min(F.when(p4, c.cast("int"))).alias("lo4"), F.max(F.when(p4, c.cast("int"))).alias("hi4"),
     ).withColumn("n12", F.col("n11"))
+    no = F.lit(None).cast("bigint")
+
+    def rng(i: int, side: str):
+        return F.col(f"{side}{i}").cast("bigint") if i in (3, 4) else no
+
     steps = F.array(*[
-        F.struct(F.lit(i).alias("step"), F.lit(n).alias("name"), F.col(f"n{i}").cast("bigint").alias("rows"))
+        F.struct(F.lit(i).alias("step"), F.lit(n).alias("name"), F.col(f"n{i}").cast("bigint").alias("rows"),
+                 rng(i, "lo").alias("min_value"), rng(i, "hi").alias("max_value"))
         for i, n in AUDIT_STEPS
     ])
     return agg.select("corpus_id", F.inline(steps))

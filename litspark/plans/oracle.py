@@ -382,9 +382,16 @@ def _cnt(p: str) -> str:
 Q["clean_audit"] = f"""
 SELECT a.corpus_id, s.step, s.name, CASE s.step WHEN 1 THEN a.n1 WHEN 2 THEN a.n1 WHEN 3 THEN a.n3 WHEN 4 THEN a.n4
        WHEN 5 THEN a.n5 WHEN 6 THEN a.n6 WHEN 7 THEN a.n6 WHEN 8 THEN a.n6 WHEN 9 THEN a.n9 WHEN 10 THEN a.n9
-       ELSE coalesce(d.n11, 0) END AS rows
+       ELSE coalesce(d.n11, 0) END AS rows,
+       CAST(CASE s.step WHEN 3 THEN a.lo3 WHEN 4 THEN a.lo4 END AS BIGINT) AS min_value,
+       CAST(CASE s.step WHEN 3 THEN a.hi3 WHEN 4 THEN a.hi4 END AS BIGINT) AS max_value
 FROM (SELECT corpus_id, count(*) AS n1, {_cnt(_P3)} AS n3, {_cnt(_P4)} AS n4, {_cnt(_P5)} AS n5, {_cnt(_P6)} AS n6,
-             {_cnt(_P9)} AS n9 FROM raw_all GROUP BY corpus_id) a
+             {_cnt(_P9)} AS n9,
+             min(CASE WHEN {_P3} THEN CAST(trunc(TRY_CAST(year AS DOUBLE)) AS INTEGER) END) AS lo3,
+             max(CASE WHEN {_P3} THEN CAST(trunc(TRY_CAST(year AS DOUBLE)) AS INTEGER) END) AS hi3,
+             min(CASE WHEN {_P4} THEN CAST(trunc(TRY_CAST(cited_by AS DOUBLE)) AS INTEGER) END) AS lo4,
+             max(CASE WHEN {_P4} THEN CAST(trunc(TRY_CAST(cited_by AS DOUBLE)) AS INTEGER) END) AS hi4
+      FROM raw_all GROUP BY corpus_id) a
 LEFT JOIN (SELECT corpus_id, count(*) AS n11 FROM c_dedupe GROUP BY corpus_id) d USING (corpus_id)
 CROSS JOIN (VALUES (1, 'loaded'), (2, 'selected'), (3, 'year'), (4, 'cited_by'), (5, 'authors'), (6, 'title'),
             (7, 'abstract'), (8, 'author_keywords'), (9, 'source_title'), (10, 'key_fields'), (11, 'dedupe'),

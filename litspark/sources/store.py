@@ -74,6 +74,10 @@ class StageStore:
         self.write(stage, build())
         return self.read(stage)
 
+    def export_json(self, stage: str, path: str) -> None:
+        """Write a stage as JSON lines (arrays and structs kept nested)."""
+        self.read(stage).write.mode("overwrite").json(path)
+
     def counts(self) -> DataFrame:
         """(stage, corpus_id, run_key, entries) for every stored stage."""
         out = None

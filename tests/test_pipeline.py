@@ -88,3 +88,13 @@ def test_package_outputs(spark):
     missing = package_outputs(st, target, {"themes_abstract": "themes", "taxonomy_abstract": "taxonomy"})
     assert len(missing) == 1 and "taxonomy" in missing[0]
     assert spark.read.parquet(f"{target}/themes_abstract").count() == 1
+
+
+def test_stage_json_export(spark):
+    st = StageStore(spark, scratch_path(spark, "json"))
+    st.write("themes", spark.createDataFrame([("c", "abstract", "T", [1, 2])],
+                                             "corpus_id string, run_key string, theme_name string, cluster_ids array<int>"))
+    out = scratch_path(spark, "json-out")
+    st.export_json("themes", out)
+    back = spark.read.json(out).first()
+    assert back.theme_name == "T" and list(back.cluster_ids) == [1, 2]
