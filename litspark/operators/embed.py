@@ -175,6 +175,10 @@ def knn_graph(points: DataFrame, k: int = KNN_K, keys=KEYS, vec_col: str = "vec"
 
     done: list[DataFrame] = []
     todo, ring = pts, 1
+    if (3 ** g) * 8 >= span:
+        # The grid cannot prune here (ring 1 already covers >= 1/8 of the
+        # cells the data spans): search each key directly, no ring passes.
+        return _finish(whole(pts), keys, metric)
     while True:
         res = materialise(search(todo, ring), "knn")
         kth = res.groupBy(*keys, "src").agg(F.count(F.lit(1)).alias("_n"), F.max("distance").alias("_r"))
@@ -196,6 +200,10 @@ def knn_graph(points: DataFrame, k: int = KNN_K, keys=KEYS, vec_col: str = "vec"
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
+    return _finish(out, keys, metric)
+
+
+def _finish(out: DataFrame, keys, metric: str) -> DataFrame:
     out = out.select(*keys, "src", "dst", "distance", F.col("rank").cast("int").alias("rank"))
     if metric == "cosine":
         out = out.withColumn("similarity", 1.0 - F.col("distance") * F.col("distance") / 2.0)

@@ -102,3 +102,21 @@ def test_reduce_dims_shape_and_variance_order(spark):
     var = [r[f"c{i}"].var() for i in range(4)]
     assert var == sorted(var, reverse=True)
     assert len(r) == 200
+
+
+def test_knn_graph_ring_passes_exact(spark):
+    # Spread points: the grid prunes, so the ring passes (and their widening)
+    # are used instead of the whole-key search.
+    rng = np.random.default_rng(11)
+    X = np.c_[rng.uniform(0, 100, size=(400, 2)), rng.normal(0, 1, size=400)]
+    X[:5] += 500                                   # a far-away group: needs a wide ring
+    data = {"a": X}
+    pts = points_frame(spark, data).select("corpus_id", "run_key", "sentence_id",
+                                           F.array("c0", "c1", "c2").alias("vec"))
+    got = embed.knn_graph(pts, k=5, metric="euclidean").toPandas()
+    D = np.sqrt(((X[:, None, :] - X[None, :, :]) ** 2).sum(-1))
+    np.fill_diagonal(D, np.inf)
+    for i in range(len(X)):
+        exp = np.lexsort((np.arange(len(X)), D[i]))[:5].tolist()
+        g = got[got.src == i].sort_values("rank")
+        assert g.dst.tolist() == exp, i
