@@ -56,10 +56,11 @@ def partitions(pdf, corpus):
 def test_ward_local_and_rounds_equal_brute_force(spark):
     data = {"a": blobs(1, 60, 4, dup=5), "b": blobs(2, 45, 4)}
     pts = points_frame(spark, data)
-    for limit in (5000, 0):           # bounded per-key finish / distributed rounds only
-        got = cluster.ward(pts, 4, 2.5, local_limit=limit).toPandas()
+    # bounded per-key finish; distributed ring rounds; one coarse pass per round
+    for limit, split in ((5000, 4), (0, 4), (0, 1)):
+        got = cluster.ward(pts, 4, 2.5, local_limit=limit, ring_split=split).toPandas()
         for c, X in data.items():
-            assert partitions(got, c) == greedy_ward(X, 2.5), (limit, c)
+            assert partitions(got, c) == greedy_ward(X, 2.5), (limit, split, c)
 
 
 def test_ward_ids_by_size(spark):
