@@ -1,8 +1,10 @@
 """Incremental ingestion with Structured Streaming: new document files in a
 folder are turned into sentence rows by the same operators as the batch path
-(run text -> boilerplate strip -> split -> length filter) and appended to the
-sentence stage, partitioned by (corpus_id, run_key). Exactly-once through the
-stream checkpoint; no state is kept across batches."""
+(run text -> boilerplate strip -> split -> length filter) and written to the
+sentence stage, partitioned by (epoch, corpus_id, run_key). A re-run batch
+(after a failure) overwrites only its own epoch partitions, so with the
+stream checkpoint the effect is exactly-once; no state is kept across
+batches."""
 
 from __future__ import annotations
 
@@ -39,9 +41,12 @@ def sentence_stream(spark: SparkSession, folder: str, run_keys=("abstract", "tit
 
 def start_ingest(spark: SparkSession, folder: str, sentence_stage: str, checkpoint: str,
                  run_keys=("abstract", "title"), available_now: bool = True):
-    """Start the stream; each micro-batch is appended to the stage table."""
+    """Start the stream; each micro-batch replaces its own epoch partition of
+    the stage table (idempotent when a batch is replayed)."""
     def write_batch(batch: DataFrame, epoch_id: int) -> None:
-        batch.write.mode("append").partitionBy("corpus_id", "run_key").parquet(sentence_stage)
+        (batch.withColumn("epoch", F.lit(epoch_id)).write.mode("overwrite")
+         .option("partitionOverwriteMode", "dynamic")
+         .partitionBy("epoch", "corpus_id", "run_key").parquet(sentence_stage))
 
     q = (sentence_stream(spark, folder, run_keys).writeStream
          .foreachBatch(write_batch).option("checkpointLocation", checkpoint))
