@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.vec import MAX_EXPANDED_DIM, sq_dist_sql
-from ..session import KEYS, scratch_path
+from ..session import KEYS, scratch_path, ship_package
 
 # Fixed values from the reference: embedding width and reduced width.
 EMBED_DIM = 768
@@ -75,6 +75,7 @@ def model_embedder(load: Callable[[], Callable[[list[str]], "list[list[float]]"]
             yield pd.Series([list(map(float, v)) for v in enc(s.fillna("").tolist())])
 
     def embed(df: DataFrame, col: str = "sentence") -> DataFrame:
+        ship_package(df.sparkSession)
         return df.withColumn(out, _encode(F.col(col)))
 
     return embed

@@ -121,3 +121,16 @@ def test_knn_graph_ring_passes_exact(spark):
         exp = np.lexsort((np.arange(len(X)), D[i]))[:5].tolist()
         g = got[got.src == i].sort_values("rank")
         assert g.dst.tolist() == exp, i
+
+
+def test_model_embedder_plug_point(spark):
+    def toy_model():
+        # Stand-in for a user model: loaded once per worker, encodes a batch.
+        def encode(texts):
+            return [[float(len(t)), float(t.count(" ")), 1.0] for t in texts]
+        return encode
+
+    emb = embed.model_embedder(toy_model, dim=3)
+    df = spark.createDataFrame([(1, "a b c"), (2, "hello"), (3, None)], "sentence_id long, sentence string")
+    got = {r.sentence_id: list(r.embedding) for r in embed.embed(df, "sentence", emb).collect()}
+    assert got[1] == [5.0, 2.0, 1.0] and got[2] == [5.0, 0.0, 1.0] and got[3] == [0.0, 0.0, 1.0]
