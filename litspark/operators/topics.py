@@ -56,27 +56,34 @@ def cluster_stats(assign: DataFrame, keys=KEYS) -> DataFrame:
     )
 
 
-def centroids(members: DataFrame, vectors: DataFrame, keys=KEYS,
+def _with_vectors(members: DataFrame, vectors: DataFrame | None, vec_col: str) -> DataFrame:
+    """Members with their vectors: joined by sentence_id unless the members
+    already carry the vector column (then no join at all)."""
+    if vectors is None or vec_col in members.columns:
+        return members
+    return members.join(vectors, "sentence_id")
+
+
+def centroids(members: DataFrame, vectors: DataFrame | None, keys=KEYS,
               vec_col: str = "embedding") -> DataFrame:
     """Mean of the original (not reduced) vectors per valid cluster, not
     re-normalised: (keys, cluster_id, centroid ARRAY<DOUBLE>). Summarizer keeps
     one vector-sized buffer per cluster and combines partially before the
     shuffle; nothing is exploded per dimension."""
-    j = members.filter(F.col("cluster_id") != NOISE).join(vectors, "sentence_id")
+    j = _with_vectors(members.filter(F.col("cluster_id") != NOISE), vectors, vec_col)
     return (j.groupBy(*keys, "cluster_id")
             .agg(Summarizer.mean(array_to_vector(F.col(vec_col))).alias("_c"))
             .select(*keys, "cluster_id", vector_to_array("_c").alias("centroid")))
 
 
-def top_evidence(members: DataFrame, vectors: DataFrame, cents: DataFrame,
+def top_evidence(members: DataFrame, vectors: DataFrame | None, cents: DataFrame,
                  k: int = NEAREST_K, keys=KEYS, vec_col: str = "embedding") -> DataFrame:
     """The k sentences closest (cosine) to their cluster centroid: (keys,
     cluster_id, rank, sentence_id, sentence, similarity). Ties broken by
     sentence_id. The centroid side has one row per cluster."""
-    j = (members.filter(F.col("cluster_id") != NOISE)
-         .join(vectors, "sentence_id")
+    j = (_with_vectors(members.filter(F.col("cluster_id") != NOISE), vectors, vec_col)
          .join(cents, [*keys, "cluster_id"]))
-    d = dim_of(vectors, vec_col)
+    d = dim_of(j, vec_col)
     j = with_cosine(j, vec_col, "centroid", "similarity", d).select(
         *keys, "cluster_id", "sentence_id", "sentence", "similarity")
     w = Window.partitionBy(*keys, "cluster_id").orderBy(F.col("similarity").desc(), "sentence_id")
@@ -98,21 +105,27 @@ def topic_summary(members: DataFrame, vectors: DataFrame, k: int = NEAREST_K,
     valid = members.filter(F.col("cluster_id") != NOISE)
     cents = centroids(valid, vectors, keys, vec_col)
     ev = top_evidence(valid, vectors, cents, k, keys, vec_col)
+    papers = topic_papers(valid, keys)
+    return assemble_topics(valid, cents, ev, papers, keys), papers
+
+
+def assemble_topics(valid: DataFrame, cents: DataFrame, ev: DataFrame, papers: DataFrame,
+                    keys=KEYS) -> DataFrame:
+    """Topic records from the parts: size, distinct papers, centroid, the
+    evidence sentences in rank order and the default label."""
     ev_arr = ev.groupBy(*keys, "cluster_id").agg(
         F.array_sort(F.collect_list(F.struct("rank", "sentence"))).alias("_ev"))
-    papers = topic_papers(valid, keys)
     pc = papers.groupBy(*keys, "cluster_id").agg(F.count(F.lit(1)).alias("paper_count"))
     sizes = cluster_sizes(valid, keys)
-    topics = (sizes.join(pc, [*keys, "cluster_id"])
-              .join(cents, [*keys, "cluster_id"])
-              .join(ev_arr, [*keys, "cluster_id"])
-              .select(*keys, F.col("cluster_id").cast("int").alias("cluster_id"),
-                      F.col("size").cast("int").alias("size"),
-                      F.col("paper_count").cast("int").alias("paper_count"),
-                      "centroid",
-                      F.transform("_ev", lambda x: x["sentence"]).alias("top_sentences"),
-                      fmt(DEFAULT_TOPIC_LABEL, id=F.col("cluster_id")).alias("label")))
-    return topics, papers
+    return (sizes.join(pc, [*keys, "cluster_id"])
+            .join(cents, [*keys, "cluster_id"])
+            .join(ev_arr, [*keys, "cluster_id"])
+            .select(*keys, F.col("cluster_id").cast("int").alias("cluster_id"),
+                    F.col("size").cast("int").alias("size"),
+                    F.col("paper_count").cast("int").alias("paper_count"),
+                    "centroid",
+                    F.transform("_ev", lambda x: x["sentence"]).alias("top_sentences"),
+                    fmt(DEFAULT_TOPIC_LABEL, id=F.col("cluster_id")).alias("label")))
 
 
 def with_paper_indices(topics: DataFrame, papers: DataFrame, keys=KEYS) -> DataFrame:

@@ -25,7 +25,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.formats import DEFAULT_TOPIC_LABEL, fmt
 from ..operators import council, review, taxonomy, themes, topics
 from ..session import KEYS, scratch_path, table_path
 
@@ -82,19 +81,7 @@ def emb_topics(spark, sf_dir):
     ev = _stage(spark, sf_dir, "evidence", lambda: topics.top_evidence(valid, v, cents))
     p = _stage(spark, sf_dir, "topic_papers", lambda: topics.topic_papers(valid))
 
-    def build_topics():
-        ev_arr = ev.groupBy(*KEYS, "cluster_id").agg(
-            F.array_sort(F.collect_list(F.struct("rank", "sentence"))).alias("_ev"))
-        pc = p.groupBy(*KEYS, "cluster_id").agg(F.count(F.lit(1)).alias("paper_count"))
-        sizes = topics.cluster_sizes(valid)
-        return (sizes.join(pc, [*KEYS, "cluster_id"]).join(cents, [*KEYS, "cluster_id"])
-                .join(ev_arr, [*KEYS, "cluster_id"])
-                .select(*KEYS, F.col("cluster_id").cast("int").alias("cluster_id"),
-                        F.col("size").cast("int").alias("size"), F.col("paper_count").cast("int").alias("paper_count"),
-                        "centroid", F.transform("_ev", lambda x: x["sentence"]).alias("top_sentences"),
-                        fmt(DEFAULT_TOPIC_LABEL, id=F.col("cluster_id")).alias("label")))
-
-    t = _stage(spark, sf_dir, "topics", build_topics)
+    t = _stage(spark, sf_dir, "topics", lambda: topics.assemble_topics(valid, cents, ev, p))
     ranked = _stage(spark, sf_dir, "ranked", lambda: topics.topics_ranked(t))
     return m, v, t, p, ev, ranked
 

@@ -45,13 +45,16 @@ def discover(sent: DataFrame, threshold: float = DEFAULT_THRESHOLD, embedder=Non
     ``precomputed`` = (vectors, reduced points) reuses stored stages."""
     vec, pts = precomputed if precomputed is not None else vectors_and_reduced(sent, embedder, k)
     assign = cluster.ward(pts, k, threshold, micro_cell=micro_cell)
-    members = vec.select(*KEYS, "sentence_id", "paper_id", "sentence").join(assign, [*KEYS, "sentence_id"])
-    members = topics.drop_small(members, min_size).checkpoint()
-    vectors = vec.select("sentence_id", "embedding")
-    t, p = topics.topic_summary(members, vectors)
-    t = t.checkpoint()
-    valid = members.filter(F.col("cluster_id") != topics.NOISE)
-    ev = topics.top_evidence(valid, vectors, t.select(*KEYS, "cluster_id", "centroid"))
+    # Vectors are joined to their clusters once and materialised; centroids
+    # and evidence read them without another shuffle of the wide vectors.
+    with_vec = vec.join(assign, [*KEYS, "sentence_id"])
+    with_vec = topics.drop_small(with_vec, min_size).checkpoint()
+    members = with_vec.drop("embedding")
+    valid = with_vec.filter(F.col("cluster_id") != topics.NOISE)
+    cents = topics.centroids(valid, None).checkpoint()
+    ev = topics.top_evidence(valid, None, cents).checkpoint()
+    p = topics.topic_papers(members)
+    t = topics.assemble_topics(members.filter(F.col("cluster_id") != topics.NOISE), cents, ev, p).checkpoint()
     ranked = topics.topics_ranked(t).checkpoint()
     return vec, members, t, p, ev, ranked
 
