@@ -6,6 +6,8 @@ step to run first."""
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -53,6 +55,12 @@ class StageStore:
              .parquet(self.path(stage)))
 
     def exists(self, stage: str) -> bool:
+        p = self.path(stage)
+        if p.startswith("/") or p.startswith("file:"):
+            # Local folder: check it first instead of provoking a failed read.
+            local = p[len("file:"):] if p.startswith("file:") else p
+            if not os.path.isdir(local):
+                return False
         try:
             self.spark.read.parquet(self.path(stage)).schema
             return True
