@@ -39,14 +39,20 @@ def sentence_stream(spark: SparkSession, folder: str, run_keys=("abstract", "tit
     return text.sentence_table(text.run_texts(document_papers(docs), run_keys))
 
 
+def write_epoch(batch: DataFrame, epoch_id: int, sentence_stage: str) -> None:
+    """Replace the epoch's own partitions of the stage table (a replayed batch
+    overwrites instead of duplicating)."""
+    (batch.withColumn("epoch", F.lit(epoch_id)).write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic")
+     .partitionBy("epoch", "corpus_id", "run_key").parquet(sentence_stage))
+
+
 def start_ingest(spark: SparkSession, folder: str, sentence_stage: str, checkpoint: str,
                  run_keys=("abstract", "title"), available_now: bool = True):
     """Start the stream; each micro-batch replaces its own epoch partition of
     the stage table (idempotent when a batch is replayed)."""
     def write_batch(batch: DataFrame, epoch_id: int) -> None:
-        (batch.withColumn("epoch", F.lit(epoch_id)).write.mode("overwrite")
-         .option("partitionOverwriteMode", "dynamic")
-         .partitionBy("epoch", "corpus_id", "run_key").parquet(sentence_stage))
+        write_epoch(batch, epoch_id, sentence_stage)
 
     q = (sentence_stream(spark, folder, run_keys).writeStream
          .foreachBatch(write_batch).option("checkpointLocation", checkpoint))

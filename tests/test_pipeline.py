@@ -98,3 +98,15 @@ def test_stage_json_export(spark):
     st.export_json("themes", out)
     back = spark.read.json(out).first()
     assert back.theme_name == "T" and list(back.cluster_ids) == [1, 2]
+
+
+def test_replayed_epoch_is_idempotent(spark, tmp_dir):
+    from litspark.streaming.ingest import write_epoch
+    rows = spark.createDataFrame([("c", "abstract", 1, "s1"), ("c", "title", 2, "s2")],
+                                 "corpus_id string, run_key string, sentence_id long, sentence string")
+    stage = f"{tmp_dir}/stage"
+    write_epoch(rows, 0, stage)
+    write_epoch(rows.limit(1), 1, stage)
+    write_epoch(rows, 0, stage)                        # replay of epoch 0
+    got = spark.read.parquet(stage)
+    assert got.count() == 3 and got.filter("epoch = 0").count() == 2
