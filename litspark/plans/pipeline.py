@@ -22,7 +22,7 @@ from ..sources.store import StageStore
 
 # The Ward cut of the reference (1.5) is for its 10-d UMAP space. In the
 # hashed TF-IDF + PCA space it is a parameter to tune per corpus; this default
-# separates topics of template-like abstracts (see tests/test_pipeline.py).
+# separates topics of template-like abstracts (see tests/test_end_to_end.py).
 DEFAULT_THRESHOLD = cluster.DISTANCE_THRESHOLD
 
 
