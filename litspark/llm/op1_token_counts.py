@@ -7,9 +7,8 @@ side by side gives exactly these two). So one pass over a word yields
 
     count[i] = count[i - len(last[i])] + 1
 
-for every prefix i. A text is cut into units (a run of white space plus the
-characters up to the next white space) whose encodings do not influence each
-other; the counts of equal units are computed once per worker and kept in a bounded memo.
+for every prefix i. A text is cut into units whose encodings do not influence each
+other (``units``); the counts of equal units are computed once per worker and kept in a bounded memo.
 The index of a text is one signed 16-bit number per code point, the change of
 the exact count from one prefix to the next. Counts are not monotone (one more
 letter can turn three tokens into one), which the index reproduces.
@@ -27,22 +26,22 @@ import json
 import re
 from array import array
 from collections.abc import Iterator
+from itertools import accumulate
 from operator import sub
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import nonnull_text, session, table
+from .units import cut, gathered, unit_blocks
 
-#: Unicode white space as the tokenizer's pattern has it (Python's adds U+001C-U+001F).
-_WS = r"[^\S\x1c-\x1f]"
-UNIT = re.compile(rf"{_WS}*[\S\x1c-\x1f]+|{_WS}+")
 #: Fixed value: the published split pattern of this byte-level vocabulary.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-MEMO_UNITS = 400_000
+MEMO_UNITS = 600_000
 MEMO_PAIRS = 1_000_000
 MEMO_PREFIXES = 600_000
 #: Longest prefix in bytes whose state is shared between words.
@@ -83,10 +82,14 @@ class PrefixCounter:
             self.made[x + y] = (x, y)
         self.suffixes = {t[i:] for t in self.order for i in range(len(t))}
         self.split = regex.compile(SPLIT)
+        # Where a cut text may be split unlike the whole: contractions, runs of white space, special strings.
+        self.delicate = re.compile("|".join([r"'|\s\s", *map(re.escape, self.special)]))
+        self.runs = regex.compile(r"\s{2,}(?=\S)")
         self.specials = re.compile("|".join(map(re.escape, self.special))) if self.special else None
         self.pairs: dict[tuple[bytes, bytes], bool] = {}
         self.prefixes: dict[bytes, tuple[int, bytes]] = {}
-        self.units: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+        self.units: dict[bytes, bytes] = {}
 
     def _compatible(self, a: bytes, b: bytes) -> bool:
         """Whether merging a + b leaves exactly these two tokens: take back the
@@ -142,32 +145,40 @@ class PrefixCounter:
         """Tokens of ``text`` without special strings."""
         return sum(self.piece(p.encode())[-1] for p in self.split.findall(text))
 
+    def _points(self, p: str) -> list[int]:
+        """Counts at each code point of one pretoken."""
+        c = self.piece(p.encode())
+        if len(c) == len(p) + 1:
+            return c[1:]
+        return [c[e] for e in accumulate(len(ch.encode()) for ch in p)]
+
     def _plain(self, text: str) -> list[int]:
-        """Counts at each code point of a unit without special strings."""
+        """Counts at each code point of a text without special strings."""
         out, before = [], 0
         for p in self.split.findall(text):
-            word = p.encode()
-            c = self.piece(word)
-            if len(word) == len(p):
-                here = c[1:]
-            else:
-                ends, at = [], 0
-                for ch in p:
-                    at += len(ch.encode())
-                    ends.append(c[at])
-                here = ends
+            here = self._points(p)
+            total = here[-1]
             if len(p) == 3 and p[0] == "'" and p[1].isalpha():  # a cut contraction is a quote and a letter
                 here[1] = self.total("'") + self.total(p[1])
             out.extend(before + x for x in here)
-            before += c[-1]
-        run = len(text) - len(text.lstrip())
-        run = next((i for i, ch in enumerate(text[:run]) if "\x1c" <= ch <= "\x1f"), run)
-        if 2 <= run < len(text):  # a text that ends in white space keeps the run whole
-            out[run - 1] = self.piece(text[:run].encode())[-1]
+            before += total
+        for m in self.runs.finditer(text):  # a text that ends in white space keeps its run whole
+            start = out[m.start() - 1] if m.start() else 0
+            out[m.end() - 1] = start + self.piece(m[0].encode())[-1]
         return out
 
+    def _simple(self, p: str) -> bytes:
+        if len(self.pieces) > MEMO_UNITS:
+            self.pieces.clear()
+        c = self._points(p)
+        deltas = self.pieces[p] = array("h", map(sub, c, [0, *c[:-1]])).tobytes()
+        return deltas
+
     def unit(self, text: str) -> bytes:
         """The index of one unit: a signed 16-bit change per code point."""
+        if not self.delicate.search(text):
+            get = self.pieces.get
+            return b"".join([get(p) or self._simple(p) for p in self.split.findall(text)])
         if self.specials is None or not (found := list(self.specials.finditer(text))):
             counts = self._plain(text)
         else:
@@ -181,15 +192,25 @@ class PrefixCounter:
                 before += self.total(part) + 1
                 counts.extend([*inside, before])
                 at = m.end()
-        if len(self.units) > MEMO_UNITS:
-            self.units.clear()
-        deltas = self.units[text] = array("h", map(sub, counts, [0, *counts[:-1]])).tobytes()
-        return deltas
+        return array("h", map(sub, counts, [0, *counts[:-1]])).tobytes()
 
     def index(self, text: str) -> bytes:
         """The index of a text: concatenation of its units' indexes."""
-        get, unit = self.units.get, self.unit
-        return b"".join([get(u) or unit(u) for u in UNIT.findall(text)])
+        return next(self.indexes(pa.array([text]))).tobytes()
+
+    def indexes(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """The index of each text, in order."""
+        for _, _, codes, units, bounds in unit_blocks(texts):
+            if len(self.units) > MEMO_UNITS:
+                self.units.clear()
+            get = self.units.get
+            for u in units:
+                if get(u) is None:
+                    self.units[u] = self.unit(u.decode())
+            deltas, end = gathered(codes, [get(u) for u in units], "<i2")
+            first = cut(end, bounds).tolist()
+            for i, j in zip(first, first[1:]):
+                yield deltas[i:j]
 
 
 def counts_of(index: bytes) -> np.ndarray:
@@ -239,10 +260,10 @@ def longest_prefix(df: DataFrame, budget: int, index: str = "prefix_index", out:
     session(df)
 
     @F.pandas_udf(T.LongType())
-    def cut(indexes):
+    def longest(indexes):
         return indexes.map(lambda x: 0 if x is None else _cut(counts_of(x), budget))
 
-    return df.withColumn(out, cut(F.col(index)))
+    return df.withColumn(out, longest(F.col(index)))
 
 
 def _cut(counts: np.ndarray, budget: int) -> int:
@@ -263,16 +284,14 @@ def token_counts(documents: DataFrame, limit: int = LIMIT, tokenizer: str | None
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = _counter(path)
         for b in batches:
-            size, total, cut = [], [], []
-            for x in b.column(1):
-                text = x.as_py() or ""
-                counts = counts_of(counter.index(text))
-                size.append(len(text.encode()))
+            total, cuts = [], []
+            for index in counter.indexes(b.column(1)):
+                counts = np.cumsum(index, dtype=np.int32)
                 total.append(int(counts[-1]) if len(counts) else 0)
-                cut.append(len(counts) if not len(counts) or counts.max() <= limit else _cut(counts, limit))
+                cuts.append(len(counts) if not len(counts) or counts.max() <= limit else _cut(counts, limit))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(size, pa.int64()), pa.array(total, pa.int64()),
-                 pa.array([t > limit for t in total], pa.bool_()), pa.array(cut, pa.int64())],
+                [b.column(0), pc.binary_length(b.column(1)).cast(pa.int64()), pa.array(total, pa.int64()),
+                 pa.array([t > limit for t in total], pa.bool_()), pa.array(cuts, pa.int64())],
                 ["doc_id", "n_bytes", "n_tokens", "over_limit", "cut"])
 
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), nonnull_text().alias("text")).mapInArrow(run, SCHEMA)

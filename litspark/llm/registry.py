@@ -2,11 +2,23 @@
 
 from __future__ import annotations
 
+from . import op5_exact_dedup
 from .op1_token_counts import op1_token_counts
+from .op2_quality_rules import op2_quality_rules
+from .op4_pii import op4_pii
+from .op6_ngram_join import op6_ngram_join
+from .op9_quality_classifier import op9_quality_classifier
 from .op10_packing import op10_packing
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
+    "op2_quality_rules": op2_quality_rules,
+    "op4_pii": op4_pii,
+    "op5_exact_dedup": op5_exact_dedup.op5_exact_dedup,
+    "op6_ngram_join": op6_ngram_join,
+    "op9_quality_classifier": op9_quality_classifier,
     "op10_packing": op10_packing,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op5_exact_dedup": op5_exact_dedup.ORACLE,
+}
