@@ -9,9 +9,9 @@ with room in a tournament tree: every inner node holds the largest room below it
 search and an update take one walk between root and leaf.
 
 Ids are those of the ``tokenizers`` library without added special tokens, special
-strings in a text as its default has them. The text is cut into units (white
-space and what follows it up to the next) that the pretokeniser never joins;
-the ids of a unit are encoded once per worker and kept in a bounded memo.
+strings in a text as its default has them. Texts are cut into units that the
+pretokeniser never joins (``units``); a unit's ids are encoded once per worker and kept in
+a bounded memo.
 
 Defined results: a null text counts as empty, so its document is the separator alone;
 repeated rows are documents of their own; an empty table gives an empty table;
@@ -33,13 +33,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import nonnull_text, session, table
-from .op1_token_counts import UNIT, default_tokenizer
+from .op1_token_counts import default_tokenizer
+from .units import cut, gathered, unit_blocks
 
 LENGTH = 2048
 SEPARATOR = 1
 GROUP_DOCUMENTS = 1024
 SEED = 17
 MEMO_UNITS = 1_000_000
+LEARN_UNITS = 4000
 
 
 class UnitEncoder:
@@ -50,46 +52,38 @@ class UnitEncoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.memo: dict[str, bytes] = {}
+        self.memo: dict[bytes, bytes] = {}
         added = {i: t.content for i, t in self.tok.get_added_tokens_decoder().items() if t.special and not (t.lstrip or t.rstrip or t.single_word)}
         self.special_id, self.special = next(iter(added.items()), (0, ""))
         self.odd = re.compile("|".join(map(re.escape, added.values()))).search if added else None
 
-    def learn(self, units: list[str]) -> None:
+    def learn(self, units: list[bytes]) -> None:
         """Encode units that the memo lacks in one go, a special string (which
         the library never joins with its neighbours) between each two."""
-        plain = [u for u in units if not self.special or not self.odd(u)]
-        if self.special and plain:
-            ids = np.array(self.tok.encode_batch_fast([self.special.join(plain)], add_special_tokens=False)[0].ids, dtype="<u4")
+        texts = [u.decode() for u in units]
+        plain = [i for i, t in enumerate(texts) if self.special and not self.odd(t)]
+        if plain:
+            joined = self.special.join([texts[i] for i in plain])
+            ids = np.array(self.tok.encode_batch_fast([joined], add_special_tokens=False)[0].ids, dtype="<u4")
             raw, ends = ids.tobytes(), (4 * np.flatnonzero(ids == self.special_id)).tolist()
-            for u, i, j in zip(plain, [0, *(x + 4 for x in ends)], [*ends, len(raw)], strict=True):
-                self.memo[u] = raw[i:j]
-        for u in set(units).difference(plain) if self.special else units:
-            self.memo[u] = np.array(self.tok.encode(u, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
-        """In the order of ``texts``; memory is bounded by a few megabytes of text and one text."""
-        block, size = [], 0
-        for x in texts:
-            block.append(UNIT.findall(x))
-            size += len(x)
-            if size > 4_000_000:
-                yield from self._block(block)
-                block, size = [], 0
-        yield from self._block(block)
-
-    def _block(self, block: list[list[str]]) -> Iterator[bytes]:
-        if len(self.memo) > MEMO_UNITS:
-            self.memo.clear()
-        get = self.memo.get
-        found = [list(map(get, units)) for units in block]
-        if missing := {u for units, ids in zip(block, found) if None in ids for u, v in zip(units, ids) if v is None}:
-            self.learn(list(missing))
-        for units, ids in zip(block, found):
-            try:
-                yield b"".join(ids)
-            except TypeError:  # some were unknown
-                yield b"".join(map(get, units))
+            for k, i, j in zip(plain, [0, *(x + 4 for x in ends)], [*ends, len(raw)], strict=True):
+                self.memo[units[k]] = raw[i:j]
+        for k in set(range(len(units))).difference(plain):
+            self.memo[units[k]] = np.array(self.tok.encode(texts[k], add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """The ids of each text, in order."""
+        for a, z, codes, units, bounds in unit_blocks(texts):
+            if len(self.memo) > MEMO_UNITS:
+                self.memo.clear()
+            get = self.memo.get
+            if missing := [u for u in units if get(u) is None]:
+                for i in range(0, len(missing), LEARN_UNITS):
+                    self.learn(missing[i:i + LEARN_UNITS])
+            ids, end = gathered(codes, [get(u) for u in units], "<u4")
+            first = cut(end, bounds).tolist()
+            for i, j in zip(first, first[1:]):
+                yield ids[i:j]
 
 
 _ENCODERS: dict[str, UnitEncoder] = {}
@@ -124,8 +118,8 @@ def pieces(documents: DataFrame, groups: int, length: int = LENGTH, separator: i
         enc, row = encoder(path), TaskContext.get().partitionId() << 40
         for b in batches:
             out: list[list] = [[], [], [], [], [], [], []]
-            for doc, ids in zip(b.column(0).to_pylist(), enc.encode([x or "" for x in b.column(1).to_pylist()])):
-                ids += end
+            for doc, ids in zip(b.column(0).to_pylist(), enc.encode(b.column(1))):
+                ids = ids.tobytes() + end
                 n, group = len(ids) // 4, _mix(seed ^ _mix(row)) % groups
                 row += 1
                 for a in range(0, n, length):
