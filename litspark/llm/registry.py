@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import op5_exact_dedup
+from . import op3_line_dedup, op5_exact_dedup, op8_mixing
 from .op1_token_counts import op1_token_counts
 from .op2_quality_rules import op2_quality_rules
 from .op4_pii import op4_pii
@@ -13,12 +13,16 @@ from .op10_packing import op10_packing
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_quality_rules": op2_quality_rules,
+    "op3_line_dedup": op3_line_dedup.op3_line_dedup,
     "op4_pii": op4_pii,
     "op5_exact_dedup": op5_exact_dedup.op5_exact_dedup,
     "op6_ngram_join": op6_ngram_join,
+    "op8_mixing": op8_mixing.op8_mixing,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_packing": op10_packing,
 }
 ORACLE_SQL = {
+    "op3_line_dedup": op3_line_dedup.ORACLE,
     "op5_exact_dedup": op5_exact_dedup.ORACLE,
+    "op8_mixing": op8_mixing.ORACLE,
 }
