@@ -41,7 +41,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, nonnull_text, session, table, written
+from .common import components, fresh, nonnull_text, session, table, written
 
 N = 4
 PERCENT = 85
@@ -99,8 +99,8 @@ def _texts(documents: DataFrame) -> DataFrame:
 
 
 def known_shared(documents: DataFrame, n: int, percent: int) -> np.ndarray:
-    """Byte per slot: two bits each for 4 slots would do; 0 unknown, 1 shared, 2 frequent.
-    Counted over all texts; only slots of a fixed-size bitmap come to the driver."""
+    """Two bitmaps over the hash space, shingles known as shared and as frequent, as 64-bit words.
+    Counted over all texts; what comes to the driver has the bitmaps' fixed size at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -119,7 +119,6 @@ def known_shared(documents: DataFrame, n: int, percent: int) -> np.ndarray:
     def _tokens(parts):
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts).view(np.int64))], ["token"])
 
-    # Copies are no evidence: one text of each digest counts.
     slot = F.shiftrightunsigned("token", 64 - BITMAP_BITS)
     counts = (_texts(documents).select("text").mapInArrow(run, "token long").groupBy("token").agg(F.count("*").alias("c"))
               .filter("c > 1").select(slot.alias("slot"), (F.col("c") >= FREQUENT).alias("often")))
@@ -142,7 +141,7 @@ def in_prefix(s: np.ndarray, known: np.ndarray, percent: int) -> np.ndarray:
 
 
 def sets(documents: DataFrame, known: np.ndarray, n: int, percent: int) -> DataFrame:
-    """``(uid, doc_id, n, cls, prefix)`` per row; the prefix only where the task meets the class first."""
+    """``(uid, doc_id, n, cls, digest, prefix)`` per row (digest: of the text); the prefix only where the task meets the class first."""
     shared = documents.sparkSession.sparkContext.broadcast(known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,9 +149,11 @@ def sets(documents: DataFrame, known: np.ndarray, n: int, percent: int) -> DataF
         for b in batches:
             for a in range(0, b.num_rows, 1024):
                 part = b.slice(a, 1024)
-                size, cls, pre = [], [], []
+                size, cls, own, pre = [], [], [], []
                 for x in part.column(1):
-                    s = shingle_set(x.as_py(), n)
+                    text = x.as_py()
+                    s = shingle_set(text, n)
+                    own.append(hashlib.md5(text.encode()).hexdigest())
                     digest = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
                     size.append(len(s))
                     cls.append(digest)
@@ -161,10 +162,10 @@ def sets(documents: DataFrame, known: np.ndarray, n: int, percent: int) -> DataF
                 m = part.num_rows
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(range(row, row + m), pa.int64()), part.column(0), pa.array(size, pa.int64()), pa.array(cls, pa.binary()),
-                     pa.array(pre, pa.list_(pa.int64()))], ["uid", "doc_id", "n", "cls", "prefix"])
+                     pa.array(own), pa.array(pre, pa.list_(pa.int64()))], ["uid", "doc_id", "n", "cls", "digest", "prefix"])
                 row += m
 
-    return _texts(documents).mapInArrow(run, "uid long, doc_id long, n long, cls binary, prefix array<long>")
+    return _texts(documents).mapInArrow(run, "uid long, doc_id long, n long, cls binary, digest string, prefix array<long>")
 
 
 def chains(classes: DataFrame, percent: int) -> DataFrame:
@@ -336,28 +337,46 @@ def verified(members: DataFrame, percent: int, chunk: int = CHUNK) -> DataFrame:
     return links.unionByName(found).unionByName(_linked(part, percent))
 
 
-def ngram_components(documents: DataFrame, n: int = N, percent: int = PERCENT, chunk: int = CHUNK) -> DataFrame:
-    """``(doc_id, n_shingles, component_id)`` for every row of ``documents``."""
-    spark = session(documents)
+def membership(documents: DataFrame, n: int = N, percent: int = PERCENT, chunk: int = CHUNK) -> tuple[DataFrame, DataFrame]:
+    """``(uid, doc_id, n, cls, digest)`` of every row, and ``(cls, low, root)`` of every class
+    with words: its smallest ``doc_id`` and the id of its component."""
+    session(documents)
     rows = written(sets(documents, known_shared(documents, n, percent), n, percent), "sets")
-    classes = rows.groupBy("cls").agg(
-        F.min(F.struct("uid", "doc_id")).alias("first"), F.max("n").alias("n"), F.min("doc_id").alias("low"),
-        F.first("prefix", ignorenulls=True).alias("prefix"))
-    classes = classes.select("cls", F.col("first.uid").alias("id"), F.col("first.doc_id").alias("doc_id"), "n", "low", "prefix")
-    blocks = written(components(chains(classes.filter("n > 0"), percent), "blocks"), "block-ids")
-    slim = written(rows.groupBy("cls").agg(F.min(F.struct("uid", "doc_id")).alias("first"), F.min("doc_id").alias("low"))
+    classes = rows.filter("n > 0").groupBy("cls").agg(
+        F.min("uid").alias("id"), F.max("n").alias("n"), F.first("prefix", ignorenulls=True).alias("prefix"))
+    blocks = written(components(chains(classes, percent), "blocks"), "block-ids")
+    slim = written(rows.filter("n > 0").groupBy("cls").agg(F.min(F.struct("uid", "doc_id")).alias("first"), F.min("doc_id").alias("low"))
                    .select("cls", F.col("first.uid").alias("id"), F.col("first.doc_id").alias("first_doc"), "low"), "classes")
     active = written(slim.join(blocks, "id").select("cls", "id", "first_doc", F.col("root").alias("block")), "active")
-    members = _member_sets(documents, active, n)
-    links = written(verified(members, percent, chunk), "links")
+    links = written(verified(_member_sets(documents, active, n), percent, chunk), "links")
     roots = components(links, "links")
-    named = slim.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    named = slim.join(roots, "id", "left").select("cls", "low", F.coalesce("root", "id").alias("root"))
+    return rows.drop("prefix"), written(named, "components")
+
+
+def ngram_components(documents: DataFrame, n: int = N, percent: int = PERCENT, chunk: int = CHUNK) -> DataFrame:
+    """``(doc_id, n_shingles, component_id)`` for every row of ``documents``."""
+    rows, named = membership(documents, n, percent, chunk)
     low = named.groupBy("root").agg(F.min("low").alias("component_id"))
     final = named.join(low, "root").select(F.col("cls").alias("c_cls"), "component_id")
     full = rows.filter("n > 0").join(final, F.col("cls") == F.col("c_cls")).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return full.unionByName(rows.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
+def representatives(documents: DataFrame, n: int = N, percent: int = PERCENT, chunk: int = CHUNK) -> DataFrame:
+    """The rows of ``documents`` that stay when of each component the one with the smallest ``doc_id``
+    does (null last, then by text digest); texts without words all stay, equal rows of them once."""
+    rows, named = membership(documents, n, percent, chunk)
+    key = lambda digest: F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), digest)
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "digest")).alias("best")
+    some = rows.filter("n > 0").join(named, "cls").groupBy("root").agg(best).select("best.doc_id", "best.digest")
+    keep = some.unionByName(rows.filter("n = 0").select("doc_id", "digest")).select(key(F.col("digest")).alias("keep_key")).distinct()
+    mark = fresh(documents, "row_key")
+    marked = documents.withColumn(mark, key(F.md5(nonnull_text().cast("binary"))))
+    stay = marked.join(keep, F.col(mark) == F.col("keep_key"), "left_semi")
+    return stay.dropDuplicates([mark]).drop(mark)
+
+
 def _member_sets(documents: DataFrame, active: DataFrame, n: int) -> DataFrame:
     """``(block, id, set)`` of the active classes, from the text of one document of each.
     A bitmap of fixed size (2^24 bits by id hash, broadcast) keeps most other texts out of the join."""

@@ -7,6 +7,7 @@ from .op1_token_counts import op1_token_counts
 from .op2_quality_rules import op2_quality_rules
 from .op4_pii import op4_pii
 from .op6_ngram_join import op6_ngram_join
+from .op7_tool_calls import op7_tool_calls
 from .op9_quality_classifier import op9_quality_classifier
 from .op10_packing import op10_packing
 
@@ -17,6 +18,7 @@ QUERIES = {
     "op4_pii": op4_pii,
     "op5_exact_dedup": op5_exact_dedup.op5_exact_dedup,
     "op6_ngram_join": op6_ngram_join,
+    "op7_tool_calls": op7_tool_calls,
     "op8_mixing": op8_mixing.op8_mixing,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_packing": op10_packing,
