@@ -33,20 +33,30 @@ def clean_select(raw: DataFrame) -> DataFrame:
     return raw.select("corpus_id", "row_id", *RAW_FIELDS)
 
 
+def number(c: str):
+    """A plain or exponent number in outer white space as DOUBLE, else NULL. The pattern keeps
+    out what only Java reads as a number (``5d``, ``2015f``, hexadecimal), and what is not finite."""
+    d = F.expr(f"try_cast(`{c}` AS DOUBLE)")
+    plain = F.col(c).rlike(r"^[ \t\r\n]*[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?[ \t\r\n]*$")
+    return F.when(plain & ~F.isnan(d) & (F.abs(d) < F.lit(float("inf"))), d)
+
+
+def valid_year(c: str, current_year: int):
+    return F.coalesce(number(c).between(MIN_YEAR, current_year), F.lit(False))
+
+
+def valid_cited(c: str):
+    return F.coalesce((number(c) >= 0) & (number(c) < F.lit(9e18)), F.lit(False))
+
+
 def clean_year(df: DataFrame, current_year: int) -> DataFrame:
     """Numeric coercion (non-numeric -> dropped), keep 1900..current_year,
     truncate to int. ``current_year`` is a parameter for determinism."""
-    y = F.expr("try_cast(year AS DOUBLE)")
-    return (df.withColumn("year", y)
-            .filter(F.col("year").isNotNull() & F.col("year").between(MIN_YEAR, current_year))
-            .withColumn("year", F.col("year").cast("int")))
+    return df.filter(valid_year("year", current_year)).withColumn("year", number("year").cast("int"))
 
 
 def clean_cited(df: DataFrame) -> DataFrame:
-    c = F.expr("try_cast(cited_by AS DOUBLE)")
-    return (df.withColumn("cited_by", c)
-            .filter(F.col("cited_by").isNotNull() & (F.col("cited_by") >= 0))
-            .withColumn("cited_by", F.col("cited_by").cast("int")))
+    return df.filter(valid_cited("cited_by")).withColumn("cited_by", number("cited_by").cast("long"))
 
 
 def clean_strip(df: DataFrame, cols=TEXT_FIELDS) -> DataFrame:
@@ -154,17 +164,16 @@ def clean_audit(raw: DataFrame, current_year: int) -> DataFrame:
     over the survivors. The value range is the year range after the year step
     and the citation range after the citation step (NULL elsewhere)."""
     df = clean_select(raw)
-    y = F.expr("try_cast(year AS DOUBLE)")
-    c = F.expr("try_cast(cited_by AS DOUBLE)")
+    y, c = number("year"), number("cited_by")
     s = {k: py_strip(k) for k in TEXT_FIELDS}
-    p3 = y.isNotNull() & y.between(MIN_YEAR, current_year)
-    p4 = p3 & c.isNotNull() & (c >= 0)
+    p3 = valid_year("year", current_year)
+    p4 = p3 & valid_cited("cited_by")
     p5 = p4 & (F.length(s["authors"]) > 0)
     p6 = p5 & (F.length(s["title"]) > MIN_TITLE_CHARS)
     p9 = p6 & (F.length(s["source_title"]) > 0) & ~s["source_title"].rlike(SOURCE_JUNK_REGEX)
     p9 = F.coalesce(p9, F.lit(False))
     row = F.struct(s["authors"], s["title"], s["abstract"], s["author_keywords"],
-                   c.cast("int"), s["source_title"], y.cast("int"))
+                   c.cast("long"), s["source_title"], y.cast("int"))
     agg = df.groupBy("corpus_id").agg(
         F.count(F.lit(1)).alias("n1"),
         F.count(F.lit(1)).alias("n2"),
@@ -178,7 +187,7 @@ def clean_audit(raw: DataFrame, current_year: int) -> DataFrame:
         F.sum(p9.cast("int")).alias("n10"),
         F.count_distinct(F.when(p9, row)).alias("n11"),
         F.min(F.when(p3, y.cast("int"))).alias("lo3"), F.max(F.when(p3, y.cast("int"))).alias("hi3"),
-        F.min(F.when(p4, c.cast("int"))).alias("lo4"), F.max(F.when(p4, c.cast("int"))).alias("hi4"),
+        F.min(F.when(p4, c.cast("long"))).alias("lo4"), F.max(F.when(p4, c.cast("long"))).alias("hi4"),
     ).withColumn("n12", F.col("n11"))
     no = F.lit(None).cast("bigint")
 

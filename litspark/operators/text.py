@@ -83,7 +83,8 @@ def sentence_table(texts: DataFrame, id_col: str = "paper_id",
     pieces = split_sentences(strip_boilerplate(texts, "text"), "text")
     out = pieces.select(
         *keys,
-        (F.col(id_col) * F.lit(SENTENCE_ID_SHIFT) + F.col("pos")).alias("sentence_id"),
+        F.when(F.col("pos") < SENTENCE_ID_SHIFT, F.col(id_col) * F.lit(SENTENCE_ID_SHIFT) + F.col("pos"))
+         .otherwise(F.raise_error(F.lit("a paper has more sentences than sentence ids allow")).cast("long")).alias("sentence_id"),
         F.col(id_col).alias("paper_id"),
         py_strip("raw").alias("sentence"),
     )

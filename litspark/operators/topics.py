@@ -61,7 +61,9 @@ def _with_vectors(members: DataFrame, vectors: DataFrame | None, vec_col: str) -
     already carry the vector column (then no join at all)."""
     if vectors is None or vec_col in members.columns:
         return members
-    return members.join(vectors, "sentence_id")
+    # Sentence ids repeat across runs and corpora; vectors may carry the keys.
+    on = [c for c in (*KEYS, "sentence_id") if c in vectors.columns]
+    return members.join(vectors, on)
 
 
 def centroids(members: DataFrame, vectors: DataFrame | None, keys=KEYS,
@@ -77,13 +79,14 @@ def centroids(members: DataFrame, vectors: DataFrame | None, keys=KEYS,
 
 
 def top_evidence(members: DataFrame, vectors: DataFrame | None, cents: DataFrame,
-                 k: int = NEAREST_K, keys=KEYS, vec_col: str = "embedding") -> DataFrame:
+                 k: int = NEAREST_K, keys=KEYS, vec_col: str = "embedding", dim: int | None = None) -> DataFrame:
     """The k sentences closest (cosine) to their cluster centroid: (keys,
     cluster_id, rank, sentence_id, sentence, similarity). Ties broken by
-    sentence_id. The centroid side has one row per cluster."""
+    sentence_id. The centroid side has one row per cluster. ``dim`` is the vectors'
+    width; unknown, it is read off one row of the vectors (before any join)."""
     j = (_with_vectors(members.filter(F.col("cluster_id") != NOISE), vectors, vec_col)
          .join(cents, [*keys, "cluster_id"]))
-    d = dim_of(j, vec_col)
+    d = dim or dim_of(members if vectors is None or vec_col in members.columns else vectors, vec_col)
     j = with_cosine(j, vec_col, "centroid", "similarity", d).select(
         *keys, "cluster_id", "sentence_id", "sentence", "similarity")
     w = Window.partitionBy(*keys, "cluster_id").orderBy(F.col("similarity").desc(), "sentence_id")
@@ -128,14 +131,6 @@ def assemble_topics(valid: DataFrame, cents: DataFrame, ev: DataFrame, papers: D
                     fmt(DEFAULT_TOPIC_LABEL, id=F.col("cluster_id")).alias("label")))
 
 
-def with_paper_indices(topics: DataFrame, papers: DataFrame, keys=KEYS) -> DataFrame:
-    """Attach the sorted paper list as an array (the reference's record shape)
-    for export. Bounded by the papers of one corpus; use the long table for
-    anything else."""
-    arr = papers.groupBy(*keys, "cluster_id").agg(F.sort_array(F.collect_list("paper_id")).alias("paper_indices"))
-    return topics.join(arr, [*keys, "cluster_id"], "left")
-
-
 def topics_ranked(topics: DataFrame, cap: int = MAX_TOPICS, keys=KEYS) -> DataFrame:
     """Size desc, ties by cluster_id; keep ``cap`` per (corpus, run); adds
     1-based ``topic_rank``."""

@@ -4,18 +4,19 @@ Every derivation is deterministic and written the same way in the DuckDB
 oracle (see ``oracle.py``); all of them grow with the given tables.
 
 * papers: ``documents`` (see ``sources.papers``).
-* sentence vectors with given clusters: ``embeddings`` -- sentence_id =
-  vec_id, corpus = 'emb' + vec_id % 2, paper_id = vec_id % 100, cluster =
-  label (run 'abstract') or label % 6 (run 'title'), sentence = first line of
-  the document with doc_id = vec_id (else 'vector <id>').
+* sentences with vectors and given clusters: every sentence of the sentence
+  table (runs 'abstract' and 'title'), corpus = 'emb' + paper_id % 2; its
+  vector and cluster are those of the ``embeddings`` row with vec_id =
+  sentence_id % (number of rows): cluster = label, or label % 6 in the title run.
 * model responses: JSON arrays built by rule from each topic's evidence
   words (see ``rule_proposal_items``), wrapped the ways real responses
   arrive (prose around, a <think> block, code fences), with a duplicate, an
   item without id, and voice 2 cut short on the title runs so failure
   isolation is exercised. The offline labellers have their own query.
-* review decisions: the ``labels`` row with doc_id = 4 * row_no + cluster_id
-  decides Approve (missing -> 'y', quality 0 or toxic 1 -> 'no', else
-  ' YES ') and Rename To ('Merged theme ' + doc_id % 2 when doc_id % 3 = 0).
+* review decisions: all ``labels`` rows with doc_id % 97 = (4 * row_no +
+  cluster_id) % 97 decide together: Approve (none -> 'y', more than a fifth of quality
+  0 or toxic 1 -> 'no', else ' YES ') and Rename To ('Merged theme ' + smallest
+  doc_id % 2 when that id % 3 = 0).
 * taxonomy responses: theme_rank % 3 = 0 -> NOVEL, else category number
   (theme_rank * 7) % 25 + 1.
 """
@@ -25,8 +26,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import council, review, taxonomy, themes, topics
+from ..functions.vec import dim_of
+from ..operators import council, review, taxonomy, text, themes, topics
 from ..session import KEYS, scratch_path, table_path
+from ..sources.papers import papers_from_documents
 
 MIN_SIZE = topics.MIN_CLUSTER_SIZE
 
@@ -46,23 +49,34 @@ def _stage(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
     return _MEMO[key]
 
 
+def emb_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vectors themselves as points: (corpus, run 'abstract', sentence_id = vec_id)."""
+    return spark.read.parquet(table_path(sf_dir, "embeddings")).select(
+        F.concat(F.lit("emb"), (F.col("vec_id") % 2).cast("string")).alias("corpus_id"),
+        F.lit("abstract").alias("run_key"), F.col("vec_id").alias("sentence_id"))
+
+
+def _n_vectors(spark: SparkSession, sf_dir: str) -> int:
+    return max(1, spark.read.parquet(table_path(sf_dir, "embeddings")).count())
+
+
 def emb_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = spark.read.parquet(table_path(sf_dir, "embeddings")).select("vec_id", "label")
-    d = spark.read.parquet(table_path(sf_dir, "documents")).select(
-        F.col("doc_id"), F.substring_index("text", "\n", 1).alias("_first"))
-    j = e.join(d, e["vec_id"] == d["doc_id"], "left")
-    run = F.explode(F.array(F.lit("abstract"), F.lit("title"))).alias("run_key")
-    j = j.select("*", run)
+    s = text.sentence_table(text.run_texts(papers_from_documents(spark, sf_dir), ("abstract", "title")))
+    j = s.join(e, s["sentence_id"] % _n_vectors(spark, sf_dir) == e["vec_id"])
     return j.select(
-        F.concat(F.lit("emb"), (F.col("vec_id") % 2).cast("string")).alias("corpus_id"),
-        "run_key",
-        F.col("vec_id").alias("sentence_id"),
-        (F.col("vec_id") % 100).alias("paper_id"),
-        F.coalesce("_first", F.concat(F.lit("vector "), F.col("vec_id"))).alias("sentence"),
+        F.concat(F.lit("emb"), (F.col("paper_id") % 2).cast("string")).alias("corpus_id"),
+        "run_key", "sentence_id", "paper_id", "sentence",
         F.when(F.col("run_key") == "abstract", F.col("label")).otherwise(F.col("label") % 6).cast("int").alias("cluster_id"),
     )
 
 
+def with_vectors(spark: SparkSession, sf_dir: str, members: DataFrame) -> DataFrame:
+    """Members with the vector of their sentence."""
+    e = spark.read.parquet(table_path(sf_dir, "embeddings")).select("vec_id", "embedding")
+    return members.join(e, members["sentence_id"] % _n_vectors(spark, sf_dir) == e["vec_id"]).drop("vec_id")
+
+
 def emb_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(table_path(sf_dir, "embeddings")).select(
         F.col("vec_id").alias("sentence_id"), "embedding")
@@ -73,12 +87,13 @@ def emb_valid(spark, sf_dir) -> DataFrame:
 
 
 def emb_topics(spark, sf_dir):
-    """(members, vectors, topics, topic_papers, evidence, ranked)."""
+    """(members, members with vectors, topics, topic_papers, evidence, ranked)."""
     m = _stage(spark, sf_dir, "members", lambda: emb_valid(spark, sf_dir))
-    v = emb_vectors(spark, sf_dir)
     valid = m.filter(F.col("cluster_id") != topics.NOISE)
-    cents = _stage(spark, sf_dir, "centroids", lambda: topics.centroids(valid, v))
-    ev = _stage(spark, sf_dir, "evidence", lambda: topics.top_evidence(valid, v, cents))
+    v = with_vectors(spark, sf_dir, valid)
+    cents = _stage(spark, sf_dir, "centroids", lambda: topics.centroids(v, None))
+    ev = _stage(spark, sf_dir, "evidence", lambda: topics.top_evidence(
+        v, None, cents, dim=dim_of(emb_vectors(spark, sf_dir), "embedding")))
     p = _stage(spark, sf_dir, "topic_papers", lambda: topics.topic_papers(valid))
 
     t = _stage(spark, sf_dir, "topics", lambda: topics.assemble_topics(valid, cents, ev, p))
@@ -192,16 +207,15 @@ def labelled_topics(spark, sf_dir):
 
 
 def review_decisions(spark, sf_dir, rv: DataFrame) -> DataFrame:
-    lab = spark.read.parquet(table_path(sf_dir, "labels")).select(
-        F.col("doc_id").alias("_doc"), "quality", "toxic")
-    j = rv.drop("approve", "rename_to").withColumn(
-        "_doc", (F.col("row_no") * 4 + F.col("cluster_id")).cast("bigint")).join(lab, "_doc", "left")
-    present = F.col("quality").isNotNull()
+    lab = spark.read.parquet(table_path(sf_dir, "labels")).groupBy((F.col("doc_id") % 97).alias("_slot")).agg(
+        F.min("doc_id").alias("_doc"), F.count("*").alias("_n"),
+        F.sum(F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).otherwise(0)).alias("_bad"))
+    j = rv.drop("approve", "rename_to").withColumn("_slot", (F.col("row_no") * 4 + F.col("cluster_id")) % 97).join(lab, "_slot", "left")
     return j.select(
         *[c for c in rv.columns if c not in ("approve", "rename_to")],
-        F.when(~present, F.lit("y")).when((F.col("quality") == 0) | (F.col("toxic") == 1), F.lit("no"))
+        F.when(F.col("_n").isNull(), F.lit("y")).when(F.col("_bad") * 5 > F.col("_n"), F.lit("no"))
          .otherwise(F.lit(" YES ")).alias("approve"),
-        F.when(present & (F.col("_doc") % 3 == 0), F.concat(F.lit("Merged theme "), (F.col("_doc") % 2).cast("string")))
+        F.when(F.col("_doc") % 3 == 0, F.concat(F.lit("Merged theme "), (F.col("_doc") % 2).cast("string")))
          .otherwise(F.lit("")).alias("rename_to"))
 
 

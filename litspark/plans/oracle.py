@@ -53,7 +53,7 @@ def cte(name: str, sql: str) -> None:
 cte("papers", f"""
 SELECT source AS corpus_id, doc_id AS paper_id,
        'Author' || doc_id || 'A, Author' || doc_id || 'B' AS authors,
-       substr(split_part(text, {NL}, 1), 1, 80) AS title, text AS abstract, lang AS author_keywords,
+       split_part(text, {NL}, 1) AS title, text AS abstract, lang AS author_keywords,
        CAST(n_chars % 200 AS INTEGER) AS cited_by, source AS source_title,
        CAST(2010 + doc_id % 14 AS INTEGER) AS year
 FROM documents""")
@@ -74,12 +74,14 @@ FROM pieces WHERE length({STRIP('raw')}) > 30""")
 cte("raw", f"""
 SELECT source AS corpus_id, doc_id * 2 AS row_id,
   CASE WHEN doc_id % 23 = 0 THEN '   ' ELSE 'Author' || doc_id || 'A, Author' || doc_id || 'B' END AS authors,
-  CASE WHEN doc_id % 29 = 0 THEN 'Short' ELSE substr(split_part(text, {NL}, 1), 1, 80) END AS title,
+  CASE WHEN doc_id % 29 = 0 THEN 'Short' ELSE split_part(text, {NL}, 1) END AS title,
   CASE WHEN doc_id % 53 = 0 THEN NULL ELSE text END AS abstract,
   lang AS author_keywords,
-  CASE WHEN doc_id % 19 = 0 THEN '-1' WHEN doc_id % 37 = 0 THEN 'x' ELSE CAST(n_chars % 200 AS VARCHAR) END AS cited_by,
+  CASE WHEN doc_id % 19 = 0 THEN '-1' WHEN doc_id % 37 = 0 THEN 'x' WHEN doc_id % 59 = 0 THEN '5d' WHEN doc_id % 61 = 0 THEN '1e3'
+       WHEN doc_id % 67 = 0 THEN 'Infinity' WHEN doc_id % 71 = 0 THEN ' NaN ' WHEN doc_id % 73 = 0 THEN '3000000000'
+       ELSE CAST(n_chars % 200 AS VARCHAR) END AS cited_by,
   CASE WHEN doc_id % 41 = 0 THEN 'pp. 12-15' WHEN doc_id % 43 = 0 THEN '3D Research' ELSE source END AS source_title,
-  CASE WHEN doc_id % 17 = 0 THEN 'abc' WHEN doc_id % 31 = 0 THEN '1899' WHEN doc_id % 47 = 0 THEN '2015.5'
+  CASE WHEN doc_id % 17 = 0 THEN 'abc' WHEN doc_id % 31 = 0 THEN '1899' WHEN doc_id % 47 = 0 THEN '2015.5' WHEN doc_id % 79 = 0 THEN '2015f'
        ELSE CAST(2010 + doc_id % 14 AS VARCHAR) END AS year
 FROM documents""")
 cte("raw_all", """
@@ -88,14 +90,21 @@ UNION ALL SELECT corpus_id, row_id + 1, authors, '  ' || title || ' ', abstract,
                  source_title, year FROM raw WHERE row_id % 100 = 0""")
 F7 = "authors, title, abstract, author_keywords, cited_by, source_title, year"
 cte("c_sel", f"SELECT corpus_id, row_id, {F7} FROM raw_all")
+def NUM(c: str) -> str:
+    """A plain or exponent number in outer white space; not finite or not a number: NULL."""
+    return (f"(CASE WHEN regexp_matches({c}, '^[ \\t\\r\\n]*[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?[ \\t\\r\\n]*$') "
+            f"AND isfinite(TRY_CAST(trim({c}, ' ' || chr(9) || chr(10) || chr(13)) AS DOUBLE)) "
+            f"THEN TRY_CAST(trim({c}, ' ' || chr(9) || chr(10) || chr(13)) AS DOUBLE) END)")
+
+
 cte("c_year", f"""
 SELECT corpus_id, row_id, authors, title, abstract, author_keywords, cited_by, source_title,
-       CAST(trunc(TRY_CAST(year AS DOUBLE)) AS INTEGER) AS year
-FROM c_sel WHERE TRY_CAST(year AS DOUBLE) BETWEEN 1900 AND 2026""")
+       CAST(trunc({NUM('year')}) AS INTEGER) AS year
+FROM c_sel WHERE {NUM('year')} BETWEEN 1900 AND 2026""")
 cte("c_cited", f"""
 SELECT corpus_id, row_id, authors, title, abstract, author_keywords,
-       CAST(trunc(TRY_CAST(cited_by AS DOUBLE)) AS INTEGER) AS cited_by, source_title, year
-FROM c_year WHERE TRY_CAST(cited_by AS DOUBLE) >= 0""")
+       CAST(trunc({NUM('cited_by')}) AS BIGINT) AS cited_by, source_title, year
+FROM c_year WHERE {NUM('cited_by')} >= 0 AND {NUM('cited_by')} < 9e18""")
 cte("c_strip", f"""
 SELECT corpus_id, row_id, {STRIP('authors')} AS authors, {STRIP('title')} AS title, {STRIP('abstract')} AS abstract,
        {STRIP('author_keywords')} AS author_keywords, cited_by, {STRIP('source_title')} AS source_title, year
@@ -109,20 +118,21 @@ SELECT corpus_id, CAST(row_number() OVER (PARTITION BY corpus_id ORDER BY cited_
        AS sr_no, row_id, {F7} FROM c_dedupe""")
 
 # -- embedding-derived sentences, topics -----------------------------------------------
+cte("emb_rows", """
+SELECT 'emb' || CAST(vec_id % 2 AS VARCHAR) AS corpus_id, 'abstract' AS run_key, vec_id AS sentence_id FROM embeddings""")
 cte("emb_members", f"""
-SELECT 'emb' || CAST(e.vec_id % 2 AS VARCHAR) AS corpus_id, r.run_key, e.vec_id AS sentence_id,
-       e.vec_id % 100 AS paper_id, coalesce(split_part(d.text, {NL}, 1), 'vector ' || e.vec_id) AS sentence,
-       CAST(CASE WHEN r.run_key = 'abstract' THEN e.label ELSE e.label % 6 END AS INTEGER) AS cluster_id
-FROM embeddings e LEFT JOIN documents d ON d.doc_id = e.vec_id
-CROSS JOIN (VALUES ('abstract'), ('title')) r(run_key)""")
+SELECT 'emb' || CAST(s.paper_id % 2 AS VARCHAR) AS corpus_id, s.run_key, s.sentence_id, s.paper_id, s.sentence, e.vec_id,
+       CAST(CASE WHEN s.run_key = 'abstract' THEN e.label ELSE e.label % 6 END AS INTEGER) AS cluster_id
+FROM sentences s JOIN embeddings e ON e.vec_id = s.sentence_id % (SELECT count(*) FROM embeddings)
+WHERE s.run_key IN ('abstract', 'title')""")
 cte("emb_valid", f"""
-SELECT m.corpus_id, m.run_key, m.sentence_id, m.paper_id, m.sentence,
+SELECT m.corpus_id, m.run_key, m.sentence_id, m.paper_id, m.sentence, m.vec_id,
        CASE WHEN s.n >= 20 THEN m.cluster_id ELSE -1 END AS cluster_id
 FROM emb_members m JOIN (SELECT {K}, cluster_id, count(*) AS n FROM emb_members GROUP BY ALL) s
   USING (corpus_id, run_key, cluster_id)""")
 cte("valid_vec", """
 SELECT m.*, CAST(e.embedding AS DOUBLE[]) AS embedding
-FROM emb_valid m JOIN embeddings e ON e.vec_id = m.sentence_id WHERE m.cluster_id <> -1""")
+FROM emb_valid m JOIN embeddings e ON e.vec_id = m.vec_id WHERE m.cluster_id <> -1""")
 cte("cent_long", f"""
 SELECT {K}, cluster_id, dim, avg(x) AS value FROM (
   SELECT {K}, cluster_id, unnest(embedding) AS x, CAST(generate_subscripts(embedding, 1) - 1 AS INTEGER) AS dim
@@ -221,10 +231,11 @@ SELECT {K}, CAST(topic_rank AS INTEGER) AS row_no, coalesce(label, 'Topic ' || c
 FROM lab WHERE topic_rank <= 200""")
 cte("rv", """
 SELECT l.corpus_id, l.run_key, l.row_no, l.topic_label, l.top_evidence, l.sentences, l.papers, l.reasoning, l.cluster_id,
-       CASE WHEN lb.quality IS NULL THEN 'y' WHEN lb.quality = 0 OR lb.toxic = 1 THEN 'no' ELSE ' YES ' END AS approve,
-       CASE WHEN lb.quality IS NOT NULL AND (l.row_no * 4 + l.cluster_id) % 3 = 0
-            THEN 'Merged theme ' || ((l.row_no * 4 + l.cluster_id) % 2) ELSE '' END AS rename_to
-FROM rv_labels l LEFT JOIN labels lb ON lb.doc_id = l.row_no * 4 + l.cluster_id""")
+       CASE WHEN lb.n IS NULL THEN 'y' WHEN lb.bad * 5 > lb.n THEN 'no' ELSE ' YES ' END AS approve,
+       CASE WHEN lb.doc % 3 = 0 THEN 'Merged theme ' || (lb.doc % 2) ELSE '' END AS rename_to
+FROM rv_labels l LEFT JOIN (
+  SELECT doc_id % 97 AS slot, min(doc_id) AS doc, count(*) AS n, sum(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) AS bad
+  FROM labels GROUP BY 1) lb ON lb.slot = (l.row_no * 4 + l.cluster_id) % 97""")
 cte("appr", f"""
 SELECT {K}, row_no, cluster_id,
        CASE WHEN coalesce({STRIP('rename_to')}, '') <> '' THEN {STRIP('rename_to')}
@@ -303,9 +314,9 @@ WHERE t.run_key = 'title' AND NOT EXISTS (SELECT 1 FROM cm WHERE cm.corpus_id =
 
 # -- stage store -------------------------------------------------------------------------
 cte("stage_counts", f"""
-SELECT 'labels' AS stage, {K}, count(*) AS entries FROM lab WHERE run_key = 'abstract' GROUP BY ALL
-UNION ALL SELECT 'themes', {K}, count(*) FROM themes_r WHERE run_key = 'title' GROUP BY ALL
-UNION ALL SELECT 'taxonomy', {K}, count(*) FROM tax WHERE run_key = 'title' AND corpus_id = 'emb1' GROUP BY ALL""")
+SELECT 'labels' AS stage, {K}, count(*) AS entries FROM lab GROUP BY ALL
+UNION ALL SELECT 'themes', {K}, count(*) FROM themes_r GROUP BY ALL
+UNION ALL SELECT 'taxonomy', {K}, count(*) FROM tax GROUP BY ALL""")
 
 
 def compose(final: str) -> str:
@@ -333,7 +344,7 @@ Q: dict[str, str] = {}
 RV_COLS = "corpus_id, run_key, row_no, topic_label, top_evidence, sentences, papers, approve, rename_to, reasoning, cluster_id"
 
 Q["src_csv"] = "SELECT " + ", ".join(
-    f"CASE WHEN {c} IN {NA} THEN NULL ELSE {c} END AS {c}" for c in F7.split(", ")) + " FROM raw_all"
+    f"CASE WHEN {c} IN {NA} THEN NULL ELSE {c} END AS {c}" for c in F7.split(", ")) + ", row_number() OVER (ORDER BY row_id) AS row_no FROM raw_all"
 Q["src_csv_strict"] = Q["src_csv"]
 Q["sink_csv"] = ("SELECT corpus_id, CAST(sr_no AS VARCHAR) AS sr_no, " + ", ".join(
     f"CAST({c} AS VARCHAR) AS {c}" for c in F7.split(", ")) + " FROM c_final")
@@ -367,8 +378,8 @@ Q["clean_key_nulls"] = "SELECT * FROM c_keys"
 Q["clean_dedupe"] = "SELECT * FROM c_dedupe"
 Q["clean_order"] = "SELECT corpus_id, sr_no, row_id, cited_by, year FROM c_final"
 Q["clean_seq"] = "SELECT * FROM c_final"
-_P3 = "TRY_CAST(year AS DOUBLE) BETWEEN 1900 AND 2026"
-_P4 = f"{_P3} AND TRY_CAST(cited_by AS DOUBLE) >= 0"
+_P3 = f"{NUM('year')} BETWEEN 1900 AND 2026"
+_P4 = f"{_P3} AND {NUM('cited_by')} >= 0 AND {NUM('cited_by')} < 9e18"
 _P5 = f"{_P4} AND length({STRIP('authors')}) > 0"
 _P6 = f"{_P5} AND length({STRIP('title')}) > 5"
 _P9 = (f"{_P6} AND length({STRIP('source_title')}) > 0 AND NOT regexp_matches({STRIP('source_title')}, "
@@ -387,10 +398,10 @@ SELECT a.corpus_id, s.step, s.name, CASE s.step WHEN 1 THEN a.n1 WHEN 2 THEN a.n
        CAST(CASE s.step WHEN 3 THEN a.hi3 WHEN 4 THEN a.hi4 END AS BIGINT) AS max_value
 FROM (SELECT corpus_id, count(*) AS n1, {_cnt(_P3)} AS n3, {_cnt(_P4)} AS n4, {_cnt(_P5)} AS n5, {_cnt(_P6)} AS n6,
              {_cnt(_P9)} AS n9,
-             min(CASE WHEN {_P3} THEN CAST(trunc(TRY_CAST(year AS DOUBLE)) AS INTEGER) END) AS lo3,
-             max(CASE WHEN {_P3} THEN CAST(trunc(TRY_CAST(year AS DOUBLE)) AS INTEGER) END) AS hi3,
-             min(CASE WHEN {_P4} THEN CAST(trunc(TRY_CAST(cited_by AS DOUBLE)) AS INTEGER) END) AS lo4,
-             max(CASE WHEN {_P4} THEN CAST(trunc(TRY_CAST(cited_by AS DOUBLE)) AS INTEGER) END) AS hi4
+             min(CASE WHEN {_P3} THEN CAST(trunc({NUM('year')}) AS INTEGER) END) AS lo3,
+             max(CASE WHEN {_P3} THEN CAST(trunc({NUM('year')}) AS INTEGER) END) AS hi3,
+             min(CASE WHEN {_P4} THEN CAST(trunc({NUM('cited_by')}) AS BIGINT) END) AS lo4,
+             max(CASE WHEN {_P4} THEN CAST(trunc({NUM('cited_by')}) AS BIGINT) END) AS hi4
       FROM raw_all GROUP BY corpus_id) a
 LEFT JOIN (SELECT corpus_id, count(*) AS n11 FROM c_dedupe GROUP BY corpus_id) d USING (corpus_id)
 CROSS JOIN (VALUES (1, 'loaded'), (2, 'selected'), (3, 'year'), (4, 'cited_by'), (5, 'authors'), (6, 'title'),
@@ -403,7 +414,7 @@ SELECT corpus_id, count(*) AS rows, count(abstract) AS with_abstract, count(auth
 
 Q["run_text"] = "SELECT * FROM run_texts"
 Q["strip_boilerplate"] = "SELECT * FROM stripped"
-Q["split_sentences"] = f"SELECT {K}, paper_id, pos, raw FROM pieces WHERE run_key = 'abstract'"
+Q["split_sentences"] = f"SELECT {K}, paper_id, pos, raw FROM pieces"
 Q["min_len"] = f"""
 SELECT {K}, CAST(sum(CASE WHEN length({STRIP('raw')}) > 30 THEN 1 ELSE 0 END) AS BIGINT) AS kept,
        CAST(sum(CASE WHEN length({STRIP('raw')}) > 30 THEN 0 ELSE 1 END) AS BIGINT) AS dropped
@@ -425,10 +436,10 @@ SELECT {K}, src, dst, {R6('similarity')} AS similarity, rank FROM (
   SELECT a.corpus_id, a.run_key, a.sentence_id AS src, b.sentence_id AS dst, {_CSIM} AS similarity,
          CAST(row_number() OVER (PARTITION BY a.corpus_id, a.run_key, a.sentence_id
               ORDER BY {_CSIM} DESC, b.sentence_id) AS INTEGER) AS rank
-  FROM emb_members a JOIN embeddings ea ON ea.vec_id = a.sentence_id
-  JOIN emb_members b ON b.corpus_id = a.corpus_id AND b.run_key = a.run_key AND b.sentence_id <> a.sentence_id
+  FROM emb_rows a JOIN embeddings ea ON ea.vec_id = a.sentence_id
+  JOIN emb_rows b ON b.corpus_id = a.corpus_id AND b.run_key = a.run_key AND b.sentence_id <> a.sentence_id
   JOIN embeddings eb ON eb.vec_id = b.sentence_id
-  WHERE a.run_key = 'abstract') WHERE rank <= 15"""
+) WHERE rank <= 15"""
 Q["drop_small"] = f"SELECT {K}, sentence_id, cluster_id FROM emb_valid"
 Q["cluster_stats"] = f"""
 SELECT {K}, CAST(sum(CASE WHEN cluster_id = -1 THEN n ELSE 0 END) AS BIGINT) AS noise_count,

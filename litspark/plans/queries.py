@@ -40,23 +40,32 @@ def joined(c, sep: str = " | "):
 # -- 2.1 sources and sinks ---------------------------------------------------------
 
 def _raw_csv(spark, sf_dir) -> str:
-    """Write the raw export view to CSV (header names of the export) in the
-    shared scratch folder, ordered by row_id, and return its path."""
+    """Write the raw export view as a real export has it (the export's header names in another
+    order, among other columns, in several files in row order) and return the folder."""
     raw = P.raw_papers_from_documents(spark, sf_dir)
-    out = raw.select("row_id", *[F.col(s).alias(h) for h, s in P.EXPORT_COLUMNS])
+    name = {s: h for h, s in P.EXPORT_COLUMNS}
+    order = ["source_title", "year", "abstract", "title", "cited_by", "authors", "author_keywords"]
+    out = raw.repartitionByRange(4, "row_id").sortWithinPartitions("row_id").select(
+        F.concat(F.lit("2-s2.0-"), F.col("row_id")).alias("EID"), *[F.col(s).alias(name[s]) for s in order[:4]],
+        F.concat(F.lit("10.1000/"), F.col("row_id")).alias("DOI"), *[F.col(s).alias(name[s]) for s in order[4:]])
     path = scratch_path(spark, "raw_csv")
-    write_csv(out, path, order_by=["row_id"], drop=["row_id"])
+    write_csv(out, path)
     return path
 
 
+def _numbered(papers):
+    """row_no instead of row_id: the position in the export."""
+    return clean.sequence(papers, ["row_id"], "row_no").drop("corpus_id", "row_id")
+
+
 @q("src_csv")
 def src_csv(spark, sf_dir):
-    return P.read_papers(spark, _raw_csv(spark, sf_dir)).drop("corpus_id", "row_id")
+    return _numbered(P.read_papers(spark, _raw_csv(spark, sf_dir)))
 
 
 @q("src_csv_strict")
 def src_csv_strict(spark, sf_dir):
-    return P.read_papers(spark, _raw_csv(spark, sf_dir), strict=True).drop("corpus_id", "row_id")
+    return _numbered(P.read_papers(spark, _raw_csv(spark, sf_dir), strict=True))
 
 
 @q("sink_csv")
@@ -80,9 +89,9 @@ def sink_projected_csv(spark, sf_dir):
 def _store(spark, sf_dir) -> StageStore:
     tax, th, tmap, labels, p = D.emb_taxonomy(spark, sf_dir)
     st = StageStore(spark, scratch_path(spark, "stages"))
-    st.write("labels", labels.filter(F.col("run_key") == "abstract"))
-    st.write("themes", th.filter(F.col("run_key") == "title"))
-    st.write("taxonomy", tax.filter((F.col("run_key") == "title") & (F.col("corpus_id") == "emb1")))
+    st.write("labels", labels)
+    st.write("themes", th)
+    st.write("taxonomy", tax)
     return st
 
 
@@ -200,7 +209,7 @@ def strip_boilerplate(spark, sf_dir):
 
 @q("split_sentences")
 def split_sentences(spark, sf_dir):
-    t = text.strip_boilerplate(text.run_text(_papers(spark, sf_dir), "abstract"))
+    t = text.strip_boilerplate(text.run_texts(_papers(spark, sf_dir)))
     return text.split_sentences(t).select(*KEYS, "paper_id", "pos", "raw")
 
 
@@ -231,7 +240,7 @@ def corpus_stats(spark, sf_dir):
 
 @q("embed")
 def embed_q(spark, sf_dir):
-    s = text.sentence_table(text.run_text(_papers(spark, sf_dir), "abstract"))
+    s = text.sentence_table(text.run_texts(_papers(spark, sf_dir)))
     e = embed.embed(s, "sentence")
     return e.select(*KEYS, "sentence_id", F.size("embedding").alias("dim"),
                     r6(F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x))).alias("norm"))
@@ -245,7 +254,7 @@ def reduce_dims(spark, sf_dir):
 
 
 def _emb_points(spark, sf_dir, k: int | None = None, reduce: bool = False):
-    m = D.emb_members(spark, sf_dir).filter(F.col("run_key") == "abstract")
+    m = D.emb_rows(spark, sf_dir)
     v = D.emb_vectors(spark, sf_dir)
     if reduce:
         v = embed.reduce_dims(v, k)
@@ -257,7 +266,7 @@ def _emb_points(spark, sf_dir, k: int | None = None, reduce: bool = False):
 
 @q("knn_graph")
 def knn_graph(spark, sf_dir):
-    m = D.emb_members(spark, sf_dir).filter(F.col("run_key") == "abstract")
+    m = D.emb_rows(spark, sf_dir)
     pts = m.join(D.emb_vectors(spark, sf_dir), "sentence_id").select(*KEYS, "sentence_id", F.col("embedding").alias("vec"))
     g = embed.knn_graph(pts, embed.KNN_K, metric="cosine")
     return g.select(*KEYS, "src", "dst", r6("similarity").alias("similarity"), "rank")
@@ -287,17 +296,17 @@ def cluster_stats(spark, sf_dir):
 @q("centroid")
 def centroid(spark, sf_dir):
     m = _emb_valid(spark, sf_dir)
-    c = topics.centroids(m, D.emb_vectors(spark, sf_dir))
+    c = topics.centroids(D.with_vectors(spark, sf_dir, m), None)
     return c.select(*KEYS, "cluster_id", F.posexplode("centroid").alias("dim", "value")).withColumn("value", r6("value"))
 
 
 @q("cosine")
 def cosine(spark, sf_dir):
     m, v, t = D.emb_topics(spark, sf_dir)[:3]
-    j = m.filter(F.col("cluster_id") != -1).join(v, "sentence_id").join(
+    j = v.join(
         t.select(*KEYS, "cluster_id", "centroid"), [*KEYS, "cluster_id"])
     from ..functions.vec import dim_of, with_cosine
-    j = with_cosine(j, "embedding", "centroid", "similarity", dim_of(v, "embedding"))
+    j = with_cosine(j, "embedding", "centroid", "similarity", dim_of(D.emb_vectors(spark, sf_dir), "embedding"))
     return j.select(*KEYS, "sentence_id", "cluster_id", r6("similarity").alias("similarity"))
 
 
@@ -314,7 +323,7 @@ def _topic_flat(t: DataFrame) -> DataFrame:
 @q("topic_summary")
 def topic_summary(spark, sf_dir):
     m = _emb_valid(spark, sf_dir)
-    t, p = topics.topic_summary(m, D.emb_vectors(spark, sf_dir))
+    t, p = topics.topic_summary(D.with_vectors(spark, sf_dir, m), None)
     return _topic_flat(t)
 
 

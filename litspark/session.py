@@ -4,6 +4,7 @@ shared folder that per-round state and lineage cuts are written to."""
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -44,14 +45,17 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster this setting names a shared file system folder and is read,
-    never overridden. Only where it is unset (local tests) do we set one under
+    On a cluster this setting (or ``setCheckpointDir``, if the application called it) names a
+    shared folder; it is read, never overridden, and it is an error if there is none: a folder of
+    the driver's machine is out of the executors' reach. Only a local master gets one under
     a fresh temporary folder."""
     sc = spark.sparkContext
-    d = sc.getConf().get("spark.checkpoint.dir") or _LOCAL_DIRS.get(sc.applicationId)
+    d = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir() or _LOCAL_DIRS.get(sc.applicationId)
     if not d:
-        d = tempfile.mkdtemp(prefix="litspark-ckpt-")
-        _LOCAL_DIRS[sc.applicationId] = d
+        if not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        d = _LOCAL_DIRS[sc.applicationId] = tempfile.mkdtemp(prefix="litspark-ckpt-")
+    if not sc.getCheckpointDir():
         sc.setCheckpointDir(d)
     return d
 

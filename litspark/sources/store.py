@@ -6,8 +6,6 @@ step to run first."""
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -55,17 +53,11 @@ class StageStore:
              .parquet(self.path(stage)))
 
     def exists(self, stage: str) -> bool:
-        p = self.path(stage)
-        if p.startswith("/") or p.startswith("file:"):
-            # Local folder: check it first instead of provoking a failed read.
-            local = p[len("file:"):] if p.startswith("file:") else p
-            if not os.path.isdir(local):
-                return False
-        try:
-            self.spark.read.parquet(self.path(stage)).schema
-            return True
-        except Exception:  # noqa: BLE001 - any read failure means "not there"
-            return False
+        """Whether the stage was written: asked of the file system that holds ``root`` (any that
+        Spark reads). Errors of that file system are raised, not taken as absence."""
+        jvm = self.spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(self.path(stage))
+        return path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).exists(path)
 
     def read(self, stage: str) -> DataFrame:
         if not self.exists(stage):

@@ -25,10 +25,10 @@ DOCUMENT_SCHEMA = T.StructType([
 
 def document_papers(docs: DataFrame) -> DataFrame:
     """Papers view of document rows (corpus = source, Abstract = text,
-    Title = first line cut to 80 characters)."""
+    Title = the whole first line)."""
     return docs.select(
         F.col("source").alias("corpus_id"), F.col("doc_id").alias("paper_id"),
-        F.substring(F.substring_index("text", "\n", 1), 1, 80).alias("title"),
+        F.substring_index("text", "\n", 1).alias("title"),
         F.col("text").alias("abstract"))
 
 
