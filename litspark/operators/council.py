@@ -106,13 +106,31 @@ def clean_response(c) -> F.Column:
     return F.when(arr != "", arr).otherwise(t)
 
 
+def _typed(item, schema: T.StructType):
+    """The fields of a parsed object, each cast on its own: a value that isn't of its field's
+    type leaves that field NULL and the others as they are (numbers may come as text, integers as 2.0)."""
+    def cast(f: T.StructField):
+        c = item[f.name]
+        if isinstance(f.dataType, T.StringType):
+            return c.alias(f.name)
+        if isinstance(f.dataType, T.IntegerType):
+            d = c.try_cast("double")
+            return F.when(d == F.floor(d), d.try_cast("int")).alias(f.name)
+        return c.try_cast(f.dataType).alias(f.name)
+
+    return F.struct(*[cast(f) for f in schema.fields])
+
+
 def parse_json_array(df: DataFrame, text_col: str, schema: T.StructType) -> DataFrame:
     """Adds ``items ARRAY<schema>``: NULL when the text is not a JSON array
     (an object, truncated JSON, prose) -- such a batch yields no rows, the
-    others proceed."""
+    others proceed. The array is read as text elements first and each
+    element by itself, so one that is no object is a NULL item and costs no other."""
     cand = clean_response(text_col)
-    parsed = F.when(cand.startswith("["), F.from_json(cand, T.ArrayType(schema)))
-    return df.withColumn("items", parsed)
+    elements = F.when(cand.startswith("["), F.from_json(cand, T.ArrayType(T.StringType())))
+    as_text = T.StructType([T.StructField(f.name, T.StringType()) for f in schema.fields])
+    items = F.transform(elements, lambda e: F.when(e.startswith("{"), _typed(F.from_json(e, as_text), schema)))
+    return df.withColumn("items", items)
 
 
 def explode_items(parsed: DataFrame, keep) -> DataFrame:

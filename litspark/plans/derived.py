@@ -145,6 +145,9 @@ def wrap_response(model_idx, run_key, body) -> F.Column:
     """How responses arrive: voice 1 with prose around the array, voice 3
     with a <think> block (containing brackets) and a code fence, and voice 2
     cut short on the title runs (unparseable: that voice falls back)."""
+    # Elements that are no objects, and numbers as text, as careless models write them.
+    body = F.regexp_replace(body, r"\]$", ', 17, "note", null, [1]]')
+    body = F.when(model_idx == 2, F.regexp_replace(body, r'"confidence":([0-9.]+)', r'"confidence":"$1"')).otherwise(body)
     plain = F.concat(F.lit("Here are the labels:\n"), body, F.lit("\nDone."))
     think = F.concat(F.lit("<think>draft [1, 2] ideas</think>\n```json\n"), body, F.lit("\n```"))
     cut = F.expr("substring(_body, 1, length(_body) - 2)")
@@ -183,7 +186,8 @@ def arbiter_responses(decisions: DataFrame, keys=KEYS) -> DataFrame:
     o = F.least(F.col("o"), F.max(F.when(F.col("o") < 1000, F.col("o"))).over(last))
     d = d.withColumn("batch", F.floor((o - 1) / council.ARBITER_BATCH_SIZE).cast("int"))
     g = d.groupBy(*keys, "batch").agg(F.array_sort(F.collect_list(F.struct("o", "i"))).alias("_l"))
-    return g.select(*keys, "batch", F.to_json(F.transform("_l", lambda x: x["i"])).alias("response"))
+    body = F.regexp_replace(F.to_json(F.transform("_l", lambda x: x["i"])), r'"winning_model":([0-9]+)', r'"winning_model":$1.0')
+    return g.select(*keys, "batch", body.alias("response"))
 
 
 def responses(spark, sf_dir) -> DataFrame:

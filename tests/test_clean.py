@@ -108,3 +108,43 @@ def test_sequence_across_partitions(spark):
     exp = df.withColumn("seq", F.row_number().over(w))
     assert got.select("g", "v", "seq").exceptAll(exp.select("g", "v", "seq")).count() == 0
     assert got.count() == 5000
+
+
+def test_columns_by_header_name_and_rows_in_file_order(spark, tmp_dir):
+    header = ["EID", "Year", "Title", "DOI", "Authors", "Source title", "Cited by", "Abstract", "Author Keywords", "Link"]
+    import os
+    os.makedirs(f"{tmp_dir}/export")
+    big = [[f"e{i}", "2020", f"Title {i}", "10/x", "A", "J", str(i), "text " * 50, "k", "l"] for i in range(300)]
+    write_rows(f"{tmp_dir}/export/part-1.csv", [["e", "2019", "First title", "d", "A", "J", "1", "abs\nline", "k", "l"],
+                                               ["e", "2019", "Too long", "d", "A", "J", "1", "abs", "k", "l", "more"],
+                                               ["e", "2019", "Too short"]], header)
+    write_rows(f"{tmp_dir}/export/part-2.csv", big, header)
+    got = P.read_papers(spark, f"{tmp_dir}/export").orderBy("row_id").collect()
+    assert [r.title for r in got] == ["First title", "Too short", *[f"Title {i}" for i in range(300)]]
+    assert (got[0].authors, got[0].year, got[0].abstract, got[0].cited_by) == ("A", "2019", "abs\nline", "1")
+    assert (got[1].title, got[1].authors, got[1].abstract) == ("Too short", None, None)
+    assert len({r.row_id for r in got}) == len(got)
+    with pytest.raises(P.MalformedCsv):
+        P.read_papers(spark, f"{tmp_dir}/export", strict=True)
+
+
+def test_missing_column_and_differing_headers(spark, tmp_dir):
+    import os
+    write_rows(f"{tmp_dir}/missing.csv", [["A", "T", "abs", "1", "J", "2020"]], [h for h in HEADER if h != "Author Keywords"])
+    df = P.read_papers(spark, f"{tmp_dir}/missing.csv")
+    assert df.first().abstract == "abs" and "author_keywords" not in df.columns
+    with pytest.raises(C.MissingColumns, match="author_keywords"):
+        C.clean_select(df)
+    os.makedirs(f"{tmp_dir}/mixed")
+    write_rows(f"{tmp_dir}/mixed/a.csv", [["A", "T", "abs", "k", "1", "J", "2020"]])
+    write_rows(f"{tmp_dir}/mixed/b.csv", [["T", "A", "abs", "k", "1", "J", "2020"]], ["Title", "Authors", *HEADER[2:]])
+    with pytest.raises(Exception, match="(?i)header"):
+        P.read_papers(spark, f"{tmp_dir}/mixed").collect()
+
+
+@pytest.mark.parametrize("text,value", [("5", 5), (" 1e3 ", 1000), ("5d", None), ("2015f", None), ("Infinity", None), (" NaN ", None), ("0x10", None),
+                                        ("3000000000", 3000000000), ("1e999", None), ("1e18", 10**18), ("1e19", None), ("", None), (None, None), (".5", 0)])
+def test_numbers(spark, text, value):
+    df = spark.createDataFrame([(text,)], "cited_by string")
+    got = C.clean_cited(df).collect()
+    assert [r.cited_by for r in got] == ([] if value is None else [value])

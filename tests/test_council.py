@@ -85,3 +85,15 @@ def test_batches_and_blocks(spark):
     blk = C.topic_block(ranked(spark)).orderBy("cluster_id").first().block
     assert blk == "TOPIC 1 (size=30, papers=10):\n  - s1\n  - s2"
     assert [r[1] for r in C.model_rows()] == C.COUNCIL_MODELS and [r[2] for r in C.model_rows()] == [15, 15, 10]
+
+
+def test_items_are_parsed_one_by_one(spark):
+    rows = [(0, 0, '[1, {"cluster_id": 1, "label": "A", "confidence": "0.9"}, null, "x", {"cluster_id": 2, "confidence": [1], "niche": "true"}]'),
+            (1, 0, '[{"cluster_id": 1, "label": "A"},]'), (2, 0, "[]")]
+    p = {(r.item_pos, r.cluster_id, r.label, r.confidence, r.niche) for r in C.proposals_from_responses(responses(spark, rows)).collect()}
+    assert p == {(1, "1", "A", 0.9, None), (4, "2", None, None, True)}
+    parsed = C.parse_json_array(responses(spark, rows), "response", C.PROPOSAL_SCHEMA)
+    assert [r.model_idx for r in C.isolate_failures(parsed, ["model_idx"]).collect()] == [1]
+    resp = spark.createDataFrame([("c", "abstract", 0, '[{"cluster_id": 1, "winning_model": 2.0}, {"cluster_id": 2, "winning_model": "1"}, '
+                                                       '{"cluster_id": 3, "winning_model": 1.5}]')], f"{KEYS}, batch int, response string")
+    assert [(r.cluster_id, r.winning_model) for r in C.decisions_from_responses(resp).orderBy("cluster_id").collect()] == [("1", 2), ("2", 1), ("3", None)]
