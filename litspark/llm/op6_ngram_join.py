@@ -41,32 +41,26 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, fresh, nonnull_text, session, table, written
+from .common import WHITE, components, fresh, nonnull_text, session, table, written
 
 N = 4
 PERCENT = 85
 FREQUENT = 32
-BITMAP_BITS = 27       # known shingles: 2^27 bits, 16 MB, and as many for frequent ones
+BITMAP_BITS = 26       # known shingles: 2^26 bits, 8 MB, and as many for frequent ones
 ACTIVE_BITS = 24       # prefilter of documents by id: 2^24 bits
 CHUNK = 4096
 LEAF = 16
 FANOUT = 4
-MEMO_WORDS = 400_000
+BLOCK_BYTES = 1_000_000
 
 _M = np.uint64(0x9E3779B97F4A7C15)
 
 
-class _Words(dict):
-    """Word to 64-bit hash, bounded."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > MEMO_WORDS:
-            self.clear()
-        v = self[word] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-        return v
-
-
-_WORDS = _Words()
+_BASES = (np.uint64(0xC6A4A7935BD1E995), np.uint64(0xD6E8FEB86659FD93))
+_FOLD = np.arange(256, dtype=np.uint8)
+_FOLD[65:91] += 32
+_SPACE = np.zeros(256, bool)
+_SPACE[[ord(c) for c in WHITE]] = True
 
 
 def _spread(x: np.ndarray) -> np.ndarray:
@@ -75,19 +69,64 @@ def _spread(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _word_hashes(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Two polynomials over the bytes of each word and its length, mixed to 64 bits."""
+    which = np.repeat(np.arange(len(starts)), sizes)
+    first = np.cumsum(sizes) - sizes
+    within = np.arange(len(which)) - first[which]
+    letters = data[starts[which] + within].astype(np.uint64) + np.uint64(1)
+    out = _spread(sizes.astype(np.uint64) * _M)
+    longest = int(sizes.max())
+    for base in _BASES:
+        power = np.cumprod(np.full(longest, base, np.uint64))
+        out = _spread(out * _M + np.add.reduceat(letters * power[within], first))
+    return out
+
+
+def shingle_sets(texts: pa.Array, n: int = N, block_bytes: int = BLOCK_BYTES) -> Iterator[np.ndarray]:
+    """The sorted distinct shingle hashes of each text (no nulls), in order, a block of texts at a time."""
+    texts = texts.cast(pa.large_string())
+    if not len(texts):
+        return
+    ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset:texts.offset + len(texts) + 1]
+    raw = texts.buffers()[2]
+    data = np.frombuffer(raw, np.uint8) if raw is not None and raw.size else np.zeros(0, np.uint8)
+    a = 0
+    while a < len(texts):
+        z = max(a + 1, int(np.searchsorted(ends, ends[a] + block_bytes, side="right")) - 1)
+        d = _FOLD[data[ends[a]:ends[z]]]
+        rows = ends[a:z + 1] - ends[a]
+        word = ~_SPACE[d]
+        begin = word.copy()
+        begin[1:] &= ~word[:-1]
+        first = rows[:-1][rows[:-1] < len(d)]
+        begin[first] = word[first]  # a word never goes on in the next text
+        stop = word.copy()
+        stop[:-1] &= ~word[1:] | begin[1:]
+        starts = np.flatnonzero(begin)
+        bounds = np.searchsorted(starts, rows)
+        if len(starts):
+            hashes = _word_hashes(d, starts, np.flatnonzero(stop) + 1 - starts)
+            m = max(0, len(hashes) - n + 1)
+            grams = hashes[:m] + np.uint64(n)
+            for i in range(1, n):
+                grams = _spread(grams) * _M + hashes[i:i + m]
+            grams = _spread(grams)
+        for i, j in zip(bounds.tolist(), bounds[1:].tolist()):
+            if j - i >= n:
+                yield np.unique(grams[i:j - n + 1])
+            elif j > i:  # a short text is one shingle
+                h = hashes[i:i + 1] + np.uint64(j - i)
+                for k in range(i + 1, j):
+                    h = _spread(h) * _M + hashes[k:k + 1]
+                yield _spread(h)
+            else:
+                yield np.zeros(0, np.uint64)
+        a = z
+
+
 def shingle_set(text: str, n: int = N) -> np.ndarray:
-    """Sorted distinct shingle hashes; ``bytes.lower`` and ``bytes.split`` know just
-    A-Z and the white space meant here."""
-    words = text.encode().lower().split()
-    k = len(words)
-    if not k:
-        return np.zeros(0, np.uint64)
-    h = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, k)
-    width = min(n, k)
-    out = h[:k - width + 1] + np.uint64(width)
-    for i in range(1, width):
-        out = _spread(out) * _M + h[i:k - width + 1 + i]
-    return np.unique(_spread(out))
+    return next(shingle_sets(pa.array([text]), n))
 
 
 def prefix_length(n: int, percent: int = PERCENT) -> int:
@@ -98,29 +137,11 @@ def _texts(documents: DataFrame) -> DataFrame:
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), nonnull_text().alias("text"))
 
 
-def known_shared(documents: DataFrame, n: int, percent: int) -> np.ndarray:
-    """Two bitmaps over the hash space, shingles known as shared and as frequent, as 64-bit words.
-    Counted over all texts; what comes to the driver has the bitmaps' fixed size at most."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out, size = [], 0
-            for x in b.column(0):
-                s = shingle_set(x.as_py(), n)
-                if len(s):
-                    out.append(s[:2 * prefix_length(len(s), percent)])
-                    size += len(out[-1])
-                if size > 1 << 20:
-                    yield _tokens(out)
-                    out, size = [], 0
-            if out:
-                yield _tokens(out)
-
-    def _tokens(parts):
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts).view(np.int64))], ["token"])
-
+def known(tokens: DataFrame) -> np.ndarray:
+    """Two bitmaps over the hash space, shingles known as shared and as frequent, as 64-bit words, from
+    all rows of ``tokens(token)``. What comes to the driver has the bitmaps' fixed size at most."""
     slot = F.shiftrightunsigned("token", 64 - BITMAP_BITS)
-    counts = (_texts(documents).select("text").mapInArrow(run, "token long").groupBy("token").agg(F.count("*").alias("c"))
+    counts = (tokens.groupBy("token").agg(F.count("*").alias("c"))
               .filter("c > 1").select(slot.alias("slot"), (F.col("c") >= FREQUENT).alias("often")))
     words = counts.groupBy(F.shiftright("slot", 6).cast("int").alias("word")).agg(
         F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("shared"),
@@ -132,6 +153,29 @@ def known_shared(documents: DataFrame, n: int, percent: int) -> np.ndarray:
     return np.stack([shared, often])
 
 
+def _token_batches(sets_: Iterator[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    out, size = [], 0
+    for s in sets_:
+        if len(s):
+            out.append(s)
+            size += len(s)
+        if size > 1 << 19:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64))], ["token"])
+            out, size = [], 0
+    if out:
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64))], ["token"])
+
+
+def known_shared(documents: DataFrame, n: int, percent: int) -> np.ndarray:
+    """``known`` over the lowest-hash part (twice the prefix) of every text's set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield from _token_batches(s[:2 * prefix_length(len(s), percent)] for s in shingle_sets(b.column(0), n))
+
+    return known(_texts(documents).select("text").mapInArrow(run, "token long"))
+
+
 def in_prefix(s: np.ndarray, known: np.ndarray, percent: int) -> np.ndarray:
     """The first shingles of a set in the order (known frequent, known shared, hash)."""
     slot = (s >> np.uint64(64 - BITMAP_BITS)).astype(np.int64)
@@ -150,10 +194,8 @@ def sets(documents: DataFrame, known: np.ndarray, n: int, percent: int) -> DataF
             for a in range(0, b.num_rows, 1024):
                 part = b.slice(a, 1024)
                 size, cls, own, pre = [], [], [], []
-                for x in part.column(1):
-                    text = x.as_py()
-                    s = shingle_set(text, n)
-                    own.append(hashlib.md5(text.encode()).hexdigest())
+                for x, s in zip(part.column(1), shingle_sets(part.column(1), n)):
+                    own.append(hashlib.md5(x.as_buffer()).hexdigest())
                     digest = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
                     size.append(len(s))
                     cls.append(digest)
@@ -392,8 +434,7 @@ def _member_sets(documents: DataFrame, active: DataFrame, n: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keep, out = [], []
-            for i, (cls, x) in enumerate(zip(b.column(2), b.column(3))):
-                s = shingle_set(x.as_py(), n)
+            for i, (cls, s) in enumerate(zip(b.column(2), shingle_sets(b.column(3), n))):
                 if hashlib.blake2b(s.tobytes(), digest_size=16).digest() == cls.as_py():  # ids may repeat
                     keep.append(i)
                     out.append(s.tobytes())
