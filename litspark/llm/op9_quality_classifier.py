@@ -66,7 +66,7 @@ def features(text: str) -> tuple[np.ndarray, float]:
     code = np.fromiter((get(t) or _code(t) for t in tokens), np.uint64, n)
     word, shape = code >> np.uint64(32), code & np.uint64(0xFFFFFFFF)
     mul, top = np.uint64(0x9E3779B97F4A7C15), np.uint64(64 - BITS)
-    grams = [(word + np.uint64(1)) * mul, ((word[:-1] * mul) ^ word[1:]) * mul + np.uint64(2) * mul,
+    grams = [(word + np.uint64(1)) * mul, (((word[:-1] * mul) ^ word[1:]) + np.uint64(2)) * mul,
              (shape + np.uint64(3 << 33)) * mul]
     two = (shape[:-1] * mul) ^ shape[1:]
     grams += [(two + np.uint64(5)) * mul, (((two[:-1] * mul) ^ shape[2:]) + np.uint64(7)) * mul]
