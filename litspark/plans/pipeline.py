@@ -16,8 +16,9 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import cluster, compare, council, embed, review, taxonomy, text, themes, topics
+from ..operators import clean, cluster, compare, council, embed, review, taxonomy, text, themes, topics
 from ..session import KEYS
+from ..sources.papers import read_papers
 from ..sources.store import StageStore
 
 # The Ward cut of the reference (1.5) is for its 10-d UMAP space. In the
@@ -97,8 +98,10 @@ def map_taxonomy(th: DataFrame, responses: DataFrame | None = None, embedder=Non
     return taxonomy.merge_taxonomy(th, mapped)
 
 
-def compare_runs(th: DataFrame, tmap: DataFrame, labels: DataFrame) -> DataFrame:
-    v = compare.theme_vectors_from_centroids(th, tmap, labels)
+def compare_runs(th: DataFrame, tmap: DataFrame | None = None, labels: DataFrame | None = None, embedder=None) -> DataFrame:
+    """Themes compared by their embedded names; with a theme map and labels, by the
+    mean of their topics' centroids."""
+    v = compare.theme_vectors_from_names(th, embedder) if tmap is None else compare.theme_vectors_from_centroids(th, tmap, labels)
     return compare.comparison(v.filter(F.col("run_key") == "abstract").drop("run_key"),
                               v.filter(F.col("run_key") == "title").drop("run_key"))
 
@@ -106,8 +109,11 @@ def compare_runs(th: DataFrame, tmap: DataFrame, labels: DataFrame) -> DataFrame
 @dataclass
 class Pipeline:
     """Stage-stored run over a paper table (corpus_id, paper_id, title,
-    abstract, ...): every stage is written once under ``root`` partitioned by
-    (corpus_id, run_key) and read back by later stages."""
+    abstract, ...): every stage is kept under ``root`` partitioned by
+    (corpus_id, run_key) and read back by later stages. A (corpus, run) is built
+    once: a call builds those that it asks for and the store lacks, and leaves the others'
+    partitions as they are. IDF and PCA are fitted over what a call builds together; stored
+    vectors are never fitted again, so a corpus added later changes no other."""
     spark: SparkSession
     root: str
     threshold: float = DEFAULT_THRESHOLD
@@ -117,38 +123,65 @@ class Pipeline:
     def __post_init__(self):
         self.store = StageStore(self.spark, self.root)
 
-    def discover_and_label(self, papers: DataFrame, run_keys=("abstract",)) -> DataFrame:
-        if self.store.exists("labels") and not self.store.read("labels").isEmpty():
-            return self.store.read("labels")          # compute-once, like the reference's cache
-        if self.store.exists("embeddings") and not self.store.read("embeddings").isEmpty():
-            # Re-clustering (e.g. another threshold) reuses the stored vectors
-            # and the reduced points (the reference recomputes the reduction).
-            sent = self.store.read("sentences")
-            pre = (self.store.read("embeddings"), self.store.read("reduced"))
+    def _keys(self, stage: str) -> DataFrame:
+        return self.store.read(stage).select(*KEYS).distinct()
+
+    def load_export(self, path: str, corpus_id: str, current_year: int, strict: bool = False) -> DataFrame:
+        """A raw bibliographic export -> cleaned papers, stored as one corpus."""
+        raw = read_papers(self.spark, path, strict, corpus_id)
+        papers = clean.papers_view(clean.clean_papers(raw, current_year))
+        self.store.write("papers", papers, partition_by=("corpus_id",))
+        return self.store.read("papers").filter(F.col("corpus_id") == corpus_id)
+
+    def run_export(self, path: str, corpus_id: str, current_year: int, run_keys=("abstract", "title")) -> tuple[DataFrame, DataFrame]:
+        """Raw export -> clean -> statistics and labelled topics, in one call."""
+        papers = self.load_export(path, corpus_id, current_year)
+        return text.corpus_stats(papers), self.discover_and_label(papers, run_keys).filter(F.col("corpus_id") == corpus_id)
+
+    def discover_and_label(self, papers: DataFrame | None, run_keys=("abstract",)) -> DataFrame:
+        """Labels of the asked (corpus, run) pairs; without papers, of all whose vectors are stored."""
+        if papers is None:
+            wanted = self._keys("embeddings")
         else:
+            wanted = papers.select("corpus_id").distinct().select(
+                "corpus_id", F.explode(F.array(*map(F.lit, run_keys))).alias("run_key"))
+        todo = wanted
+        if self.store.exists("assignments"):
+            todo = wanted.join(self._keys("assignments"), list(KEYS), "left_anti")
+        todo = todo.checkpoint()
+        if not todo.isEmpty():
+            self._build(papers, todo, run_keys)
+        return self.store.read("labels").join(wanted, list(KEYS), "left_semi")
+
+    def _build(self, papers: DataFrame | None, todo: DataFrame, run_keys) -> None:
+        new = todo
+        if self.store.exists("embeddings"):
+            # Re-clustering (another threshold) reuses the stored vectors and the reduced points.
+            new = todo.join(self._keys("embeddings"), list(KEYS), "left_anti")
+        if papers is not None and not new.isEmpty():
             sent = None
             for rk in run_keys:
-                s = sentences(papers, rk)
+                mine = new.filter(F.col("run_key") == rk).select("corpus_id")
+                s = sentences(papers.join(mine, "corpus_id", "left_semi"), rk)
                 sent = s if sent is None else sent.unionByName(s)
             self.store.write("sentences", sent)
-            sent = self.store.read("sentences")
+            sent = self.store.read("sentences").join(new, list(KEYS), "left_semi")
             vec, red = vectors_and_reduced(sent, self.embedder)
             self.store.write("embeddings", vec)
             self.store.write("reduced", red)
-            pre = (self.store.read("embeddings"), self.store.read("reduced"))
-        vec, members, t, p, ev, ranked = discover(sent, self.threshold, self.embedder, precomputed=pre)
-        self.store.write("assignments", members.select(*KEYS, "sentence_id", "paper_id", "cluster_id"))
+        mine = [self.store.read(s).join(todo, list(KEYS), "left_semi") for s in ("sentences", "embeddings", "reduced")]
+        vec, members, t, p, ev, ranked = discover(mine[0], self.threshold, self.embedder, precomputed=(mine[1], mine[2]))
         self.store.write("topic_papers", p)
         self.store.write("topics", ranked)
-        lab = label(members, ev, ranked)
-        self.store.write("labels", lab)
-        return self.store.read("labels")
+        self.store.write("labels", label(members, ev, ranked))
+        # Last: a pair with assignments is done, also one without a topic.
+        self.store.write("assignments", members.select(*KEYS, "sentence_id", "paper_id", "cluster_id"))
 
     def recluster(self, threshold: float) -> DataFrame:
-        """New cut over the stored vectors: labels and later stages are
+        """New cut over the stored vectors: assignments and everything after them are
         recomputed, embeddings and reduced points reused."""
         self.threshold = threshold
-        for st in ("labels", "themes", "theme_map", "taxonomy", "comparison"):
+        for st in ("assignments", "topics", "topic_papers", "labels", "themes", "theme_map", "taxonomy", "comparison"):
             self.store.clear(st)
         return self.discover_and_label(None)
 
@@ -160,7 +193,7 @@ class Pipeline:
 
     def compare(self) -> DataFrame:
         """Abstract-run versus title-run themes per corpus (needs both runs)."""
-        comp = compare_runs(self.store.read("themes"), self.store.read("theme_map"), self.store.read("labels"))
+        comp = compare_runs(self.store.read("themes"), embedder=self.embedder)
         self.store.write("comparison", comp, partition_by=("corpus_id",))
         return self.store.read("comparison")
 

@@ -6,8 +6,13 @@ step to run first."""
 
 from __future__ import annotations
 
+import json
+
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import KEYS
 
@@ -39,38 +44,62 @@ class StageStore:
         return f"{self.root}/{stage}"
 
     def write(self, stage: str, df: DataFrame, partition_by=KEYS) -> None:
+        """Replace the partitions (corpus, run) that ``df`` has rows of; others stay."""
         cols = [c for c in partition_by if c in df.columns]
         w = df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         if cols:
             w = w.partitionBy(*cols)
         w.parquet(self.path(stage))
+        # A partitioned write without rows leaves no file; keep the columns readable.
+        self._write_schema(stage, df)
+
+    def _file_system(self, stage: str):
+        """(Hadoop path, its file system): whatever Spark can read, not the driver's disk."""
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path(stage))
+        return path, path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf())
+
+    def _write_schema(self, stage: str, df: DataFrame) -> None:
+        path, fs = self._file_system(f"_schemas/{stage}")
+        out = fs.create(path, True)
+        try:
+            out.write(bytearray(df.schema.json().encode()))
+        finally:
+            out.close()
+
+    def _schema(self, stage: str) -> T.StructType | None:
+        if not self.exists(f"_schemas/{stage}"):
+            return None
+        text = self.spark.read.text(self.path(f"_schemas/{stage}"), wholetext=True).first()[0]
+        return T.StructType.fromJson(json.loads(text))
 
     def clear(self, stage: str) -> None:
-        """Empty a stage: overwrite the whole table (static mode) with no rows."""
-        if self.exists(stage):
-            df = self.spark.read.parquet(self.path(stage))
-            (df.limit(0).write.mode("overwrite").option("partitionOverwriteMode", "static")
-             .parquet(self.path(stage)))
+        """Take a stage out of the store."""
+        for name in (stage, f"_schemas/{stage}"):
+            path, fs = self._file_system(name)
+            fs.delete(path, True)
 
     def exists(self, stage: str) -> bool:
         """Whether the stage was written: asked of the file system that holds ``root`` (any that
         Spark reads). Errors of that file system are raised, not taken as absence."""
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path(stage))
-        return path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).exists(path)
+        path, fs = self._file_system(stage)
+        return fs.exists(path)
 
     def read(self, stage: str) -> DataFrame:
         if not self.exists(stage):
             raise StageMissing(f"stage '{stage}' not found under {self.root}; run {PRODUCER.get(stage, stage)} first")
-        return self.spark.read.parquet(self.path(stage))
+        schema = self._schema(stage)
+        return (self.spark.read.schema(schema) if schema else self.spark.read).parquet(self.path(stage))
 
-    def cached(self, stage: str, build, keys_filter: DataFrame | None = None) -> DataFrame:
-        """Compute-once: read the stage when it exists and is non-empty,
-        else build it, write it and read it back."""
+    def cached(self, stage: str, build) -> DataFrame:
+        """Compute-once: read the stage when it exists, is readable and non-empty, else build it,
+        write it and read it back (a stage with a broken file is built again)."""
         if self.exists(stage):
-            df = self.read(stage)
-            if not df.isEmpty():
-                return df
+            try:
+                df = self.read(stage)
+                if not df.isEmpty():
+                    return df
+            except (Py4JJavaError, PySparkException):
+                pass
         self.write(stage, build())
         return self.read(stage)
 
@@ -87,6 +116,8 @@ class StageStore:
             df = self.read(s)
             keys = [k for k in KEYS if k in df.columns]
             c = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("entries"))
+            if df.isEmpty():  # written without a row: reported as such
+                c = self.spark.createDataFrame([tuple([None] * len(keys) + [0])], ", ".join(f"{k} string" for k in keys) + ", entries long")
             for k in KEYS:
                 if k not in keys:
                     c = c.withColumn(k, F.lit(None).cast("string"))

@@ -3,6 +3,7 @@ that topics get real labels), the stage store, and the driver contract."""
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as E
 from litspark.operators import council
@@ -29,7 +30,7 @@ def test_pipeline_end_to_end(spark):
     labels = pl.discover_and_label(gen_corpus(spark, 20), run_keys=("abstract", "title"))
     q = council.label_quality(labels).first()
     assert q.status == "OK" and q.topics >= 3
-    again = pl.discover_and_label(gen_corpus(spark, 20))              # compute-once
+    again = pl.discover_and_label(gen_corpus(spark, 20), run_keys=("abstract", "title"))   # compute-once
     assert again.count() == labels.count()
     files_before = set(pl.store.read("labels").inputFiles())
     emb_before = set(pl.store.read("embeddings").inputFiles())
@@ -110,3 +111,50 @@ def test_replayed_epoch_is_idempotent(spark, tmp_dir):
     write_epoch(rows, 0, stage)                        # replay of epoch 0
     got = spark.read.parquet(stage)
     assert got.count() == 3 and got.filter("epoch = 0").count() == 2
+
+
+def test_each_corpus_and_run_is_built_once(spark):
+    pl = Pipeline(spark, scratch_path(spark, "pipe"), threshold=3.0)
+    first = gen_corpus(spark, 12)
+    second = first.withColumn("corpus_id", F.lit("second"))
+    a = {tuple(r) for r in pl.discover_and_label(first).select("corpus_id", "run_key", "cluster_id", "label").collect()}
+    files = lambda: {f for s in ("labels", "embeddings", "assignments") for f in pl.store.read(s).inputFiles()}
+    before = files()
+    t = {tuple(r) for r in pl.discover_and_label(first, ("combined",)).select("corpus_id", "run_key", "cluster_id", "label").collect()}
+    assert t and {r[1] for r in t} == {"combined"} and {r[1] for r in a} == {"abstract"}
+    b = pl.discover_and_label(second).select("corpus_id", "run_key", "cluster_id", "label").collect()
+    assert b and {r.corpus_id for r in b} == {"second"}
+    assert before <= files()                                   # nothing of the first was written again
+    assert {tuple(r) for r in pl.discover_and_label(first).select("corpus_id", "run_key", "cluster_id", "label").collect()} == a
+    vec = pl.store.read("embeddings").filter("corpus_id <> 'second' and run_key = 'abstract'")
+    assert vec.count() == pl.store.read("sentences").filter("corpus_id <> 'second' and run_key = 'abstract'").count()
+
+
+def test_raw_export_to_labels(spark, tmp_dir):
+    from litspark.sources.papers import EXPORT_COLUMNS
+    from litspark.sources.sinks import write_csv
+    p = gen_corpus(spark, 12)
+    cols = [F.col(s).cast("string").alias(h) if s in p.columns else F.lit("x").alias(h) for h, s in reversed(EXPORT_COLUMNS)]
+    write_csv(p.select(F.lit("10.1/x").alias("DOI"), *cols), f"{tmp_dir}/export")
+    stats, labels = Pipeline(spark, scratch_path(spark, "pipe"), threshold=3.0).run_export(f"{tmp_dir}/export", "mine", 2026, ("abstract",))
+    s = stats.first()
+    assert s.corpus_id == "mine" and 0 < s.papers <= p.count() and s.abstract_sentences > s.papers
+    assert labels.count() >= 3
+
+
+def test_empty_and_broken_stages(spark):
+    st = StageStore(spark, scratch_path(spark, "st"))
+    rows = spark.createDataFrame([("c", "abstract", "T", 1)], "corpus_id string, run_key string, theme_name string, n int")
+    st.write("themes", rows.limit(0))
+    assert st.exists("themes") and st.read("themes").count() == 0 and st.read("themes").columns
+    inv = stage_inventory(st.counts()).first()
+    assert (inv.phase, inv.status) == ("themes", "EMPTY")
+    assert st.cached("themes", lambda: rows).count() == 1 and st.cached("themes", lambda: rows.limit(0)).count() == 1
+    assert st.files().filter("path like '%parquet%' and kb >= 0").count() > 0
+    path, fs = st._file_system("labels/corpus_id=c/run_key=abstract/part-0.parquet")
+    out = fs.create(path)
+    out.write(bytearray(b"not parquet"))
+    out.close()
+    assert st.cached("labels", lambda: rows).count() == 1
+    st.clear("themes")
+    assert not st.exists("themes")
