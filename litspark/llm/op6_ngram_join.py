@@ -12,7 +12,8 @@ components of the links.
    as the order is the same for all sets, the filter is exact whatever the bitmap holds, which
    only decides how few candidates there are. Sets that share a prefix
    shingle are chained in order of size (sorted by range, so a frequent shingle is split over
-   partitions), never paired; connected chains are blocks, and no link leaves a block.
+   partitions), never paired; connected chains are blocks, and no link leaves a block. The sets of
+   blocks, few by now, go through the same filter again, ordered by counts of all their shingles.
 3. Verification. Every block's sets meet once, in a signature tree: a node holds the OR of its
    sets' bitmaps and the range of their sizes. A dual traversal drops a pair of nodes
    when the largest possible overlap is too small for its sizes, or when all its sets are in
@@ -252,6 +253,33 @@ def chains(classes: DataFrame, percent: int) -> DataFrame:
     return edges.unionByName(classes.sparkSession.createDataFrame(across, "a long, b long")) if across else edges
 
 
+def refined(members: DataFrame, percent: int) -> DataFrame:
+    """``members(block, id, set)`` with finer blocks: the same filter within each block, in the order
+    that counting all shingles of the members gives. Members that share no prefix shingle
+    with another one of their block have no link and go."""
+
+    def flat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield from _token_batches(np.frombuffer(x.as_buffer(), np.uint64) for x in b.column(0))
+
+    shared = members.sparkSession.sparkContext.broadcast(known(members.select("set").mapInArrow(flat, "token long")))
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = shared.value
+        for b in batches:
+            size, pre = [], []
+            for block, x in zip(b.column(0).to_pylist(), b.column(2)):
+                s = np.frombuffer(x.as_buffer(), np.uint64)
+                size.append(len(s))
+                own = _spread(np.full(1, block, np.int64).view(np.uint64) + _M)  # shingles of each block for itself
+                pre.append(_spread(in_prefix(s, bits, percent) ^ own).view(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(size, pa.int64()), pa.array(pre, pa.list_(pa.int64()))], ["id", "n", "prefix"])
+
+    rows = members.select("block", "id", "set").mapInArrow(prefixes, "id long, n long, prefix array<long>")
+    blocks = components(chains(rows, percent), "refined").select(F.col("id").alias("r_id"), F.col("root").alias("r_block"))
+    return members.join(blocks, F.col("id") == F.col("r_id")).select(F.col("r_block").alias("block"), "id", "set")
+
+
 class SignatureTree:
     """Tree over sets: leaves of ``LEAF`` sets, ``FANOUT`` children per node; a node has the OR of the bitmaps,
     the range of sizes, and the most shingles that one of its sets has beyond its bits."""
@@ -390,7 +418,8 @@ def membership(documents: DataFrame, n: int = N, percent: int = PERCENT, chunk:
     slim = written(rows.filter("n > 0").groupBy("cls").agg(F.min(F.struct("uid", "doc_id")).alias("first"), F.min("doc_id").alias("low"))
                    .select("cls", F.col("first.uid").alias("id"), F.col("first.doc_id").alias("first_doc"), "low"), "classes")
     active = written(slim.join(blocks, "id").select("cls", "id", "first_doc", F.col("root").alias("block")), "active")
-    links = written(verified(_member_sets(documents, active, n), percent, chunk), "links")
+    members = refined(written(_member_sets(documents, active, n), "member-sets"), percent)
+    links = written(verified(members, percent, chunk), "links")
     roots = components(links, "links")
     named = slim.join(roots, "id", "left").select("cls", "low", F.coalesce("root", "id").alias("root"))
     return rows.drop("prefix"), written(named, "components")
