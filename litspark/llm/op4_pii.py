@@ -151,9 +151,7 @@ def disclosing(rows: DataFrame, min_support: int = MIN_SUPPORT, generalise: floa
             .join(entity, "entity").select("entity", "n_entity", F.explode("t").alias("term"))
             .groupBy("entity", "n_entity", "term").agg(F.count("*").alias("n_both")).filter(F.col("n_both") >= min_support))
     seen = written(seen, "pairs")
-    wanted = seen.select(F.col("term").alias("w")).distinct()
-    counts = (rows.filter("uid is null").select("term", "n").join(wanted, F.col("term") == F.col("w"), "left_semi")
-              .groupBy("term").agg(F.sum("n").alias("n_term")))
+    counts = rows.filter("uid is null").groupBy("term").agg(F.sum("n").alias("n_term"))
     ratio = F.log2(F.lit(float(total)) * F.col("n_both") / (F.col("n_term") * F.col("n_entity"))) / F.log2(F.lit(float(total)) / F.col("n_entity"))
     return (seen.filter(F.col("n_entity") < total).join(counts, "term").withColumn("ratio", ratio)
             .filter(F.col("ratio") >= generalise)
@@ -165,7 +163,7 @@ def find(documents: DataFrame, min_support: int = MIN_SUPPORT, generalise: float
     spans, all spans (base kinds first, then ``generalise`` and ``remove``), and how many of these are of a term."""
     rows = written(scan(documents), "pii")
     docs = rows.filter("uid is not null")
-    flagged = disclosing(rows, min_support, generalise, remove)
+    flagged = written(disclosing(rows, min_support, generalise, remove), "disclosing")
     hits = (docs.filter(F.size("entities") > 0).select("uid", F.explode("entities").alias("entity"), "terms")
             .join(flagged.select("entity").distinct(), "entity", "left_semi")
             .select("uid", "entity", F.explode("terms").alias("x")).select("uid", "entity", "x.term", "x.at")
