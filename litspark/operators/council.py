@@ -284,14 +284,24 @@ def label_quality(labels: DataFrame, warn_share: float = UNLABELLED_WARN_SHARE,
 
 # -- offline labellers (the three voices, as Spark aggregates) ---------------
 
+#: Function words that end a key phrase (they are never dropped: a phrase of them ranks last).
+STOP_WORDS = [
+    "a", "an", "and", "are", "as", "at", "be", "been", "but", "by", "can", "for", "from", "had", "has", "have", "he", "her", "his",
+    "i", "if", "in", "into", "is", "it", "its", "may", "more", "no", "not", "of", "on", "or", "our", "she", "so", "such", "than",
+    "that", "the", "their", "them", "then", "there", "these", "they", "this", "those", "to", "was", "we", "were", "which", "who",
+    "will", "with", "you",
+]
+
+
 def _words(df: DataFrame, col: str = "sentence"):
-    return F.filter(F.split(F.lower(F.col(col)), TOKEN_SPLIT), lambda w: F.length(w) >= 3)
+    return F.filter(F.split(F.lower(F.col(col)), TOKEN_SPLIT), lambda w: w != "")
 
 
 def ctfidf_labeller(members: DataFrame, top: int = 3, keys=KEYS) -> DataFrame:
     """Voice 1: top c-TF-IDF terms per cluster (Grootendorst 2022):
     w(t,c) = tf(t,c) * log(1 + A / tf(t)), A = mean words per cluster.
-    Partial aggregates only; one row per (cluster, term) leaves the map side."""
+    Partial aggregates only; one row per (cluster, term) leaves the map side, and the
+    ranking keeps its first rows before the shuffle as well as after."""
     valid = members.filter(F.col("cluster_id") != -1)
     tc = (valid.select(*keys, "cluster_id", F.explode(_words(valid)).alias("term"))
           .groupBy(*keys, "cluster_id", "term").agg(F.count(F.lit(1)).alias("tf")))
@@ -300,10 +310,9 @@ def ctfidf_labeller(members: DataFrame, top: int = 3, keys=KEYS) -> DataFrame:
     avg = per.groupBy(*keys).agg(F.avg("words").alias("A"))
     s = (tc.join(tt, [*keys, "term"]).join(avg, list(keys))
          .withColumn("score", F.col("tf") * F.log(1 + F.col("A") / F.col("tf_all"))))
-    w = Window.partitionBy(*keys, "cluster_id").orderBy(F.col("score").desc(), "term")
-    tot = Window.partitionBy(*keys, "cluster_id")
-    s = s.withColumn("_all", F.sum("score").over(tot)).withColumn("_r", F.row_number().over(w)) \
-         .filter(F.col("_r") <= top)
+    total = s.groupBy(*keys, "cluster_id").agg(F.sum("score").alias("_all"))
+    w = Window.partitionBy(*keys, "cluster_id").orderBy(F.round("score", 9).desc(), "term")
+    s = s.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= top).join(total, [*keys, "cluster_id"])
     return s.groupBy(*keys, "cluster_id").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_r", "term"))), lambda x: x["term"]), " ").alias("label"),
         F.round(F.sum("score") / F.max("_all"), 3).alias("confidence"),
@@ -312,18 +321,21 @@ def ctfidf_labeller(members: DataFrame, top: int = 3, keys=KEYS) -> DataFrame:
 
 
 def bigram_labeller(members: DataFrame, min_count: int = 2, keys=KEYS) -> DataFrame:
-    """Voice 2: the bigram most specific to the cluster (count in cluster /
-    count in corpus; then count; then text)."""
+    """Voice 2: the bigram most specific to the cluster (those seen ``min_count`` times first;
+    then count in cluster / count in corpus; then count; then text). Single words rank
+    after all bigrams, so every cluster with a word gets a label."""
     valid = members.filter(F.col("cluster_id") != -1)
     toks = valid.select(*keys, "cluster_id", _words(valid).alias("t"))
     bi = F.zip_with(F.slice("t", 1, F.greatest(F.size("t") - 1, F.lit(0))),
                     F.slice("t", 2, F.greatest(F.size("t") - 1, F.lit(0))),
                     lambda a, b: F.concat(a, F.lit(" "), b))
-    bc = (toks.filter(F.size("t") >= 2).select(*keys, "cluster_id", F.explode(bi).alias("bigram"))
-          .groupBy(*keys, "cluster_id", "bigram").agg(F.count(F.lit(1)).alias("n")))
-    tot = bc.groupBy(*keys, "bigram").agg(F.sum("n").alias("n_all"))
-    s = bc.join(tot, [*keys, "bigram"]).filter(F.col("n") >= min_count).withColumn("rel", F.col("n") / F.col("n_all"))
-    w = Window.partitionBy(*keys, "cluster_id").orderBy(F.col("rel").desc(), F.col("n").desc(), "bigram")
+    grams = toks.select(*keys, "cluster_id", F.explode(bi).alias("bigram"), F.lit(True).alias("two")).unionByName(
+        toks.select(*keys, "cluster_id", F.explode("t").alias("bigram"), F.lit(False).alias("two")))
+    bc = grams.groupBy(*keys, "cluster_id", "bigram", "two").agg(F.count(F.lit(1)).alias("n"))
+    tot = bc.groupBy(*keys, "bigram", "two").agg(F.sum("n").alias("n_all"))
+    s = bc.join(tot, [*keys, "bigram", "two"]).withColumn("rel", F.col("n") / F.col("n_all"))
+    w = Window.partitionBy(*keys, "cluster_id").orderBy(
+        F.col("two").desc(), (F.col("n") >= min_count).desc(), F.col("rel").desc(), F.col("n").desc(), "bigram")
     s = s.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") == 1)
     return s.select(*keys, F.lit(1).alias("model_idx"), "cluster_id", F.col("bigram").alias("label"),
                     F.lit("bigram").alias("category"), F.round("rel", 3).alias("confidence"),
@@ -331,25 +343,24 @@ def bigram_labeller(members: DataFrame, min_count: int = 2, keys=KEYS) -> DataFr
 
 
 def phrase_labeller(evidence: DataFrame, keys=KEYS) -> DataFrame:
-    """Voice 3: RAKE-style key phrase of the evidence sentences. Words of 3
-    characters or less split phrases; phrase score = sum of degree/frequency
-    of its words over the cluster's evidence."""
-    toks = evidence.select(*keys, "cluster_id", "rank",
-                           F.posexplode(F.split(F.lower(F.col("sentence")), TOKEN_SPLIT)).alias("pos", "w"))
-    toks = toks.filter(F.col("w") != "")
-    stop = F.length("w") <= 3
-    sw = Window.partitionBy(*keys, "cluster_id", "rank").orderBy("pos")
-    toks = toks.withColumn("_run", F.sum(stop.cast("int")).over(sw)).filter(~stop)
+    """Voice 3: RAKE-style key phrase of the evidence sentences. Runs of function words and runs
+    of other words alternate; a phrase's score = sum of degree/frequency of its words
+    over the cluster's evidence, and phrases of function words rank last."""
+    toks = evidence.select(*keys, "cluster_id", "rank", F.posexplode(_words(evidence)).alias("pos", "w"))
+    sw = Window.partitionBy(*keys, "cluster_id", "rank").orderBy("pos")   # one evidence sentence
+    toks = toks.withColumn("stop", F.col("w").isin(STOP_WORDS))
+    toks = toks.withColumn("_new", (~F.col("stop").eqNullSafe(F.lag("stop").over(sw))).cast("int"))
+    toks = toks.withColumn("_run", F.sum("_new").over(sw))
     ph = toks.groupBy(*keys, "cluster_id", "rank", "_run").agg(
-        F.array_sort(F.collect_list(F.struct("pos", "w"))).alias("_p"))
+        F.array_sort(F.collect_list(F.struct("pos", "w"))).alias("_p"), F.first("stop").alias("stop"))
     ph = ph.withColumn("words", F.transform("_p", lambda x: x["w"])).withColumn("plen", F.size("words"))
     pw = ph.select(*keys, "cluster_id", "rank", "_run", "plen", F.explode("words").alias("w"))
     ws = pw.groupBy(*keys, "cluster_id", "w").agg(F.count(F.lit(1)).alias("freq"), F.sum("plen").alias("deg"))
     sc = (pw.join(ws, [*keys, "cluster_id", "w"])
-          .groupBy(*keys, "cluster_id", "rank", "_run").agg(F.sum(F.col("deg") / F.col("freq")).alias("score")))
+          .groupBy(*keys, "cluster_id", "rank", "_run").agg(F.round(F.sum(F.col("deg") / F.col("freq")), 9).alias("score")))
     ph = ph.join(sc, [*keys, "cluster_id", "rank", "_run"]).withColumn("phrase", F.array_join("words", " "))
-    w = Window.partitionBy(*keys, "cluster_id").orderBy(F.col("score").desc(), "rank", "_run")
-    tot = Window.partitionBy(*keys, "cluster_id")
+    w = Window.partitionBy(*keys, "cluster_id").orderBy("stop", F.col("score").desc(), "rank", "_run")
+    tot = Window.partitionBy(*keys, "cluster_id")   # phrases of at most three evidence sentences
     ph = ph.withColumn("_all", F.sum("score").over(tot)).withColumn("_r", F.row_number().over(w)).filter(F.col("_r") == 1)
     return ph.select(*keys, F.lit(2).alias("model_idx"), "cluster_id", F.col("phrase").alias("label"),
                      F.lit("key phrase").alias("category"), F.round(F.col("score") / F.col("_all"), 3).alias("confidence"),

@@ -9,19 +9,17 @@ supplied vector table."""
 
 from __future__ import annotations
 
-import itertools
-import math
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.ml.feature import IDF, PCA, HashingTF, Normalizer, RegexTokenizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.vec import MAX_EXPANDED_DIM, sq_dist_sql
 from ..session import KEYS, scratch_path, ship_package
+from . import blocks
 
 # Fixed values from the reference: embedding width and reduced width.
 EMBED_DIM = 768
@@ -52,14 +50,13 @@ def hashed_tfidf(df: DataFrame, col: str = "sentence", dim: int = EMBED_DIM,
 
 
 def hashed_tf(df: DataFrame, col: str, dim: int = EMBED_DIM, out: str = "embedding") -> DataFrame:
-    """Unfitted embedder (hashed term counts, L2 norm): the same text always
-    gets the same vector, whatever else is in the table. Used for short
-    strings such as theme and category names."""
-    tok = RegexTokenizer(inputCol=col, outputCol="_tok", pattern=TOKEN_SPLIT, toLowercase=True)
-    tf = HashingTF(inputCol="_tok", outputCol="_tf", numFeatures=dim)
-    nrm = Normalizer(inputCol="_tf", outputCol="_v", p=2.0)
-    d = nrm.transform(tf.transform(tok.transform(df)))
-    return d.withColumn(out, vector_to_array("_v", "float32")).drop("_tok", "_tf", "_v")
+    """Unfitted embedder (hashed term counts): the same text always gets the same vector, whatever
+    else is in the table. A term's place is its md5 modulo ``dim``, a hash that other engines have as
+    well; counts aren't scaled, which cosines don't need. Used for short strings such as theme and category names."""
+    words = F.filter(F.split(F.lower(F.coalesce(F.col(col), F.lit(""))), TOKEN_SPLIT), lambda t: t != "")
+    place = F.transform(words, lambda t: F.conv(F.substring(F.md5(t.cast("binary")), 1, 4), 16, 10).cast("int") % dim)
+    counts = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter(F.col("_place"), lambda p: p == i)).cast("float"))
+    return df.withColumn("_place", place).withColumn(out, counts).drop("_place")
 
 
 def model_embedder(load: Callable[[], Callable[[list[str]], "list[list[float]]"]],
@@ -97,115 +94,23 @@ def reduce_dims(df: DataFrame, k: int = REDUCED_DIM, vec_col: str = "embedding",
     return p.select(*[c for c in df.columns], *[F.col("_p")[i].alias(f"{prefix}{i}") for i in range(k)])
 
 
-def _dist(a: str, b: str, d: int | None) -> F.Column:
-    """Euclidean distance of two ARRAY<DOUBLE> columns: a generated expression
-    when the width is known, else higher-order functions."""
-    if d and d <= MAX_EXPANDED_DIM:
-        return F.expr(f"sqrt({sq_dist_sql(a, b, d)})")
-    return F.sqrt(F.aggregate(F.zip_with(F.col(a), F.col(b), lambda x, y: (x - y) * (x - y)),
-                              F.lit(0.0), lambda acc, v: acc + v))
-
-
 def knn_graph(points: DataFrame, k: int = KNN_K, keys=KEYS, vec_col: str = "vec",
-              id_col: str = "sentence_id", metric: str = "cosine", cell: float | None = None,
-              grid_dims: int = 2) -> DataFrame:
+              id_col: str = "sentence_id", metric: str = "cosine", block: int = blocks.SIZE,
+              stats: dict | None = None) -> DataFrame:
     """Exact k nearest neighbours within each key: (keys, src, dst, distance,
-    rank[, similarity]). ``metric='cosine'`` normalises the vectors first
+    rank[, similarity]); ties by ``dst``. ``metric='cosine'`` normalises the vectors first
     (Euclidean order on unit vectors is cosine order) and adds ``similarity``.
 
-    Blocked search: points are put in grid cells of side ``cell`` over the
-    first ``grid_dims`` coordinates and joined with the neighbouring cells of
-    a ring. A point whose k-th candidate lies closer than ``cell * ring`` is
-    exact (anything nearer differs by less than that in every coordinate).
-    The rest widen the ring to cover their k-th distance; a point with fewer
-    than k candidates searches its whole key. Each pass is written once to the
-    shared checkpoint folder."""
-    spark = points.sparkSession
+    The search runs over pairs of bounded blocks (``blocks``): a hot key is as many tasks as its
+    blocks need, and pairs of blocks whose balls are farther apart than the neighbours
+    known already are left out. ``stats`` gets the pairs of points compared."""
     v = F.col(vec_col).cast("array<double>")
     if metric == "cosine":
         nrm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x * x))
         v = F.when(nrm > 0, F.transform(v, lambda x: x / nrm)).otherwise(v)
-    base = points.select(*keys, F.col(id_col).alias("src"), v.alias("va"))
-    g = grid_dims
-    # One small aggregate: vector width, largest key, and the extent of the
-    # grid coordinates (for the cell side and the number of cells spanned).
-    per_key = base.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), F.max(F.size("va")).alias("d"),
-        *[F.min(F.col("va")[i]).alias(f"lo{i}") for i in range(g)],
-        *[F.max(F.col("va")[i]).alias(f"hi{i}") for i in range(g)])
-    st = per_key.agg(F.max("n"), F.max("d"), *[F.min(f"lo{i}") for i in range(g)],
-                     *[F.max(f"hi{i}") for i in range(g)]).first()
-    n, d = (st[0] or 1), st[1]
-    lo = [st[2 + i] or 0.0 for i in range(g)]
-    hi = [st[2 + g + i] or 0.0 for i in range(g)]
-    if cell is None:
-        # About k points per cell for a uniform spread of the first coordinate
-        # (a statistic for the block size, not a cap on candidates).
-        r = (hi[0] - lo[0]) or 1.0
-        cell = max(r / max(1.0, (n / max(k, 1)) ** (1.0 / g)), 1e-9)
-    pts = base.select("*", *[F.floor(F.col("va")[i] / F.lit(cell)).cast("long").alias(f"g{i}") for i in range(g)])
-    # Cells spanned by the data: a ring that covers them all is the whole key.
-    span = 1
-    for i in range(g):
-        span *= int(math.floor(hi[i] / cell) - math.floor(lo[i] / cell) + 1)
-    other = pts.select(*[F.col(c).alias(f"_k{n}") for n, c in enumerate(keys)], F.col("src").alias("dst"),
-                       F.col("va").alias("vb"), *[F.col(f"g{i}").alias(f"_h{i}") for i in range(g)])
-    rank_w = Window.partitionBy(*keys, "src").orderBy("distance", "dst")
-
-    def ranked(j: DataFrame) -> DataFrame:
-        return (j.select(*keys, "src", "dst", _dist("va", "vb", d).alias("distance"))
-                .withColumn("rank", F.row_number().over(rank_w)).filter(F.col("rank") <= k))
-
-    def search(srcs: DataFrame, ring: int) -> DataFrame:
-        offs = F.array(*[F.array(*[F.lit(d) for d in off])
-                         for off in itertools.product(range(-ring, ring + 1), repeat=g)])
-        s = srcs.select(*keys, "src", "va", *[f"g{i}" for i in range(g)], F.explode(offs).alias("_o")).select(
-            *keys, "src", "va", *[(F.col(f"g{i}") + F.col("_o")[i]).alias(f"_q{i}") for i in range(g)])
-        cond = ([F.col(c) == F.col(f"_k{n}") for n, c in enumerate(keys)]
-                + [F.col(f"_q{i}") == F.col(f"_h{i}") for i in range(g)] + [F.col("src") != F.col("dst")])
-        return ranked(s.join(other, cond))
-
-    def whole(srcs: DataFrame) -> DataFrame:
-        cond = [F.col(c) == F.col(f"_k{n}") for n, c in enumerate(keys)] + [F.col("src") != F.col("dst")]
-        return ranked(srcs.select(*keys, "src", "va").join(other, cond))
-
-    def materialise(df: DataFrame, name: str) -> DataFrame:
-        path = scratch_path(spark, name)
-        df.write.mode("overwrite").parquet(path)
-        return spark.read.parquet(path)
-
-    done: list[DataFrame] = []
-    todo, ring = pts, 1
-    if (3 ** g) * 8 >= span:
-        # The grid cannot prune here (ring 1 already covers >= 1/8 of the
-        # cells the data spans): search each key directly, no ring passes.
-        return _finish(whole(pts), keys, metric)
-    while True:
-        res = materialise(search(todo, ring), "knn")
-        kth = res.groupBy(*keys, "src").agg(F.count(F.lit(1)).alias("_n"), F.max("distance").alias("_r"))
-        exact = kth.filter((F.col("_n") >= k) & (F.col("_r") < F.lit(cell * ring)))
-        done.append(res.join(exact.select(*keys, "src"), [*keys, "src"], "left_semi"))
-        rest = materialise(todo.join(exact.select(*keys, "src"), [*keys, "src"], "left_anti")
-                           .join(kth, [*keys, "src"], "left"), "knn-rest")
-        n_full, n_wide, max_r = rest.agg(
-            F.sum((F.col("_n").isNull() | (F.col("_n") < k)).cast("int")),
-            F.sum((F.col("_n") >= k).cast("int")), F.max(F.when(F.col("_n") >= k, F.col("_r")))).first()
-        ring = int((max_r or 0.0) // cell) + 1
-        everything = (2 * ring + 1) ** g >= span
-        if n_full or (n_wide and everything):
-            cond = F.col("_n").isNull() | (F.col("_n") < k) | F.lit(everything)
-            done.append(whole(rest.filter(cond).drop("_n", "_r")))
-        if not n_wide or everything:
-            break
-        todo = rest.filter(F.col("_n") >= k).drop("_n", "_r")
-    out = done[0]
-    for d in done[1:]:
-        out = out.unionByName(d)
-    return _finish(out, keys, metric)
-
-
-def _finish(out: DataFrame, keys, metric: str) -> DataFrame:
-    out = out.select(*keys, "src", "dst", "distance", F.col("rank").cast("int").alias("rank"))
+    pts = points.select(*keys, F.col(id_col).cast("long").alias("id"), v.alias("x"), F.lit(1.0).alias("w"))
+    out = blocks.neighbours(blocks.blocks(pts, keys, block), k, keys, stats=stats)
+    out = out.select(*keys, "src", "dst", F.sqrt("d").alias("distance"), F.col("rank").cast("int").alias("rank"))
     if metric == "cosine":
         out = out.withColumn("similarity", 1.0 - F.col("distance") * F.col("distance") / 2.0)
     return out

@@ -73,15 +73,13 @@ def classify_theme(themes: DataFrame, embedder, threshold: float = 0.1, keys=KEY
     """Offline classifier: cosine between a theme vector (name + evidence,
     embedded with ``embedder``) and each category name's vector; the best
     category (lowest number on ties) wins unless its similarity is under
-    ``threshold`` -> NOVEL with confidence 0. Each theme row is repeated once
-    per category (a fixed fan-out of 25) and the names are embedded in place,
-    so no join is needed."""
+    ``threshold`` -> NOVEL with confidence 0. The category names (a fixed 25 rows) are
+    embedded once and joined to every theme."""
     text = F.concat_ws(" ", F.col("theme_name"), F.array_join(
         F.coalesce("representative_sentences", F.array().cast("array<string>")), " "))
     t = embedder(themes.select(*keys, "theme_name", text.alias("_text")), "_text").withColumnRenamed("embedding", "_tv")
-    cats = F.array(*[F.struct(F.lit(i + 1).alias("no"), F.lit(c).alias("name")) for i, c in enumerate(CATEGORIES)])
-    pairs = t.select(*keys, "theme_name", "_tv", F.inline(cats))
-    pairs = embedder(pairs, "name").withColumn("sim", cosine("_tv", "embedding"))
+    cats = taxonomy_dim(themes.sparkSession).select(F.col("category_no").alias("no"), F.col("category").alias("name"))
+    pairs = t.join(F.broadcast(embedder(cats, "name"))).withColumn("sim", cosine("_tv", "embedding"))
     w = Window.partitionBy(*keys, "theme_name").orderBy(F.col("sim").desc(), "no")
     best = pairs.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") == 1)
     novel = F.col("sim") < threshold

@@ -2,6 +2,7 @@
 against brute force on small fixtures; size filter and cluster stats."""
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from litspark.operators import cluster, embed, topics
@@ -56,11 +57,39 @@ def partitions(pdf, corpus):
 def test_ward_local_and_rounds_equal_brute_force(spark):
     data = {"a": blobs(1, 60, 4, dup=5), "b": blobs(2, 45, 4)}
     pts = points_frame(spark, data)
-    # bounded per-key finish; distributed ring rounds; one coarse pass per round
-    for limit, split in ((5000, 4), (0, 4), (0, 1)):
-        got = cluster.ward(pts, 4, 2.5, local_limit=limit, ring_split=split).toPandas()
+    # one block per key; blocks smaller than a cluster; a few blocks
+    for block in (512, 4, 16):
+        stats = []
+        got = cluster.ward(pts, 4, 2.5, block=block, stats=stats).toPandas()
         for c, X in data.items():
-            assert partitions(got, c) == greedy_ward(X, 2.5), (limit, split, c)
+            assert partitions(got, c) == greedy_ward(X, 2.5), (block, c)
+        assert bool(stats) == (block < 60)
+
+
+def test_ward_far_groups_finish_inside_their_blocks(spark):
+    rng = np.random.default_rng(5)
+    X = np.concatenate([rng.normal(100 * i, 0.3, size=(30, 3)) for i in range(4)])
+    stats = []
+    got = cluster.ward(points_frame(spark, {"a": X}), 3, 2.0, block=30, stats=stats).toPandas()
+    assert partitions(got, "a") == greedy_ward(X, 2.0) and len(stats) <= 2
+
+
+def test_ward_evenly_spaced_points(spark):
+    X = np.c_[np.arange(64.0), np.zeros(64)]
+    stats = []
+    got = cluster.ward(points_frame(spark, {"a": X}), 2, 1.2, block=8, stats=stats).toPandas()
+    # Hashed ties: about a third of the pairs merge in each round, not one.
+    assert len(stats) <= 8
+    sizes = got.groupby("cluster_id").size()
+    assert sizes.max() == 2 and (sizes == 1).sum() <= 32
+    for _, g in got[got.cluster_id.isin(sizes[sizes == 2].index)].groupby("cluster_id"):
+        assert abs(np.diff(sorted(g.sentence_id)))[0] == 1
+
+
+def test_ward_raises_when_rounds_run_out(spark):
+    pts = points_frame(spark, {"a": blobs(6, 60, 3)})
+    with pytest.raises(RuntimeError, match="still active"):
+        cluster.ward(pts, 3, 2.5, block=8, max_rounds=1)
 
 
 def test_ward_ids_by_size(spark):
@@ -105,16 +134,16 @@ def test_reduce_dims_shape_and_variance_order(spark):
     assert len(r) == 200
 
 
-def test_knn_graph_ring_passes_exact(spark):
-    # Spread points: the grid prunes, so the ring passes (and their widening)
-    # are used instead of the whole-key search.
+def test_knn_graph_blocks_prune_and_stay_exact(spark):
     rng = np.random.default_rng(11)
     X = np.c_[rng.uniform(0, 100, size=(400, 2)), rng.normal(0, 1, size=400)]
     X[:5] += 500                                   # a far-away group: needs a wide ring
     data = {"a": X}
     pts = points_frame(spark, data).select("corpus_id", "run_key", "sentence_id",
                                            F.array("c0", "c1", "c2").alias("vec"))
-    got = embed.knn_graph(pts, k=5, metric="euclidean").toPandas()
+    stats = {}
+    got = embed.knn_graph(pts, k=5, metric="euclidean", block=16, stats=stats).toPandas()
+    assert stats["blocks"] >= 25 and stats["compared"] < 0.75 * len(X) ** 2
     D = np.sqrt(((X[:, None, :] - X[None, :, :]) ** 2).sum(-1))
     np.fill_diagonal(D, np.inf)
     for i in range(len(X)):
@@ -123,6 +152,21 @@ def test_knn_graph_ring_passes_exact(spark):
         assert g.dst.tolist() == exp, i
 
 
+def test_knn_graph_ties_and_small_keys(spark):
+    X = np.zeros((70, 3))
+    X[40:, 0] = np.arange(30) % 3
+    pts = points_frame(spark, {"a": X, "b": X[:3], "c": X[:1]}).select(
+        "corpus_id", "run_key", "sentence_id", F.array("c0", "c1", "c2").alias("vec"))
+    got = embed.knn_graph(pts, k=4, metric="euclidean", block=8).toPandas()
+    D = np.abs(X[:, None, 0] - X[None, :, 0])
+    np.fill_diagonal(D, np.inf)
+    for i in range(len(X)):
+        g = got[(got.corpus_id == "a") & (got.src == i)].sort_values("rank")
+        assert g.dst.tolist() == np.lexsort((np.arange(len(X)), D[i]))[:4].tolist()
+    assert sorted(zip(got[got.corpus_id == "b"].src, got[got.corpus_id == "b"].dst)) == [(0, 1), (0, 2), (1, 0), (1, 2), (2, 0), (2, 1)]
+    assert not (got.corpus_id == "c").any()
+
+
 def test_model_embedder_plug_point(spark):
     def toy_model():
         # Stand-in for a user model: loaded once per worker, encodes a batch.
