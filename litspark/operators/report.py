@@ -41,12 +41,14 @@ def novel_list(themes: DataFrame, tax: DataFrame, keys=KEYS) -> DataFrame:
                     .otherwise(F.lit(NONE_IDENTIFIED)).alias("novel_list"))
 
 
-def rq5_cluster_summary(labels: DataFrame, keys=KEYS) -> DataFrame:
+def rq5_cluster_summary(labels: DataFrame, keys=KEYS, evidence_chars: int | None = None) -> DataFrame:
+    """One row per topic; ``evidence_chars`` cuts the evidence (the reference shows ``EVIDENCE_CHARS``)."""
+    evidence = F.coalesce(F.element_at("top_sentences", 1), F.lit(""))
     return labels.select(
         *keys, "cluster_id", F.coalesce("label", F.lit("")).alias("label"),
         F.col("size").alias("sentence_count"), "paper_count",
         F.round(F.coalesce("confidence", F.lit(0.0)), 3).alias("confidence"), "winning_model",
-        F.substring(F.coalesce(F.element_at("top_sentences", 1), F.lit("")), 1, EVIDENCE_CHARS).alias("top_evidence"))
+        (evidence if evidence_chars is None else F.substring(evidence, 1, evidence_chars)).alias("top_evidence"))
 
 
 def paper_results(labels: DataFrame, papers_long: DataFrame, papers: DataFrame, keys=KEYS) -> DataFrame:

@@ -30,10 +30,10 @@ def _first(arr: str):
     return F.coalesce(F.element_at(F.col(arr), 1), F.lit(""))
 
 
-def review_labels(labels: DataFrame, cap: int = MAX_REVIEW_ROWS, keys=KEYS) -> DataFrame:
-    """Labelled topics in rank order, first ``cap``: label (or ``Topic id``),
+def review_labels(labels: DataFrame, cap: int | None = None, keys=KEYS) -> DataFrame:
+    """Labelled topics in rank order (with ``cap`` the first so many; the reference shows ``MAX_REVIEW_ROWS``): label (or ``Topic id``),
     first evidence sentence, sizes, Approve = yes."""
-    return labels.filter(F.col("topic_rank") <= cap).select(
+    return (labels if cap is None else labels.filter(F.col("topic_rank") <= cap)).select(
         *keys, F.col("topic_rank").cast("int").alias("row_no"),
         F.coalesce("label", fmt(DEFAULT_TOPIC_LABEL, id=F.col("cluster_id"))).alias("topic_label"),
         _first("top_sentences").alias("top_evidence"),
@@ -71,13 +71,13 @@ def review_taxonomy(tax: DataFrame, keys=KEYS, papers_fallback: bool = True) ->
         F.lit(None).cast("int").alias("cluster_id"))
 
 
-def phase_snapshot(df: DataFrame, phase: str, keys=KEYS) -> DataFrame:
-    """Read-only view of one phase: ``labels`` (first 100, Approve blank, the
+def phase_snapshot(df: DataFrame, phase: str, keys=KEYS, cap: int | None = None) -> DataFrame:
+    """Read-only view of one phase: ``labels`` (with ``cap`` the first so many, ``MAX_SNAPSHOT_LABELS`` in the reference; Approve blank, the
     confidence in its own column instead of under Approve), ``themes``
     (papers fall back to sub_topics) or ``taxonomy``."""
     if phase == "labels":
         conf = df.select(*keys, "cluster_id", "confidence")
-        return (review_labels(df, MAX_SNAPSHOT_LABELS, keys).withColumn("approve", F.lit(""))
+        return (review_labels(df, cap, keys).withColumn("approve", F.lit(""))
                 .join(conf, [*keys, "cluster_id"], "left"))
     if phase == "themes":
         sub = F.col("sub_topics") if "sub_topics" in df.columns else F.lit(None)

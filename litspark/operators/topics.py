@@ -131,22 +131,26 @@ def assemble_topics(valid: DataFrame, cents: DataFrame, ev: DataFrame, papers: D
                     fmt(DEFAULT_TOPIC_LABEL, id=F.col("cluster_id")).alias("label")))
 
 
-def topics_ranked(topics: DataFrame, cap: int = MAX_TOPICS, keys=KEYS) -> DataFrame:
-    """Size desc, ties by cluster_id; keep ``cap`` per (corpus, run); adds
-    1-based ``topic_rank``."""
+def _first_ranks(ranked: DataFrame, cap: int | None) -> DataFrame:
+    return ranked if cap is None else ranked.filter(F.col("topic_rank") <= cap)
+
+
+def topics_ranked(topics: DataFrame, cap: int | None = None, keys=KEYS) -> DataFrame:
+    """Size desc, ties by cluster_id; adds 1-based ``topic_rank``; with ``cap`` only the
+    first so many per (corpus, run) (the reference keeps ``MAX_TOPICS``)."""
     w = Window.partitionBy(*keys).orderBy(F.col("size").desc(), "cluster_id")
-    return topics.withColumn("topic_rank", F.row_number().over(w)).filter(F.col("topic_rank") <= cap)
+    return _first_ranks(topics.withColumn("topic_rank", F.row_number().over(w)), cap)
 
 
-def chart_sizes(ranked: DataFrame, top: int = CHART_TOP, keys=KEYS) -> DataFrame:
-    return ranked.filter(F.col("topic_rank") <= top).select(
+def chart_sizes(ranked: DataFrame, top: int | None = None, keys=KEYS) -> DataFrame:
+    return _first_ranks(ranked, top).select(
         *keys, "topic_rank", fmt(TOPIC_CODE, id=F.col("cluster_id")).alias("topic"), "size")
 
 
 def chart_similarity(ranked: DataFrame, top: int = HEATMAP_TOP, keys=KEYS) -> DataFrame:
-    """Pairwise cosine of the top-``top`` centroids per key: at most top^2
-    pairs per key through an equi-join on the key (not a cross join)."""
-    t = ranked.filter(F.col("topic_rank") <= top).select(*keys, "topic_rank", "cluster_id", "centroid")
+    """Pairwise cosine of the top-``top`` centroids per key (the chart is defined on that many): at most
+    top^2 pairs per key through an equi-join on the key (not a cross join)."""
+    t = _first_ranks(ranked, top).select(*keys, "topic_rank", "cluster_id", "centroid")
     a = t.select(*keys, F.col("topic_rank").alias("i"), F.col("cluster_id").alias("cluster_i"),
                  F.col("centroid").alias("ca"))
     b = t.select(*keys, F.col("topic_rank").alias("j"), F.col("cluster_id").alias("cluster_j"),
@@ -155,10 +159,10 @@ def chart_similarity(ranked: DataFrame, top: int = HEATMAP_TOP, keys=KEYS) -> Da
                                         cosine("ca", "cb").alias("similarity"))
 
 
-def chart_map(ranked: DataFrame, top: int = CHART_TOP, keys=KEYS) -> DataFrame:
+def chart_map(ranked: DataFrame, top: int | None = None, keys=KEYS) -> DataFrame:
     """Top topics on the unit circle (not a real distance map): x = cos(2 pi
     i / n), y = sin(...), marker = max(8, min(40, size // 5))."""
-    t = ranked.filter(F.col("topic_rank") <= top)
+    t = _first_ranks(ranked, top)
     n = F.count(F.lit(1)).over(Window.partitionBy(*keys))
     ang = 2 * F.pi() * (F.col("topic_rank") - 1) / F.col("_n")
     return (t.withColumn("_n", n)

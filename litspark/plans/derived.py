@@ -97,7 +97,7 @@ def emb_topics(spark, sf_dir):
     p = _stage(spark, sf_dir, "topic_papers", lambda: topics.topic_papers(valid))
 
     t = _stage(spark, sf_dir, "topics", lambda: topics.assemble_topics(valid, cents, ev, p))
-    ranked = _stage(spark, sf_dir, "ranked", lambda: topics.topics_ranked(t))
+    ranked = _stage(spark, sf_dir, "ranked", lambda: topics.topics_ranked(t, topics.MAX_TOPICS))
     return m, v, t, p, ev, ranked
 
 
@@ -226,7 +226,7 @@ def review_decisions(spark, sf_dir, rv: DataFrame) -> DataFrame:
 def emb_themes(spark, sf_dir):
     """(themes ranked, theme map, labels, topic_papers)."""
     labels, _, _, _, ranked, p = labelled_topics(spark, sf_dir)
-    rv = review_decisions(spark, sf_dir, review.review_labels(labels))
+    rv = review_decisions(spark, sf_dir, review.review_labels(labels, review.MAX_REVIEW_ROWS))
     tmap = _stage(spark, sf_dir, "theme_map", lambda: review.theme_map(rv))
     th = _stage(spark, sf_dir, "themes", lambda: themes.themes_ranked(themes.consolidate(tmap, labels, p)))
     return th, tmap, labels, p

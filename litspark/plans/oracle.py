@@ -393,6 +393,10 @@ SELECT {K}, stage AS phase, entries,
        CASE WHEN entries > 0 THEN 'ready (' || entries || ' entries)' ELSE 'EMPTY' END AS status
 FROM stage_counts
 QUALIFY row_number() OVER (PARTITION BY {K} ORDER BY CASE stage WHEN 'taxonomy' THEN 1 WHEN 'themes' THEN 2 ELSE 3 END) = 1"""
+Q["package_outputs"] = f"""
+SELECT CASE stage WHEN 'taxonomy' THEN 'taxonomy_map' ELSE stage END AS deliverable, {K}, entries AS rows, 'written' AS status FROM stage_counts
+UNION ALL SELECT 'comparison', NULL, NULL, 0, 'missing'"""
+Q["stage_files"] = "SELECT DISTINCT stage FROM stage_counts"
 Q["best_stage"] = f"""
 SELECT {K}, stage, entries, run_key <> 'title' AS fallback FROM stage_counts WHERE entries > 0
 QUALIFY row_number() OVER (PARTITION BY corpus_id ORDER BY

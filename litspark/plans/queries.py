@@ -14,7 +14,7 @@ from ..operators import (clean, cluster, compare, council, embed, report, review
                          topics)
 from ..session import KEYS, scratch_path, table_path
 from ..sources import papers as P
-from ..sources.sinks import write_csv, write_projected_csv
+from ..sources.sinks import package_outputs, write_csv, write_projected_csv
 from ..sources.store import StageStore, best_stage, stage_inventory
 from . import derived as D
 
@@ -79,7 +79,7 @@ def sink_csv(spark, sf_dir):
 @q("sink_projected_csv")
 def sink_projected_csv(spark, sf_dir):
     labels = D.labelled_topics(spark, sf_dir)[0]
-    s = report.rq5_cluster_summary(labels)
+    s = report.rq5_cluster_summary(labels, evidence_chars=report.EVIDENCE_CHARS)
     path = scratch_path(spark, "rq5_csv")
     fields = ["cluster_id", "label", "sentence_count", "paper_count", "winning_model", "top_evidence", "not_there"]
     write_projected_csv(s.select(*KEYS, *[c for c in s.columns if c not in KEYS]), path, list(KEYS) + fields)
@@ -120,6 +120,31 @@ def stage_inventory_q(spark, sf_dir):
     return stage_inventory(_store(spark, sf_dir).counts())
 
 
+@q("package_outputs")
+def package_outputs_q(spark, sf_dir):
+    """The deliverables copied out of a store, and the warning for the one it lacks."""
+    st, target = _store(spark, sf_dir), scratch_path(spark, "package")
+    wanted = {"labels": "labels", "themes": "themes", "taxonomy_map": "taxonomy", "comparison": "comparison"}
+    missing = package_outputs(st, target, wanted)
+    lost = {m.split(" for ")[1].split(":")[0] for m in missing}
+    out = None
+    for name in wanted:
+        if name in lost:
+            rows = spark.createDataFrame([(name, None, None, 0, "missing")], "deliverable string, corpus_id string, run_key string, rows long, status string")
+        else:
+            rows = spark.read.parquet(f"{target}/{name}").groupBy(*KEYS).agg(F.count("*").alias("rows")).select(
+                F.lit(name).alias("deliverable"), *KEYS, "rows", F.lit("written").alias("status"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@q("stage_files")
+def stage_files_q(spark, sf_dir):
+    """Which stages hold data files, from the store's file listing with sizes."""
+    f = _store(spark, sf_dir).files().filter("path like '%.parquet' and kb > 0")
+    return f.select(F.regexp_extract("path", r"/(labels|themes|taxonomy)/", 1).alias("stage")).distinct()
+
+
 @q("best_stage")
 def best_stage_q(spark, sf_dir):
     return best_stage(_store(spark, sf_dir).counts(), "title")
@@ -370,7 +395,7 @@ def topics_ranked(spark, sf_dir):
 
 @q("chart_sizes")
 def chart_sizes(spark, sf_dir):
-    return topics.chart_sizes(D.emb_topics(spark, sf_dir)[5])
+    return topics.chart_sizes(D.emb_topics(spark, sf_dir)[5], topics.CHART_TOP)
 
 
 @q("chart_similarity")
@@ -380,7 +405,7 @@ def chart_similarity(spark, sf_dir):
 
 @q("chart_map")
 def chart_map(spark, sf_dir):
-    return topics.chart_map(D.emb_topics(spark, sf_dir)[5]).withColumn("x", r6("x")).withColumn("y", r6("y"))
+    return topics.chart_map(D.emb_topics(spark, sf_dir)[5], topics.CHART_TOP).withColumn("x", r6("x")).withColumn("y", r6("y"))
 
 
 # -- 2.5 council ---------------------------------------------------------------------
@@ -498,7 +523,7 @@ def _labels(spark, sf_dir):
 
 @q("review_labels")
 def review_labels(spark, sf_dir):
-    return review.review_labels(_labels(spark, sf_dir))
+    return review.review_labels(_labels(spark, sf_dir), review.MAX_REVIEW_ROWS)
 
 
 @q("review_themes")
@@ -513,22 +538,22 @@ def review_taxonomy(spark, sf_dir):
 
 @q("phase_snapshot")
 def phase_snapshot(spark, sf_dir):
-    return review.phase_snapshot(_labels(spark, sf_dir), "labels").withColumn("confidence", r6("confidence"))
+    return review.phase_snapshot(_labels(spark, sf_dir), "labels", cap=review.MAX_SNAPSHOT_LABELS).withColumn("confidence", r6("confidence"))
 
 
 @q("approve_all")
 def approve_all(spark, sf_dir):
-    return review.approve_all(review.reject_all(review.review_labels(_labels(spark, sf_dir))))
+    return review.approve_all(review.reject_all(review.review_labels(_labels(spark, sf_dir), review.MAX_REVIEW_ROWS)))
 
 
 @q("reject_all")
 def reject_all(spark, sf_dir):
-    return review.reject_all(review.review_labels(_labels(spark, sf_dir)))
+    return review.reject_all(review.review_labels(_labels(spark, sf_dir), review.MAX_REVIEW_ROWS))
 
 
 @q("auto_flag")
 def auto_flag(spark, sf_dir):
-    rv = review.review_labels(_labels(spark, sf_dir))
+    rv = review.review_labels(_labels(spark, sf_dir), review.MAX_REVIEW_ROWS)
     # Evidence carrying publisher boilerplate, as real abstracts do: topics
     # whose first evidence line mentions "the" get a licence line appended.
     rv = rv.withColumn("top_evidence", F.when(F.lower("top_evidence").contains(" the "),
@@ -692,7 +717,7 @@ def novel_list(spark, sf_dir):
 
 @q("rq5_cluster_summary")
 def rq5_cluster_summary(spark, sf_dir):
-    return report.rq5_cluster_summary(_labels(spark, sf_dir)).withColumn("confidence", r6("confidence"))
+    return report.rq5_cluster_summary(_labels(spark, sf_dir), evidence_chars=report.EVIDENCE_CHARS).withColumn("confidence", r6("confidence"))
 
 
 @q("paper_results")

@@ -81,3 +81,20 @@ def test_taxonomy_merge_and_counts(spark):
     c = X.taxonomy_counts(X.merge_taxonomy(th, X.taxonomy_from_responses(resp))).first()
     assert (c.themes, c.novel, c.mapped, c.novel_names) == (3, 1, 2, ["C"])
     assert len(X.CATEGORIES) == 25
+
+
+def test_caps_are_arguments_and_are_reached(spark):
+    from litspark.operators import report, review, topics
+    rows = [("c", "abstract", i, 1000 - i, 5, [float(i), 1.0], ["x" * 300], f"Label {i}", "why", 0.5, 1) for i in range(230)]
+    t = spark.createDataFrame(rows, "corpus_id string, run_key string, cluster_id int, size int, paper_count int, centroid array<double>, "
+                                    "top_sentences array<string>, label string, reasoning string, confidence double, winning_model int")
+    full = topics.topics_ranked(t)
+    assert full.count() == 230 and topics.topics_ranked(t, topics.MAX_TOPICS).count() == 120
+    assert review.review_labels(full).count() == 230 and review.review_labels(full, review.MAX_REVIEW_ROWS).count() == 200
+    assert review.phase_snapshot(full, "labels").count() == 230
+    assert review.phase_snapshot(full, "labels", cap=review.MAX_SNAPSHOT_LABELS).count() == 100
+    assert topics.chart_sizes(full).count() == topics.chart_map(full).count() == 230
+    assert topics.chart_sizes(full, topics.CHART_TOP).count() == topics.chart_map(full, topics.CHART_TOP).count() == 30
+    assert topics.chart_similarity(full).count() == topics.HEATMAP_TOP ** 2
+    chars = lambda **k: len(report.rq5_cluster_summary(full, **k).first().top_evidence)
+    assert chars() == 300 and chars(evidence_chars=report.EVIDENCE_CHARS) == 120
