@@ -2,8 +2,9 @@
 /root/testdata/sf0.1) with local[$BENCH_CPUS] and print ONE JSON line.
 
 Each query is executed in full through the ``noop`` sink (no collect to the
-driver). The relational council/theme/taxonomy queries share checkpointed
-derived stages; building them is timed once as ``derived_stages``."""
+driver). The relational council/theme/taxonomy queries share stored
+derived stages; building them is timed once as ``derived_stages``. For queries whose
+registered form reads its result from such a stage, the operator itself is run on its stored inputs."""
 
 from __future__ import annotations
 
@@ -21,6 +22,24 @@ HEADLINE = [
 ]
 
 
+def operators(spark, sf: str) -> dict:
+    """Operators on their stored inputs, by the name of the query."""
+    from litspark.functions.vec import dim_of
+    from litspark.operators import council, taxonomy, themes, topics
+    from litspark.plans import derived as D
+
+    members, vectors, _, papers, _, ranked = D.emb_topics(spark, sf)
+    labels, _, collected, decisions, _, _ = D.labelled_topics(spark, sf)
+    th, tmap, _, _ = D.emb_themes(spark, sf)
+    dim = dim_of(D.emb_vectors(spark, sf), "embedding")
+    return {
+        "top_evidence": lambda: topics.top_evidence(vectors, None, topics.centroids(vectors, None), dim=dim),
+        "merge_council": lambda: council.merge_council(ranked, decisions, collected),
+        "consolidate": lambda: themes.themes_ranked(themes.consolidate(tmap, labels, papers)),
+        "merge_taxonomy": lambda: taxonomy.merge_taxonomy(th, taxonomy.taxonomy_from_responses(D.taxonomy_responses(th))),
+    }
+
+
 def main() -> None:
     sf = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
@@ -37,9 +56,10 @@ def main() -> None:
     t0 = time.time()
     D.emb_taxonomy(spark, sf)
     times["derived_stages"] = round(time.time() - t0, 3)
+    direct = operators(spark, sf)
     for name in HEADLINE:
         t0 = time.time()
-        QUERIES[name](spark, sf).write.format("noop").mode("overwrite").save()
+        (direct[name]() if name in direct else QUERIES[name](spark, sf)).write.format("noop").mode("overwrite").save()
         times[name] = round(time.time() - t0, 3)
     total = round(sum(times.values()), 3)
     sf_name = os.path.basename(sf.rstrip("/")).replace("sf", "")
