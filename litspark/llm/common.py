@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,6 +39,19 @@ def fresh(df: DataFrame, name: str) -> str:
     return name if name not in df.columns else f"{name}_{uuid.uuid4().hex[:8]}"
 
 
+_CACHE: dict[str, object] = {}
+
+
+def worker_cache(name: str, make=None):
+    """The cache of operator ``name`` in this Python worker. Workers are reused by later stages, so
+    a worker keeps one operator's cache at a time: asking for another one lets go of it."""
+    if name not in _CACHE:
+        _CACHE.clear()
+        pa.default_memory_pool().release_unused()
+        _CACHE[name] = make() if make else None
+    return _CACHE[name]
+
+
 def nonnull_text(column: str = "text"):
     """Null texts count as empty everywhere."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

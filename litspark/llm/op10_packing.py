@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import nonnull_text, session, table
+from .common import nonnull_text, session, table, worker_cache
 from .op1_token_counts import default_tokenizer
 from .units import cut, gathered, unit_blocks
 
@@ -40,7 +40,7 @@ LENGTH = 2048
 SEPARATOR = 1
 GROUP_DOCUMENTS = 1024
 SEED = 17
-MEMO_UNITS = 1_000_000
+MEMO_UNITS = 350_000
 LEARN_UNITS = 4000
 
 
@@ -86,13 +86,8 @@ class UnitEncoder:
                 yield ids[i:j]
 
 
-_ENCODERS: dict[str, UnitEncoder] = {}
-
-
 def encoder(path: str) -> UnitEncoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = UnitEncoder(path)
-    return _ENCODERS[path]
+    return worker_cache(f"op10 {path}", lambda: UnitEncoder(path))
 
 
 def _mix(x: int) -> int:

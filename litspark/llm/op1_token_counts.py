@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import nonnull_text, session, table
+from .common import nonnull_text, session, table, worker_cache
 from .units import cut, gathered, unit_blocks
 
 #: Fixed value: the published split pattern of this byte-level vocabulary.
@@ -218,13 +218,8 @@ def counts_of(index: bytes) -> np.ndarray:
     return np.cumsum(np.frombuffer(index, dtype=np.int16), dtype=np.int64)
 
 
-_COUNTERS: dict[str, PrefixCounter] = {}
-
-
 def _counter(path: str) -> PrefixCounter:
-    if path not in _COUNTERS:
-        _COUNTERS[path] = PrefixCounter(path)
-    return _COUNTERS[path]
+    return worker_cache(f"op1 {path}", lambda: PrefixCounter(path))
 
 
 def with_prefix_counts(df: DataFrame, text: str = "text", tokenizer: str | None = None,

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import nonnull_text, session, table, written
+from .common import nonnull_text, session, table, worker_cache, written
 
 MIN_SUPPORT = 3
 GENERALISE = 0.8
@@ -118,6 +118,7 @@ def scan(documents: DataFrame) -> DataFrame:
             [*(pa.nulls(n, t) for t in kinds[:9]), pa.array(count.keys(), pa.string()), pa.array(count.values(), pa.int64())], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("op4")
         row, count = TaskContext.get().partitionId() << 40, Counter()
         for b in batches:
             out: list[list] = [[] for _ in names]

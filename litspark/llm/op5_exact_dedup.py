@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WHITE, session, table, written
+from .common import WHITE, session, table, worker_cache, written
 
 SPLITTER_BYTES = 48
 _DELETE = WHITE.encode()
@@ -42,6 +42,7 @@ def normalised(text: str | None) -> bytes:
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(key, sha, n_points) in front of the row: what the sort needs."""
+    worker_cache("op5")
     for b in batches:
         key, sha, points = [], [], []
         for x in b.column(b.schema.get_field_index("text")):

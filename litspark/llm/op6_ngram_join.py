@@ -42,7 +42,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WHITE, components, fresh, nonnull_text, session, table, written
+from .common import WHITE, components, fresh, nonnull_text, session, table, worker_cache, written
+from .units import text_bytes
 
 N = 4
 PERCENT = 85
@@ -86,12 +87,10 @@ def _word_hashes(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.
 
 def shingle_sets(texts: pa.Array, n: int = N, block_bytes: int = BLOCK_BYTES) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of each text (no nulls), in order, a block of texts at a time."""
-    texts = texts.cast(pa.large_string())
+    worker_cache("op6")
     if not len(texts):
         return
-    ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset:texts.offset + len(texts) + 1]
-    raw = texts.buffers()[2]
-    data = np.frombuffer(raw, np.uint8) if raw is not None and raw.size else np.zeros(0, np.uint8)
+    ends, data = text_bytes(texts)
     a = 0
     while a < len(texts):
         z = max(a + 1, int(np.searchsorted(ends, ends[a] + block_bytes, side="right")) - 1)

@@ -1,6 +1,7 @@
 """Cutting texts into units that a byte-level tokenizer encodes independently.
 
-A unit is a run of white space and what follows it up to the next. The split pattern
+A unit is a run of white space and what follows it up to the next, or up to a mark like a
+comma behind a letter or digit. The split pattern
 of the vocabulary never joins characters across such a boundary, nor looks past it, so
 the encoding of a text is the concatenation of its units' encodings and each
 distinct unit has to be looked at once. Boundaries are found on the bytes of
@@ -16,9 +17,14 @@ import pyarrow as pa
 
 from .common import WHITE
 
-BLOCK_BYTES = 8_000_000
+BLOCK_BYTES = 4_000_000
 _WHITE = np.zeros(256, bool)
 _WHITE[[ord(c) for c in WHITE]] = True
+_WORD = np.zeros(256, bool)
+_WORD[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
+# Not the quote (contractions), nor what special strings are written with.
+_MARK = np.zeros(256, bool)
+_MARK[[ord(c) for c in ",.;:!?)\"#$%&*"]] = True
 
 
 def _maybe_wide(data: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -31,15 +37,20 @@ def _maybe_wide(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     return (b1 >= 0x80) & (two | three)
 
 
+def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(ends, bytes) of a column of texts without nulls, without copying the bytes: text i is ``bytes[ends[i]:ends[i + 1]]``."""
+    kind = np.int64 if pa.types.is_large_string(texts.type) else np.int32
+    ends = np.frombuffer(texts.buffers()[1], kind)[texts.offset:texts.offset + len(texts) + 1].astype(np.int64)
+    raw = texts.buffers()[2]
+    return ends, np.frombuffer(raw, np.uint8) if raw is not None and raw.size else np.zeros(0, np.uint8)
+
+
 def unit_blocks(texts: pa.Array, block_bytes: int = BLOCK_BYTES) -> Iterator[tuple[int, int, np.ndarray, list[bytes], np.ndarray]]:
     """``(first row, end row, unit numbers in order, distinct units, first unit of each row and the end)``
     for blocks of about ``block_bytes``; ``texts`` has no nulls."""
-    texts = texts.cast(pa.large_string()) if len(texts) else texts
     if not len(texts):
         return
-    ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset:texts.offset + len(texts) + 1]
-    raw = texts.buffers()[2]
-    data = np.frombuffer(raw, np.uint8) if raw is not None and raw.size else np.zeros(0, np.uint8)
+    ends, data = text_bytes(texts)
     a = 0
     while a < len(texts):
         z = max(a + 1, int(np.searchsorted(ends, ends[a] + block_bytes, side="right")) - 1)
@@ -50,6 +61,7 @@ def unit_blocks(texts: pa.Array, block_bytes: int = BLOCK_BYTES) -> Iterator[tup
         at = np.flatnonzero(start)
         at = at[at > 0]
         start[at[_maybe_wide(d, at)]] = False
+        start[1:] |= _MARK[d[1:]] & _WORD[d[:-1]]
         rows = ends[a:z + 1] - ends[a]
         start[rows[rows < len(d)]] = True
         at = np.flatnonzero(start)
