@@ -131,9 +131,10 @@ def _first(r, order, k: int) -> np.ndarray:
 
 
 def neighbours(blocked: DataFrame, k: int, keys=KEYS, ward: bool = False, cut: float = np.inf,
-               partners: int = PARTNERS, stats: dict | None = None) -> DataFrame:
+               partners: int = PARTNERS, stats: dict | None = None, targets: DataFrame | None = None) -> DataFrame:
     """``(keys, src, dst, d, tie, w, y)`` of each point's ``k`` nearest neighbours with squared (Ward: weighted)
-    distance below ``cut``, from a written ``blocks``. Order: distance, then ``dst`` (Ward: hashed pair, then
+    distance below ``cut``, from a written ``blocks``; among ``targets`` (blocks of all points, if
+    ``blocked`` holds some of them). Order: distance, then ``dst`` (Ward: hashed pair, then
     the pair). ``stats`` gets the pairs of points compared and the number of blocks."""
 
     def bound(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -149,7 +150,8 @@ def neighbours(blocked: DataFrame, k: int, keys=KEYS, ward: bool = False, cut: f
     meta_schema = T.StructType([f for f in blocked.schema.fields if f.name not in ("ids", "xs", "ws")] + [T.StructField("bound", T.DoubleType())])
     meta = written(blocked.mapInPandas(bound, meta_schema), "block-meta")
     names = {"block": "p_block", "center": "p_center", "radius": "p_radius", "w_min": "p_w", "n": "p_n"}
-    other = meta.select(*[F.col(c).alias(f"p_{c}") for c in keys], *[F.col(a).alias(b) for a, b in names.items()])
+    targets = blocked if targets is None else targets
+    other = targets.select(*[F.col(c).alias(f"p_{c}") for c in keys], *[F.col(a).alias(b) for a, b in names.items()])
     same_key = [F.col(c).eqNullSafe(F.col(f"p_{c}")) for c in keys]
     gap = F.greatest(F.lit(0.0), F.sqrt(F.aggregate(F.zip_with("center", "p_center", lambda a, b: (a - b) * (a - b)), F.lit(0.0),
                                                     lambda a, b: a + b)) * (1 - 1e-12) - F.col("radius") - F.col("p_radius"))
@@ -165,7 +167,7 @@ def neighbours(blocked: DataFrame, k: int, keys=KEYS, ward: bool = False, cut: f
     dealt = pairs.join(many, [*keys, "block"]).withColumn("part", F.pmod(F.xxhash64("p_block"), F.ceil(F.col("m") / partners)).cast("int"))
     body = ["ids", "xs", "ws"]
     right = dealt.select(*keys, "block", "part", F.col("p_block")).join(
-        blocked.select(*keys, F.col("block").alias("p_block"), *body), [*keys, "p_block"])
+        targets.select(*keys, F.col("block").alias("p_block"), *body), [*keys, "p_block"])
     left = dealt.select(*keys, "block", "part").distinct().join(blocked.select(*keys, "block", *body), [*keys, "block"])
     rows = left.select(*keys, "block", "part", F.lit(True).alias("own"), *body).unionByName(
         right.select(*keys, "block", "part", F.lit(False).alias("own"), *body))
