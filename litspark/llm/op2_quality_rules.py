@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WHITE, WORD, nonnull_text, session, table
+from .common import WHITE, WORD, nonnull_text, session, table, worker_cache
 
 MIN_WORDS = 20
 MAX_REPEATED_PERCENT = 30
@@ -47,7 +47,7 @@ _CLASS[[ord(c) for c in SYMBOLS]] = _SYMBOL
 _CLASS[[ord(c) for c in ".,;:'\"!?-()"]] = _STOP
 _CLASS[[ord(c) for c in WHITE]] = _SPACE
 FEATURES = ["bias", "log_bytes", "log_words", "upper", "digit", "symbol", "stop", "other", "letters_per_word",
-            "ends_sentence", "symbols_per_word", "stops_per_word", "seen_before"]
+            "symbols_per_word", "stops_per_word", "repeated_words", "seen_before"]
 
 
 @dataclass
@@ -99,15 +99,14 @@ def line_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     size = (ends - starts).astype(float)
     full = np.maximum(1.0, size - count[:, _SPACE])
     per = np.maximum(1.0, words)
-    lastpos = np.maximum(starts, ends - 1)
-    closing = np.isin(blob[np.minimum(lastpos, max(0, len(blob) - 1))], [ord(c) for c in ".!?"]) if len(blob) else np.zeros(n, bool)
-    seen, repeats = np.zeros(n), []
+    seen, distinct, repeats = np.zeros(n), np.ones(n), []
     at = 0
     for x in texts:
         known: set[str] = set()
         again = 0
         for line in x.split("\n"):
             if words[at]:
+                distinct[at] = len(set(_WORDS.findall(line)))
                 if line in known:
                     seen[at] = 1
                     again += 1
@@ -117,8 +116,8 @@ def line_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
         repeats.append(again)
     x = np.stack([np.ones(n), np.log1p(size) / 5, np.log1p(words) / 3, count[:, _UPPER] / full, count[:, _DIGIT] / full,
                   count[:, _SYMBOL] / full, count[:, _STOP] / full, count[:, _OTHER] / full,
-                  (count[:, _UPPER] + count[:, _LOWER] + count[:, _HIGH]) / per / 10, closing & (size > 0),
-                  np.minimum(2, count[:, _SYMBOL] / per), np.minimum(2, count[:, _STOP] / per), seen], axis=1)
+                  (count[:, _UPPER] + count[:, _LOWER] + count[:, _HIGH]) / per / 10,
+                  np.minimum(2, count[:, _SYMBOL] / per), np.minimum(2, count[:, _STOP] / per), 1 - distinct / per, seen], axis=1)
     return x, points, words > 0, repeats
 
 
@@ -251,6 +250,7 @@ def judged(documents: DataFrame, model: ChainField, min_share: float = MIN_CONTE
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("op2")
         for b in batches:
             texts = [x or "" for x in b.column(0).to_pylist()]
             a = 0

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from . import op3_line_dedup, op5_exact_dedup, op8_mixing
+from . import op3_line_dedup, op5_exact_dedup, op6_ngram_join, op8_mixing
 from .op1_token_counts import op1_token_counts
 from .op2_quality_rules import op2_quality_rules
 from .op4_pii import op4_pii
-from .op6_ngram_join import op6_ngram_join
 from .op7_tool_calls import op7_tool_calls
 from .op9_quality_classifier import op9_quality_classifier
 from .op10_packing import op10_packing
@@ -17,7 +16,7 @@ QUERIES = {
     "op3_line_dedup": op3_line_dedup.op3_line_dedup,
     "op4_pii": op4_pii,
     "op5_exact_dedup": op5_exact_dedup.op5_exact_dedup,
-    "op6_ngram_join": op6_ngram_join,
+    "op6_ngram_join": op6_ngram_join.op6_ngram_join,
     "op7_tool_calls": op7_tool_calls,
     "op8_mixing": op8_mixing.op8_mixing,
     "op9_quality_classifier": op9_quality_classifier,
@@ -26,5 +25,6 @@ QUERIES = {
 ORACLE_SQL = {
     "op3_line_dedup": op3_line_dedup.ORACLE,
     "op5_exact_dedup": op5_exact_dedup.ORACLE,
+    "op6_ngram_join": op6_ngram_join.ORACLE,
     "op8_mixing": op8_mixing.ORACLE,
 }

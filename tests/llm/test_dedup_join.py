@@ -105,6 +105,8 @@ def test_ngram_components(spark, chunk):
 def test_ngram_components_of_the_tables_and_of_nothing(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
     assert rows_of(op6.ngram_components(docs)) == brute_components([tuple(r) for r in docs.collect()])
+    got, want = same_as_sql(op6.ngram_components(docs), op6.ORACLE, documents=docs)
+    assert got == want
     assert op6.ngram_components(documents(spark, [])).count() == 0
     assert op6.representatives(documents(spark, [])).count() == 0
 
