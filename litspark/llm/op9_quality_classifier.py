@@ -2,7 +2,7 @@
 follow-the-regularised-leader updates, scored as sparse dot products.
 
 A text is a sequence of words and of symbol runs. Features are hashed n-grams of the
-words (1 and 2) and of their shapes (1 to 3; a shape is the case of a word, digits,
+words (1 and 2; a word twice in a row is one more gram, whatever the word) and of their shapes (1 to 3; a shape is the case of a word, digits,
 or the symbol run itself), each counted relative to the text's length. Training
 takes at most ``TRAIN_DOCUMENTS`` labelled documents outside the held-out fold, the first by
 a hash of the id, in that order; labels, language, source and id are never features.
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import nonnull_text, session, table
+from .common import nonnull_text, session, table, worker_cache
 from .op2_quality_rules import training_rows
 
 TRAIN_DOCUMENTS = 6000
@@ -35,10 +35,9 @@ MEMO_WORDS = 400_000
 SCALE = 10.0
 
 _TOKENS = re.compile(r"[^\W_]+|[^\w\s]+|_+")
-_MEMO: dict[str, int] = {}
 
 
-def _code(token: str) -> int:
+def _code(token: str, memo: dict[str, int]) -> int:
     """Hash of the token in the high half, hash of its shape in the low half."""
     if not token[0].isalnum():
         shape = token[:3]
@@ -50,9 +49,9 @@ def _code(token: str) -> int:
         shape = "Aa"
     else:
         shape = "a"
-    if len(_MEMO) > MEMO_WORDS:
-        _MEMO.clear()
-    code = _MEMO[token] = zlib.crc32(token.encode()) << 32 | zlib.crc32(shape.encode())
+    if len(memo) > MEMO_WORDS:
+        memo.clear()
+    code = memo[token] = zlib.crc32(token.encode()) << 32 | zlib.crc32(shape.encode())
     return code
 
 
@@ -62,13 +61,16 @@ def features(text: str) -> tuple[np.ndarray, float]:
     n = len(tokens)
     if not n:
         return np.zeros(0, np.int64), 0.0
-    get = _MEMO.get
-    code = np.fromiter((get(t) or _code(t) for t in tokens), np.uint64, n)
+    memo = worker_cache("op9", dict)
+    get = memo.get
+    code = np.fromiter((get(t) or _code(t, memo) for t in tokens), np.uint64, n)
     word, shape = code >> np.uint64(32), code & np.uint64(0xFFFFFFFF)
     mul, top = np.uint64(0x9E3779B97F4A7C15), np.uint64(64 - BITS)
     grams = [(word + np.uint64(1)) * mul, (((word[:-1] * mul) ^ word[1:]) + np.uint64(2)) * mul,
              (shape + np.uint64(3 << 33)) * mul]
     two = (shape[:-1] * mul) ^ shape[1:]
+    same = np.flatnonzero(word[1:] == word[:-1])  # a word and itself again: one gram, whatever the word
+    grams.append(np.full(len(same), 11, np.uint64) * mul)
     grams += [(two + np.uint64(5)) * mul, (((two[:-1] * mul) ^ shape[2:]) + np.uint64(7)) * mul]
     return np.maximum(1, np.concatenate([(g >> top).astype(np.int64) for g in grams])), SCALE / n
 
