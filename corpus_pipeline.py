@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from litspark.llm import op2_quality_rules, op5_exact_dedup, op6_ngram_join, op8_mixing, op10_packing
 from litspark.llm.common import table, written
 
+#: Near copies of the corpus: shingles of five words, a similarity of 0.8 or more (the op6 query's contract has its own).
+NEAR_WORDS = 5
+NEAR_PERCENT = 80
 #: Share of the tokens that reach the mixture which it keeps.
 MIX_PERCENT = 70
 
@@ -25,7 +28,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents the one with the smallest id stays."""
-    return op6_ngram_join.representatives(docs)
+    return op6_ngram_join.representatives(docs, n=NEAR_WORDS, percent=NEAR_PERCENT)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
