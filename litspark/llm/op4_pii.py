@@ -5,17 +5,21 @@ protected entities. Over the whole corpus, with N rows, a term t reveals the sha
 
     PMI(t; e) / IC(e) = log2(N c(t,e) / (c(t) c(e))) / log2(N / c(e))
 
-of the information that an entity e holds, c counting documents. In a document
-with e, a term seen together with it in at least ``MIN_SUPPORT`` documents is generalised from
-``GENERALISE`` on and removed from ``REMOVE`` on (1: it occurs with e only).
-Fewer joint documents are no evidence, so an entity below that support has no such terms.
+of the information that an entity e holds, c counting documents; that is 1 + log2(c(t,e) / c(t)) / IC(e).
+A cautious estimate of it decides, over distinct texts (copies are no evidence) and with one joint text
+taken off, as a text is no evidence on itself:
+
+    lower = 1 + log2((c'(t,e) - 1) / c'(t)) / log2(N' / c'(e))
+
+In a document with e, a term is generalised from ``GENERALISE`` on and removed from ``REMOVE`` on. Every
+entity is scored; with a single joint text the estimate is minus infinity.
 
 One scan finds spans, terms and partial term counts (counted in the task, flushed
-at a fixed size); the rest are aggregates and joins on (entity, term) and the row,
-without texts. Entities are kept as digests, not in the clear.
+at a fixed size), a second one the terms of texts that occur more than once; the rest are aggregates
+and joins on (entity, term) and the row, without texts. Entities are kept as digests, not in the clear.
 
 Defined results: a null text counts as empty (no spans); repeated rows give repeated
-rows and count as documents; an empty table gives an empty table; extra columns don't matter.
+rows, count as documents in the ratio and once in the estimate; an empty table gives an empty table; extra columns don't matter.
 """
 
 from __future__ import annotations
@@ -33,11 +37,11 @@ from pyspark.sql import types as T
 
 from .common import nonnull_text, session, table, worker_cache, written
 
-MIN_SUPPORT = 3
 GENERALISE = 0.8
 REMOVE = 0.95
 KINDS = ("email", "ip", "card", "phone")
 FLUSH_TERMS = 300_000
+COPY_BITS = 24         # prefilter of texts by digest: 2^24 bits
 
 # The patterns of the base kinds. A run that cannot begin a match is consumed by the
 # second branch, so a long run without a match costs one pass, not one per character.
@@ -101,21 +105,21 @@ def terms(text: str, spans: list) -> dict[str, list[int]]:
 
 _SCAN = (
     "uid long, doc_id long, n_email long, n_ip long, n_card long, n_phone long, base string, entities array<string>, "
-    "terms array<struct<term: string, at: array<int>>>, term string, n long")
+    "terms array<struct<term: string, at: array<int>>>, term string, n long, digest string, extra long")
 _TERMS = pa.list_(pa.struct([("term", pa.string()), ("at", pa.list_(pa.int32()))]))
 
 
 def scan(documents: DataFrame) -> DataFrame:
     """Rows of two kinds: one per document (``uid`` set; terms only where it has
-    entities) and partial document counts of terms (``term``, ``n``)."""
+    entities; digest of the text) and partial document counts of terms (``term``, ``n``, and how many of
+    these, ``extra``, are further copies of a text)."""
     session(documents)
-    kinds = [pa.int64()] * 6 + [pa.string(), pa.list_(pa.string()), _TERMS, pa.string(), pa.int64()]
-    names = ["uid", "doc_id", "n_email", "n_ip", "n_card", "n_phone", "base", "entities", "terms", "term", "n"]
+    kinds = [pa.int64()] * 6 + [pa.string(), pa.list_(pa.string()), _TERMS, pa.string(), pa.int64(), pa.string(), pa.int64()]
+    names = ["uid", "doc_id", "n_email", "n_ip", "n_card", "n_phone", "base", "entities", "terms", "term", "n", "digest", "extra"]
 
-    def counted(count: Counter) -> pa.RecordBatch:
-        n = len(count)
-        return pa.RecordBatch.from_arrays(
-            [*(pa.nulls(n, t) for t in kinds[:9]), pa.array(count.keys(), pa.string()), pa.array(count.values(), pa.int64())], names)
+    def counted(count: Counter, what: str = "n") -> pa.RecordBatch:
+        cols = {"term": pa.array(count.keys(), pa.string()), what: pa.array(count.values(), pa.int64())}
+        return pa.RecordBatch.from_arrays([cols[c] if c in cols else pa.nulls(len(count), t) for c, t in zip(names, kinds)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_cache("op4")
@@ -130,7 +134,8 @@ def scan(documents: DataFrame) -> DataFrame:
                 values = {hashlib.blake2b(f"{KINDS[k]}:{v}".encode(), digest_size=16).hexdigest() for k, _, _, v in found}
                 tally = Counter(k for k, *_ in found)
                 for col, v in zip(out, (row, doc, *(tally[k] for k in range(4)), spans_text((KINDS[k], a, e) for k, a, e, _ in found),
-                                        sorted(values), [{"term": t, "at": at} for t, at in own.items()], None, None)):
+                                        sorted(values), [{"term": t, "at": at} for t, at in own.items()], None, None,
+                                        hashlib.md5(text.encode()).hexdigest(), None)):
                     col.append(v)
                 row += 1
                 if len(count) > FLUSH_TERMS:
@@ -139,32 +144,67 @@ def scan(documents: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], names)
         yield counted(count)
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), nonnull_text().alias("text")).mapInArrow(run, _SCAN)
-
-
-def disclosing(rows: DataFrame, min_support: int = MIN_SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
-    """``(entity, term, ratio, action)`` of the terms that reveal an entity too well, from a written ``scan``."""
+    def run_copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = Counter()
+        for b in batches:
+            for more, x in zip(b.column(0).to_pylist(), b.column(1)):
+                text = x.as_py()
+                found = base_spans(text)
+                for t in terms(text, found) if found else set(map(str.lower, _TERM.findall(text))):
+                    count[t] += more
+                if len(count) > FLUSH_TERMS:
+                    yield counted(count, "extra")
+                    count.clear()
+        yield counted(count, "extra")
+
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), nonnull_text().alias("text")).mapInArrow(run, _SCAN)
+    return rows.unionByName(_copied(documents).mapInArrow(run_copies, _SCAN))
+
+
+def _copied(documents: DataFrame) -> DataFrame:
+    """``(more, text)`` of each text that occurs again, once, and how often it does. A bitmap of fixed size (by
+    digest, broadcast) keeps most other texts out of the join."""
+    digest = F.md5(nonnull_text().cast("binary"))
+    again = documents.select(digest.alias("c_digest")).groupBy("c_digest").agg(F.count("*").alias("n")).filter("n > 1")
+    again = written(again.select("c_digest", (F.col("n") - 1).alias("more")), "pii-copies")
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << COPY_BITS))
+    bitmap = again.select(slot("c_digest").alias("s")).groupBy(F.shiftright("s", 6).alias("w")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(s & 63 as int))")).alias("bits"))
+    texts = documents.select(digest.alias("digest"), nonnull_text().alias("text")).withColumn("s", slot("digest"))
+    texts = texts.join(F.broadcast(bitmap), F.shiftright("s", 6) == F.col("w")).filter(
+        F.expr("bits & shiftleft(1L, cast(s & 63 as int))") != 0)
+    return texts.join(again, F.col("digest") == F.col("c_digest")).dropDuplicates(["digest"]).select("more", "text")
+
+
+def disclosing(rows: DataFrame, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
+    """``(entity, term, ratio, lower, action)`` of the terms that reveal an entity too well, from a written
+    ``scan``: the ratio over all documents, and the estimate over distinct texts that decides."""
     docs = rows.filter("uid is not null")
-    total = docs.count()
-    entity = docs.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
-    entity = entity.filter(F.col("n_entity") >= min_support)
-    seen = (docs.filter(F.size("entities") > 0).select(F.explode("entities").alias("entity"), F.col("terms.term").alias("t"))
-            .join(entity, "entity").select("entity", "n_entity", F.explode("t").alias("term"))
-            .groupBy("entity", "n_entity", "term").agg(F.count("*").alias("n_both")).filter(F.col("n_both") >= min_support))
-    seen = written(seen, "pairs")
-    counts = rows.filter("uid is null").groupBy("term").agg(F.sum("n").alias("n_term"))
+    total, texts = docs.agg(F.count("*"), F.count_distinct("digest")).first()
+    some = docs.filter(F.size("entities") > 0)
+    once = some.groupBy("digest").agg(F.min("uid").alias("o_uid")).select("o_uid")
+    some = some.join(once, F.col("uid") == F.col("o_uid"), "left").select(
+        F.explode("entities").alias("entity"), F.col("terms.term").alias("t"), F.col("o_uid").isNotNull().cast("long").alias("own"))
+    some = written(some, "entities")
+    entity = some.groupBy("entity").agg(F.count("*").alias("n_entity"), F.sum("own").alias("t_entity"))
+    # A single joint text gives an estimate of minus infinity whatever the counts.
+    seen = (some.select("entity", "own", F.explode("t").alias("term")).groupBy("entity", "term")
+            .agg(F.count("*").alias("n_both"), F.sum("own").alias("t_both")).filter("t_both > 1"))
+    seen = written(seen.join(entity, "entity").filter(F.col("t_entity") < texts), "pairs")
+    counts = rows.filter("uid is null").groupBy("term").agg(F.sum("n").alias("n_term"), F.coalesce(F.sum("extra"), F.lit(0)).alias("extra"))
     ratio = F.log2(F.lit(float(total)) * F.col("n_both") / (F.col("n_term") * F.col("n_entity"))) / F.log2(F.lit(float(total)) / F.col("n_entity"))
-    return (seen.filter(F.col("n_entity") < total).join(counts, "term").withColumn("ratio", ratio)
-            .filter(F.col("ratio") >= generalise)
-            .select("entity", "term", "ratio", F.when(F.col("ratio") >= remove, "remove").otherwise("generalise").alias("action")))
+    lower = 1 + F.log2((F.col("t_both") - 1) / (F.col("n_term") - F.col("extra"))) / F.log2(F.lit(float(texts)) / F.col("t_entity"))
+    return (seen.join(counts, "term").withColumn("ratio", ratio).withColumn("lower", lower)
+            .filter(F.col("lower") >= generalise)
+            .select("entity", "term", "ratio", "lower", F.when(F.col("lower") >= remove, "remove").otherwise("generalise").alias("action")))
 
 
-def find(documents: DataFrame, min_support: int = MIN_SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
+def find(documents: DataFrame, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
     """One row per row of ``documents``: counts per kind, digest of the base
     spans, all spans (base kinds first, then ``generalise`` and ``remove``), and how many of these are of a term."""
     rows = written(scan(documents), "pii")
     docs = rows.filter("uid is not null")
-    flagged = written(disclosing(rows, min_support, generalise, remove), "disclosing")
+    flagged = written(disclosing(rows, generalise, remove), "disclosing")
     hits = (docs.filter(F.size("entities") > 0).select("uid", F.explode("entities").alias("entity"), "terms")
             .join(flagged.select("entity").distinct(), "entity", "left_semi")
             .select("uid", "entity", F.explode("terms").alias("x")).select("uid", "entity", "x.term", "x.at")
