@@ -50,7 +50,7 @@ _IP = re.compile(r"([0-9]++(?:\.[0-9]++){3})|[0-9]++")
 _CARD = re.compile(r"([0-9](?:[\x20-]?[0-9])++)")
 _PHONE = re.compile(r"(\+[0-9][\x20().0-9-]+[0-9])")
 _DIGIT = re.compile("[0-9]")
-_TERM = re.compile(r"[^\W_]{4,}")
+_TERM = re.compile(r"[^\W_]+")
 
 
 def _luhn(digits: str) -> bool:
