@@ -153,5 +153,5 @@ def test_pipeline_packs_what_is_left(spark, stages):
 def test_registered_queries():
     import __spark_entry__ as e
     names = set(e.queries())
-    assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
+    assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 14))
     assert set(e.oracle_sql()) <= names
