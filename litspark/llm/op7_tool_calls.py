@@ -16,13 +16,14 @@ others are reported as duplicates without a result; of several results the first
 counts and ``n_results`` tells how many there are; calls without a result are 'unanswered', results
 without a call 'orphan' (no order); an unknown ``after`` starts a chain ('dangling'); calls on a
 cycle come last. Null identifiers link with nothing; unknown tools, null and malformed arguments
-are invalid with a reason; an empty table gives an empty table; extra columns don't matter.
+are invalid with a reason (so is text with half a surrogate pair); a schema with an unsupported keyword is an error; an empty table gives an empty table; extra columns don't matter.
 """
 
 from __future__ import annotations
 
 import json
 import math
+import re
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -37,29 +38,68 @@ SCHEMAS = {
     "summarise": {"required": ["text", "words"], "properties": {"text": {"type": "string"}, "words": {"type": "integer", "minimum": 1}}},
     "translate": {"required": ["text", "to"], "properties": {"text": {"type": "string"}, "to": {"type": "string", "enum": ["de", "en", "es", "fr"]}}},
 }
-_TYPES = {"string": str, "integer": int, "number": (int, float), "boolean": bool, "array": list, "object": dict}
+_TYPES = {"string": str, "integer": int, "number": (int, float), "boolean": bool, "array": list, "object": dict, "null": type(None)}
+#: Keywords by the types they speak of ("" for any); a schema with another keyword is refused when the query is built.
+_KEYWORDS = {"": {"type", "enum", "description"}, "string": {"minLength", "maxLength", "pattern"}, "number": {"minimum", "maximum"},
+             "array": {"items", "minItems", "maxItems"}, "object": {"properties", "required"}}
+
+
+def check_schema(schema: dict, at: str = "schema") -> None:
+    """Raises for keywords and types that ``problems`` doesn't know, so that nothing counts as valid unchecked."""
+    if unknown := set(schema).difference(*_KEYWORDS.values()):
+        raise ValueError(f"{at}: unsupported keywords {sorted(unknown)}")
+    if unknown := set(_kinds(schema)) - set(_TYPES):
+        raise ValueError(f"{at}: unknown types {sorted(unknown)}")
+    re.compile(schema.get("pattern", ""))
+    for k, rule in schema.get("properties", {}).items():
+        check_schema(rule, f"{at}.{k}")
+    if "items" in schema:
+        check_schema(schema["items"], f"{at}[]")
+
+
+def _kinds(schema: dict) -> list[str]:
+    kind = schema.get("type", [])
+    return [kind] if isinstance(kind, str) else kind
+
+
+def _is(v: object, kind: str) -> bool:
+    return isinstance(v, _TYPES[kind]) and (kind == "boolean" or not isinstance(v, bool))
+
+
+def _value_problems(v: object, rule: dict, name: str) -> list[str]:
+    """What is wrong with one value; bounds count only for values of the type they speak of."""
+    kinds = _kinds(rule)
+    if kinds and not any(_is(v, k) for k in kinds):
+        return [f"{name} is no {' or '.join(kinds)}"]
+    if "enum" in rule and not any(type(v) is type(x) and v == x for x in rule["enum"]):
+        return [f"{name} not allowed"]
+    out = []
+    if _is(v, "number"):
+        out += [f"{name} too small"] * (v < rule.get("minimum", v)) + [f"{name} too large"] * (v > rule.get("maximum", v))
+    elif isinstance(v, str):
+        out += [f"{name} too short"] * (len(v) < rule.get("minLength", 0)) + [f"{name} too long"] * (len(v) > rule.get("maxLength", len(v)))
+        out += [f"{name} has another form"] * ("pattern" in rule and not re.search(rule["pattern"], v))
+    elif isinstance(v, list):
+        out += [f"{name} has too few items"] * (len(v) < rule.get("minItems", 0)) + [f"{name} has too many items"] * (len(v) > rule.get("maxItems", len(v)))
+        out += [p for i, x in enumerate(v) for p in _value_problems(x, rule.get("items", {}), f"{name}[{i}]")]
+    elif isinstance(v, dict) and ("properties" in rule or "required" in rule):
+        out += _object_problems(v, rule, f"{name}.")
+    return out
+
+
+def _object_problems(arguments: dict, schema: dict, at: str = "") -> list[str]:
+    out = [f"missing {at}{k}" for k in schema.get("required", []) if k not in arguments]
+    for k, v in sorted(arguments.items()):
+        rule = schema.get("properties", {}).get(k)
+        out += [f"unexpected {at}{k}"] if rule is None else _value_problems(v, rule, f"{at}{k}")
+    return out
 
 
 def problems(arguments: object, schema: dict | None) -> list[str]:
     """What is wrong with ``arguments``; properties a schema doesn't list aren't allowed."""
     if schema is None:
         return ["unknown tool"]
-    if not isinstance(arguments, dict):
-        return ["not an object"]
-    out = [f"missing {k}" for k in schema.get("required", []) if k not in arguments]
-    for k, v in sorted(arguments.items()):
-        rule = schema.get("properties", {}).get(k)
-        if rule is None:
-            out.append(f"unexpected {k}")
-            continue
-        kind = rule.get("type")
-        if kind and (not isinstance(v, _TYPES[kind]) or isinstance(v, bool) != (kind == "boolean")):
-            out.append(f"{k} is no {kind}")
-        elif "enum" in rule and v not in rule["enum"]:
-            out.append(f"{k} not allowed")
-        elif "minimum" in rule and v < rule["minimum"]:
-            out.append(f"{k} too small")
-    return out
+    return _object_problems(arguments, schema) if isinstance(arguments, dict) else ["not an object"]
 
 
 def canonical(value: object) -> str:
@@ -70,15 +110,19 @@ def _no_constant(x: str):
     raise ValueError(x)
 
 
-def parsed(text: str | None) -> tuple[object, bool]:
-    """(value, was it JSON); NaN and infinities aren't, nor are numbers that become one."""
+def parsed(text: str | None) -> tuple[object, str]:
+    """(value, why it is no JSON or ""); NaN and infinities aren't JSON, nor are numbers that become one, nor text with half of a
+    surrogate pair, which is no Unicode text and can't be stored."""
     if text is None:
-        return None, False
+        return None, "no arguments"
     try:
         value = json.loads(text, parse_constant=_no_constant, parse_float=lambda x: v if math.isfinite(v := float(x)) else _no_constant(x))
-        return value, True
+        canonical(value).encode()
+        return value, ""
+    except UnicodeEncodeError:
+        return text, "not Unicode"
     except (ValueError, RecursionError):
-        return text, False
+        return text, "not JSON"
 
 
 def depths(calls: DataFrame) -> DataFrame:
@@ -104,6 +148,8 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: dict = SCHEMAS) ->
     call_id, content, position)`` to one row per call and per identifier of orphan results:
     ``conv_id, call_id, order_no, depth, topology, status, valid, errors, n_results, json``."""
     session(calls)
+    for name, schema in schemas.items():
+        check_schema(schema, name)
     c = written(calls.select(
         F.monotonically_increasing_id().alias("uid"), F.col("conv_id").cast("long").alias("conv"), F.col("call_id").cast("string").alias("call"),
         F.col("name").cast("string").alias("name"), F.col("arguments").cast("string").alias("arguments"),
@@ -138,8 +184,8 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: dict = SCHEMAS) ->
         for p in batches:
             valid, errors, text = [], [], []
             for row in p.itertuples(index=False):
-                value, is_json = parsed(None if pd.isna(row.arguments) else row.arguments)
-                wrong = problems(value, schemas.get(row.name)) if is_json else ["no arguments" if value is None else "not JSON"]
+                value, why = parsed(_plain(row.arguments))
+                wrong = [why] if why else problems(value, schemas.get(row.name))
                 item = {"id": _plain(row.call), "name": _plain(row.name), "arguments": value, "after": _plain(row.after)}
                 if row.status == "linked":
                     item["result"] = _plain(row.content)

@@ -84,7 +84,23 @@ def test_canonical_json():
     value = {"b": [1, {"d": None, "c": "ü "}], "a": 1.5, "": True}
     text = op7.canonical(value)
     assert json.loads(text) == value and text == '{"":true,"a":1.5,"b":[1,{"c":"ü ","d":null}]}'
-    assert op7.parsed("1e999") == ("1e999", False) and op7.parsed("[" * 100_000)[1] is False
+    assert op7.parsed("1e999") == ("1e999", "not JSON") and op7.parsed("[" * 100_000)[1] == "not JSON" and op7.parsed(None) == (None, "no arguments")
+
+
+def test_surrogates_and_schema_keywords(spark):
+    schema = {"t": {"required": ["a"], "properties": {
+        "a": {"type": ["string", "null"], "minLength": 2, "maxLength": 3, "pattern": "^x"}, "n": {"minimum": 1, "maximum": 5, "enum": [1, 2, 7, "z", True]},
+        "l": {"type": "array", "items": {"type": "integer"}, "minItems": 1}, "o": {"type": "object", "required": ["k"], "properties": {"k": {"type": "null"}}}}}}
+    arguments = ['{"a": "\\ud800"}', '{"a": null}', '{"a": "xy", "n": 2}', '{"a": "yyyy", "n": "z"}', '{"a": "x", "n": 7, "l": []}', '{"a": 5, "l": [1, "b", true]}',
+                 '{"a": "xx", "o": {"k": 1, "m": 2}}', '{"a": "xx", "o": {}}', '{"a": "xx", "n": true}', '{"a": "xx", "n": 1.0}', '{"\\udfff": 1}', '{"a": "\\ud83d\\ude00"}']
+    rows = {r.call_id: r for r in run(spark, [(1, f"c{i:02}", "t", x, None, i) for i, x in enumerate(arguments)], [], schemas=schema)}
+    assert [rows[k].errors for k in sorted(rows)] == [
+        "not Unicode", "", "", "a too long; a has another form", "a too short; l has too few items; n too large", "a is no string or null; l[1] is no integer; l[2] is no integer",
+        "o.k is no null; unexpected o.m", "missing o.k", "", "n not allowed", "not Unicode", "a too short; a has another form"]
+    assert json.loads(rows["c00"].json)["arguments"] == arguments[0]
+    for bad in ({"t": {"properties": {"a": {"oneOf": []}}}}, {"t": {"properties": {"a": {"type": "date"}}}}, {"t": {"properties": {"a": {"items": {"format": "x"}}}}}):
+        with pytest.raises(ValueError):
+            run(spark, [], [], schemas=bad)
 
 
 def test_query_over_the_conversations(spark):
@@ -119,7 +135,8 @@ def test_pipeline_stages(spark, stages):
     from litspark.llm import op2_quality_rules as op2
     from litspark.llm import op8_mixing as op8
 
-    from .test_dedup_join import brute_components, brute_dedup
+    from .test_dedup_join import brute_dedup
+    from .test_near_copies_stage import kept_ids
 
     sf, out = stages
     start = spark.read.parquet(f"{sf}/documents.parquet")
@@ -129,7 +146,7 @@ def test_pipeline_stages(spark, stages):
     verdict = op2.judged(start, op2.train(start, spark.read.parquet(f"{sf}/labels.parquet"))).filter("kept")
     assert ids[1] == sorted(r.doc_id for r in verdict.collect())
     assert ids[2] == sorted({best for _, best, _, _ in brute_dedup(rows(out[0][1]))})
-    assert ids[3] == sorted({c for _, _, c in brute_components(rows(out[1][1]))})
+    assert ids[3] == kept_ids(rows(out[1][1]))
     assert ids[4] == sorted(r.doc_id for r in op8.mixture(out[2][1], 70, max_epochs=1).collect())
     assert all(set(b) < set(a) for a, b in zip(ids, ids[1:]))
     good = {r.doc_id for r in spark.read.parquet(f"{sf}/labels.parquet").filter("quality = 1").collect()}
@@ -137,6 +154,24 @@ def test_pipeline_stages(spark, stages):
     assert len(good & long_enough & set(ids[1])) > 0.97 * len(good & long_enough)
 
 
+def test_stages_on_awkward_and_empty_tables(spark):
+    import corpus_pipeline as p
+
+    from litspark.llm.common import written
+
+    from .helpers import awkward, documents
+    sf = "/root/testdata/sf0.001"
+    for rows in (awkward(), []):
+        docs = start = documents(spark, rows).repartition(3)
+        for name, f in p.STAGES:
+            before, docs = docs, written(f(spark, docs, sf), f"awkward-{name}")
+            if name != "packing":
+                assert docs.schema.names == start.columns
+                assert {(r.doc_id, r.text) for r in docs.collect()} <= {(r.doc_id, r.text) for r in before.collect()}
+        kept = {r.doc_id for r in before.collect()}
+        assert {r.doc_id for r in docs.collect()} == kept and bool(rows) == bool(kept)
+
+
 def test_pipeline_packs_what_is_left(spark, stages):
     from tokenizers import Tokenizer
 
