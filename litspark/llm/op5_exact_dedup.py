@@ -6,9 +6,9 @@ partition is sorted externally, so equal texts lie next to each other, and
 neighbours are compared in full. A splitter holds at most ``SPLITTER_BYTES`` of content
 and the digest, so splitters stay small whatever the texts are; behind them come
 the length and the id, so a group of copies of any size is split over as many
-partitions as its bytes need. Such a group leaves one run per partition; only the first
-and last run of a partition can go on elsewhere, and these few (two per
-partition at most: the only broadcast) are put together by digest.
+partitions as its bytes need. A run of equal texts that ends within a batch is settled there.
+Of the others (at the ends of batches and partitions) rows are given out as *open* at once, so
+no run is held in memory; they are put together by an aggregate and a join on the digest, without their texts.
 
 Of equal texts the row with the most code points in the original text stays, then the
 smallest ``doc_id`` (null last). Defined results: null texts count as empty and are
@@ -33,7 +33,7 @@ from .common import WHITE, session, table, worker_cache, written
 
 SPLITTER_BYTES = 48
 _DELETE = WHITE.encode()
-DECISION = "doc_id long, uid long, n_points long, sha binary, run_size long, head_uid long, head_id long, head_points long, edge boolean"
+DECISION = "doc_id long, uid long, n_points long, sha binary, run_size long, head_uid long, head_id long, open boolean"
 
 
 def normalised(text: str | None) -> bytes:
@@ -56,79 +56,52 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ["k_key", "k_sha", "k_points", *b.schema.names])
 
 
-def _runs(keep: list[str]):
-    """Neighbour comparison over a sorted partition. Rows of a run are held as ids
-    until it ends; its first row, by the sort, is the one that stays in it."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: bytes | None = None
-        held: list[pa.RecordBatch] = []  # slices of the open run
-        first = True
-
-        def close(edge: bool) -> Iterator[pa.RecordBatch]:
-            size, head = sum(x.num_rows for x in held), held[0].slice(0, 1)
-            col = {c: i for i, c in enumerate(head.schema.names)}
-            at = {c: head.column(col[c])[0].as_py() for c in ("k_uid", "doc_id", "k_points")}
-            for x in held:
-                n = x.num_rows
-                yield pa.RecordBatch.from_arrays(
-                    [x.column(col["doc_id"]), x.column(col["k_uid"]), x.column(col["k_points"]), x.column(col["k_sha"]),
-                     *(pa.array([v] * n, t) for v, t in ((size, pa.int64()), (at["k_uid"], pa.int64()), (at["doc_id"], pa.int64()),
-                                                         (at["k_points"], pa.int64()), (edge, pa.bool_()))),
-                     *(x.column(col[c]) for c in keep)], _names(keep))
-
-        for b in batches:
-            if not b.num_rows:
-                continue
-            text = b.column(b.schema.get_field_index("text")).to_pylist()
-            norm = [normalised(x) for x in text]
-            same = np.fromiter((x == y for x, y in zip([last, *norm], norm)), bool, len(norm))
-            last = norm[-1]
-            slim = b.select([c for c in b.schema.names if c not in ("k_key", *(() if "text" in keep else ("text",)))])
-            starts = np.flatnonzero(~same)
-            if held and (not len(starts) or starts[0] > 0):
-                held.append(slim.slice(0, int(starts[0]) if len(starts) else slim.num_rows))
-            if not len(starts):
-                continue
-            if held:
-                yield from close(first)
-                first, held = False, []
-            if len(starts) > 1 and first:  # the partition's first run is an edge
-                held = [slim.slice(int(starts[0]), int(starts[1] - starts[0]))]
-                yield from close(True)
-                first, held, starts = False, [], starts[1:]
-            if len(starts) > 1:
-                yield _inner(slim, starts, keep)
-            held = [slim.slice(int(starts[-1]))]
-        if held:
-            yield from close(True)
-
-    return run
-
-
-def _inner(b: pa.RecordBatch, starts: np.ndarray, keep: list[str]) -> pa.RecordBatch:
-    """Runs that begin and end inside a batch; ``starts`` ends with the next run's start."""
-    sizes = np.diff(starts)
-    part = b.slice(int(starts[0]), int(starts[-1] - starts[0]))
-    heads = pa.array(np.repeat(starts[:-1] - starts[0], sizes))
-    col = {c: i for i, c in enumerate(b.schema.names)}
-    get = lambda c: part.column(col[c])
-    return pa.RecordBatch.from_arrays(
-        [get("doc_id"), get("k_uid"), get("k_points"), get("k_sha"), pa.array(np.repeat(sizes, sizes), pa.int64()),
-         pc.take(get("k_uid"), heads), pc.take(get("doc_id"), heads), pc.take(get("k_points"), heads),
-         pa.array(np.zeros(part.num_rows, bool)), *(get(c) for c in keep)], _names(keep))
-
-
-def _names(keep: list[str]) -> list[str]:
-    return [f.split()[0] for f in DECISION.split(", ")] + ["row_text" if c == "text" else c for c in keep]
-
-
-def decisions(documents: DataFrame, carry: bool = False) -> DataFrame:
-    """One row per row of ``documents``: ``doc_id, keep_id, group_size, kept,
-    text_sha256``. With ``carry`` the row itself comes along as columns ``row_<name>``."""
+def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Neighbour comparison over a sorted partition: each batch with the places where runs begin, and which rows are open: their run goes
+    on from the batch before, may go on in the next one, or is the partition's first and may have begun in another."""
+    last: bytes | None = None
+    for b in batches:
+        n = b.num_rows
+        if not n:
+            continue
+        first, norm = last is None, [normalised(x.as_py()) for x in b.column(b.schema.get_field_index("text"))]
+        same = np.fromiter((x == y for x, y in zip([last, *norm], norm)), bool, n)
+        last = norm[-1]
+        del norm
+        starts = np.flatnonzero(~same)
+        ends = np.append(starts, n)
+        is_open = np.zeros(n, bool)
+        is_open[:ends[0]] = True
+        if len(starts):
+            is_open[starts[-1]:] = True
+        if first:
+            is_open[:ends[1]] = True
+        yield b, starts, is_open
+
+
+def _decided(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every row without its text; run size and head are null where the row is open."""
+    for b, starts, is_open in _compared(batches):
+        get = lambda c: b.column(b.schema.get_field_index(c))
+        sizes = np.diff(np.append(starts, b.num_rows))
+        before = b.num_rows - int(sizes.sum())
+        heads = pa.array(np.r_[np.zeros(before, np.int64), np.repeat(starts, sizes)], mask=is_open)
+        yield pa.RecordBatch.from_arrays(
+            [get("doc_id"), get("k_uid"), get("k_points"), get("k_sha"), pa.array(np.r_[np.zeros(before, np.int64), np.repeat(sizes, sizes)], mask=is_open),
+             pc.take(get("k_uid"), heads), pc.take(get("doc_id"), heads), pa.array(is_open)], [f.split()[0] for f in DECISION.split(", ")])
+
+
+def _heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The first row of every run; by the sort it is the one that stays of what this partition holds."""
+    for b, starts, is_open in _compared(batches):
+        part = b.select([c for c in b.schema.names if c != "k_key"]).take(pa.array(starts))
+        yield pa.RecordBatch.from_arrays([*part.columns, pa.array(is_open[starts])], [*part.schema.names, "k_open"])
+
+
+def _sorted(documents: DataFrame, carry: bool) -> DataFrame:
+    """The rows with sort keys ``k_*``, ``text`` and, with ``carry``, the other columns as ``row_<name>``, in content order."""
     session(documents)
     others = [c for c in documents.columns if c not in ("doc_id", "text")] if carry else []
-    keep = ["text", *(f"row_{c}" for c in others)] if carry else []
     rows = documents.select(
         F.col("text").cast("string").alias("text"), *[F.col(f"`{c}`").alias(f"row_{c}") for c in others],
         F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("k_uid"))
@@ -136,31 +109,32 @@ def decisions(documents: DataFrame, carry: bool = False) -> DataFrame:
         T.StructField("k_key", T.BinaryType()), T.StructField("k_sha", T.BinaryType()), T.StructField("k_points", T.LongType()),
         *rows.schema.fields]))
     order = ["k_key", "k_sha", F.col("k_points").desc(), F.col("doc_id").asc_nulls_last(), "k_uid"]
-    ranged = keyed.repartitionByRange(*order).sortWithinPartitions(*order)
-    fields = [f for f in rows.schema.fields if f.name in keep]
-    schema = T.StructType(T._parse_datatype_string(DECISION).fields + [
-        T.StructField("row_text" if f.name == "text" else f.name, f.dataType) for f in fields])
-    runs = written(ranged.mapInArrow(_runs([f.name for f in fields]), schema), "runs")
-    # Runs that may go on in another partition: two rows per partition at most.
-    best = F.min(F.struct((-F.col("head_points")).alias("p"), F.col("head_id").isNull().alias("n"),
-                          F.col("head_id").alias("i"), F.col("head_uid").alias("u")))
-    edges = (runs.filter("edge and uid = head_uid").groupBy(F.col("sha").alias("e_sha"))
-             .agg(best.alias("e_best"), F.sum("run_size").alias("e_size")))
-    joined = runs.join(F.broadcast(edges), (F.col("sha") == F.col("e_sha")) & F.col("edge"), "left")
-    keep_uid = F.when(F.col("e_size").isNull(), F.col("head_uid")).otherwise(F.col("e_best.u"))
-    return joined.select(
-        "doc_id",
-        F.when(F.col("e_size").isNull(), F.col("head_id")).otherwise(F.col("e_best.i")).alias("keep_id"),
-        F.coalesce("e_size", "run_size").alias("group_size"),
-        (F.col("uid") == keep_uid).alias("kept"),
-        F.lower(F.hex("sha")).alias("text_sha256"),
-        *[F.col(f"`{f.name}`") for f in schema.fields if f.name.startswith("row_")])
+    return keyed.repartitionByRange(*order).sortWithinPartitions(*order)
+
+
+def _first(points: str, uid: str):
+    """Which of equal texts stays."""
+    return F.min(F.struct((-F.col(points)).alias("p"), F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i"), F.col(uid).alias("u")))
+
+
+def decisions(documents: DataFrame) -> DataFrame:
+    """One row per row of ``documents``: ``doc_id, keep_id, group_size, kept, text_sha256``."""
+    rows = written(_sorted(documents, False).mapInArrow(_decided, DECISION), "runs")
+    groups = (rows.filter("open").groupBy(F.col("sha").alias("g_sha")).agg(_first("n_points", "uid").alias("best"), F.count("*").alias("size")))
+    some = rows.filter("open").join(groups, F.col("sha") == F.col("g_sha"))
+    sha = F.lower(F.hex("sha")).alias("text_sha256")
+    return (rows.filter("not open").select("doc_id", F.col("head_id").alias("keep_id"), F.col("run_size").alias("group_size"),
+                                           (F.col("uid") == F.col("head_uid")).alias("kept"), sha)
+            .unionByName(some.select("doc_id", F.col("best.i").alias("keep_id"), F.col("size").alias("group_size"), (F.col("uid") == F.col("best.u")).alias("kept"), sha)))
 
 
 def deduplicate(documents: DataFrame) -> DataFrame:
-    """The rows that stay, with the columns of ``documents``."""
-    d = decisions(documents, carry=True).filter("kept")
-    return d.select(*[F.col("doc_id" if c == "doc_id" else f"`row_{c}`").alias(c) for c in documents.columns])
+    """The rows that stay, with the columns of ``documents``. Copies are dropped in the sorting task already."""
+    ranged = _sorted(documents, True)
+    heads = written(ranged.mapInArrow(_heads, T.StructType([*ranged.schema.fields[1:], T.StructField("k_open", T.BooleanType())])), "heads")
+    best = heads.filter("k_open").groupBy("k_sha").agg(_first("k_points", "k_uid").alias("best")).select(F.col("best.u").alias("best_uid"))
+    kept = heads.filter("not k_open").unionByName(heads.join(best, (F.col("k_uid") == F.col("best_uid")) & F.col("k_open"), "left_semi"))
+    return kept.select(*[F.col(c if c in ("doc_id", "text") else f"`row_{c}`").alias(c) for c in documents.columns])
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
