@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import uuid
 
 import pyarrow as pa
@@ -42,12 +44,19 @@ def fresh(df: DataFrame, name: str) -> str:
 _CACHE: dict[str, object] = {}
 
 
+def release() -> None:
+    """Give memory that this worker freed back to the system, where the C library can (workers live on between stages)."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def worker_cache(name: str, make=None):
     """The cache of operator ``name`` in this Python worker. Workers are reused by later stages, so
     a worker keeps one operator's cache at a time: asking for another one lets go of it."""
     if name not in _CACHE:
         _CACHE.clear()
-        pa.default_memory_pool().release_unused()
+        release()
         _CACHE[name] = make() if make else None
     return _CACHE[name]
 

@@ -2,7 +2,7 @@
 
 Texts are encoded in their tasks; a document is its ids and one separator id. Cut
 freely means: every full ``length`` ids are a piece, and the rest is one more.
-Documents are dealt at random (seeded) into groups of about ``group_documents``;
+Documents are dealt at random (seeded, by their place in the input: another split of the input gives other groups) into groups of about ``group_documents``;
 each group packs its pieces by first-fit decreasing on its own, so no task sees more
 than a group and groups run in parallel. First fit looks up the leftmost bin
 with room in a tournament tree: every inner node holds the largest room below it, so a
@@ -32,9 +32,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import nonnull_text, session, table, worker_cache
+from .common import nonnull_text, release, session, table, worker_cache
 from .op1_token_counts import default_tokenizer
-from .units import cut, gathered, unit_blocks
+from .units import BLOCK_BYTES, cut, gathered, unit_blocks
 
 LENGTH = 2048
 SEPARATOR = 1
@@ -47,11 +47,11 @@ LEARN_UNITS = 4000
 class UnitEncoder:
     """ids of texts as little-endian unsigned 32-bit bytes."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, memo_units: int = MEMO_UNITS, block_bytes: int = BLOCK_BYTES):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs one task per core
         from tokenizers import Tokenizer
 
-        self.tok = Tokenizer.from_file(path)
+        self.tok, self.memo_units, self.block_bytes = Tokenizer.from_file(path), memo_units, block_bytes
         self.memo: dict[bytes, bytes] = {}
         added = {i: t.content for i, t in self.tok.get_added_tokens_decoder().items() if t.special and not (t.lstrip or t.rstrip or t.single_word)}
         self.special_id, self.special = next(iter(added.items()), (0, ""))
@@ -73,8 +73,8 @@ class UnitEncoder:
 
     def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
         """The ids of each text, in order."""
-        for a, z, codes, units, bounds in unit_blocks(texts):
-            if len(self.memo) > MEMO_UNITS:
+        for a, z, codes, units, bounds in unit_blocks(texts, self.block_bytes):
+            if len(self.memo) > self.memo_units:
                 self.memo.clear()
             get = self.memo.get
             if missing := [u for u in units if get(u) is None]:
@@ -86,8 +86,8 @@ class UnitEncoder:
                 yield ids[i:j]
 
 
-def encoder(path: str) -> UnitEncoder:
-    return worker_cache(f"op10 {path}", lambda: UnitEncoder(path))
+def encoder(path: str, memo_units: int = MEMO_UNITS, block_bytes: int = BLOCK_BYTES) -> UnitEncoder:
+    return worker_cache(f"op10 {path} {memo_units} {block_bytes}", lambda: UnitEncoder(path, memo_units, block_bytes))
 
 
 def _mix(x: int) -> int:
@@ -102,15 +102,15 @@ PIECE = "grp long, doc_id long, start long, length long, ids_crc32 long, doc_tok
 
 
 def pieces(documents: DataFrame, groups: int, length: int = LENGTH, separator: int = SEPARATOR, seed: int = SEED,
-           tokenizer: str | None = None, with_ids: bool = False) -> DataFrame:
+           tokenizer: str | None = None, with_ids: bool = False, memo_units: int = MEMO_UNITS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per piece with the random group of its document; ``with_ids`` adds
-    the ids (binary, unsigned 32-bit little-endian)."""
+    the ids (binary, unsigned 32-bit little-endian). ``memo_units`` and ``block_bytes`` bound a worker's memory."""
     path = tokenizer or default_tokenizer()
     session(documents)
     end = np.array([separator], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, row = encoder(path), TaskContext.get().partitionId() << 40
+        enc, row = encoder(path, memo_units, block_bytes), TaskContext.get().partitionId() << 40
         for b in batches:
             out: list[list] = [[], [], [], [], [], [], []]
             for doc, ids in zip(b.column(0).to_pylist(), enc.encode(b.column(1))):
@@ -122,6 +122,8 @@ def pieces(documents: DataFrame, groups: int, length: int = LENGTH, separator: i
                     for col, v in zip(out, (group, doc, a, len(part) // 4, zlib.crc32(part), n, part if with_ids else None)):
                         col.append(v)
             arrays = [pa.array(c, pa.int64()) for c in out[:6]] + ([pa.array(out[6], pa.binary())] if with_ids else [])
+            del b, out  # the texts are done with before the next ones come
+            release()
             yield pa.RecordBatch.from_arrays(arrays, names)
 
     names = [f.split()[0] for f in PIECE.split(", ")] + ["ids"] * with_ids
@@ -156,11 +158,12 @@ def first_fit_decreasing(lengths: np.ndarray, room: int) -> tuple[np.ndarray, np
 
 
 def pack(documents: DataFrame, length: int = LENGTH, separator: int = SEPARATOR, group_documents: int = GROUP_DOCUMENTS,
-         seed: int = SEED, tokenizer: str | None = None, with_ids: bool = False) -> DataFrame:
+         seed: int = SEED, tokenizer: str | None = None, with_ids: bool = False, memo_units: int = MEMO_UNITS,
+         block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per piece: where it lies in its document and in which sequence.
     ``sequence_id`` is the group times 2^32 plus the bin in the group."""
     groups = max(1, -(-documents.count() // group_documents))
-    rows = pieces(documents, groups, length, separator, seed, tokenizer, with_ids)
+    rows = pieces(documents, groups, length, separator, seed, tokenizer, with_ids, memo_units, block_bytes)
 
     def run(p: pd.DataFrame) -> pd.DataFrame:
         p = p.sort_values(["length", "doc_id", "start", "ids_crc32"], ascending=[False, True, True, True], kind="stable")

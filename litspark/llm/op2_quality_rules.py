@@ -24,6 +24,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,7 +37,7 @@ WINDOW = 8
 SYMBOLS = "#*$%&|<>"
 MIN_CONTENT_SHARE = 0.5
 TRAIN_DOCUMENTS = 3000
-BLOCK_CHARACTERS = 4_000_000
+BLOCK_BYTES = 1_000_000
 
 _WORDS = re.compile(WORD)
 # Byte classes of the line features.
@@ -226,57 +227,73 @@ RESULT = ("n_words long, word_chars long, n_symbols long, n_dup_lines long, n_re
           "kept boolean, n_lines long, content_share double")
 
 
-def judged(documents: DataFrame, model: ChainField, min_share: float = MIN_CONTENT_SHARE, carry: bool = False) -> DataFrame:
-    """``doc_id`` (with ``carry``: every column, as ``row_<name>``) and the figures, verdict and content share of each row."""
+def _judge(model: ChainField, min_share: float, texts: list[str]) -> list[list]:
+    """The columns of ``RESULT`` for a block of texts."""
+    x, points, wordy, repeats = line_features(texts)
+    scores = (x @ model.weights).tolist()
+    out: list[list] = [[] for _ in range(9)]
+    at = 0
+    for text, again in zip(texts, repeats):
+        lines = range(at, at + text.count("\n") + 1)
+        at = lines.stop
+        lines = [i for i in lines if wordy[i]]
+        content = sum(int(points[i]) for i, good in zip(lines, model.decode([scores[i] for i in lines])) if good) if lines else 0
+        words = _WORDS.findall(text)
+        n, chars, rep = len(words), sum(map(len, words)), repeated_words(words)
+        failed = n < MIN_WORDS or 100 * rep > MAX_REPEATED_PERCENT * n
+        share = content / chars if chars else 0.0
+        for col, v in zip(out, (n, chars, sum(map(text.count, SYMBOLS)), again, rep, failed,
+                                not failed and share >= min_share, len(lines), share)):
+            col.append(v)
+    return out
+
+
+def _blocks(texts: pa.Array) -> Iterator[tuple[int, int, list[str]]]:
+    """``(first, end, texts)`` of runs of about ``BLOCK_BYTES``; only a run at a time is in Python's strings."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
+    a = 0
+    while a < len(sizes):
+        z, size = a, 0
+        while z < len(sizes) and size < BLOCK_BYTES:
+            size += sizes[z]
+            z += 1
+        yield a, z, [x or "" for x in texts.slice(a, z - a).to_pylist()]
+        a = z
+
+
+def judged(documents: DataFrame, model: ChainField, min_share: float = MIN_CONTENT_SHARE) -> DataFrame:
+    """``doc_id`` and the figures, verdict and content share of each row."""
     session(documents)
 
-    def block(texts: list[str]) -> list[list]:
-        x, points, wordy, repeats = line_features(texts)
-        scores = (x @ model.weights).tolist()
-        out: list[list] = [[] for _ in range(9)]
-        at = 0
-        for text, again in zip(texts, repeats):
-            lines = range(at, at + text.count("\n") + 1)
-            at = lines.stop
-            lines = [i for i in lines if wordy[i]]
-            content = sum(int(points[i]) for i, good in zip(lines, model.decode([scores[i] for i in lines])) if good) if lines else 0
-            words = _WORDS.findall(text)
-            n, chars, rep = len(words), sum(map(len, words)), repeated_words(words)
-            failed = n < MIN_WORDS or 100 * rep > MAX_REPEATED_PERCENT * n
-            share = content / chars if chars else 0.0
-            for col, v in zip(out, (n, chars, sum(map(text.count, SYMBOLS)), again, rep, failed,
-                                    not failed and share >= min_share, len(lines), share)):
-                col.append(v)
-        return out
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_cache("op2")
         for b in batches:
-            texts = [x or "" for x in b.column(0).to_pylist()]
-            a = 0
-            while a < len(texts):
-                z, size = a, 0
-                while z < len(texts) and size < BLOCK_CHARACTERS:
-                    size += len(texts[z])
-                    z += 1
-                out = block(texts[a:z])
-                yield pa.RecordBatch.from_arrays(
-                    [*(c.slice(a, z - a) for c in b.columns[1:]), *(pa.array(o, t) for o, t in zip(out, kinds))], names)
-                a = z
-
-    cols = documents.columns if carry else ["doc_id"]
-    name = (lambda c: f"row_{c}") if carry else str
-    rows = documents.select(nonnull_text().alias("scored_text"), *[
-        (F.col(f"`{c}`").cast("long") if c == "doc_id" else F.col(f"`{c}`")).alias(name(c)) for c in cols])
+            for a, z, texts in _blocks(b.column(0)):
+                out = _judge(model, min_share, texts)
+                yield pa.RecordBatch.from_arrays([b.column(1).slice(a, z - a), *(pa.array(o, t) for o, t in zip(out, kinds))], names)
+
     result = T._parse_datatype_string(RESULT).fields
-    names = [*(name(c) for c in cols), *(f.name for f in result)]
+    names = ["doc_id", *(f.name for f in result)]
     kinds = [{"bigint": pa.int64(), "boolean": pa.bool_(), "double": pa.float64()}[f.dataType.simpleString()] for f in result]
+    rows = documents.select(nonnull_text().alias("scored_text"), F.col("doc_id").cast("long").alias("doc_id"))
     return rows.mapInArrow(run, T.StructType(rows.schema.fields[1:] + result))
 
 
-def keep_good(documents: DataFrame, model: ChainField) -> DataFrame:
-    """The rows that stay, with the columns of ``documents``."""
-    return judged(documents, model, carry=True).filter("kept").select(*[F.col(f"`row_{c}`").alias(c) for c in documents.columns])
+def keep_good(documents: DataFrame, model: ChainField, min_share: float = MIN_CONTENT_SHARE) -> DataFrame:
+    """The rows that stay, with the columns of ``documents``. Rows go to Python once and only those that stay come back.
+    Null and empty texts have no words and go; repeated rows are judged alike; an empty table gives an empty table."""
+    session(documents)
+    rows = documents.select(*[F.col(f"`{c}`").cast("string") if c == "text" else F.col(f"`{c}`").cast("long") if c == "doc_id" else F.col(f"`{c}`")
+                              for c in documents.columns]).toDF(*documents.columns)
+    at = documents.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("op2")
+        for b in batches:
+            for a, z, texts in _blocks(b.column(at)):
+                yield b.slice(a, z - a).filter(pa.array(_judge(model, min_share, texts)[6], pa.bool_()))
+
+    return rows.mapInArrow(run, rows.schema)
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
