@@ -1,5 +1,10 @@
 """From raw documents to packed sequences, in five stages; each takes and returns a table like ``documents``
-(the last one: pieces of sequences) that is written as Parquet in between."""
+(the last one: pieces of sequences) that is written as Parquet in between.
+
+Defined results: a null text counts as empty, so the first stage drops it; empty texts and texts of white space go there as well.
+Repeated rows are judged alike, and one of them stays after the second stage. Null ids are ids of their own that lose ties; null
+languages and sources are a leaf of their own. Very long texts are read whole. Columns other than the five of ``documents`` are
+carried along by all stages but the last, whatever their names. An empty table gives an empty table in every stage."""
 
 from __future__ import annotations
 
@@ -13,6 +18,9 @@ NEAR_WORDS = 5
 NEAR_PERCENT = 80
 #: Share of the tokens that reach the mixture which it keeps.
 MIX_PERCENT = 70
+#: What a packing worker keeps at once: other stages' memory is still with the executor when packing begins.
+PACK_MEMO_UNITS = 60_000
+PACK_BLOCK_BYTES = 1 << 20
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +46,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in sequences."""
-    return op10_packing.pack(docs)
+    return op10_packing.pack(docs, memo_units=PACK_MEMO_UNITS, block_bytes=PACK_BLOCK_BYTES)
 
 
 STAGES = [
