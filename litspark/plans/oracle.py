@@ -44,10 +44,14 @@ def WORDS(s: str, a: int, b: int) -> str:
 
 
 CTE: dict[str, str] = {}
+#: CTEs that are costly and read several times.
+HELD: set[str] = set()
 
 
-def cte(name: str, sql: str) -> None:
+def cte(name: str, sql: str, held: bool = False) -> None:
     CTE[name] = sql
+    if held:
+        HELD.add(name)
 
 
 # -- papers, text --------------------------------------------------------------------
@@ -366,7 +370,7 @@ def compose(final: str) -> str:
             continue
         need.add(n)
         todo.extend(refs(CTE[n]) - need - {n})
-    parts = [f"{n} AS ({CTE[n]})" for n in names if n in need]
+    parts = [f"{n} AS {'MATERIALIZED ' * (n in HELD)}({CTE[n]})" for n in names if n in need]
     return ("WITH " + ",\n".join(parts) + "\n" if parts else "") + final
 
 
@@ -752,4 +756,5 @@ WHERE paragraph <> ''"""
 
 
 def oracle_sql() -> dict[str, str]:
+    from . import learnt_oracle  # noqa: F401  adds its queries
     return {name: compose(sql) for name, sql in Q.items()}
