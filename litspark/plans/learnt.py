@@ -6,8 +6,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.text import py_strip
-from ..operators import punkt, text
-from ..session import table_path
+from ..operators import embed, manifold, punkt, text
+from ..session import KEYS, table_path
 from . import derived as D
 from .queries import q, r6
 
@@ -62,3 +62,36 @@ def punkt_differences(spark, sf_dir):
     j = learnt.join(plain, ["doc_id", "sentence"], "full_outer")
     more = (F.coalesce("a", F.lit(0)) - F.coalesce("b", F.lit(0))).cast("long")
     return j.select("doc_id", "sentence", more.alias("more")).filter("more <> 0")
+
+
+# -- the neighbour-graph reducer -----------------------------------------------------
+
+def _points(spark, sf_dir):
+    return D.emb_rows(spark, sf_dir).join(D.emb_vectors(spark, sf_dir), "sentence_id").select(*KEYS, "sentence_id", F.col("embedding").alias("vec"))
+
+
+def _exact(spark, sf_dir):
+    return D._stage(spark, sf_dir, "knn-exact", lambda: embed.knn_graph(_points(spark, sf_dir), embed.KNN_K))
+
+
+@q("nn_descent")
+def nn_descent(spark, sf_dir):
+    """Approximate neighbours held against the exact ones: per corpus the edges and whether nine tenths of the exact ones were found."""
+    found = manifold.nn_descent(_points(spark, sf_dir), embed.KNN_K)
+    exact = _exact(spark, sf_dir)
+    j = exact.select(*KEYS, "src", "dst").join(found.select(*KEYS, "src", "dst", F.lit(1).alias("hit")), [*KEYS, "src", "dst"], "left")
+    edges = found.groupBy(*KEYS).agg(F.count("*").alias("edges"))
+    return j.groupBy(*KEYS).agg((F.sum(F.coalesce("hit", F.lit(0))) >= 0.9 * F.count("*")).alias("recall_reached")).join(edges, list(KEYS))
+
+
+@q("fuzzy_graph")
+def fuzzy_graph(spark, sf_dir):
+    return manifold.fuzzy_graph(_exact(spark, sf_dir), embed.KNN_K).withColumn("weight", r6("weight"))
+
+
+@q("layout")
+def layout(spark, sf_dir):
+    """Principal components moved along the fuzzy graph (the given vectors have no spectral structure; see README)."""
+    start = D.emb_rows(spark, sf_dir).join(embed.reduce_dims(D.emb_vectors(spark, sf_dir), embed.REDUCED_DIM).drop("embedding"), "sentence_id")
+    y = manifold.layout(manifold.fuzzy_graph(_exact(spark, sf_dir), embed.KNN_K), embed.REDUCED_DIM, start=start)
+    return y.select(*KEYS, "sentence_id", *[r6(f"c{i}").alias(f"c{i}") for i in range(embed.REDUCED_DIM)])
