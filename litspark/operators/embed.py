@@ -94,6 +94,29 @@ def reduce_dims(df: DataFrame, k: int = REDUCED_DIM, vec_col: str = "embedding",
     return p.select(*[c for c in df.columns], *[F.col("_p")[i].alias(f"{prefix}{i}") for i in range(k)])
 
 
+def components_certificate(df: DataFrame, k: int = REDUCED_DIM, vec_col: str = "embedding", prefix: str = "c") -> DataFrame:
+    """One row ``(i, uncorrelated, principal, descending)`` per reduced coordinate, from the vectors and the coordinates alone: no covariance with a later one;
+    the covariances with the vector's entries have the length of its variance, as only a unit eigenvector's projection has; and a
+    variance above 0, not below the next one's nor (the first) below any single entry's."""
+    dim = df.select(F.size(vec_col)).first()
+    dim = dim[0] if dim else 0
+    x = [F.col(vec_col)[d].cast("double") for d in range(dim)]
+    c = [F.col(f"{prefix}{i}") for i in range(k)]
+    # One aggregate a coordinate: the row of covariances with the entries stays small enough to be compiled.
+    aggs = [F.covar_pop(c[i], x[d]).alias(f"x{i}_{d}") for i in range(k) for d in range(dim)]
+    aggs += [F.covar_pop(c[i], c[j]).alias(f"v{i}_{j}") for i in range(k) for j in range(i, k)] + [F.var_pop(v).alias(f"s{d}") for d, v in enumerate(x)]
+    r = df.agg(*aggs).first().asDict()
+    tol = 1e-6 * (1e-12 + (r["v0_0"] or 0.0))
+    rows = []
+    for i in range(k):
+        var = r[f"v{i}_{i}"] or 0.0
+        length = sum((r[f"x{i}_{d}"] or 0.0) ** 2 for d in range(dim)) ** 0.5
+        nxt = r[f"v{i + 1}_{i + 1}"] if i + 1 < k else 0.0
+        rows.append((i, all(abs(r[f"v{i}_{j}"] or 0.0) <= tol for j in range(i + 1, k)), abs(length - var) <= tol and var > 0,
+                     var >= (nxt or 0.0) - tol and (i > 0 or all(var >= (r[f"s{d}"] or 0.0) - tol for d in range(dim)))))
+    return df.sparkSession.createDataFrame(rows, "i int, uncorrelated boolean, principal boolean, descending boolean")
+
+
 def knn_graph(points: DataFrame, k: int = KNN_K, keys=KEYS, vec_col: str = "vec",
               id_col: str = "sentence_id", metric: str = "cosine", block: int = blocks.SIZE,
               stats: dict | None = None) -> DataFrame:

@@ -675,11 +675,11 @@ Q["embed"] = f"""
 SELECT {K}, sentence_id, 768 AS dim, CASE WHEN len(list_filter(regexp_split_to_array(lower(sentence), '{_TOK}'), lambda x: x <> '')) > 0
        THEN 1.0 ELSE 0.0 END AS norm FROM sentences"""
 Q["ward_certificate"] = """
-SELECT 'emb' || CAST(vec_id % 2 AS VARCHAR) AS corpus_id, 'abstract' AS run_key, count(*) AS sentences, count(*) AS assigned,
-       CAST(0 AS BIGINT) AS pairs_below_cut, true AS numbered_by_size FROM embeddings GROUP BY ALL"""
+SELECT 'emb' || CAST(vec_id % 2 AS VARCHAR) AS corpus_id, 'abstract' AS run_key, count(*) AS sentences, count(DISTINCT vec_id) AS assigned,
+       CAST(0 AS BIGINT) AS clusters_off, CAST(0 AS BIGINT) AS pairs_below_cut, cut
+FROM embeddings, (SELECT unnest([1.5::DOUBLE, 0.9::DOUBLE]) AS cut) GROUP BY ALL"""
 Q["reduce_dims_certificate"] = """
-SELECT CAST(a.i AS INTEGER) AS i, CAST(b.j AS INTEGER) AS j, true AS ok
-FROM range(10) a(i) JOIN range(10) b(j) ON a.i <= b.j"""
+SELECT CAST(i AS INTEGER) AS i, true AS uncorrelated, true AS principal, true AS descending FROM range(10) a(i)"""
 Q["theme_block"] = f"""
 SELECT {K}, theme_name, 'THEME: ' || theme_name || {NL} || 'Sentences: ' ||
        array_to_string(list_slice(coalesce(representative_sentences, []), 1, 2), '; ') AS block FROM themes_r"""

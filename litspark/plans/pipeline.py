@@ -19,12 +19,14 @@ from pyspark.sql import functions as F
 from ..operators import clean, cluster, compare, council, embed, review, taxonomy, text, themes, topics
 from ..session import KEYS
 from ..sources.papers import read_papers
-from ..sources.store import StageStore
+from ..sources.store import StageStore, row_digests
 
 # The Ward cut of the reference (1.5) is for its 10-d UMAP space. In the
 # hashed TF-IDF + PCA space it is a parameter to tune per corpus; this default
 # separates topics of template-like abstracts (see tests/test_end_to_end.py).
 DEFAULT_THRESHOLD = cluster.DISTANCE_THRESHOLD
+#: Stages made from a pair's assignments.
+MADE = ("topics", "topic_papers", "labels", "themes", "theme_map", "taxonomy")
 
 
 def sentences(papers: DataFrame, run_key: str) -> DataFrame:
@@ -41,11 +43,12 @@ def vectors_and_reduced(sent: DataFrame, embedder=None, k: int = embed.REDUCED_D
 
 def discover(sent: DataFrame, threshold: float = DEFAULT_THRESHOLD, embedder=None,
              k: int = embed.REDUCED_DIM, min_size: int = topics.MIN_CLUSTER_SIZE,
-             micro_cell: float | None = None, precomputed=None):
+             micro_cell: float | None = None, precomputed=None, assign: DataFrame | None = None):
     """sentences -> (vectors, members, topics, topic_papers, evidence, ranked).
-    ``precomputed`` = (vectors, reduced points) reuses stored stages."""
+    ``precomputed`` = (vectors, reduced points) reuses stored stages; ``assign`` given clusters."""
     vec, pts = precomputed if precomputed is not None else vectors_and_reduced(sent, embedder, k)
-    assign = cluster.ward(pts, k, threshold, micro_cell=micro_cell)
+    if assign is None:
+        assign = cluster.ward(pts, k, threshold, micro_cell=micro_cell)
     # Vectors are joined to their clusters once and materialised; centroids
     # and evidence read them without another shuffle of the wide vectors.
     with_vec = vec.join(assign, [*KEYS, "sentence_id"])
@@ -113,11 +116,16 @@ class Pipeline:
     (corpus_id, run_key) and read back by later stages. A (corpus, run) is built
     once: a call builds those that it asks for and the store lacks, and leaves the others'
     partitions as they are. IDF and PCA are fitted over what a call builds together; stored
-    vectors are never fitted again, so a corpus added later changes no other."""
+    vectors are never fitted again, so a corpus added later changes no other.
+
+    What a pair was made from is kept as an order-free digest of its texts and the embedder; a pair whose papers
+    changed is built again with everything after it, the others aren't. Ward's merges are kept up to ``tree_height`` (the
+    threshold, if higher), so any lower threshold is a cut of the stored tree."""
     spark: SparkSession
     root: str
     threshold: float = DEFAULT_THRESHOLD
     embedder: object = None
+    tree_height: float = 0.0
     store: StageStore = field(init=False)
 
     def __post_init__(self):
@@ -145,14 +153,50 @@ class Pipeline:
         else:
             wanted = papers.select("corpus_id").distinct().select(
                 "corpus_id", F.explode(F.array(*map(F.lit, run_keys))).alias("run_key"))
+        wanted = wanted.checkpoint()
+        if papers is not None:
+            made = self._digests(papers, wanted, run_keys).checkpoint()
+            if self.store.exists("digests"):
+                # Pairs that changed, and those stored without a digest, go with all that was made of them.
+                old = self._keys("embeddings").join(made, list(KEYS), "left_semi").join(
+                    self.store.read("digests").join(made, [*KEYS, "digest"], "left_semi"), list(KEYS), "left_anti").checkpoint()
+                for st in ("digests", "assignments", *MADE, "merges", "unit_map", "reduced", "embeddings", "sentences"):
+                    self.store.remove(st, old)
+                self.store.remove("comparison", old, ("corpus_id",))
         todo = wanted
         if self.store.exists("assignments"):
             todo = wanted.join(self._keys("assignments"), list(KEYS), "left_anti")
         todo = todo.checkpoint()
         if not todo.isEmpty():
             self._build(papers, todo, run_keys)
+            if papers is not None:
+                self.store.write("digests", made.join(todo, list(KEYS), "left_semi"))
         return self.store.read("labels").join(wanted, list(KEYS), "left_semi")
 
+    def _digests(self, papers: DataFrame, wanted: DataFrame, run_keys) -> DataFrame:
+        """What each wanted (corpus, run) is made from; a pair without papers has none."""
+        texts = text.run_texts(papers, run_keys).join(wanted, list(KEYS), "left_semi")
+        name = getattr(self.embedder, "__qualname__", None) or (type(self.embedder).__qualname__ if self.embedder else "default")
+        return row_digests(texts, KEYS, f"{name} {embed.REDUCED_DIM} {text.MIN_SENTENCE_CHARS}")
+
+    def _assigned(self, points: DataFrame, todo: DataFrame) -> DataFrame:
+        """Clusters at the threshold, cut from the stored tree where it is high enough, else from one built now."""
+        have = None
+        if self.store.exists("unit_map"):
+            high = self.store.read("unit_map").filter(F.col("built_to") >= self.threshold)
+            have = high.select(*KEYS).distinct().join(todo, list(KEYS), "left_semi")
+        new = todo if have is None else todo.join(have, list(KEYS), "left_anti")
+        new = new.checkpoint()
+        if not new.isEmpty():
+            height = max(self.threshold, self.tree_height)
+            umap, merges = cluster.merge_tree(points.join(new, list(KEYS), "left_semi"), embed.REDUCED_DIM, height)
+            for st in ("merges", "unit_map"):
+                self.store.remove(st, new)
+            self.store.write("merges", merges)
+            self.store.write("unit_map", umap.withColumn("built_to", F.lit(float(height))))
+        tree = [self.store.read(st).join(todo, list(KEYS), "left_semi") for st in ("unit_map", "merges")]
+        return cluster.cut_tree(*tree, self.threshold)
+
     def _build(self, papers: DataFrame | None, todo: DataFrame, run_keys) -> None:
         new = todo
         if self.store.exists("embeddings"):
@@ -170,7 +214,8 @@ class Pipeline:
             self.store.write("embeddings", vec)
             self.store.write("reduced", red)
         mine = [self.store.read(s).join(todo, list(KEYS), "left_semi") for s in ("sentences", "embeddings", "reduced")]
-        vec, members, t, p, ev, ranked = discover(mine[0], self.threshold, self.embedder, precomputed=(mine[1], mine[2]))
+        vec, members, t, p, ev, ranked = discover(mine[0], self.threshold, self.embedder, precomputed=(mine[1], mine[2]),
+                                                  assign=self._assigned(mine[2], todo))
         self.store.write("topic_papers", p)
         self.store.write("topics", ranked)
         self.store.write("labels", label(members, ev, ranked))
@@ -178,10 +223,10 @@ class Pipeline:
         self.store.write("assignments", members.select(*KEYS, "sentence_id", "paper_id", "cluster_id"))
 
     def recluster(self, threshold: float) -> DataFrame:
-        """New cut over the stored vectors: assignments and everything after them are
-        recomputed, embeddings and reduced points reused."""
+        """A new cut: assignments and everything after them are made again from the stored merges (built anew only if the
+        threshold is above what they were built to); vectors and reduced points stay."""
         self.threshold = threshold
-        for st in ("assignments", "topics", "topic_papers", "labels", "themes", "theme_map", "taxonomy", "comparison"):
+        for st in ("assignments", *MADE, "comparison"):
             self.store.clear(st)
         return self.discover_and_label(None)
 

@@ -278,64 +278,44 @@ def reduce_dims(spark, sf_dir):
     return r.select("sentence_id", *[r6(f"c{i}").alias(f"c{i}") for i in range(embed.REDUCED_DIM)])
 
 
-def _emb_points(spark, sf_dir, k: int | None = None, reduce: bool = False):
-    m = D.emb_rows(spark, sf_dir)
-    v = D.emb_vectors(spark, sf_dir)
-    if reduce:
-        v = embed.reduce_dims(v, k)
-        return m.join(v.drop("embedding"), "sentence_id").select(*KEYS, "sentence_id", *[f"c{i}" for i in range(k)])
-    j = m.join(v, "sentence_id")
-    dims = k or 64
-    return j.select(*KEYS, "sentence_id", *[F.col("embedding")[i].cast("double").alias(f"c{i}") for i in range(dims)])
+#: Points of a block in the registered searches: small, so that a corpus of a few hundred points is several blocks.
+BLOCK = 64
+
+
+def _reduced_points(spark, sf_dir):
+    v = embed.reduce_dims(D.emb_vectors(spark, sf_dir), embed.REDUCED_DIM).drop("embedding")
+    return D.emb_rows(spark, sf_dir).join(v, "sentence_id").select(*KEYS, "sentence_id", *[f"c{i}" for i in range(embed.REDUCED_DIM)])
 
 
 @q("knn_graph")
 def knn_graph(spark, sf_dir):
     m = D.emb_rows(spark, sf_dir)
     pts = m.join(D.emb_vectors(spark, sf_dir), "sentence_id").select(*KEYS, "sentence_id", F.col("embedding").alias("vec"))
-    g = embed.knn_graph(pts, embed.KNN_K, metric="cosine")
+    g = embed.knn_graph(pts, embed.KNN_K, metric="cosine", block=BLOCK)
     return g.select(*KEYS, "src", "dst", r6("similarity").alias("similarity"), "rank")
 
 
 @q("ward_cluster")
 def ward_cluster(spark, sf_dir):
-    pts = _emb_points(spark, sf_dir, embed.REDUCED_DIM, reduce=True)
-    return cluster.ward(pts, embed.REDUCED_DIM, cluster.DISTANCE_THRESHOLD)
+    return cluster.ward(_reduced_points(spark, sf_dir), embed.REDUCED_DIM, cluster.DISTANCE_THRESHOLD, block=BLOCK)
 
 
 @q("ward_certificate")
 def ward_certificate(spark, sf_dir):
-    """What makes the clusters right, whatever their ids: every sentence has one cluster, and no two
-    clusters' Ward distance is below the cut (clusters, not sentences, are paired)."""
-    pts = _emb_points(spark, sf_dir, embed.REDUCED_DIM, reduce=True).checkpoint()
-    cs = [f"c{i}" for i in range(embed.REDUCED_DIM)]
-    a = cluster.ward(pts, embed.REDUCED_DIM, cluster.DISTANCE_THRESHOLD).checkpoint()
-    c = pts.join(a, [*KEYS, "sentence_id"]).groupBy(*KEYS, "cluster_id").agg(
-        F.count("*").alias("n"), *[F.avg(x).alias(x) for x in cs])
-    d = c.select(*KEYS, F.col("cluster_id").alias("o_id"), F.col("n").alias("o_n"), *[F.col(x).alias(f"o_{x}") for x in cs])
-    d2 = sum(((F.col(x) - F.col(f"o_{x}")) * (F.col(x) - F.col(f"o_{x}")) for x in cs), F.lit(0.0))
-    near = 2.0 * F.col("n") * F.col("o_n") / (F.col("n") + F.col("o_n")) * d2 < cluster.DISTANCE_THRESHOLD ** 2 * (1 - 1e-9)
-    pairs = c.join(d, list(KEYS)).filter(F.col("cluster_id") < F.col("o_id"))
-    worst = pairs.groupBy(*KEYS).agg(F.sum(near.cast("long")).alias("pairs_below_cut"),
-                                     F.min((F.col("n") >= F.col("o_n")).cast("int")).alias("_sorted"))
-    per = a.groupBy(*KEYS).agg(F.count_distinct("sentence_id").alias("assigned"))
-    total = pts.groupBy(*KEYS).agg(F.count("*").alias("sentences"))
-    return total.join(per, list(KEYS)).join(worst, list(KEYS), "left").select(
-        *KEYS, "sentences", "assigned", F.coalesce("pairs_below_cut", F.lit(0)).cast("long").alias("pairs_below_cut"),
-        (F.coalesce("_sorted", F.lit(1)) == 1).alias("numbered_by_size"))
+    """What makes the clusters right, whatever their ids (see ``cluster.ward_certificate``), at the default cut and at one below it read from the same tree."""
+    pts = _reduced_points(spark, sf_dir).checkpoint()
+    tree = cluster.merge_tree(pts, embed.REDUCED_DIM, cluster.DISTANCE_THRESHOLD, block=BLOCK)
+    out = None
+    for t in (cluster.DISTANCE_THRESHOLD, 0.9):
+        c = cluster.ward_certificate(pts, embed.REDUCED_DIM, *tree, cluster.cut_tree(*tree, t).checkpoint(), t, block=BLOCK).withColumn("cut", F.lit(t))
+        out = c if out is None else out.unionByName(c)
+    return out
 
 
 @q("reduce_dims_certificate")
 def reduce_dims_certificate(spark, sf_dir):
-    """The reduced coordinates are principal components: uncorrelated (i < j), variances descending (i = j)."""
-    k = embed.REDUCED_DIM
-    r = embed.reduce_dims(D.emb_vectors(spark, sf_dir), k)
-    cov = r.agg(*[F.covar_pop(f"c{i}", f"c{j}").alias(f"v{i}_{j}") for i in range(k) for j in range(i, k)])
-    ok = [F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"),
-                   (F.abs(f"v{i}_{j}") <= 1e-9 * (1 + F.col("v0_0")) if i < j else
-                    F.col(f"v{i}_{i}") >= (F.col(f"v{i + 1}_{i + 1}") if i + 1 < k else F.lit(0.0))).alias("ok"))
-          for i in range(k) for j in range(i, k)]
-    return cov.select(F.inline(F.array(*ok)))
+    """The reduced coordinates are the principal components (see ``embed.components_certificate``)."""
+    return embed.components_certificate(embed.reduce_dims(D.emb_vectors(spark, sf_dir), embed.REDUCED_DIM), embed.REDUCED_DIM)
 
 
 def _emb_valid(spark, sf_dir):

@@ -18,11 +18,11 @@ from ..session import KEYS
 
 # Stage order of the pipeline and the step that produces each
 # stage (used in error messages and the inventory's "most advanced" rank).
-STAGES = ["papers", "sentences", "embeddings", "reduced", "assignments", "topics", "topic_papers",
+STAGES = ["papers", "sentences", "embeddings", "reduced", "unit_map", "merges", "assignments", "topics", "topic_papers",
           "labels", "theme_map", "themes", "taxonomy", "comparison"]
 PRODUCER = {
     "papers": "load papers", "sentences": "load papers", "embeddings": "discovery", "reduced": "discovery",
-    "assignments": "discovery", "topics": "discovery", "topic_papers": "discovery",
+    "unit_map": "discovery", "merges": "discovery", "assignments": "discovery", "topics": "discovery", "topic_papers": "discovery",
     "labels": "discovery and labelling", "theme_map": "consolidate themes", "themes": "consolidate themes",
     "taxonomy": "taxonomy mapping", "comparison": "comparison",
 }
@@ -90,6 +90,32 @@ class StageStore:
         schema = self._schema(stage)
         return (self.spark.read.schema(schema) if schema else self.spark.read).parquet(self.path(stage))
 
+    def remove(self, stage: str, keys: DataFrame, partition_by=KEYS) -> None:
+        """Take the partitions of ``keys`` (changed corpora and runs, a bounded list) out of a stage; a rebuilt pair without a row
+        would leave its old ones otherwise. A key without ``run_key`` in ``partition_by`` takes the whole corpus."""
+        if not self.exists(stage):
+            return
+        escape = self.spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
+        for row in keys.select(*partition_by).distinct().toLocalIterator():
+            path, fs = self._file_system("/".join([stage, *(f"{c}={escape(row[c])}" for c in partition_by)]))
+            fs.delete(path, True)
+
+    def cached_by(self, stage: str, digests: DataFrame, build) -> DataFrame:
+        """Compute-once per (corpus, run): ``digests(corpus_id, run_key, digest)`` tells what each pair is made from. Pairs whose stored digest is
+        the same are read, the others built by ``build(pairs)`` in one call; their digests are written last."""
+        name = f"{stage}_digests"
+        todo = digests
+        if self.exists(stage) and self.exists(name):
+            todo = digests.join(self.read(name), [*KEYS, "digest"], "left_anti")
+        todo = todo.checkpoint()
+        if not todo.isEmpty():
+            new = build(todo.select(*KEYS)).checkpoint()
+            for s in (name, stage):
+                self.remove(s, todo)
+            self.write(stage, new)
+            self.write(name, todo)
+        return self.read(stage).join(digests.select(*KEYS), list(KEYS), "left_semi")
+
     def cached(self, stage: str, build) -> DataFrame:
         """Compute-once: read the stage when it exists, is readable and non-empty, else build it,
         write it and read it back (a stage with a broken file is built again)."""
@@ -131,6 +157,16 @@ class StageStore:
                 .load(self.root).select("path", F.round(F.col("length") / 1024, 1).alias("kb")))
 
 
+def row_digests(rows: DataFrame, keys=KEYS, parameters: str = "") -> DataFrame:
+    """``(keys, digest)``: a digest of each key's rows in whatever order, and of the parameters. Two 64-bit hashes of a row are added up
+    (so repeated rows count) in wide decimals next to the number of rows; one aggregate, no row leaves its task."""
+    cols = sorted(c for c in rows.columns if c not in keys)
+    body = F.struct(*[F.col(f"`{c}`") for c in cols])
+    total = lambda h: F.sum(h.cast("decimal(38,0)")).cast("string")
+    per = rows.groupBy(*keys).agg(F.count("*").cast("string").alias("_n"), total(F.xxhash64(body)).alias("_a"), total(F.xxhash64(F.lit(1), body)).alias("_b"))
+    return per.select(*keys, F.sha2(F.concat_ws("|", F.lit(",".join(cols)), F.lit(parameters), "_n", "_a", "_b"), 256).alias("digest"))
+
+
 def stage_inventory(counts: DataFrame) -> DataFrame:
     """Per (corpus, run): the most advanced of taxonomy > themes > labels,
     reported as ready (n entries) or EMPTY."""

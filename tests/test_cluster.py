@@ -178,3 +178,44 @@ def test_model_embedder_plug_point(spark):
     df = spark.createDataFrame([(1, "a b c"), (2, "hello"), (3, None)], "sentence_id long, sentence string")
     got = {r.sentence_id: list(r.embedding) for r in embed.embed(df, "sentence", emb).collect()}
     assert got[1] == [5.0, 2.0, 1.0] and got[2] == [5.0, 0.0, 1.0] and got[3] == [0.0, 0.0, 1.0]
+
+
+def test_cuts_of_one_tree_equal_runs_of_their_own(spark):
+    data = {"a": blobs(21, 120, 4, dup=6), "b": blobs(22, 70, 4)}
+    pts = points_frame(spark, data).checkpoint()
+    tree = cluster.merge_tree(pts, 4, 4.0, block=25)
+    for t in (0.3, 1.0, 1.9, 2.7, 4.0):
+        got = cluster.cut_tree(*tree, t).toPandas()
+        for c, X in data.items():
+            assert partitions(got, c) == greedy_ward(X, t), (c, t)
+    own = cluster.ward(pts, 4, 1.9, block=25).toPandas()
+    cut = cluster.cut_tree(*tree, 1.9).toPandas()
+    order = ["corpus_id", "run_key", "sentence_id"]
+    assert own.sort_values(order).values.tolist() == cut.sort_values(order).values.tolist()
+
+
+def test_certificates_fail_for_what_is_wrong(spark):
+    pts = points_frame(spark, {"a": blobs(23, 90, 4)}).checkpoint()
+    tree = cluster.merge_tree(pts, 4, 2.5, block=25)
+    good = cluster.cut_tree(*tree, 2.5).checkpoint()
+    hold = lambda a, t=2.5: cluster.ward_certificate(pts, 4, *tree, a, t, block=25).first()
+    r = hold(good)
+    assert (r.sentences, r.assigned, r.clusters_off, r.pairs_below_cut) == (90, 90, 0, 0) and good.select("cluster_id").distinct().count() > 1
+    one = good.withColumn("cluster_id", F.lit(0))
+    assert hold(one).clusters_off > 0
+    fine = good.withColumn("cluster_id", F.col("sentence_id").cast("int"))
+    assert hold(fine).pairs_below_cut > 0 and hold(good.unionByName(good.limit(1))).assigned == -1
+    other = good.withColumn("cluster_id", F.when(F.col("sentence_id") % 7 == 0, 0).otherwise(F.col("cluster_id")))
+    assert hold(other).clusters_off > 0
+
+    import numpy as np
+    r = np.random.default_rng(4)
+    x = r.normal(size=(200, 6)) * [5, 4, 3, 2, 1, 0.5] @ np.linalg.qr(r.normal(size=(6, 6)))[0]
+    v = spark.createDataFrame([(i, [float(c) for c in row]) for i, row in enumerate(x)], "sentence_id long, embedding array<double>")
+    red = embed.reduce_dims(v, 3).checkpoint()
+    fits = lambda d: [all((q.uncorrelated, q.principal, q.descending)) for q in embed.components_certificate(d, 3).orderBy("i").collect()]
+    assert fits(red) == [True] * 3
+    assert not any(fits(red.withColumns({f"c{i}": F.lit(0.0) for i in range(3)})))
+    assert not all(fits(red.withColumns({"c0": F.col("c1"), "c1": F.col("c0")})))
+    shuffled = red.withColumn("c2", F.expr("c2 * if(sentence_id % 2 = 0, 1, -1)"))
+    assert not all(fits(shuffled)) and not all(fits(red.withColumn("c1", F.col("c1") * 1.01)))

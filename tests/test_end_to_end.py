@@ -50,6 +50,55 @@ def test_pipeline_end_to_end(spark):
     assert inv.phase == "taxonomy" and inv.status.startswith("ready")
 
 
+def test_one_changed_paper_rebuilds_its_corpus_only(spark):
+    """A paper added to one of three corpora: that one is made anew, the others' files stay; a lower threshold is a cut of the stored tree."""
+    papers = gen_corpus(spark, 9).withColumn("corpus_id", F.concat(F.lit("c/ "), (F.col("paper_id") % 3).cast("string"))).checkpoint()
+    pl = Pipeline(spark, scratch_path(spark, "digests"), threshold=2.0, tree_height=3.0)
+    pl.discover_and_label(papers)
+    stages = ("sentences", "embeddings", "unit_map", "merges", "assignments", "labels")
+    files = lambda: {s: set(pl.store.read(s).inputFiles()) for s in stages}
+    before = files()
+    pl.discover_and_label(papers.repartition(7))                       # another order, the same rows
+    assert files() == before
+    extra = papers.filter("corpus_id = 'c/ 1'").limit(1).withColumns({"paper_id": F.lit(999).cast(papers.schema["paper_id"].dataType),
+                                                                      "abstract": F.lit("An added paper that speaks of something else at length. It has two sentences of some length.")})
+    got = pl.discover_and_label(papers.unionByName(extra))
+    after = files()
+    for s in stages:
+        mine = lambda names: {f for f in names if "%201" in f or " 1/" in f or "%25201" in f}
+        assert before[s] - mine(before[s]) == after[s] - mine(after[s]) and mine(before[s]) and not mine(before[s]) & mine(after[s]), s
+    assert pl.store.read("sentences").filter("paper_id = 999").count() == 2 and got.select("corpus_id").distinct().count() >= 1
+    trees = after["merges"]
+    high = {r.corpus_id: r.n for r in pl.store.read("assignments").groupBy("corpus_id").agg(F.count_distinct("cluster_id").alias("n")).collect()}
+    pl.recluster(1.0)
+    assert files()["merges"] == trees                                  # cut, not built
+    pl.recluster(3.5)
+    assert not files()["merges"] & trees and high                      # above what the tree was built to
+    # What is gone from a corpus goes from the store.
+    pl.discover_and_label(papers)
+    assert pl.store.read("sentences").filter("paper_id = 999").count() == 0
+
+
+def test_cached_by_digest(spark):
+    from litspark.sources.store import row_digests
+    st = StageStore(spark, scratch_path(spark, "by-digest"))
+    rows = spark.createDataFrame([("a", "abstract", 1, "x"), ("a", "abstract", 1, "x"), ("b", "abstract", 2, None), ("b", "title", 2, "y")], "corpus_id string, run_key string, n int, t string")
+    built = []
+
+    def build(keys):
+        built.append(sorted((r.corpus_id, r.run_key) for r in keys.collect()))
+        return rows.join(keys, ["corpus_id", "run_key"], "left_semi")
+
+    d = row_digests(rows)
+    assert st.cached_by("s", d, build).count() == 4 and st.cached_by("s", row_digests(rows.repartition(3)), build).count() == 4
+    rows = rows.unionByName(spark.createDataFrame([("b", "title", 3, "z")], rows.schema))
+    assert st.cached_by("s", row_digests(rows), build).count() == 5
+    once = rows.dropDuplicates()
+    assert {r.digest for r in row_digests(once).filter("corpus_id = 'a'").collect()} != {r.digest for r in d.filter("corpus_id = 'a'").collect()}
+    assert st.cached_by("s", row_digests(rows, parameters="other"), build).count() == 5
+    assert [len(b) for b in built] == [3, 1, 3] and built[1] == [("b", "title")]
+
+
 def test_stage_missing(spark):
     st = StageStore(spark, scratch_path(spark, "empty"))
     with pytest.raises(StageMissing):
