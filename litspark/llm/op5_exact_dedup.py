@@ -80,15 +80,15 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatc
 
 
 def _decided(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every row without its text; run size and head are null where the row is open."""
+    """Every row without its text; run size and ``head_id`` are null where the row is open, ``head_uid`` is the first row of its run in this batch."""
     for b, starts, is_open in _compared(batches):
         get = lambda c: b.column(b.schema.get_field_index(c))
         sizes = np.diff(np.append(starts, b.num_rows))
         before = b.num_rows - int(sizes.sum())
-        heads = pa.array(np.r_[np.zeros(before, np.int64), np.repeat(starts, sizes)], mask=is_open)
+        first = np.r_[np.zeros(before, np.int64), np.repeat(starts, sizes)]
         yield pa.RecordBatch.from_arrays(
             [get("doc_id"), get("k_uid"), get("k_points"), get("k_sha"), pa.array(np.r_[np.zeros(before, np.int64), np.repeat(sizes, sizes)], mask=is_open),
-             pc.take(get("k_uid"), heads), pc.take(get("doc_id"), heads), pa.array(is_open)], [f.split()[0] for f in DECISION.split(", ")])
+             pc.take(get("k_uid"), pa.array(first)), pc.take(get("doc_id"), pa.array(first, mask=is_open)), pa.array(is_open)], [f.split()[0] for f in DECISION.split(", ")])
 
 
 def _heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,8 +120,11 @@ def _first(points: str, uid: str):
 def decisions(documents: DataFrame) -> DataFrame:
     """One row per row of ``documents``: ``doc_id, keep_id, group_size, kept, text_sha256``."""
     rows = written(_sorted(documents, False).mapInArrow(_decided, DECISION), "runs")
-    groups = (rows.filter("open").groupBy(F.col("sha").alias("g_sha")).agg(_first("n_points", "uid").alias("best"), F.count("*").alias("size")))
-    some = rows.filter("open").join(groups, F.col("sha") == F.col("g_sha"))
+    # Open runs of a batch, then of a text: the rows meet the answer by their run, so a text of very many copies is many keys.
+    runs = written(rows.filter("open").groupBy("head_uid", "sha").agg(_first("n_points", "uid").alias("best"), F.count("*").alias("size")), "open-runs")
+    groups = runs.groupBy(F.col("sha").alias("g_sha")).agg(F.min("best").alias("best"), F.sum("size").alias("size"))
+    answers = runs.select(F.col("head_uid").alias("run"), "sha").join(groups, F.col("sha") == F.col("g_sha")).select("run", "best", "size")
+    some = rows.filter("open").join(answers, F.col("head_uid") == F.col("run"))
     sha = F.lower(F.hex("sha")).alias("text_sha256")
     return (rows.filter("not open").select("doc_id", F.col("head_id").alias("keep_id"), F.col("run_size").alias("group_size"),
                                            (F.col("uid") == F.col("head_uid")).alias("kept"), sha)
