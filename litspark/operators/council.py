@@ -194,20 +194,21 @@ def proposal_block(collected: DataFrame) -> DataFrame:
 
 def arbitrate(looked_up: DataFrame, keys=KEYS) -> DataFrame:
     """Offline arbiter: majority on the normalised label, then the highest
-    confidence, then the lowest model index; fallback proposals never win.
+    confidence, then the lowest model index; fallback proposals never win. When several
+    voices spoke and no two agree, ``winning_model`` is 0. ``reliability.arbitrate_learnt`` weighs the voices instead.
     Output has the decision shape (cluster_id STRING, label, confidence,
-    reasoning, winning_model 1..3) plus ``item_pos`` for last-wins lookup."""
+    reasoning, winning_model 0..3) plus ``item_pos`` for last-wins lookup."""
     p = looked_up.filter(F.col("label") != PROPOSAL_FALLBACK["label"]).withColumn(
         "_norm", F.lower(py_strip("label")))
     votes = Window.partitionBy(*keys, "cluster_id", "_norm")
-    p = p.withColumn("_votes", F.count(F.lit(1)).over(votes))
+    p = p.withColumns({"_votes": F.count(F.lit(1)).over(votes), "_spoke": F.count(F.lit(1)).over(Window.partitionBy(*keys, "cluster_id"))})
     best = Window.partitionBy(*keys, "cluster_id").orderBy(
         F.col("_votes").desc(), F.col("confidence").desc_nulls_last(), F.col("model_idx"))
     p = p.withColumn("_r", F.row_number().over(best)).filter(F.col("_r") == 1)
     return p.select(
         *keys, F.col("cluster_id").cast("string").alias("cluster_id"), "label", "confidence",
         F.concat(F.lit("chosen by "), F.col("_votes"), F.lit(" of 3 voices")).alias("reasoning"),
-        (F.col("model_idx") + 1).cast("int").alias("winning_model"),
+        F.when((F.col("_votes") == 1) & (F.col("_spoke") > 1), 0).otherwise(F.col("model_idx") + 1).cast("int").alias("winning_model"),
         F.col("topic_rank").alias("item_pos"))
 
 

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.text import py_strip
-from ..operators import embed, manifold, punkt, text
+from ..operators import embed, graph_voice, manifold, punkt, reliability, text
 from ..session import KEYS, table_path
 from . import derived as D
 from .queries import q, r6
@@ -95,3 +95,23 @@ def layout(spark, sf_dir):
     start = D.emb_rows(spark, sf_dir).join(embed.reduce_dims(D.emb_vectors(spark, sf_dir), embed.REDUCED_DIM).drop("embedding"), "sentence_id")
     y = manifold.layout(manifold.fuzzy_graph(_exact(spark, sf_dir), embed.KNN_K), embed.REDUCED_DIM, start=start)
     return y.select(*KEYS, "sentence_id", *[r6(f"c{i}").alias(f"c{i}") for i in range(embed.REDUCED_DIM)])
+
+
+# -- council -------------------------------------------------------------------------
+
+@q("propose_graph_labels")
+def propose_graph_labels(spark, sf_dir):
+    m = D.emb_topics(spark, sf_dir)[0]
+    return graph_voice.graph_labeller(m).select(*KEYS, "cluster_id", "model_idx", "label", r6("confidence").alias("confidence"))
+
+
+@q("arbitrate_learnt")
+def arbitrate_learnt(spark, sf_dir):
+    a = reliability.arbitrate_learnt(D.labelled_topics(spark, sf_dir)[1])
+    return a.select(*KEYS, "cluster_id", "label", r6("confidence").alias("confidence"), "reasoning", "winning_model")
+
+
+@q("voice_rates")
+def voice_rates(spark, sf_dir):
+    a = reliability.agreement(D.labelled_topics(spark, sf_dir)[1])
+    return reliability.rates(a).select(*KEYS, F.posexplode("rates").alias("model_idx", "rate")).withColumn("rate", r6("rate"))

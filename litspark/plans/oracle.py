@@ -198,9 +198,9 @@ LEFT JOIN first_items f ON f.corpus_id = r.corpus_id AND f.run_key = r.run_key A
      AND f.cluster_id = CAST(r.cluster_id AS VARCHAR)""")
 cte("arb", f"""
 SELECT {K}, CAST(cluster_id AS VARCHAR) AS cluster_id, label, confidence,
-       'chosen by ' || votes || ' of 3 voices' AS reasoning, CAST(model_idx + 1 AS INTEGER) AS winning_model,
-       topic_rank AS item_pos
-FROM (SELECT *, count(*) OVER (PARTITION BY {K}, cluster_id, lower({STRIP('label')})) AS votes
+       'chosen by ' || votes || ' of 3 voices' AS reasoning,
+       CAST(CASE WHEN votes = 1 AND spoke > 1 THEN 0 ELSE model_idx + 1 END AS INTEGER) AS winning_model, topic_rank AS item_pos
+FROM (SELECT *, count(*) OVER (PARTITION BY {K}, cluster_id, lower({STRIP('label')})) AS votes, count(*) OVER (PARTITION BY {K}, cluster_id) AS spoke
       FROM looked WHERE label <> 'Unlabeled')
 QUALIFY row_number() OVER (PARTITION BY {K}, cluster_id ORDER BY votes DESC, confidence DESC NULLS LAST, model_idx) = 1""")
 cte("dec_items", f"""
