@@ -18,6 +18,10 @@ One scan finds spans, terms and partial term counts (counted in the task, flushe
 at a fixed size), a second one the terms of texts that occur more than once; the rest are aggregates
 and joins on (entity, term) and the row, without texts. Entities are kept as digests, not in the clear.
 
+Key-like tokens (passwords, access tokens) have no form of their own but carry much information: a run of ``KEY_LENGTH`` or more letters, digits
+and ``_+/=-`` with a letter and a digit in it is a span of kind ``key`` if its surprise, by the corpus's own counts of neighbouring
+bytes, is ``KEY_BITS`` bits or more, and ``KEY_RATIO`` times what the corpus has a byte. These counts are a table of fixed size, over all texts. Keys are hidden themselves; they give no evidence against terms.
+
 Defined results: a null text counts as empty (no spans); repeated rows give repeated
 rows, count as documents in the ratio and once in the estimate; an empty table gives an empty table; extra columns don't matter.
 """
@@ -29,6 +33,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -36,6 +41,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import nonnull_text, session, table, worker_cache, written
+from .units import text_bytes
 
 GENERALISE = 0.8
 REMOVE = 0.95
@@ -50,6 +56,10 @@ _IP = re.compile(r"([0-9]++(?:\.[0-9]++){3})|[0-9]++")
 _CARD = re.compile(r"([0-9](?:[\x20-]?[0-9])++)")
 _PHONE = re.compile(r"(\+[0-9][\x20().0-9-]+[0-9])")
 _DIGIT = re.compile("[0-9]")
+#: Least length of a key, the bits that nobody guesses, and how much denser than the corpus they lie.
+KEY_LENGTH, KEY_BITS, KEY_RATIO = 16, 80.0, 1.5
+_KEY = re.compile(r"[A-Za-z0-9_+/=-]{%d,}+" % KEY_LENGTH)
+_LETTER = re.compile("[A-Za-z]")
 _TERM = re.compile(r"[^\W_]+")
 
 
@@ -83,6 +93,42 @@ def base_spans(text: str) -> list[tuple[int, int, int, str]]:
     return out
 
 
+def byte_pairs(documents: DataFrame) -> tuple[np.ndarray, float]:
+    """Bits of each byte behind each other one (256 x 256) and their mean in the corpus, by the counts of neighbouring bytes over all texts: 65,536 sums at most
+    come to the driver, whatever the input."""
+    session(documents)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << 16, np.int64)
+        for b in batches:
+            ends, data = text_bytes(b.column(0))
+            data = data[ends[0]:ends[-1]]
+            for a in range(0, max(0, len(data) - 1), 1 << 20):  # the last byte of a text and the first of the next one are a pair as well
+                part = data[a:a + (1 << 20) + 1].astype(np.int64)
+                total += np.bincount(part[:-1] * 256 + part[1:], minlength=1 << 16)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64)), pa.array(total[at])], ["pair", "n"])
+
+    rows = documents.select(nonnull_text().alias("text")).mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect()
+    counts = np.zeros(1 << 16)
+    counts[[r.pair for r in rows]] = [r.n for r in rows]
+    counts = counts.reshape(256, 256)
+    bits = -np.log2((counts + 0.5) / (counts + 0.5).sum(1, keepdims=True))
+    return bits, float((counts * bits).sum() / max(1.0, counts.sum()))
+
+
+def key_spans(text: str, bits: np.ndarray, mean: float, found: list) -> list[tuple[int, int, int, str]]:
+    """Spans of kind ``key`` (numbered behind the base kinds) that no base span overlaps."""
+    out = []
+    for m in _KEY.finditer(text):
+        if not (_DIGIT.search(m[0]) and _LETTER.search(m[0])) or any(a < m.end() and m.start() < b for _, a, b, _ in found):
+            continue
+        x = np.frombuffer(m[0].encode(), np.uint8)
+        if bits[x[:-1], x[1:]].sum() >= max(KEY_BITS, KEY_RATIO * mean * (len(x) - 1)):
+            out.append((len(KINDS), *m.span(), m[0]))
+    return out
+
+
 def spans_text(spans) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
@@ -105,17 +151,17 @@ def terms(text: str, spans: list) -> dict[str, list[int]]:
 
 _SCAN = (
     "uid long, doc_id long, n_email long, n_ip long, n_card long, n_phone long, base string, entities array<string>, "
-    "terms array<struct<term: string, at: array<int>>>, term string, n long, digest string, extra long")
+    "terms array<struct<term: string, at: array<int>>>, term string, n long, digest string, extra long, keys string, n_key long")
 _TERMS = pa.list_(pa.struct([("term", pa.string()), ("at", pa.list_(pa.int32()))]))
 
 
-def scan(documents: DataFrame) -> DataFrame:
+def scan(documents: DataFrame, bits: tuple[np.ndarray, float] | None = None) -> DataFrame:
     """Rows of two kinds: one per document (``uid`` set; terms only where it has
     entities; digest of the text) and partial document counts of terms (``term``, ``n``, and how many of
-    these, ``extra``, are further copies of a text)."""
+    these, ``extra``, are further copies of a text). ``bits`` finds keys (see ``byte_pairs``)."""
     session(documents)
-    kinds = [pa.int64()] * 6 + [pa.string(), pa.list_(pa.string()), _TERMS, pa.string(), pa.int64(), pa.string(), pa.int64()]
-    names = ["uid", "doc_id", "n_email", "n_ip", "n_card", "n_phone", "base", "entities", "terms", "term", "n", "digest", "extra"]
+    kinds = [pa.int64()] * 6 + [pa.string(), pa.list_(pa.string()), _TERMS, pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
+    names = ["uid", "doc_id", "n_email", "n_ip", "n_card", "n_phone", "base", "entities", "terms", "term", "n", "digest", "extra", "keys", "n_key"]
 
     def counted(count: Counter, what: str = "n") -> pa.RecordBatch:
         cols = {"term": pa.array(count.keys(), pa.string()), what: pa.array(count.values(), pa.int64())}
@@ -133,9 +179,10 @@ def scan(documents: DataFrame) -> DataFrame:
                 count.update(own.keys() if found else set(map(str.lower, _TERM.findall(text))))
                 values = {hashlib.blake2b(f"{KINDS[k]}:{v}".encode(), digest_size=16).hexdigest() for k, _, _, v in found}
                 tally = Counter(k for k, *_ in found)
+                keys = key_spans(text, *bits, found) if bits is not None else []
                 for col, v in zip(out, (row, doc, *(tally[k] for k in range(4)), spans_text((KINDS[k], a, e) for k, a, e, _ in found),
                                         sorted(values), [{"term": t, "at": at} for t, at in own.items()], None, None,
-                                        hashlib.md5(text.encode()).hexdigest(), None)):
+                                        hashlib.md5(text.encode()).hexdigest(), None, spans_text(("key", a, e) for _, a, e, _ in keys), len(keys))):
                     col.append(v)
                 row += 1
                 if len(count) > FLUSH_TERMS:
@@ -201,8 +248,8 @@ def disclosing(rows: DataFrame, generalise: float = GENERALISE, remove: float =
 
 def find(documents: DataFrame, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
     """One row per row of ``documents``: counts per kind, digest of the base
-    spans, all spans (base kinds first, then ``generalise`` and ``remove``), and how many of these are of a term."""
-    rows = written(scan(documents), "pii")
+    spans, all spans (base kinds first, then ``key``, ``generalise`` and ``remove``), how many of these are of a term or a key, and how many there are."""
+    rows = written(scan(documents, byte_pairs(documents)), "pii")
     docs = rows.filter("uid is not null")
     flagged = written(disclosing(rows, generalise, remove), "disclosing")
     hits = (docs.filter(F.size("entities") > 0).select("uid", F.explode("entities").alias("entity"), "terms")
@@ -218,8 +265,9 @@ def find(documents: DataFrame, generalise: float = GENERALISE, remove: float = R
                     F.expr("array_join(transform(s, x -> concat(x.action, ':', x.a, ':', x.b)), ',')").alias("m_spans")))
     return docs.join(more, F.col("uid") == F.col("m_uid"), "left").select(
         "doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"),
-        F.concat_ws(",", F.when(F.col("base") != "", F.col("base")), "m_spans").alias("spans"),
-        F.coalesce(F.col("m_n").cast("long"), F.lit(0)).cast("long").alias("n_term_spans"))
+        F.concat_ws(",", F.when(F.col("base") != "", F.col("base")), F.when(F.col("keys") != "", F.col("keys")), "m_spans").alias("spans"),
+        F.coalesce(F.col("m_n").cast("long"), F.lit(0)).cast("long").alias("n_term_spans"), "n_key",
+        (sum(F.col(f"n_{k}") for k in (*KINDS, "key")) + F.coalesce(F.col("m_n").cast("long"), F.lit(0))).cast("long").alias("n_spans"))
 
 
 def redacted(text: str, spans: str):

@@ -86,14 +86,42 @@ def test_disclosure_is_the_formula(spark, corpus):
     import math
     rows = op4.disclosing(op4.written(op4.scan(documents(spark, corpus)), "t"), generalise=0.0).collect()
     n = len(corpus)
-    words = {d: set(re.findall(r"[^\W_]{4,}", re.sub(r"\S+@\S+", "", t.lower()))) for d, t in corpus}
+    words = {d: set(re.findall(r"[^\W_]+", re.sub(r"\S+@\S+", "", t.lower()))) for d, t in corpus}
+    texts = {t: d for d, t in corpus}
+    once = {d for t, d in texts.items()}
     with_e = {d for d, t in corpus if "zeb@mail.example" in t}
-    assert {r.term for r in rows} == {
-        t for t in set().union(*words.values()) if (b := sum(t in words[d] for d in with_e)) >= 3
-        and math.log2(n * b / (sum(t in w for w in words.values()) * len(with_e))) >= 0}
+    want = {}
+    for t in set().union(*(words[d] for d in with_e)):
+        joint = sum(t in words[d] for d in with_e & once)
+        if joint > 1:
+            lower = 1 + math.log2((joint - 1) / sum(t in words[d] for d in once)) / math.log2(len(texts) / len(with_e & once))
+            if lower >= 0:
+                want[t] = lower
+    assert {r.term for r in rows} == set(want) and "zebulon" in want
     for r in rows:
         both, term = sum(r.term in words[d] for d in with_e), sum(r.term in w for w in words.values())
-        assert abs(r.ratio - math.log2(n * both / (term * len(with_e))) / math.log2(n / len(with_e))) < 1e-9
+        assert abs(r.ratio - math.log2(n * both / (term * len(with_e))) / math.log2(n / len(with_e))) < 1e-9 and abs(r.lower - want[r.term]) < 1e-9
+
+
+def test_keys_are_found_by_their_information(spark):
+    r = random.Random(9)
+    prose = ["the house of the people was near the river", "time and again the year went by", "nobody knew that unbelievablenotwithstanding2words are long"]
+    keys = ["".join(r.choice("0123456789abcdef") for _ in range(40)), "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(32)) + "1a"]
+    rows = [(i, " ".join(r.choice(prose) for _ in range(6))) for i in range(200)]
+    rows += [(200 + i, f"before token = \"{k}\" and after é {k[:12]}") for i, k in enumerate(keys)] + [(210, None), (211, "a" * 5000 + "1"), (212, "1" * 60 + " " + "ab" * 30), (213, "x1" * 30)]
+    out = {x.doc_id: x for x in op4.find(documents(spark, rows)).collect()}
+    for i, k in enumerate(keys):
+        t = dict(rows)[200 + i]
+        assert out[200 + i].n_key == 1 and out[200 + i].n_spans == 1 and out[200 + i].spans == f"key:{t.index(k)}:{t.index(k) + len(k)}"
+    assert [d for d, x in out.items() if x.n_key and d not in (200, 201)] == []
+    # The bits are those of the counts.
+    bits, mean = op4.byte_pairs(documents(spark, [(1, "abab"), (2, "ac"), (3, None)]).coalesce(1))
+    assert 0 < mean < 8
+    assert bits.shape == (256, 256)
+    import math
+    row = {"b": 2, "c": 1}
+    total = sum(row.values()) + 128
+    assert math.isclose(bits[ord("a"), ord("b")], -math.log2(2.5 / total), rel_tol=1e-9) and math.isclose(bits[ord("a"), ord("z")], -math.log2(0.5 / total), rel_tol=1e-9)
 
 
 def test_redaction(spark, corpus):
