@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import nonnull_text, session, table, worker_cache, written
+from .common import nonnull_text, release, session, table, worker_cache, written
 from .units import text_bytes
 
 GENERALISE = 0.8
@@ -104,8 +104,9 @@ def byte_pairs(documents: DataFrame) -> tuple[np.ndarray, float]:
             ends, data = text_bytes(b.column(0))
             data = data[ends[0]:ends[-1]]
             for a in range(0, max(0, len(data) - 1), 1 << 20):  # the last byte of a text and the first of the next one are a pair as well
-                part = data[a:a + (1 << 20) + 1].astype(np.int64)
-                total += np.bincount(part[:-1] * 256 + part[1:], minlength=1 << 16)
+                part = data[a:a + (1 << 20) + 1].astype(np.uint16)
+                total += np.bincount(part[:-1] << 8 | part[1:], minlength=1 << 16)
+        release()
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64)), pa.array(total[at])], ["pair", "n"])
 
@@ -188,7 +189,10 @@ def scan(documents: DataFrame, bits: tuple[np.ndarray, float] | None = None) ->
                 if len(count) > FLUSH_TERMS:
                     yield counted(count)
                     count.clear()
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], names)
+            done = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], names)
+            del b, out
+            release()
+            yield done
         yield counted(count)
 
     def run_copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,8 +238,10 @@ def disclosing(rows: DataFrame, generalise: float = GENERALISE, remove: float =
         F.explode("entities").alias("entity"), F.col("terms.term").alias("t"), F.col("o_uid").isNotNull().cast("long").alias("own"))
     some = written(some, "entities")
     entity = some.groupBy("entity").agg(F.count("*").alias("n_entity"), F.sum("own").alias("t_entity"))
-    # A single joint text gives an estimate of minus infinity whatever the counts.
-    seen = (some.select("entity", "own", F.explode("t").alias("term")).groupBy("entity", "term")
+    # A single joint text gives an estimate of minus infinity whatever the counts, so the pairs of an entity
+    # that is in one text needn't be laid out and counted at all.
+    more = entity.filter("t_entity > 1").select("entity")
+    seen = (some.join(more, "entity", "left_semi").select("entity", "own", F.explode("t").alias("term")).groupBy("entity", "term")
             .agg(F.count("*").alias("n_both"), F.sum("own").alias("t_both")).filter("t_both > 1"))
     seen = written(seen.join(entity, "entity").filter(F.col("t_entity") < texts), "pairs")
     counts = rows.filter("uid is null").groupBy("term").agg(F.sum("n").alias("n_term"), F.coalesce(F.sum("extra"), F.lit(0)).alias("extra"))
