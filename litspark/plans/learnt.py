@@ -6,8 +6,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.text import py_strip
-from ..operators import embed, graph_voice, manifold, punkt, reliability, text
+from ..operators import embed, graph_voice, lsa, manifold, punkt, reliability, text
 from ..session import KEYS, table_path
+from ..sources.papers import papers_from_documents
 from . import derived as D
 from .queries import q, r6
 
@@ -115,3 +116,14 @@ def arbitrate_learnt(spark, sf_dir):
 def voice_rates(spark, sf_dir):
     a = reliability.agreement(D.labelled_topics(spark, sf_dir)[1])
     return reliability.rates(a).select(*KEYS, F.posexplode("rates").alias("model_idx", "rate")).withColumn("rate", r6("rate"))
+
+
+# -- learnt vectors ------------------------------------------------------------------
+
+@q("term_vectors_certificate")
+def term_vectors_certificate(spark, sf_dir):
+    """What holds of the term vectors of all abstracts' sentences (see ``lsa.certificate``)."""
+    s = text.sentence_table(text.run_text(papers_from_documents(spark, sf_dir), "abstract"))
+    matrix = lsa.written(lsa.cells(s.select(F.col("sentence_id").alias("sentence_key"), "sentence")), "lsa-matrix")
+    c = lsa.certificate(matrix, *lsa.term_vectors(matrix))
+    return c.withColumn("squares", F.round("squares", 3))
