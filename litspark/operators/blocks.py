@@ -49,8 +49,9 @@ def curve(points: DataFrame, keys=KEYS, dims: int = 3) -> DataFrame:
     return points.join(span, list(keys)).select(*keys, "id", "x", "w", z.alias("z"))
 
 
-def blocks(points: DataFrame, keys=KEYS, size: int = SIZE) -> DataFrame:
-    """``points(keys, id long, x array<double>, w double)`` as one row per block."""
+def blocks(points: DataFrame, keys=KEYS, size: int = SIZE, together: bool = False) -> DataFrame:
+    """``points(keys, id long, x array<double>, w double)`` as one row per block. ``together`` (for at most ``size`` points in
+    all) makes every key one block, whatever partitions the range sort would give."""
     ship_package(points.sparkSession)
     order = [*keys, "z", "id"]
     schema = T.StructType([points.schema[c] for c in keys] + [T.StructField(n, t) for n, t in (
@@ -83,7 +84,8 @@ def blocks(points: DataFrame, keys=KEYS, size: int = SIZE) -> DataFrame:
         if held is not None and len(held):
             yield pd.DataFrame([row(key, number, held)], columns=schema.names)
 
-    ordered = curve(points, keys).repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = curve(points, keys)
+    ordered = (placed.repartition(1) if together else placed.repartitionByRange(*order)).sortWithinPartitions(*order)
     return written(ordered.mapInPandas(cut, schema), "blocks")
 
 

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.formats import DEFAULT_TOPIC_LABEL, TOPIC_CODE, fmt
 from ..functions.vec import cosine, dim_of, with_cosine
 from ..session import KEYS
+from .blocks import written
 
 # ---------------------------------------------------------------------------
 # Fixed values from the reference.
@@ -105,9 +106,11 @@ def topic_summary(members: DataFrame, vectors: DataFrame, k: int = NEAREST_K,
     """members(keys, sentence_id, paper_id, sentence, cluster_id) ->
     (topics, topic_papers). topics: keys, cluster_id, size, paper_count,
     centroid, top_sentences (k, closest first), label ``Topic <id>``."""
-    valid = members.filter(F.col("cluster_id") != NOISE)
-    cents = centroids(valid, vectors, keys, vec_col)
-    ev = top_evidence(valid, vectors, cents, k, keys, vec_col)
+    valid = _with_vectors(members.filter(F.col("cluster_id") != NOISE), vectors, vec_col)
+    # Members meet their vectors once; centroids and evidence read the stored join.
+    valid = written(valid.select(*keys, "cluster_id", "sentence_id", "paper_id", "sentence", vec_col), "topic-members")
+    cents = written(centroids(valid, None, keys, vec_col), "topic-centroids")
+    ev = top_evidence(valid, None, cents, k, keys, vec_col)
     papers = topic_papers(valid, keys)
     return assemble_topics(valid, cents, ev, papers, keys), papers
 
@@ -115,13 +118,13 @@ def topic_summary(members: DataFrame, vectors: DataFrame, k: int = NEAREST_K,
 def assemble_topics(valid: DataFrame, cents: DataFrame, ev: DataFrame, papers: DataFrame,
                     keys=KEYS) -> DataFrame:
     """Topic records from the parts: size, distinct papers, centroid, the
-    evidence sentences in rank order and the default label."""
+    evidence sentences in rank order and the default label. Size and papers come from one aggregate
+    over (cluster, paper); ``papers`` is the long list that the caller keeps."""
     ev_arr = ev.groupBy(*keys, "cluster_id").agg(
         F.array_sort(F.collect_list(F.struct("rank", "sentence"))).alias("_ev"))
-    pc = papers.groupBy(*keys, "cluster_id").agg(F.count(F.lit(1)).alias("paper_count"))
-    sizes = cluster_sizes(valid, keys)
-    return (sizes.join(pc, [*keys, "cluster_id"])
-            .join(cents, [*keys, "cluster_id"])
+    per = valid.groupBy(*keys, "cluster_id", "paper_id").agg(F.count(F.lit(1)).alias("_n"))
+    sizes = per.groupBy(*keys, "cluster_id").agg(F.sum("_n").alias("size"), F.count(F.lit(1)).alias("paper_count"))
+    return (sizes.join(cents, [*keys, "cluster_id"])
             .join(ev_arr, [*keys, "cluster_id"])
             .select(*keys, F.col("cluster_id").cast("int").alias("cluster_id"),
                     F.col("size").cast("int").alias("size"),

@@ -297,7 +297,7 @@ def knn_graph(spark, sf_dir):
 
 @q("ward_cluster")
 def ward_cluster(spark, sf_dir):
-    return cluster.ward(_reduced_points(spark, sf_dir), embed.REDUCED_DIM, cluster.DISTANCE_THRESHOLD, block=BLOCK)
+    return cluster.ward(_reduced_points(spark, sf_dir), embed.REDUCED_DIM, cluster.DISTANCE_THRESHOLD)
 
 
 @q("ward_certificate")
