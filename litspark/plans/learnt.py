@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.text import py_strip
-from ..operators import embed, graph_voice, lsa, manifold, punkt, reliability, text
+from ..operators import embed, graph_voice, lsa, manifold, punkt, reliability, seeded_bayes, taxonomy, text
 from ..session import KEYS, table_path
 from ..sources.papers import papers_from_documents
 from . import derived as D
@@ -127,3 +127,39 @@ def term_vectors_certificate(spark, sf_dir):
     matrix = lsa.written(lsa.cells(s.select(F.col("sentence_id").alias("sentence_key"), "sentence")), "lsa-matrix")
     c = lsa.certificate(matrix, *lsa.term_vectors(matrix))
     return c.withColumn("squares", F.round("squares", 3))
+
+
+# -- categories learnt from seeds ------------------------------------------------------
+
+_BAYES: dict = {}
+
+
+def _bayes(spark, sf_dir) -> seeded_bayes.Model:
+    """Learnt from all abstracts' sentences; seeds are the categories' names and the names of the themes that responses mapped."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _BAYES:
+        s = text.sentence_table(text.run_text(papers_from_documents(spark, sf_dir), "abstract"))
+        seeds = seeded_bayes.name_seeds(spark).unionByName(seeded_bayes.mapped_seeds(D.emb_taxonomy(spark, sf_dir)[0]))
+        _BAYES[key] = seeded_bayes.learn(seeded_bayes.cells(s), seeds)
+    return _BAYES[key]
+
+
+@q("classify_theme_learnt")
+def classify_theme_learnt(spark, sf_dir):
+    return seeded_bayes.classify(D.emb_themes(spark, sf_dir)[0], _bayes(spark, sf_dir)).withColumn("match_confidence", r6("match_confidence"))
+
+
+@q("category_shares")
+def category_shares(spark, sf_dir):
+    return seeded_bayes.shares(spark, _bayes(spark, sf_dir)).withColumn("sentences", F.round("sentences", 3))
+
+
+@q("taxonomy_changes")
+def taxonomy_changes(spark, sf_dir):
+    """Themes that the learnt categories put elsewhere than the cosine with the category names does, per corpus and run."""
+    th = D.emb_themes(spark, sf_dir)[0]
+    a = taxonomy.classify_theme(th, embed.hashed_tf).select(*KEYS, "theme_name", F.col("pajais_match").alias("by_name"))
+    j = a.join(seeded_bayes.classify(th, _bayes(spark, sf_dir)), [*KEYS, "theme_name"])
+    return j.groupBy(*KEYS).agg(F.count("*").alias("themes"), F.count_if(F.col("by_name") != F.col("pajais_match")).alias("changed"),
+                                F.count_if((F.col("by_name") == "NOVEL") & ~F.col("is_novel")).alias("newly_mapped"),
+                                F.count_if((F.col("by_name") != "NOVEL") & F.col("is_novel")).alias("newly_novel"))
