@@ -6,12 +6,16 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.text import py_strip
-from ..operators import embed, graph_voice, lsa, manifold, punkt, reliability, seeded_bayes, taxonomy, text
+from ..functions.vec import dim_of
+from ..operators import embed, graph_voice, lsa, manifold, punkt, reliability, seeded_bayes, summaries, taxonomy, text
 from ..session import KEYS, table_path
 from ..sources.papers import papers_from_documents
 from . import derived as D
 from .queries import q, r6
 
+#: Radius of the clustering features of the given unit vectors.
+VECTOR_RADIUS = 1.3
+
 
 def _documents(spark, sf_dir):
     return spark.read.parquet(table_path(sf_dir, "documents")).select("lang", "doc_id", "text")
@@ -98,6 +102,27 @@ def layout(spark, sf_dir):
     return y.select(*KEYS, "sentence_id", *[r6(f"c{i}").alias(f"c{i}") for i in range(embed.REDUCED_DIM)])
 
 
+# -- clustering features -------------------------------------------------------------
+
+@q("summaries_certificate")
+def summaries_certificate(spark, sf_dir):
+    """Clustering features of the vectors, held against the vectors: per corpus the points, their spread as the features add it up, the points that
+    the map has once, those beyond their feature's ball, and whether the features are fewer."""
+    points = _points(spark, sf_dir)
+    k = dim_of(points, "vec")
+    points = points.select(*KEYS, "sentence_id", *[F.col("vec")[i].cast("double").alias(f"c{i}") for i in range(k)])
+    s, umap = summaries.summarise(points, k, VECTOR_RADIUS)
+    centre = s.groupBy(*KEYS).agg(F.sum("n").alias("points"), F.sum("sse").alias("inside"), F.count("*").alias("features"),
+                                  *[(F.sum(F.col("n") * F.col("mean")[i]) / F.sum("n")).alias(f"m{i}") for i in range(k)])
+    away = sum((F.col("n") * (F.col("mean")[i] - F.col(f"m{i}")) * (F.col("mean")[i] - F.col(f"m{i}")) for i in range(k)), F.lit(0.0))
+    spread = s.join(centre, list(KEYS)).groupBy(*KEYS, "points", "inside", "features").agg(F.sum(away).alias("outside"))
+    own = points.join(umap, [*KEYS, "sentence_id"]).join(s.select(*KEYS, "cid", "mean", "ball"), [*KEYS, "cid"])
+    far = sum(((F.col(f"c{i}") - F.col("mean")[i]) * (F.col(f"c{i}") - F.col("mean")[i]) for i in range(k)), F.lit(0.0))
+    held = own.groupBy(*KEYS).agg(F.count_distinct("sentence_id").alias("assigned"), F.count_if(F.sqrt(far) > F.col("ball") + 1e-9).alias("beyond"))
+    return spread.join(held, list(KEYS)).select(*KEYS, "points", F.round(F.col("inside") + F.col("outside"), 6).alias("spread"), "assigned", "beyond",
+                                                (F.col("features") < F.col("points")).alias("fewer"))
+
+
 # -- council -------------------------------------------------------------------------
 
 @q("propose_graph_labels")
