@@ -86,6 +86,15 @@ def test_ward_evenly_spaced_points(spark):
         assert abs(np.diff(sorted(g.sentence_id)))[0] == 1
 
 
+def test_ward_of_spread_points_needs_few_rounds(spark):
+    """Points that all lie about equally far apart: few pairs are mutual, so a chain takes over early."""
+    X = np.random.default_rng(11).normal(size=(160, 24))
+    X = (X / np.linalg.norm(X, axis=1)[:, None])[:, :10]
+    stats = []
+    got = cluster.ward(points_frame(spark, {"a": X}), 10, 1.2, block=8, stats=stats).toPandas()
+    assert partitions(got, "a") == greedy_ward(X, 1.2) and 1 <= len(stats) <= 4
+
+
 def test_ward_raises_when_rounds_run_out(spark):
     pts = points_frame(spark, {"a": blobs(6, 60, 3)})
     with pytest.raises(RuntimeError, match="still active"):
