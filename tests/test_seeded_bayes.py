@@ -86,6 +86,22 @@ def test_equals_plain_rounds(spark, monkeypatch, budget):
         assert all(abs(got[i][f"p{c}"] - want[c]) < 1e-6 for c in classes)
 
 
+def test_chunks_hold_whole_texts_and_move_a_row_a_term(spark, monkeypatch):
+    rows = _corpus()
+    cells, whole = _learn(spark, rows, SEEDS, 3)
+    monkeypatch.setattr(SB, "LEAST_CELLS", 300)
+    monkeypatch.setattr(SB, "MOST_CELLS", 300)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        chunks = SB._packed(cells).collect()
+        cut = SB.learn(cells, spark.createDataFrame(SEEDS, "category_no int, term string"), 3)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(chunks) > 3 and sum(len(c.starts) // 8 for c in chunks) == cells.select("sid").distinct().count()
+    assert sum(len(c.at) // 4 for c in chunks) == cells.count() > 5 * sum(len(c.terms) for c in chunks)
+    assert all(abs(cut.sentences[c] - whole.sentences[c]) < 1e-9 for c in whole.classes)
+
+
 def test_learns_words_that_are_no_seeds(spark):
     rows = _corpus()
     _, model = _learn(spark, rows, SEEDS)
