@@ -9,7 +9,8 @@
   units of a local scale, found by bisection so that its weights sum to log2 k; the two directions of an edge are
   united as probabilities.
 * ``layout``: a spectral start (block power iteration on the edge table), then epochs of attraction along edges and
-  repulsion from seeded random points. Points and edges are tables; an epoch is two joins and a sum, its state a Parquet table."""
+  repulsion from seeded random points. Points lie in chunks and edges in tiles of a chunk and a chunk, packed once; in an epoch a chunk's
+  coordinates go to every chunk of their key, not to every edge, and a task holds two chunks and a tile. The state is a Parquet table."""
 
 from __future__ import annotations
 
@@ -17,6 +18,7 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -38,6 +40,10 @@ UNTIL = 0.002
 #: Random projections of a tree; their bits, taken in turn, are its splits.
 PROJECTIONS = 6
 BISECTIONS = 64
+#: Points of a layout's chunk: a ``CHUNKS``th of the key's within these bounds; edges of a tile's part, about; edges looked at at once.
+MIN_CHUNK, MAX_CHUNK, CHUNKS = 4096, 1 << 17, 4
+PART = 1 << 18
+SLICE = 1 << 15
 
 
 # -- approximate neighbours ----------------------------------------------------------
@@ -291,22 +297,143 @@ def _spectral(norm: DataFrame, state: DataFrame, keys, dims: int, rounds: int) -
     return state
 
 
+def _copies(points: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of the numbered points, and which of ``points`` each is of; a point may have several rows, or none."""
+    count = bounds[points + 1] - bounds[points]
+    which = np.repeat(np.arange(len(points)), count)
+    return which, np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count) + bounds[points][which]
+
+
+class _Chunk:
+    """A chunk's rows: their points' places in it (in order) and coordinates."""
+
+    def __init__(self, first: int, size: int, at, y, dims: int):
+        self.first, self.size = first, size
+        self.at, self.y = np.frombuffer(at, "<i4"), np.frombuffer(y, "<f8").reshape(-1, dims)
+        self.bounds = np.searchsorted(self.at, np.arange(size + 1))
+
+    def push_and_pull(self, force: np.ndarray, rows: np.ndarray, other: _Chunk, points: np.ndarray, w: np.ndarray, pull: bool) -> None:
+        """Adds to ``force`` what ``rows`` get from those of the other chunk's ``points``."""
+        for i in range(0, len(rows), SLICE):
+            which, t = _copies(points[i:i + SLICE], other.bounds)
+            s = rows[i:i + SLICE][which]
+            diff = other.y[t] - self.y[s]
+            d2 = (diff * diff).sum(1)
+            c = (2.0 / (1.0 + d2) if pull else -2.0 / ((0.1 + d2) * (1.0 + d2))) * w[i:i + SLICE][which]
+            low, at = 0, self.at[s]
+            if len(at):  # tiles are sorted: a slice lies in a part of the chunk
+                low = int(at.min())
+                for k in range(force.shape[1]):
+                    g = np.bincount(at - low, c * diff[:, k])
+                    force[low:low + len(g), k] += g
+
+
+_STATE = "chunk int, chunks int, n long, first long, size int, at binary, w binary, y binary"
+_TILE = "home int, b int, i binary, j binary, e binary"
+
+
+def _chunks(state: DataFrame, sizes: DataFrame, keys) -> DataFrame:
+    """``state(keys, no, n, w, y)`` as one row per chunk."""
+    def packed(p: pd.DataFrame) -> pd.DataFrame:
+        p = p.sort_values("no", kind="stable")
+        row = p.iloc[:1][[*keys, "chunk", "chunks", "n"]].copy()
+        first = int(p["chunk"].iloc[0]) * int(p["points"].iloc[0])
+        row["first"], row["size"] = first, min(int(p["points"].iloc[0]), int(p["n"].iloc[0]) - first)
+        row["at"], row["w"] = [(p["no"].to_numpy() - first).astype("<i4").tobytes()], [p["w"].to_numpy("<f8").tobytes()]
+        row["y"] = [np.stack(p["y"].to_numpy()).astype("<f8").tobytes()]
+        return row
+
+    dealt = state.join(sizes.select(*keys, "points", "chunks"), list(keys)).withColumn("chunk", F.floor(F.col("no") / F.col("points")).cast("int"))
+    return written(dealt.groupBy(*keys, "chunk").applyInPandas(packed, _schema(state, keys, _STATE)), "layout-state")
+
+
+def _tiles(pull: DataFrame, sizes: DataFrame, keys) -> DataFrame:
+    """``pull(keys, src_no, dst_no, w)`` packed into rows of about ``PART`` edges from a chunk to a chunk."""
+    def packed(key: tuple, p: pd.DataFrame) -> pd.DataFrame:
+        p = p.sort_values(["i", "j"])
+        return pd.DataFrame([(*key[:-1], p["i"].to_numpy("<i4").tobytes(), p["j"].to_numpy("<i4").tobytes(), p["w"].to_numpy("<f8").tobytes())],
+                            columns=[*keys, "home", "b", "i", "j", "e"])
+
+    parts = pull.groupBy(*keys).agg(F.count("*").alias("_e"))
+    sized = sizes.join(parts, list(keys)).withColumn("parts", F.ceil(F.col("_e") / (F.col("chunks") * PART)).cast("int"))
+    e = pull.join(sized.select(*keys, "points", "parts"), list(keys))
+    place = [F.floor(F.col(f"{x}_no") / F.col("points")).cast("int").alias(y) for x, y in (("src", "home"), ("dst", "b"))]
+    within = [F.pmod(F.col(f"{x}_no"), F.col("points")).cast("int").alias(y) for x, y in (("src", "i"), ("dst", "j"))]
+    e = e.select(*keys, *place, F.expr("cast(pmod(xxhash64(src_no, dst_no), parts) as int)").alias("part"), *within, "w")
+    return written(e.groupBy(*keys, "home", "b", "part").applyInPandas(packed, _schema(pull, keys, _TILE)), "layout-tiles")
+
+
+def _epoch(state: DataFrame, tiles: DataFrame, keys, dims: int, negatives: int, seed: int, step: float) -> DataFrame:
+    """``state`` after a step. A chunk's task gets its own row, then chunk by chunk of its key the coordinates and the tile's parts."""
+    names = [f.split()[0] for f in _STATE.split(", ")]
+    own = state.select(*keys, F.col("chunk").alias("home"), F.lit(-1).alias("b"), F.lit(0).alias("kind"), *names)
+    every = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("home")
+    others = state.select(*keys, every, F.col("chunk").alias("b"), F.lit(1).alias("kind"), "first", "size", "at", "y")
+    rows = own.unionByName(others, True).unionByName(tiles.withColumn("kind", F.lit(2)), True)
+    tasks = int(state.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartition(tasks, *keys, "home").sortWithinPartitions(*keys, "home", "b", "kind")
+    # The points that each of the chunk's is pushed off, in its order.
+    pick = F.transform(F.sequence(F.lit(0).cast("long"), F.col("size").cast("long") * negatives - 1), lambda x: F.pmod(
+        F.xxhash64(F.col("first") + F.floor(x / F.lit(negatives)), (F.pmod(x, F.lit(negatives).cast("long")) + 1).cast("int"), F.lit(seed)), F.col("n")))
+    rows = rows.withColumn("picks", F.when((F.col("kind") == 0) & (F.col("size") * negatives > 0), pick))
+
+    def moved(own: dict, chunk: _Chunk, force: np.ndarray) -> pa.RecordBatch:
+        # Like SQL's least and greatest, these pass over what is not a number.
+        y = chunk.y + np.fmax(-1.0, np.fmin(1.0, force[chunk.at] * step))
+        out = {**own, "y": pa.array([y.astype("<f8").tobytes()], pa.binary())}
+        return pa.RecordBatch.from_arrays([out[c] for c in (*keys, *names)], [*keys, *names])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = chunk = other = force = key = None
+        for b in batches:
+            kept = {c: b.column(b.schema.get_field_index(c)) for c in b.schema.names}
+            for r in range(b.num_rows):
+                get = lambda c: kept[c][r].as_py()  # noqa: E731, B023
+                raw = lambda c: kept[c][r].as_buffer()  # noqa: E731, B023
+                kind, here = get("kind"), (*[get(c) for c in keys], get("home"))
+                if kind == 0:
+                    if own is not None:
+                        yield moved(own, chunk, force)
+                    own = {c: pa.array([get(c)], kept[c].type) for c in (*keys, *names)}
+                    chunk, key, other = _Chunk(get("first"), get("size"), own["at"][0].as_buffer(), own["y"][0].as_buffer(), dims), here, None
+                    force, weights = np.zeros((chunk.size, dims)), np.frombuffer(own["w"][0].as_buffer(), "<f8")
+                    picks = kept["picks"][r].values.to_numpy().reshape(-1, negatives).copy() if negatives and kept["picks"][r].is_valid else np.zeros((chunk.size, 0), np.int64)
+                elif here != key:  # no point of this chunk has a place
+                    continue
+                elif kind == 1:
+                    other, number = _Chunk(get("first"), get("size"), raw("at"), raw("y"), dims), get("b")
+                    theirs = picks[chunk.at]
+                    hit = (theirs >= other.first) & (theirs < other.first + other.size) & (theirs != (chunk.at + chunk.first)[:, None])
+                    s, at = np.nonzero(hit)
+                    chunk.push_and_pull(force, s, other, theirs[s, at] - other.first, weights[s], False)
+                elif other is not None and number == get("b"):
+                    which, s = _copies(np.frombuffer(raw("i"), "<i4"), chunk.bounds)
+                    chunk.push_and_pull(force, s, other, np.frombuffer(raw("j"), "<i4")[which], np.frombuffer(raw("e"), "<f8")[which], True)
+        if own is not None:
+            yield moved(own, chunk, force)
+
+    return rows.mapInArrow(run, state.schema)
+
+
 def layout(edges: DataFrame, dims: int = REDUCED_DIM, keys=KEYS, start: DataFrame | None = None, power: int = 16, epochs: int = 30, negatives: int = 5,
-           rate: float = 0.05, spread: float = 3.0, seed: int = 42) -> DataFrame:
+           rate: float = 0.05, spread: float = 3.0, seed: int = 42, chunk: int | None = None) -> DataFrame:
     """``(keys, sentence_id, c0..)`` from the symmetric ``edges(keys, src, dst, weight)``, started from ``start`` (the same columns, such as
     ``embed.reduce_dims`` gives) or from the graph's spectral coordinates. Deterministic for equal edges: random starts and
     samples come from hashes of the point's number.
 
     Attraction along an edge is that of the curve 1 / (1 + d^2) (a smallest distance of 0 makes both its constants about 1), times
-    the edge's weight; each point is pushed off ``negatives`` random points an epoch, with the sum of its edges' weights. Steps shrink to 0."""
+    the edge's weight; each point is pushed off ``negatives`` random points an epoch, with the sum of its edges' weights. Steps shrink to 0.
+    ``chunk`` sets the points of a chunk."""
+    ship_package(edges.sparkSession)
     degree = edges.groupBy(*keys, "src").agg(F.sum("weight").alias("deg"))
     numbered = sequence(degree.select(F.struct(*keys).alias("_key"), *keys, F.col("src").alias("id"), "deg"), ["_key", "id"], "no", group_col="_key").drop("_key")
     points = written(numbered.select(*keys, "id", "deg", (F.col("no") - 1).cast("long").alias("no")), "layout-points")
     size = points.groupBy(*keys).agg(F.count("*").alias("n"))
     # Weights over the roots of both degrees: the matrix whose leading vectors are the spectral coordinates.
-    d = points.select(*keys, "id", "deg")
-    norm = written(edges.join(d.withColumnsRenamed({"id": "src", "deg": "da"}), [*keys, "src"]).join(d.withColumnsRenamed({"id": "dst", "deg": "db"}), [*keys, "dst"]).select(
-        *keys, "src", "dst", "weight", (F.col("weight") / F.sqrt(F.col("da") * F.col("db"))).alias("a")), "layout-edges")
+    d = points.select(*keys, "id", "deg", "no")
+    norm = written(edges.join(d.withColumnsRenamed({"id": "src", "deg": "da", "no": "src_no"}), [*keys, "src"]).join(
+        d.withColumnsRenamed({"id": "dst", "deg": "db", "no": "dst_no"}), [*keys, "dst"]).select(
+        *keys, "src", "dst", "src_no", "dst_no", "weight", (F.col("weight") / F.sqrt(F.col("da") * F.col("db"))).alias("a")), "layout-edges")
     if start is None:
         unit = [F.pmod(F.xxhash64("no", F.lit(i), F.lit(seed)), F.lit(1 << 20)) / F.lit(float(1 << 20)) - 0.5 for i in range(dims)]
         state = points.join(size, list(keys)).select(*keys, "id", "no", "n", F.array(*unit).alias("y"))
@@ -316,25 +443,27 @@ def layout(edges: DataFrame, dims: int = REDUCED_DIM, keys=KEYS, start: DataFram
         wide = given.groupBy(*keys).agg(F.greatest(F.sqrt(sum((F.var_pop(F.col("y")[i]) for i in range(dims)), F.lit(0.0)) / dims), F.lit(1e-300)).alias("s"))
         state = (points.join(size, list(keys)).join(given, [*keys, "id"]).join(wide, list(keys))
                  .select(*keys, "id", "no", "n", F.transform("y", lambda v: v / F.col("s")).alias("y")))
-    state = written(state.withColumn("y", F.transform("y", lambda v: v * F.lit(spread / math.sqrt(dims)))), "layout-state")
+    state = state.withColumn("y", F.transform("y", lambda v: v * F.lit(spread / math.sqrt(dims))))
     top = norm.groupBy(*keys).agg(F.max("weight").alias("top"))
-    pull = written(norm.join(top, list(keys)).select(*keys, "src", "dst", (F.col("weight") / F.col("top")).alias("w")), "layout-pull")
-    push = written(points.join(top, list(keys)).select(*keys, "id", (F.col("deg") / F.col("top")).alias("w")), "layout-push")
-    diff = F.zip_with("yt", "ys", lambda a, b: a - b)
+    pull = norm.join(top, list(keys)).select(*keys, "src_no", "dst_no", (F.col("weight") / F.col("top")).alias("w"))
+    push = points.join(top, list(keys)).select(*keys, "id", (F.col("deg") / F.col("top")).alias("w"))
+    about = F.lit(chunk) if chunk else F.greatest(F.lit(MIN_CHUNK), F.least(F.lit(MAX_CHUNK), F.ceil(F.col("n") / CHUNKS)))
+    sizes = size.withColumn("points", about.cast("long")).withColumn("chunks", F.ceil(F.col("n") / F.col("points")).cast("int"))
+    tiles = _tiles(pull, sizes, keys)
+    state = _chunks(state.join(push, [*keys, "id"]).drop("id"), sizes, keys)
     for e in range(epochs):
-        step = rate * (1 - e / epochs)
-        here = state.select(*keys, F.col("id").alias("src"), F.col("y").alias("ys"))
-        pulls = pull.join(here, [*keys, "src"]).join(state.select(*keys, F.col("id").alias("dst"), F.col("y").alias("yt")), [*keys, "dst"])
-        pulls = pulls.withColumn("diff", diff).select(*keys, F.col("src").alias("id"), "diff", (2.0 / (1.0 + _dot("diff", "diff")) * F.col("w")).alias("c"))
-        pick = F.transform(F.sequence(F.lit(1), F.lit(negatives)), lambda j: F.pmod(F.xxhash64(F.col("no"), j, F.lit(seed + e)), F.col("n")))
-        pushes = (state.join(push, [*keys, "id"]).select(*keys, "id", "w", F.col("y").alias("ys"), F.col("no").alias("own"), F.explode(pick).alias("no")).filter("no <> own")
-                  .join(state.select(*keys, "no", F.col("y").alias("yt")), [*keys, "no"]).withColumn("diff", diff).withColumn("d2", _dot("diff", "diff"))
-                  .select(*keys, "id", "diff", (-2.0 / ((0.1 + F.col("d2")) * (1.0 + F.col("d2"))) * F.col("w")).alias("c")))
-        force = _summed(pulls.unionByName(pushes), [*keys, "id"], F.transform("diff", lambda x: x * F.col("c")), dims)
-        state = written(state.join(force, [*keys, "id"], "left").select(
-            *keys, "id", "no", "n", F.when(F.col("g").isNull(), F.col("y")).otherwise(
-                F.zip_with("y", "g", lambda x, v: x + F.greatest(F.lit(-1.0), F.least(F.lit(1.0), v * F.lit(step))))).alias("y")), "layout-state")
-    return state.select(*keys, F.col("id").alias("sentence_id"), *[F.col("y")[i].alias(f"c{i}") for i in range(dims)])
+        state = written(_epoch(state, tiles, keys, dims, negatives, seed + e, rate * (1 - e / epochs)), "layout-state")
+
+    def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in range(b.num_rows):
+                one = lambda c: b.column(b.schema.get_field_index(c))  # noqa: E731, B023
+                at, y = np.frombuffer(one("at")[r].as_buffer(), "<i4"), np.frombuffer(one("y")[r].as_buffer(), "<f8").reshape(-1, dims)
+                yield pa.RecordBatch.from_arrays([*(one(c).take(pa.array(np.full(len(at), r))) for c in keys), pa.array(one("first")[r].as_py() + at.astype(np.int64)),
+                                                  *(pa.array(y[:, i]) for i in range(dims))], [*keys, "no", *[f"c{i}" for i in range(dims)]])
+
+    flat = state.mapInArrow(unpacked, _schema(points, keys, ", ".join(["no long", *[f"c{i} double" for i in range(dims)]])))
+    return points.select(*keys, F.col("id").alias("sentence_id"), "no").join(flat, [*keys, "no"]).drop("no")
 
 
 def trustworthiness(high: np.ndarray, low: np.ndarray, k: int) -> float:

@@ -92,6 +92,59 @@ def test_layout_keeps_neighbours_better_than_components(spark):
     assert np.allclose(b, cols(manifold.layout(graph, 3, power=2, epochs=1), 3), atol=1e-6)
 
 
+def forces(n, rows, edges, push, picks, step):
+    """One epoch by its definition: ``rows`` of (point, coordinates), every edge and pick with every row of both its points."""
+    total, hit = {}, lambda p: [y for q, y in rows if q == p]
+    for s, y in rows:
+        pull = [(2.0 / (1.0 + (t - y) @ (t - y)) * w * (t - y)) for (a, b), w in edges.items() if a == s for t in hit(b)]
+        off = [(-2.0 / ((0.1 + (t - y) @ (t - y)) * (1.0 + (t - y) @ (t - y))) * push[s] * (t - y)) for p in picks[s] if p != s for t in hit(p)]
+        total[s] = total.get(s, 0) + sum(pull + off)
+    return [(s, y + np.clip(step * total[s], -1, 1)) for s, y in rows]
+
+
+def test_layout_in_chunks_is_the_layout_by_definition(spark, monkeypatch):
+    """Points in several chunks, a key of one chunk, a point with two starts and one with none; an epoch moves and writes rows of chunks, not of edges or points."""
+    r = np.random.default_rng(6)
+    rows, start, want = [], [], []
+    for key, n in (("a", 40), ("b", 9)):
+        w = {}
+        for _ in range(3 * n):
+            i, j = sorted(r.choice(n, 2, replace=False).tolist())
+            w[i, j] = w[j, i] = float(r.uniform(0.1, 1))
+        for i in range(n):
+            w[i, (i + 1) % n] = w[(i + 1) % n, i] = 0.5
+        rows += [(key, "abstract", 7 * i, 7 * j, v) for (i, j), v in w.items()]
+        at = [(i, r.normal(size=2)) for i in [*range(1, n), 2]]  # point 0 has no start, point 2 two
+        start += [(key, "abstract", 7 * i, *map(float, y)) for i, y in at]
+        top = max(w.values())
+        wide = math.sqrt(sum(np.var([y for _, y in at], axis=0)) / 2)
+        now = [(i, y / wide * 3.0 / math.sqrt(2)) for i, y in at]
+        push = [sum(v for (a, _), v in w.items() if a == i) / top for i in range(n)]
+        for e in range(2):
+            pick = [F.pmod(F.xxhash64("id", F.lit(j), F.lit(42 + e)), F.lit(n).cast("long")).alias(f"p{j}") for j in range(1, 6)]
+            picks = [list(p) for p in spark.range(n).orderBy("id").select(*pick).collect()]
+            now = forces(n, now, {k: v / top for k, v in w.items()}, push, picks, 0.05 * (1 - e / 2))
+        want += [(key, 7 * i, *y) for i, y in now]
+    edges = spark.createDataFrame(rows, "corpus_id string, run_key string, src long, dst long, weight double")
+    first = spark.createDataFrame(start, "corpus_id string, run_key string, sentence_id long, c0 double, c1 double")
+    states, kept = [], manifold.written
+
+    def written(df, name):
+        out = kept(df, name)
+        if name == "layout-state":
+            states.append(out.count())
+        return out
+
+    monkeypatch.setattr(manifold, "written", written)
+    monkeypatch.setattr(manifold, "PART", 8)  # tiles in several parts
+    for size, chunks in ((16, 4), (None, 2)):
+        states.clear()
+        got = sorted((x.corpus_id, x.sentence_id, x.c0, x.c1) for x in manifold.layout(edges, 2, start=first, epochs=2, chunk=size).collect())
+        assert [x[:2] for x in got] == [x[:2] for x in sorted(want)]
+        assert np.allclose([x[2:] for x in got], [x[2:] for x in sorted(want)], atol=1e-9)
+        assert states == [chunks] * 3
+
+
 def test_trustworthiness():
     x = np.random.default_rng(1).normal(size=(60, 4))
     assert manifold.trustworthiness(x, 3 * x, 5) == 1.0
