@@ -20,6 +20,7 @@ only ``doc_id`` and ``text`` are read, other columns don't matter.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -42,6 +43,23 @@ GROUP_DOCUMENTS = 1024
 SEED = 17
 MEMO_UNITS = 350_000
 LEARN_UNITS = 4000
+#: A digit, Latin units, and the pattern of a vocabulary (``word_bpe_49k``) that makes every digit a piece of its own.
+DIGIT = "0"
+LATIN = re.compile(r"[\t-\r -~\u00a1-\u024f]*").fullmatch
+DIGITS_ALONE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def digits_stand_alone(tok) -> bool:
+    """Whether a digit is a piece of its own in any text, without a trace in its neighbours: the text is first cut by ``DIGITS_ALONE``, and before
+    that only composed, given single spaces and lower-cased (no character composes with a digit)."""
+    rules = json.loads(tok.to_str())
+    steps = lambda x, name: x.get(name, [x]) if x else []
+    first, *others = steps(rules["pre_tokenizer"], "pretokenizers") or [{}]
+    known = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+    return (first.get("type") == "Split" and first["pattern"] == {"Regex": DIGITS_ALONE} and first["behavior"] == "Removed" and first["invert"]
+            and all(x["type"] == "ByteLevel" and not x["add_prefix_space"] and not x["use_regex"] for x in others)
+            and all(x in known for x in steps(rules["normalizer"], "normalizers"))
+            and len(tok.encode(DIGIT, add_special_tokens=False).ids) == 1)
 
 
 class UnitEncoder:
@@ -56,21 +74,36 @@ class UnitEncoder:
         added = {i: t.content for i, t in self.tok.get_added_tokens_decoder().items() if t.special and not (t.lstrip or t.rstrip or t.single_word)}
         self.special_id, self.special = next(iter(added.items()), (0, ""))
         self.odd = re.compile("|".join(map(re.escape, added.values()))).search if added else None
+        self.digit_id = self.bare = None
+        if digits_stand_alone(self.tok):
+            self.digit_id = self.tok.encode(DIGIT, add_special_tokens=False).ids[0]
+            self.bare = Tokenizer.from_str(json.dumps(json.loads(self.tok.to_str()) | {"normalizer": None}))
 
     def learn(self, units: list[bytes]) -> None:
-        """Encode units that the memo lacks in one go, a special string (which
-        the library never joins with its neighbours) between each two."""
+        """Encode units that the memo lacks in one go, between each two a digit, if the vocabulary never joins one with
+        its neighbours, or else a special string (which the library never does, but it costs more). With a digit, Latin
+        letters need only be lower-cased: they are composed, and white space is no part of a piece."""
         texts = [u.decode() for u in units]
         plain = [i for i, t in enumerate(texts) if self.special and not self.odd(t)]
-        if plain:
-            joined = self.special.join([texts[i] for i in plain])
-            ids = np.array(self.tok.encode_batch_fast([joined], add_special_tokens=False)[0].ids, dtype="<u4")
-            raw, ends = ids.tobytes(), (4 * np.flatnonzero(ids == self.special_id)).tolist()
-            for k, i, j in zip(plain, [0, *(x + 4 for x in ends)], [*ends, len(raw)], strict=True):
-                self.memo[units[k]] = raw[i:j]
+        if self.digit_id is not None:
+            digits, latin, others = [], [], []
+            for i in plain:
+                (digits if DIGIT in texts[i] else latin if LATIN(texts[i]) else others).append(i)
+            self._learn_joined(self.bare, units, [texts[i].lower() for i in latin], latin, DIGIT, self.digit_id)
+            self._learn_joined(self.tok, units, [texts[i] for i in others], others, DIGIT, self.digit_id)
+            self._learn_joined(self.tok, units, [texts[i] for i in digits], digits, self.special, self.special_id)
+        else:
+            self._learn_joined(self.tok, units, [texts[i] for i in plain], plain, self.special, self.special_id)
         for k in set(range(len(units))).difference(plain):
             self.memo[units[k]] = np.array(self.tok.encode(texts[k], add_special_tokens=False).ids, dtype="<u4").tobytes()
 
+    def _learn_joined(self, tok, units: list[bytes], texts: list[str], some: list[int], divider: str, divider_id: int) -> None:
+        if some:
+            ids = np.array(tok.encode_batch_fast([divider.join(texts)], add_special_tokens=False)[0].ids, dtype="<u4")
+            raw, ends = ids.tobytes(), (4 * np.flatnonzero(ids == divider_id)).tolist()
+            for k, i, j in zip(some, [0, *(x + 4 for x in ends)], [*ends, len(raw)], strict=True):
+                self.memo[units[k]] = raw[i:j]
+
     def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
         """The ids of each text, in order."""
         for a, z, codes, units, bounds in unit_blocks(texts, self.block_bytes):

@@ -51,6 +51,8 @@ LOOSE = 0.02
 #: Share of its bins that a packing gives into a crossover at most.
 GIVEN = 0.5
 BATCH_ROWS = 4096
+#: Distinct units of text that a worker remembers, about 200 bytes each.
+MEMO_UNITS = 600_000
 
 
 def default_tokenizer() -> str:
@@ -73,7 +75,7 @@ def pieces(documents: DataFrame, length: int = LENGTH, separator: int = SEPARATO
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows, strict=True)) or [[]] * len(kinds), kinds, strict=True)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, out = encoder(path), []
+        enc, out = encoder(path, MEMO_UNITS), []
         for b in batches:
             for doc, ids in zip(b.column(0).to_pylist(), enc.encode(b.column(1))):
                 raw = ids.tobytes() + end

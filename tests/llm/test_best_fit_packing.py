@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from litspark.llm import op13_best_fit_packing as op13
@@ -67,6 +68,21 @@ def test_levels_lose_nothing_to_groups(spark):
     assert len(bins) <= least + 2  # 75 groups on their own would lose about half a sequence each
 
 
+def test_units_learnt_between_digits():
+    """Units joined by a digit, Latin ones without the normaliser, have the library's ids; another vocabulary's are joined by special strings."""
+    from tokenizers import Tokenizer
+
+    from litspark.llm import op10_packing as op10
+    from litspark.llm.op1_token_counts import default_tokenizer as byte_level
+    path, rng = op13.default_tokenizer(), random.Random(3)
+    signs = ["a", "Zq", "\u0130", "\u00c4", "\u00df", "e\u0301", "\u0301", "\u03a3", "\u1e9e", "\u212a", "\u00ad", "\u00a0", "\u0085", "\u2003", "\u200b", "0", "10", "7", "\u0660", "\u00b2",
+             "'s", "'", "'LL", ".", "!?", "<|endoftext|>", "<|startoftext|", " ", "  ", "\n", "\t", "\x0b", "\x00", "\u4e2d", "\U0001f600", "\u0e01\u0e34", "\u1100\u1161", "\ufb01", "\u0149"]
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 25))) for _ in range(4000)] + ["", "0", " 0 0", "00"]
+    enc, tok = op10.UnitEncoder(path, block_bytes=3000), Tokenizer.from_file(path)
+    assert enc.digit_id is not None and op10.UnitEncoder(byte_level()).digit_id is None
+    assert [x.tolist() for x in enc.encode(pa.array(texts))] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def triplets(n, length, rng):
     """Lengths that fill ``n`` bins exactly, three a bin."""
     out = []
